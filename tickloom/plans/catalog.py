@@ -1,6 +1,6 @@
 """All registered queries (importing the plan modules registers them)."""
 
-from tickloom.plans import indicator_plans  # noqa: F401
+from tickloom.plans import indicator_plans, signal_plans  # noqa: F401
 from tickloom.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
