@@ -12,188 +12,163 @@ from tickloom.functions.columns import clip
 C = F.col
 
 # Signal thresholds.
-RSI_OVERSOLD, RSI_OVERBOUGHT = 30.0, 70.0
-ADX_TREND, ADX_STRONG = 25.0, 40.0
+RSI_OVERSOLD, RSI_OVERBOUGHT = 30, 70
+ADX_TREND, ADX_STRONG = 25, 40
 MIN_STRENGTH = 0.20
 
 
-def _pos(condition: Column, amount: Column | float) -> Column:
-    return F.when(condition, amount).otherwise(0.0)
+def _case(*cases: tuple[str, str], otherwise: str = "0D") -> str:
+    """First matching amount."""
+    return "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in cases) + f" ELSE {otherwise} END"
 
 
-def _first(*cases: tuple[Column, Column | float]) -> Column:
-    """First matching amount, 0 where none matches."""
-    chain = F
-    for condition, amount in cases:
-        chain = chain.when(condition, amount)
-    return chain.otherwise(0.0)
+def _reasons(*cases: Sequence[tuple[str, str]]) -> Column:
+    texts = ["CASE " + " ".join(f"WHEN {c} THEN {t}" for c, t in case) + " END" for case in cases]
+    return F.expr(f"array_compact(array({', '.join(texts)}))")
+
+
+def _fmt(text: str, *args: str) -> str:
+    return f"format_string('{text}', {', '.join(args)})"
+
+
+TRENDING = f"adx >= {ADX_TREND}"
+STOCH_LOW, STOCH_HIGH = "stoch_rsi_k < 20 AND stoch_rsi_d < 20", "stoch_rsi_k > 80 AND stoch_rsi_d > 80"
 
 
 def ta_scores() -> tuple[Column, Column]:
     """Buy and sell score of the technical signal, before the cut at the minimum strength."""
-    trending = C("adx") >= ADX_TREND
-    rsi_w = F.when(trending, 1.0).otherwise(0.4)
-    macd_w = F.when(trending, 1.0).otherwise(0.5)
-    stoch_w = F.when(trending, 0.4).otherwise(0.7)
-    thrust = F.least(F.abs("macd_hist") / F.greatest(F.abs("bb_mid"), F.lit(1.0)) * 100, F.lit(0.3))
-    cross = C("ema_cross")
-    buy = (
-        _pos(C("rsi") < RSI_OVERSOLD, rsi_w * (RSI_OVERSOLD - C("rsi")) / RSI_OVERSOLD)
-        + _pos(trending & (cross > 0.005), F.least(cross * 10, F.lit(0.4)))
-        + _pos(C("macd_hist") > 0, macd_w * thrust)
-        + _pos(C("bb_pos") < 0.1, (0.1 - C("bb_pos")) * 3)
-        + _pos(C("mfi") < 20, 0.25)
-        + _pos(C("obv_slope") > 0.2, 0.15)
-        + _pos((C("stoch_rsi_k") < 20) & (C("stoch_rsi_d") < 20), stoch_w * 0.3)
-    )
-    sell = (
-        _pos(C("rsi") > RSI_OVERBOUGHT, rsi_w * (C("rsi") - RSI_OVERBOUGHT) / (100 - RSI_OVERBOUGHT))
-        + _pos(trending & (cross < -0.005), F.least(-cross * 10, F.lit(0.4)))
-        + _pos(C("macd_hist") < 0, macd_w * thrust)
-        + _pos(C("bb_pos") > 0.9, (C("bb_pos") - 0.9) * 3)
-        + _pos(C("mfi") > 80, 0.25)
-        + _pos(C("obv_slope") < -0.2, 0.15)
-        + _pos((C("stoch_rsi_k") > 80) & (C("stoch_rsi_d") > 80), stoch_w * 0.3)
-    )
-    return buy, sell
+    rsi_w = _case((TRENDING, "1D"), otherwise="0.4D")
+    thrust = _case((TRENDING, "1D"), otherwise="0.5D") + " * least(abs(macd_hist) / greatest(abs(bb_mid), 1D) * 100, 0.3D)"
+    stoch_w = _case((TRENDING, "0.4D"), otherwise="0.7D") + " * 0.3D"
+    buy = [
+        (f"rsi < {RSI_OVERSOLD}", f"{rsi_w} * ({RSI_OVERSOLD} - rsi) / {RSI_OVERSOLD}"),
+        (f"{TRENDING} AND ema_cross > 0.005D", "least(ema_cross * 10, 0.4D)"),
+        ("macd_hist > 0", thrust),
+        ("bb_pos < 0.1D", "(0.1D - bb_pos) * 3"),
+        ("mfi < 20", "0.25D"),
+        ("obv_slope > 0.2D", "0.15D"),
+        (STOCH_LOW, stoch_w),
+    ]
+    sell = [
+        (f"rsi > {RSI_OVERBOUGHT}", f"{rsi_w} * (rsi - {RSI_OVERBOUGHT}) / (100 - {RSI_OVERBOUGHT})"),
+        (f"{TRENDING} AND ema_cross < -0.005D", "least(-ema_cross * 10, 0.4D)"),
+        ("macd_hist < 0", thrust),
+        ("bb_pos > 0.9D", "(bb_pos - 0.9D) * 3"),
+        ("mfi > 80", "0.25D"),
+        ("obv_slope < -0.2D", "0.15D"),
+        (STOCH_HIGH, stoch_w),
+    ]
+    return F.expr(" + ".join(_case(c) for c in buy)), F.expr(" + ".join(_case(c) for c in sell))
 
 
-def ta_boosted(buy: Column, sell: Column) -> tuple[Column, Column]:
+def ta_boosted(buy: str, sell: str) -> tuple[Column, Column]:
     """The larger side gains 15 % in a strong trend (ties go to sell); both are capped at 1."""
-    strong = C("adx") > ADX_STRONG
-    cap = F.lit(1.0)
+    strong = f"adx > {ADX_STRONG}"
     return (
-        F.least(buy * F.when(strong & (buy > sell), 1.15).otherwise(1.0), cap),
-        F.least(sell * F.when(strong & (buy <= sell), 1.15).otherwise(1.0), cap),
+        F.expr(f"least({buy} * {_case((f'{strong} AND {buy} > {sell}', '1.15D'), otherwise='1D')}, 1D)"),
+        F.expr(f"least({sell} * {_case((f'{strong} AND {buy} <= {sell}', '1.15D'), otherwise='1D')}, 1D)"),
     )
 
 
 def ta_reasons() -> Column:
     """Why the score moved, in evaluation order."""
-    trending = C("adx") >= ADX_TREND
-    parts = [
-        F.when(C("rsi") < RSI_OVERSOLD, F.format_string("RSI=%.1f oversold", "rsi"))
-        .when(C("rsi") > RSI_OVERBOUGHT, F.format_string("RSI=%.1f overbought", "rsi")),
-        F.when(trending & (C("ema_cross") > 0.005), F.format_string("EMA9>EMA21 (%+.3f)", "ema_cross"))
-        .when(trending & (C("ema_cross") < -0.005), F.format_string("EMA9<EMA21 (%+.3f)", "ema_cross")),
-        F.when(C("macd_hist") > 0, F.format_string("MACD=%+.4f bullish", "macd_hist"))
-        .when(C("macd_hist") < 0, F.format_string("MACD=%+.4f bearish", "macd_hist")),
-        F.when(C("bb_pos") < 0.1, F.format_string("BB lower band (pos=%.2f)", "bb_pos"))
-        .when(C("bb_pos") > 0.9, F.format_string("BB upper band (pos=%.2f)", "bb_pos")),
-        F.when(C("mfi") < 20, F.format_string("MFI=%.1f oversold (volume)", "mfi"))
-        .when(C("mfi") > 80, F.format_string("MFI=%.1f overbought (volume)", "mfi")),
-        F.when(C("obv_slope") > 0.2, F.format_string("OBV accumulating (%+.2f)", "obv_slope"))
-        .when(C("obv_slope") < -0.2, F.format_string("OBV distributing (%+.2f)", "obv_slope")),
-        F.when((C("stoch_rsi_k") < 20) & (C("stoch_rsi_d") < 20), F.format_string("StochRSI K=%.1f oversold", "stoch_rsi_k"))
-        .when((C("stoch_rsi_k") > 80) & (C("stoch_rsi_d") > 80), F.format_string("StochRSI K=%.1f overbought", "stoch_rsi_k")),
-        F.when(C("adx") > ADX_STRONG, F.format_string("ADX=%.1f strong trend", "adx"))
-        .when(~trending, F.format_string("ADX=%.1f ranging (momentum suppressed)", "adx")),
-    ]
-    return F.array_compact(F.array(*parts))
+    return _reasons(
+        [(f"rsi < {RSI_OVERSOLD}", _fmt("RSI=%.1f oversold", "rsi")), (f"rsi > {RSI_OVERBOUGHT}", _fmt("RSI=%.1f overbought", "rsi"))],
+        [(f"{TRENDING} AND ema_cross > 0.005D", _fmt("EMA9>EMA21 (%+.3f)", "ema_cross")),
+         (f"{TRENDING} AND ema_cross < -0.005D", _fmt("EMA9<EMA21 (%+.3f)", "ema_cross"))],
+        [("macd_hist > 0", _fmt("MACD=%+.4f bullish", "macd_hist")), ("macd_hist < 0", _fmt("MACD=%+.4f bearish", "macd_hist"))],
+        [("bb_pos < 0.1D", _fmt("BB lower band (pos=%.2f)", "bb_pos")), ("bb_pos > 0.9D", _fmt("BB upper band (pos=%.2f)", "bb_pos"))],
+        [("mfi < 20", _fmt("MFI=%.1f oversold (volume)", "mfi")), ("mfi > 80", _fmt("MFI=%.1f overbought (volume)", "mfi"))],
+        [("obv_slope > 0.2D", _fmt("OBV accumulating (%+.2f)", "obv_slope")), ("obv_slope < -0.2D", _fmt("OBV distributing (%+.2f)", "obv_slope"))],
+        [(STOCH_LOW, _fmt("StochRSI K=%.1f oversold", "stoch_rsi_k")), (STOCH_HIGH, _fmt("StochRSI K=%.1f overbought", "stoch_rsi_k"))],
+        [(f"adx > {ADX_STRONG}", _fmt("ADX=%.1f strong trend", "adx")), (f"adx < {ADX_TREND}", _fmt("ADX=%.1f ranging (momentum suppressed)", "adx"))],
+    )
 
 
-def tech_scores() -> tuple[Column, Column]:
-    """Buy and sell score of the scan agent, rounded to three digits."""
-    hist, prev = C("macd_hist"), C("macd_hist_prev")
-    k, kp = C("stoch_k"), C("stoch_k_prev")
-    up, obv = C("price_rising"), C("obv_rising")
-    wide = C("idx") + 1 >= 22
-    upper = F.when(wide, C("bb_upper")).otherwise(C("close") * 1.02)
-    lower = F.when(wide, C("bb_lower")).otherwise(C("close") * 0.98)
-    buy = (
-        _pos(C("rsi") < 30, 0.35)
-        + _pos(C("close") <= lower, 0.30)
-        + _first(((hist > 0) & (prev <= 0), 0.25), (hist > 0, 0.10))
-        + _pos(C("vol_spike"), 0.10)
-        + _first(((k < 20) & (k > kp), 0.15), (k < 20, 0.08))
-        + _first((up & obv, 0.10), (~up & obv, 0.08))
-    )
-    base = (
-        _pos(C("rsi") > 70, 0.35)
-        + _pos(C("close") >= upper, 0.30)
-        + _first(((hist < 0) & (prev >= 0), 0.25), (hist < 0, 0.10))
-    )
-    sell = (
-        base
-        + _pos(C("vol_spike") & (base > 0), 0.10)
-        + _first(((k > 80) & (k < kp), 0.15), (k > 80, 0.08))
-        + _first((up & ~obv, 0.12), (~up & ~obv, 0.08))
-    )
-    return F.round(buy, 3), F.round(sell, 3)
+AT_UPPER = "close >= CASE WHEN idx + 1 >= 22 THEN bb_upper ELSE close * 1.02D END"
+AT_LOWER = "close <= CASE WHEN idx + 1 >= 22 THEN bb_lower ELSE close * 0.98D END"
+BULL_CROSS, BEAR_CROSS = "macd_hist > 0 AND macd_hist_prev <= 0", "macd_hist < 0 AND macd_hist_prev >= 0"
 
 
-def tech_reasons() -> tuple[Column, Column]:
-    hist, prev = C("macd_hist"), C("macd_hist_prev")
-    k, kp = C("stoch_k"), C("stoch_k_prev")
-    up, obv = C("price_rising"), C("obv_rising")
-    wide = C("idx") + 1 >= 22
-    at_upper = C("close") >= F.when(wide, C("bb_upper")).otherwise(C("close") * 1.02)
-    at_lower = C("close") <= F.when(wide, C("bb_lower")).otherwise(C("close") * 0.98)
+def tech_scores() -> tuple[Column, Column]:
+    """Buy and sell score of the scan agent, rounded to three digits."""
     buy = [
-        F.when(C("rsi") < 30, F.format_string("RSI=%.1f oversold", "rsi")),
-        F.when(at_lower, F.lit("Price at lower BB")),
-        F.when((hist > 0) & (prev <= 0), F.lit("MACD bull cross")).when(hist > 0, F.lit("MACD positive")),
-        F.when(C("vol_spike"), F.format_string("Vol spike %.1f×", C("volume") / F.greatest(C("vol_sma"), F.lit(1.0)))),
-        F.when((k < 20) & (k > kp), F.format_string("Stoch %.0f oversold+rising", k)).when(k < 20, F.format_string("Stoch %.0f oversold", k)),
-        F.when(up & obv, F.lit("OBV confirms up")).when(~up & obv, F.lit("OBV divergence: accumulation")),
+        [("rsi < 30", "0.35D")],
+        [(AT_LOWER, "0.30D")],
+        [(BULL_CROSS, "0.25D"), ("macd_hist > 0", "0.10D")],
+        [("vol_spike", "0.10D")],
+        [("stoch_k < 20 AND stoch_k > stoch_k_prev", "0.15D"), ("stoch_k < 20", "0.08D")],
+        [("price_rising AND obv_rising", "0.10D"), ("obv_rising", "0.08D")],
     ]
-    sell_signal = (C("rsi") > 70) | at_upper | (hist < 0)
     sell = [
-        F.when(C("rsi") > 70, F.format_string("RSI=%.1f overbought", "rsi")),
-        F.when(at_upper, F.lit("Price at upper BB")),
-        F.when((hist < 0) & (prev >= 0), F.lit("MACD bear cross")).when(hist < 0, F.lit("MACD negative")),
-        F.when(C("vol_spike") & sell_signal, F.lit("Vol confirmation")),
-        F.when((k > 80) & (k < kp), F.format_string("Stoch %.0f overbought+falling", k)).when(k > 80, F.format_string("Stoch %.0f overbought", k)),
-        F.when(up & ~obv, F.lit("OBV divergence: distribution")).when(~up & ~obv, F.lit("OBV confirms down")),
+        [("rsi > 70", "0.35D")],
+        [(AT_UPPER, "0.30D")],
+        [(BEAR_CROSS, "0.25D"), ("macd_hist < 0", "0.10D")],
+        [(f"vol_spike AND (rsi > 70 OR {AT_UPPER} OR macd_hist < 0)", "0.10D")],
+        [("stoch_k > 80 AND stoch_k < stoch_k_prev", "0.15D"), ("stoch_k > 80", "0.08D")],
+        [("price_rising AND NOT obv_rising", "0.12D"), ("NOT obv_rising", "0.08D")],
     ]
-    return F.array_compact(F.array(*buy)), F.array_compact(F.array(*sell))
+    return tuple(F.expr("round(" + " + ".join(_case(*c) for c in side) + ", 3)") for side in (buy, sell))
 
 
-# -- macro -----------------------------------------------------------------------------------
+def tech_reasons() -> tuple[Column, Column]:
+    """Reason lists of the two scan scores."""
+    buy = _reasons(
+        [("rsi < 30", _fmt("RSI=%.1f oversold", "rsi"))],
+        [(AT_LOWER, "'Price at lower BB'")],
+        [(BULL_CROSS, "'MACD bull cross'"), ("macd_hist > 0", "'MACD positive'")],
+        [("vol_spike", _fmt("Vol spike %.1f×", "volume / greatest(vol_sma, 1D)"))],
+        [("stoch_k < 20 AND stoch_k > stoch_k_prev", _fmt("Stoch %.0f oversold+rising", "stoch_k")), ("stoch_k < 20", _fmt("Stoch %.0f oversold", "stoch_k"))],
+        [("price_rising AND obv_rising", "'OBV confirms up'"), ("obv_rising", "'OBV divergence: accumulation'")],
+    )
+    sell = _reasons(
+        [("rsi > 70", _fmt("RSI=%.1f overbought", "rsi"))],
+        [(AT_UPPER, "'Price at upper BB'")],
+        [(BEAR_CROSS, "'MACD bear cross'"), ("macd_hist < 0", "'MACD negative'")],
+        [(f"vol_spike AND (rsi > 70 OR {AT_UPPER} OR macd_hist < 0)", "'Vol confirmation'")],
+        [("stoch_k > 80 AND stoch_k < stoch_k_prev", _fmt("Stoch %.0f overbought+falling", "stoch_k")), ("stoch_k > 80", _fmt("Stoch %.0f overbought", "stoch_k"))],
+        [("price_rising AND NOT obv_rising", "'OBV divergence: distribution'"), ("NOT obv_rising", "'OBV confirms down'")],
+    )
+    return buy, sell
 
-# Market-structure thresholds.
-FUNDING_HOT, FUNDING_COLD = 0.001, -0.001
-LS_LONG, LS_SHORT = 1.8, 0.8
-PREMIUM_BEARISH, OI_SURGE = -0.002, 0.15
 
+# -- macro -----------------------------------------------------------------------------------
 
-def _tiers(*cases: tuple[Column, float]) -> Column:
-    chain = F
-    for condition, factor in cases:
-        chain = chain.when(condition, factor)
-    return chain.otherwise(1.0)
+# Market-structure thresholds (half again beyond the first funding tier, a fifth
+# beyond the first ratio tier for the strong ones).
+HOT, VERY_HOT, COLD, VERY_COLD = "funding_rate > 0.001D", "funding_rate > 0.001D * 1.5D", "funding_rate < -0.001D", "funding_rate < -0.001D * 1.5D"
+LONGS, MANY_LONGS, SHORTS, MANY_SHORTS = "ls_ratio > 1.8D", "ls_ratio > 1.8D * 1.2D", "ls_ratio < 0.8D", "ls_ratio < 0.8D * 0.8D"
 
 
 def buy_multiplier() -> Column:
     """Factor on buy scores from funding, long/short ratio, premium and open interest; 1 if unknown."""
-    funding, ls = C("funding_rate"), C("ls_ratio")
-    product = (
-        _tiers((funding > FUNDING_HOT * 1.5, 0.45), (funding > FUNDING_HOT, 0.70), (funding < FUNDING_COLD * 1.5, 1.40), (funding < FUNDING_COLD, 1.20))
-        * _tiers((ls > LS_LONG * 1.2, 0.55), (ls > LS_LONG, 0.80), (ls < LS_SHORT * 0.8, 1.25), (ls < LS_SHORT, 1.10))
-        * _tiers((C("premium") < PREMIUM_BEARISH, 0.85))
-        * _tiers(((C("oi_trend") > OI_SURGE) & (funding > 0), 0.90))
-    )
-    return F.when(C("fetch_ok"), clip(product, 0.0, 1.5)).otherwise(1.0)
+    factors = [
+        [(VERY_HOT, "0.45D"), (HOT, "0.70D"), (VERY_COLD, "1.40D"), (COLD, "1.20D")],
+        [(MANY_LONGS, "0.55D"), (LONGS, "0.80D"), (MANY_SHORTS, "1.25D"), (SHORTS, "1.10D")],
+        [("premium < -0.002D", "0.85D")],
+        [("oi_trend > 0.15D AND funding_rate > 0", "0.90D")],
+    ]
+    product = " * ".join(_case(*f, otherwise="1D") for f in factors)
+    return F.expr(f"CASE WHEN fetch_ok THEN greatest(0D, least(1.5D, {product})) ELSE 1D END")
 
 
 def sell_multiplier() -> Column:
     """Factor on sell scores; exits are only ever damped in a short squeeze."""
-    funding = C("funding_rate")
-    product = _tiers((funding < FUNDING_COLD * 1.5, 0.75), (funding < FUNDING_COLD, 0.90), (funding > FUNDING_HOT * 1.5, 1.15))
-    return F.when(C("fetch_ok"), clip(product, 0.5, 1.2)).otherwise(1.0)
+    product = _case((VERY_COLD, "0.75D"), (COLD, "0.90D"), (VERY_HOT, "1.15D"), otherwise="1D")
+    return F.expr(f"CASE WHEN fetch_ok THEN greatest(0.5D, least(1.2D, {product})) ELSE 1D END")
 
 
 def macro_label() -> Column:
-    pct, ls = C("funding_rate") * 100, C("ls_ratio")
-    hot, cold = C("funding_rate") > FUNDING_HOT, C("funding_rate") < FUNDING_COLD
-    return (
-        F.when(~C("fetch_ok"), F.lit("UNKNOWN (fetch failed)"))
-        .when(hot & (ls > LS_LONG), F.format_string("OVERHEATED LONGS (funding=%+.3f%% L/S=%.2f)", pct, ls))
-        .when(cold & (ls < LS_SHORT), F.format_string("SHORT SQUEEZE SETUP (funding=%+.3f%% L/S=%.2f)", pct, ls))
-        .when(hot, F.format_string("CAUTION: funding hot (%+.3f%%)", pct))
-        .when(cold, F.format_string("CONTRARIAN BULLISH: shorts crowded (funding=%+.3f%%)", pct))
-        .otherwise(F.format_string("NEUTRAL (funding=%+.3f%% L/S=%.2f)", pct, ls))
-    )
+    """Readable name of the market-structure regime."""
+    both = ("funding_rate * 100", "ls_ratio")
+    return F.expr(_case(
+        ("NOT fetch_ok", "'UNKNOWN (fetch failed)'"),
+        (f"{HOT} AND {LONGS}", _fmt("OVERHEATED LONGS (funding=%+.3f%% L/S=%.2f)", *both)),
+        (f"{COLD} AND {SHORTS}", _fmt("SHORT SQUEEZE SETUP (funding=%+.3f%% L/S=%.2f)", *both)),
+        (HOT, _fmt("CAUTION: funding hot (%+.3f%%)", both[0])),
+        (COLD, _fmt("CONTRARIAN BULLISH: shorts crowded (funding=%+.3f%%)", both[0])),
+        otherwise=_fmt("NEUTRAL (funding=%+.3f%% L/S=%.2f)", *both),
+    ))
 
 
 def adjusted(score: Column, multiplier: Column) -> Column:

@@ -1,21 +1,16 @@
 """Technical indicators over halo blocks.
 
-Every function returns an ``Indicator``; apply any number of them to a blocked frame
-(``blocks.blocked``) with ``with_indicators``. The look-back is a parameter because recursive
-indicators are seeded at the first bar of the slice. Rows with too little history get the
-documented default.
+Every function returns an ``Indicator`` (Spark SQL expressions); apply any number of them to a
+blocked frame (``blocks.blocked``) with ``with_indicators``. The look-back is a parameter because
+recursive indicators are seeded at the first bar of the slice. Rows with too little history get
+the documented default.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from tickloom.functions.columns import clip
-from tickloom.operators.blocks import ordered, prefix
-from tickloom.operators.layers import Indicator, merge_layers, with_indicators
+from tickloom.operators.layers import Indicator, Layer, clip, d, lag, merge_layers, rows, since_start, with_indicators
 from tickloom.operators.smoothing import ema_rate, last_positive, macd_parts, smoothed, wilder_rate
 
 __all__ = [
@@ -25,44 +20,39 @@ __all__ = [
 ]
 
 KEYS = ("product_id",)
-C = F.col
-
-
-def _bars(n: int) -> Column:
-    """At least ``n`` bars exist up to and including this row."""
-    return C("idx") + 1 >= n
+TYPICAL = "((high + low + close) / 3)"
+LOG_RETURN = "CASE WHEN __pc > 0 AND close > 0 THEN ln(try_divide(close, __pc)) END"
 
 
-def _typical() -> Column:
-    return (C("high") + C("low") + C("close")) / 3
+def _when(condition: str, value: str, otherwise: str) -> str:
+    return f"CASE WHEN {condition} THEN {value} ELSE {otherwise} END"
 
 
-def _last(n: int, keys: Sequence[str]):
-    """Frame of the last ``n`` rows."""
-    return ordered(keys).rowsBetween(-(n - 1), 0)
+def _bars(n: int) -> str:
+    """At least ``n`` bars exist up to and including this row."""
+    return f"idx + 1 >= {n}"
 
 
-def _previous_close(keys: Sequence[str]) -> dict[str, Column]:
-    return {"__pc": F.lag("close").over(ordered(keys))}
+def _previous_close(keys: Sequence[str]) -> Layer:
+    return {"__pc": lag("close", 1, keys)}
 
 
-def _slice_start(lookback: int) -> Column:
-    return F.greatest(C("idx") - (lookback - 1), F.lit(0))
+def _slice_start(lookback: int) -> str:
+    return f"greatest(idx - {lookback - 1}, 0)"
 
 
 # -- recursive indicators ------------------------------------------------------------------
 
-def _rsi(lookback: int, period: int, keys: Sequence[str]) -> tuple[list[dict[str, Column]], Column]:
-    diff = C("close") - C("__pc")
-    rate = wilder_rate(period)
-    gain = smoothed("gain", F.greatest(diff, F.lit(0.0)), period, rate, lookback - 1, 1, keys)
-    loss = smoothed("loss", F.greatest(-diff, F.lit(0.0)), period, rate, lookback - 1, 1, keys)
-    fell = {"__fell": last_positive(-diff, keys)}
-    no_loss = C("__fell").isNull() | (C("__fell") <= _slice_start(lookback))
-    strength = F.greatest(gain.value, F.lit(0.0)) / F.greatest(loss.value, F.lit(1e-300))
-    value = F.when(no_loss, 100.0).otherwise(100 - 100 / (1 + strength))
-    layers = [_previous_close(keys), {**gain.early, **loss.early, **fell}, {**gain.late, **loss.late}]
-    return layers, F.when(_bars(period + 1), value).otherwise(50.0)
+def _rsi(lookback: int, period: int, keys: Sequence[str]) -> tuple[list[Layer], str]:
+    diff, rate = "(close - __pc)", wilder_rate(period)
+    gain = smoothed("gain", f"greatest({diff}, 0D)", period, rate, lookback - 1, 1, keys)
+    loss = smoothed("loss", f"greatest(-{diff}, 0D)", period, rate, lookback - 1, 1, keys)
+    # greatest() skips nulls, so the first bar counts as no gain and no loss; means start after it.
+    no_loss = f"__fell IS NULL OR __fell <= {_slice_start(lookback)}"
+    strength = f"greatest({gain.value}, 0D) / greatest({loss.value}, 1e-300D)"
+    value = f"CASE WHEN idx < {period} THEN 50D WHEN {no_loss} THEN 100D ELSE 100 - 100 / (1 + {strength}) END"
+    layers = [_previous_close(keys), {**gain.early, **loss.early, "__fell": last_positive(f"-{diff}", keys)}, {**gain.late, **loss.late}]
+    return layers, value
 
 
 def rsi(lookback: int, period: int = 14, name: str = "rsi", keys: Sequence[str] = KEYS) -> Indicator:
@@ -77,19 +67,19 @@ def multi_rsi(lookback: int, periods: Sequence[int] = (6, 12, 24), oversold: flo
     layers = merge_layers(*[part[0] for part in parts.values()], [{}, {}, {}, {f"__rsi{p}": v for p, (_, v) in parts.items()}])
     enough = _bars(max(periods) + 1)
 
-    def votes(test) -> Column:
-        return F.when(enough, sum((test(C(f"__rsi{p}")).cast("int") for p in periods), F.lit(0))).otherwise(0)
+    def votes(test: str) -> str:
+        return _when(enough, " + ".join(f"CAST(__rsi{p} {test} AS INT)" for p in periods), "0")
 
     return Indicator({
-        **{f"rsi{p}": F.when(enough, F.round(C(f"__rsi{p}"), 1)).otherwise(50.0) for p in periods},
-        "buy_votes": votes(lambda r: r < oversold),
-        "sell_votes": votes(lambda r: r > overbought),
+        **{f"rsi{p}": _when(enough, f"round(__rsi{p}, 1)", "50D") for p in periods},
+        "buy_votes": votes(f"< {d(oversold)}"),
+        "sell_votes": votes(f"> {d(overbought)}"),
     }, layers)
 
 
-def _ema(lookback: int, period: int, keys: Sequence[str]) -> tuple[list[dict[str, Column]], Column]:
-    s = smoothed("close", C("close"), period, ema_rate(period), lookback, keys=keys)
-    return [s.early, s.late], F.coalesce(s.value, C("close"))
+def _ema(lookback: int, period: int, keys: Sequence[str]) -> tuple[list[Layer], str]:
+    s = smoothed("close", "close", period, ema_rate(period), lookback, keys=keys)
+    return [s.early, s.late], f"coalesce({s.value}, close)"
 
 
 def ema(lookback: int, period: int, name: str | None = None, keys: Sequence[str] = KEYS) -> Indicator:
@@ -101,42 +91,39 @@ def ema(lookback: int, period: int, name: str | None = None, keys: Sequence[str]
 def ema_cross(lookback: int, keys: Sequence[str] = KEYS) -> Indicator:
     """``(ema9 - ema21) / mid``; 0 below 22 bars."""
     (short_layers, short), (long_layers, long) = _ema(lookback, 9, keys), _ema(lookback, 21, keys)
-    value = F.when(_bars(22), F.try_divide(short - long, (short + long) / 2))
-    return Indicator({"ema_cross": F.coalesce(value, F.lit(0.0))}, merge_layers(short_layers, long_layers))
+    value = f"CASE WHEN {_bars(22)} THEN try_divide({short} - {long}, ({short} + {long}) / 2) END"
+    return Indicator({"ema_cross": f"coalesce({value}, 0D)"}, merge_layers(short_layers, long_layers))
 
 
 def macd(lookback: int, keys: Sequence[str] = KEYS) -> Indicator:
     """MACD(5, 13, 3): line, signal and histogram; zeros below 16 bars."""
-    m = macd_parts(C("close"), lookback, keys=keys)
-    return Indicator({"macd_line": m.line, "macd_signal": m.signal, "macd_hist": m.line - m.signal}, m.layers)
+    m = macd_parts("close", lookback, keys=keys)
+    return Indicator({"macd_line": m.line, "macd_signal": m.signal, "macd_hist": f"({m.line}) - ({m.signal})"}, m.layers)
 
 
 def macd_previous(lookback: int, keys: Sequence[str] = KEYS) -> Indicator:
     """Histogram of the same slice without its last bar (the seed does not move)."""
-    m = macd_parts(C("close"), lookback - 1, keys=keys)
-    layers = [*m.layers, {"__pmh": F.lag(m.line - m.signal).over(ordered(keys))}]
-    return Indicator({"macd_hist_prev": F.coalesce(C("__pmh"), F.lit(0.0))}, layers)
+    m = macd_parts("close", lookback - 1, keys=keys)
+    layers = [*m.layers, {"__pmh": lag(f"({m.line}) - ({m.signal})", 1, keys)}]
+    return Indicator({"macd_hist_prev": "coalesce(__pmh, 0D)"}, layers)
 
 
 def atr(lookback: int, period: int = 14, name: str = "atr", keys: Sequence[str] = KEYS) -> Indicator:
     """Wilder ATR; 0 below ``period + 1`` bars."""
-    before = C("__pc")
-    tr = F.when(before.isNotNull(), F.greatest(
-        C("high") - C("low"), F.abs(C("high") - before), F.abs(C("low") - before)))
-    s = smoothed("tr", tr, period, wilder_rate(period), lookback - 1, 1, keys)
-    moved = C("__moved").isNotNull() & (C("__moved") > _slice_start(lookback))
-    value = F.when(_bars(period + 1) & moved, F.greatest(s.value, F.lit(0.0))).otherwise(0.0)
-    return Indicator({name: value}, [_previous_close(keys), {**s.early, "__moved": last_positive(tr, keys)}, s.late])
+    tr = "CASE WHEN __pc IS NOT NULL THEN greatest(high - low, abs(high - __pc), abs(low - __pc)) END"
+    s = smoothed("tr", f"({tr})", period, wilder_rate(period), lookback - 1, 1, keys)
+    value = _when(f"{_bars(period + 1)} AND __moved > {_slice_start(lookback)}", f"greatest({s.value}, 0D)", "0D")
+    return Indicator({name: value}, [_previous_close(keys), {**s.early, "__moved": last_positive(f"({tr})", keys)}, s.late])
 
 
-def atr_stop(price: str = "close", multiplier: float = 3.0, low: float = 0.015, high: float = 0.12) -> Column:
-    """Stop distance as a fraction of the entry price, from an ``atr`` column."""
-    raw = F.when((C("atr") > 0) & (C(price) > 0), F.try_divide(C("atr") * multiplier, C(price)))
-    return F.coalesce(clip(raw, low, high), F.lit(low))
+def atr_stop(price: str = "close", multiplier: float = 3.0, low: float = 0.015, high: float = 0.12) -> str:
+    """SQL of the stop distance as a fraction of the entry price, from an ``atr`` column."""
+    raw = f"CASE WHEN atr > 0 AND {price} > 0 THEN atr * {d(multiplier)} / {price} END"
+    return f"coalesce({clip(raw, low, high)}, {d(low)})"
 
 
-def atr_trail(peak: str, multiplier: float = 2.0, low: float = 0.03, high: float = 0.15) -> Column:
-    """Trailing distance as a fraction of the peak price, from an ``atr`` column."""
+def atr_trail(peak: str, multiplier: float = 2.0, low: float = 0.03, high: float = 0.15) -> str:
+    """SQL of the trailing distance as a fraction of the peak price, from an ``atr`` column."""
     return atr_stop(peak, multiplier, low, high)
 
 
@@ -144,168 +131,141 @@ def atr_trail(peak: str, multiplier: float = 2.0, low: float = 0.03, high: float
 
 def bollinger(period: int = 20, mult: float = 2.0, keys: Sequence[str] = KEYS) -> Indicator:
     """Bands with population deviation and the clipped position of the close (0.5 if flat or short)."""
-    f = _last(period, keys)
     layer = {
-        "__bm": F.avg("close").over(f), "__bsd": F.stddev_pop("close").over(f),
-        "__bflat": F.max("close").over(f) == F.min("close").over(f),
+        "__bm": rows("avg(close)", period, keys), "__bh": f"{d(mult)} * " + rows("stddev_pop(close)", period, keys),
+        "__bflat": rows("max(close)", period, keys) + " = " + rows("min(close)", period, keys),
     }
-    enough, half = _bars(period), F.lit(mult) * C("__bsd")
-    pos = F.when(C("__bflat"), 0.5).otherwise(clip(F.try_divide(C("close") - (C("__bm") - half), 2 * half), 0.0, 1.0))
+    enough = _bars(period)
+    pos = clip("try_divide(close - (__bm - __bh), 2 * __bh)", 0, 1)
     return Indicator({
-        "bb_mid": F.when(enough, C("__bm")).otherwise(C("close")),
-        "bb_upper": F.when(enough, C("__bm") + half).otherwise(C("close")),
-        "bb_lower": F.when(enough, C("__bm") - half).otherwise(C("close")),
-        "bb_pos": F.when(enough, pos).otherwise(0.5),
+        "bb_mid": _when(enough, "__bm", "close"),
+        "bb_upper": _when(enough, "__bm + __bh", "close"),
+        "bb_lower": _when(enough, "__bm - __bh", "close"),
+        "bb_pos": _when(f"{enough} AND NOT __bflat", pos, "0.5D"),
     }, [layer])
 
 
 def mfi(period: int = 14, keys: Sequence[str] = KEYS) -> Indicator:
     """Money flow index; an unchanged typical price counts as outflow."""
-    tp, before, flow = _typical(), C("__ptp"), _typical() * C("volume")
-    f = _last(period, keys)
-    layers = [
-        {"__ptp": F.lag(tp).over(ordered(keys))},
-        {
-            "__inflow": F.sum(F.when(tp > before, flow).otherwise(0.0)).over(f),
-            "__outflow": F.sum(F.when(tp <= before, flow).otherwise(0.0)).over(f),
-        },
-    ]
-    value = F.when(C("__outflow") == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide(C("__inflow"), C("__outflow"))))
-    return Indicator({"mfi": F.when(_bars(period + 1), value).otherwise(50.0)}, layers)
+    flow = f"{TYPICAL} * volume"
+    layers = [{"__ptp": lag(TYPICAL, 1, keys)}, {
+        "__inflow": rows(f"sum({_when(f'{TYPICAL} > __ptp', flow, '0D')})", period, keys),
+        "__outflow": rows(f"sum({_when(f'{TYPICAL} <= __ptp', flow, '0D')})", period, keys),
+    }]
+    value = f"CASE WHEN idx < {period} THEN 50D WHEN __outflow = 0 THEN 100D ELSE 100 - 100 / (1 + try_divide(__inflow, __outflow)) END"
+    return Indicator({"mfi": value}, layers)
 
 
-def _obv_layers(keys: Sequence[str]) -> list[dict[str, Column]]:
+def _obv_layers(keys: Sequence[str]) -> list[Layer]:
     """OBV up to a constant per block; the indicators use only differences of it."""
-    signed = F.when(C("close") > C("__pc"), C("volume")).when(C("close") < C("__pc"), -C("volume")).otherwise(0.0)
-    return [_previous_close(keys), {"__obv": F.sum(signed).over(prefix(keys))}]
+    signed = "CASE WHEN close > __pc THEN volume WHEN close < __pc THEN -volume ELSE 0D END"
+    return [_previous_close(keys), {"__obv": since_start(f"sum({signed})", keys)}]
 
 
 def obv_slope(lookback: int, points: int = 10, scale: int = 10, name: str = "obv_slope", keys: Sequence[str] = KEYS) -> Indicator:
     """Slope of the last ``points`` OBV values, scaled by their mean level since the slice start."""
-    w, f, obv = ordered(keys), _last(points, keys), C("__obv")
     layers = [*_obv_layers(keys), {
-        "__oslope": F.regr_slope(obv, C("pos").cast("double")).over(f),
-        "__omean": F.avg(obv).over(f),
-        f"__ostart{lookback}": F.lag(obv, lookback - 1).over(w),
-        "__ofirst": F.first(F.when(C("idx") == 0, obv), ignorenulls=True).over(prefix(keys)),
+        f"__oslope{points}": rows("regr_slope(__obv, CAST(pos AS DOUBLE))", points, keys),
+        f"__omean{points}": rows("avg(__obv)", points, keys),
+        f"__ostart{lookback}": lag("__obv", lookback - 1, keys),
+        "__ofirst": since_start("first(CASE WHEN idx = 0 THEN __obv END, true)", keys),
     }]
-    start = F.when(_bars(lookback), C(f"__ostart{lookback}")).otherwise(C("__ofirst"))
-    value = clip(C("__oslope") * scale / F.greatest(F.abs(C("__omean") - start), F.lit(1.0)), -1.0, 1.0)
-    return Indicator({name: F.when(_bars(points + 1), value).otherwise(0.0)}, layers)
+    level = f"greatest(abs(__omean{points} - {_when(_bars(lookback), f'__ostart{lookback}', '__ofirst')}), 1D)"
+    value = clip(f"__oslope{points} * {scale} / {level}", -1, 1)
+    return Indicator({name: _when(_bars(points + 1), value, "0D")}, layers)
 
 
 def vwap(period: int = 20, keys: Sequence[str] = KEYS) -> Indicator:
     """Rolling VWAP and the close's distance from it, clipped at 5 % and scaled to [-1, 1]."""
-    f = _last(period, keys)
-    layer = {"__vv": F.sum("volume").over(f), "__vtv": F.sum(_typical() * C("volume")).over(f)}
-    usable = _bars(period) & (C("__vv") != 0)
-    price = F.when(usable, F.try_divide(C("__vtv"), C("__vv"))).otherwise(C("close"))
-    dist = F.when(usable, clip(F.try_divide(C("close") - price, price) / 0.05, -1.0, 1.0))
-    return Indicator({"vwap": price, "vwap_dist": F.coalesce(dist, F.lit(0.0))}, [layer])
+    layer = {"__vv": rows("sum(volume)", period, keys), "__vtv": rows(f"sum({TYPICAL} * volume)", period, keys)}
+    price = _when(f"{_bars(period)} AND __vv <> 0", "try_divide(__vtv, __vv)", "close")
+    dist = clip(f"try_divide(close - ({price}), {price}) / 0.05D", -1, 1)
+    return Indicator({"vwap": price, "vwap_dist": f"coalesce({_when(_bars(period), dist, '0D')}, 0D)"}, [layer])
 
 
 def dissimilarity(period: int = 14, keys: Sequence[str] = KEYS) -> Indicator:
     """Distance of the close from its SMA in percent; 0 if short."""
-    value = F.when(_bars(period), F.try_divide(F.abs(C("close") - C("__sma")), C("__sma")) * 100)
-    return Indicator({"dissimilarity": F.coalesce(value, F.lit(0.0))}, [{"__sma": F.avg("close").over(_last(period, keys))}])
-
-
-def _log_return() -> Column:
-    return F.when((C("__pc") > 0) & (C("close") > 0), F.log(F.try_divide(C("close"), C("__pc"))))
+    value = _when(_bars(period), "try_divide(abs(close - __sma), __sma) * 100", "0D")
+    return Indicator({"dissimilarity": f"coalesce({value}, 0D)"}, [{"__sma": rows("avg(close)", period, keys)}])
 
 
 def realized_vol(window: int = 20, bars_per_year: int = 365, name: str = "realized_vol", keys: Sequence[str] = KEYS) -> Indicator:
     """Sample deviation of the last ``window`` log returns times sqrt(bars_per_year)."""
-    f, r = _last(window, keys), _log_return()
-    layers = [_previous_close(keys), {f"__rvsd{window}": F.stddev_samp(r).over(f), f"__rvn{window}": F.count(r).over(f)}]
-    enough = _bars(window + 1) & (C(f"__rvn{window}") >= 2)
-    return Indicator({name: F.when(enough, C(f"__rvsd{window}") * float(bars_per_year) ** 0.5).otherwise(0.0)}, layers)
+    sd, n = f"__rvsd{window}", f"__rvn{window}"
+    layers = [_previous_close(keys), {sd: rows(f"stddev_samp({LOG_RETURN})", window, keys), n: rows(f"count({LOG_RETURN})", window, keys)}]
+    return Indicator({name: _when(f"{_bars(window + 1)} AND {n} >= 2", f"{sd} * {d(bars_per_year ** 0.5)}", "0D")}, layers)
 
 
 def shannon_entropy(window: int = 20, bins: int = 10, keys: Sequence[str] = KEYS) -> Indicator:
     """Entropy of the last ``window`` log returns in equal-width bins, as a share of the maximum."""
-    f, r = _last(window, keys), _log_return()
-    width = (C("__ehi") - C("__elo")) / bins
-    bin_of = F.transform("__ers", lambda x: F.least(
-        F.floor(F.try_divide(x - C("__elo"), width)), F.lit(bins - 1).cast("long")))
+    width = f"((__ehi - __elo) / {bins})"
     layers = [
         _previous_close(keys),
-        {"__ers": F.collect_list(r).over(f), "__elo": F.min(r).over(f), "__ehi": F.max(r).over(f)},
-        {"__ebins": bin_of},
+        {n: rows(f"{f}({LOG_RETURN})", window, keys) for n, f in (("__ers", "collect_list"), ("__elo", "min"), ("__ehi", "max"))},
+        {"__ebins": f"transform(__ers, x -> least(floor(try_divide(x - __elo, {width})), {bins - 1}L))"},
+        {"__eshares": f"transform(sequence(0L, {bins - 1}L), i -> size(filter(__ebins, b -> b = i)) / CAST(greatest(size(__ers), 1) AS DOUBLE))"},
     ]
-
-    def share(i: int) -> Column:
-        p = F.try_divide(F.size(F.filter("__ebins", lambda b: b == i)).cast("double"), F.size("__ers").cast("double"))
-        return F.when(p > 0, -p * F.log2(p)).otherwise(0.0)
-
-    value = F.round(sum((share(i) for i in range(bins)), F.lit(0.0)) / F.log2(F.lit(float(bins))), 4)
-    value = F.when(C("__ehi") == C("__elo"), 0.0).otherwise(value)
-    return Indicator({"entropy": F.when(_bars(window + 1) & (F.size("__ers") >= 4), value).otherwise(0.5)}, layers)
+    total = "aggregate(__eshares, 0D, (acc, p) -> acc + CASE WHEN p > 0 THEN -p * log2(p) ELSE 0D END)"
+    value = _when("__ehi = __elo", "0D", f"round({total} / log2({d(bins)}), 4)")
+    return Indicator({"entropy": _when(f"{_bars(window + 1)} AND size(__ers) >= 4", value, "0.5D")}, layers)
 
 
 def stochastic(k_period: int = 14, d_period: int = 3, keys: Sequence[str] = KEYS) -> Indicator:
     """Price %K with its previous value and %D, the mean of the last ``d_period`` %K (50 where short)."""
-    w, f = ordered(keys), _last(k_period, keys)
-    k = F.when(_bars(k_period), 100.0 * (C("close") - C("__klo")) / F.greatest(C("__khi") - C("__klo"), F.lit(1e-9))).otherwise(50.0)
-    lags = {f"__k{i}": F.coalesce(F.lag(k, i).over(w), F.lit(50.0)) for i in range(1, d_period)}
-    mean = sum((C(n) for n in lags), k) / d_period
+    k = _when(_bars(k_period), "100 * (close - __klo) / greatest(__khi - __klo, 1e-9D)", "50D")
+    lags = {f"__k{i}": f"coalesce({lag(k, i, keys)}, 50D)" for i in range(1, d_period)}
+    mean = f"(({k}) + {' + '.join(lags)}) / {d_period}"
     return Indicator(
-        {"stoch_k": k, "stoch_d": F.when(_bars(k_period), mean).otherwise(50.0), "stoch_k_prev": C("__k1")},
-        [{"__klo": F.min("low").over(f), "__khi": F.max("high").over(f)}, lags],
+        {"stoch_k": k, "stoch_d": _when(_bars(k_period), mean, "50D"), "stoch_k_prev": "__k1"},
+        [{"__klo": rows("min(low)", k_period, keys), "__khi": rows("max(high)", k_period, keys)}, lags],
     )
 
 
 def obv_state(lookback: int = 6, keys: Sequence[str] = KEYS) -> Indicator:
     """Is OBV, and is the close, above its value ``lookback`` bars ago?"""
-    w, enough = ordered(keys), _bars(lookback + 2)
-    layers = [*_obv_layers(keys), {"__obv6": F.lag("__obv", lookback).over(w), "__close6": F.lag("close", lookback).over(w)}]
+    layers = [*_obv_layers(keys), {"__obvback": lag("__obv", lookback, keys), "__closeback": lag("close", lookback, keys)}]
+    enough = _bars(lookback + 2)
     return Indicator({
-        "obv_rising": F.coalesce(enough & (C("__obv") > C("__obv6")), F.lit(False)),
-        "price_rising": F.coalesce(enough & (C("close") > C("__close6")), F.lit(False)),
+        "obv_rising": f"coalesce({enough} AND __obv > __obvback, false)",
+        "price_rising": f"coalesce({enough} AND close > __closeback, false)",
     }, layers)
 
 
 def volume_sma(period: int = 20, spike: float = 1.2, keys: Sequence[str] = KEYS) -> Indicator:
     """Mean volume of the last ``period`` bars (fewer at the start) and the spike flag."""
-    mean = C("__vsma")
     return Indicator(
-        {"vol_sma": mean, "vol_spike": (mean > 0) & (C("volume") > mean * spike)},
-        [{"__vsma": F.avg("volume").over(_last(period, keys))}],
+        {"vol_sma": "__vsma", "vol_spike": f"__vsma > 0 AND volume > __vsma * {d(spike)}"},
+        [{"__vsma": rows("avg(volume)", period, keys)}],
     )
 
 
 def return_correlation(reference: str, window: int = 20, minimum: int = 5, name: str = "ref_corr", keys: Sequence[str] = KEYS) -> Indicator:
     """Correlation of one-bar returns with an aligned reference close, clipped; 0 without variance."""
-    f = _last(window, keys)
-    own = (C("close") - C("__pc")) / F.greatest(C("__pc"), F.lit(1e-9))
-    ref = (C(reference) - C("__pref")) / F.greatest(C("__pref"), F.lit(1e-9))
-    a, b = F.when(ref.isNotNull(), own), F.when(own.isNotNull(), ref)
-    layers = [
-        {**_previous_close(keys), "__pref": F.lag(reference).over(ordered(keys))},
-        {
-            "__cn": F.count(a).over(f), "__ccorr": F.corr(a, b).over(f),
-            "__cvar": (F.max(a).over(f) > F.min(a).over(f)) & (F.max(b).over(f) > F.min(b).over(f)),
-        },
-    ]
-    value = F.when(C("__cvar") & (C("__cn") >= minimum), clip(F.nanvl(C("__ccorr"), F.lit(0.0)), -1.0, 1.0))
-    return Indicator({name: F.coalesce(value, F.lit(0.0))}, layers)
+    own = "((close - __pc) / greatest(__pc, 1e-9D))"
+    ref = f"(({reference} - __pref) / greatest(__pref, 1e-9D))"
+    a, b = f"CASE WHEN __pref IS NOT NULL AND __pc IS NOT NULL THEN {own} END", f"CASE WHEN __pref IS NOT NULL AND __pc IS NOT NULL THEN {ref} END"
+    layers = [{**_previous_close(keys), "__pref": lag(reference, 1, keys)}, {
+        "__cn": rows(f"count({a})", window, keys), "__ccorr": rows(f"corr({a}, {b})", window, keys),
+        "__cvar": " AND ".join(f"{rows(f'max({x})', window, keys)} > {rows(f'min({x})', window, keys)}" for x in (a, b)),
+    }]
+    value = f"CASE WHEN __cvar AND __cn >= {minimum} THEN {clip('nanvl(__ccorr, 0D)', -1, 1)} END"
+    return Indicator({name: f"coalesce({value}, 0D)"}, layers)
 
 
 def velocity(bars: int = 12, scale: float = 0.005, name: str = "velocity", keys: Sequence[str] = KEYS) -> Indicator:
     """Mean change per bar over the last ``bars`` bars, scaled and clipped to [-1, 1]."""
-    before = C(f"__c{bars}")
-    value = clip((C("close") - before) / F.greatest(before, F.lit(1e-9)) / bars / scale, -1.0, 1.0)
-    return Indicator({name: F.coalesce(value, F.lit(0.0))}, [{f"__c{bars}": F.lag("close", bars).over(ordered(keys))}])
+    back = f"__c{bars}"
+    value = clip(f"(close - {back}) / greatest({back}, 1e-9D) / {bars} / {d(scale)}", -1, 1)
+    return Indicator({name: f"coalesce({value}, 0D)"}, [{back: lag("close", bars, keys)}])
 
 
 def volume_zscore(window: int = 60, name: str = "volume_z", keys: Sequence[str] = KEYS) -> Indicator:
     """Volume against the mean of the last ``window`` bars in units of three deviations, clipped."""
-    f = _last(window, keys)
-    layer = {f"__zm{window}": F.avg("volume").over(f), f"__zs{window}": F.stddev_pop("volume").over(f)}
-    z = (C("volume") - C(f"__zm{window}")) / F.greatest(C(f"__zs{window}"), F.lit(1e-9))
-    return Indicator({name: clip(z / 3.0, -1.0, 1.0)}, [layer])
+    m, s = f"__zm{window}", f"__zs{window}"
+    layer = {m: rows("avg(volume)", window, keys), s: rows("stddev_pop(volume)", window, keys)}
+    return Indicator({name: clip(f"(volume - {m}) / greatest({s}, 1e-9D) / 3", -1, 1)}, [layer])
 
 
 def high_low(bars: int = 24, keys: Sequence[str] = KEYS) -> Indicator:
-    f = _last(bars, keys)
-    return Indicator({"high_24h": C("__hi24"), "low_24h": C("__lo24")}, [{"__hi24": F.max("high").over(f), "__lo24": F.min("low").over(f)}])
+    """Highest high and lowest low of the last ``bars`` bars."""
+    return Indicator({"high_24h": "__hi24", "low_24h": "__lo24"}, [{"__hi24": rows("max(high)", bars, keys), "__lo24": rows("min(low)", bars, keys)}])

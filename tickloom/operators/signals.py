@@ -32,7 +32,7 @@ def ta_signals(bars: DataFrame, lookback: int = 100, min_bars: int = 30, min_str
     buy, sell = S.ta_scores()
     df = ta_indicators(bars, lookback).where((C("idx") + 1 >= min_bars) & (C("close") > 0))
     df = df.withColumns({"__buy": buy, "__sell": sell})
-    b, s = S.ta_boosted(C("__buy"), C("__sell"))
+    b, s = S.ta_boosted("__buy", "__sell")
     df = df.withColumns({"buy_score": b, "sell_score": s})
     df = df.withColumns({
         "side": F.when(C("buy_score") >= C("sell_score"), "BUY").otherwise("SELL"),
@@ -57,7 +57,7 @@ def tech_scored(bars: DataFrame, lookback: int = 80, min_bars: int = 35, min_pri
     df = tech_indicators(bars, lookback).where((C("idx") + 1 >= min_bars) & (C("close") >= min_price))
     return df.withColumns({
         "buy_score": buy, "sell_score": sell, "buy_reasons": buy_why, "sell_reasons": sell_why,
-        "atr_stop": ind.atr_stop("close"),
+        "atr_stop": F.expr(ind.atr_stop("close")),
     })
 
 

@@ -16,13 +16,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from tickloom.operators.blocks import ordered, prefix
-
-Layer = dict[str, Column]
-Layers = list[Layer]
+from tickloom.operators.layers import Layer, d, lag, rows, since_start
 
 
 def ema_rate(period: int) -> float:
@@ -35,60 +29,56 @@ def wilder_rate(period: int) -> float:
 
 @dataclass
 class Smoothed:
-    """Columns of one smoothing: ``early`` feeds ``late``; ``value`` is null below ``period``."""
+    """SQL of one smoothing: ``early`` feeds ``late``; ``value`` is null below ``period``."""
 
     early: Layer
     late: Layer
-    running: Column
-    correction: Column
-    value: Column
+    running: str
+    correction: str
+    value: str
 
 
 def smoothed(
-    tag: str, x: Column, period: int, gain: float, lookback: int,
+    tag: str, x: str, period: int, gain: float, lookback: int,
     first_idx: int = 0, keys: Sequence[str] = ("product_id",),
 ) -> Smoothed:
     """Smooth ``x`` (named ``tag``) over slices of ``lookback`` of its values.
 
     ``first_idx`` is the series position of the first value: 1 for series of differences.
     """
-    w = ordered(keys)
-    decay = F.lit(1.0 - gain)
+    decay = d(1.0 - gain)
     base = f"__{tag}_{period}_{round(1 / gain * 2)}"
-    seen = F.col("idx") - first_idx + 1
-    running = F.lit(gain) * F.pow(decay, F.col("pos")) * F.col(base + "_s")
-    gap = F.col(base + "_m") - running
-    correction = F.when(seen >= lookback, F.col(f"{base}_l{lookback}")).otherwise(F.col(base + "_f"))
-    steps = F.least(seen, F.lit(lookback)) - period
+    seen = f"(idx - {first_idx} + 1)"
+    running = f"({d(gain)} * pow({decay}, pos) * {base}_s)"
+    gap = f"({base}_m - {running})"
+    correction = f"CASE WHEN {seen} >= {lookback} THEN {base}_l{lookback} ELSE {base}_f END"
     return Smoothed(
         early={
-            base + "_s": F.sum(x * F.pow(decay, -F.col("pos"))).over(prefix(keys)),
-            base + "_m": F.avg(x).over(w.rowsBetween(-(period - 1), 0)),
+            f"{base}_s": since_start(f"sum({x} * pow({decay}, -pos))", keys),
+            f"{base}_m": rows(f"avg({x})", period, keys),
         },
         late={
-            f"{base}_l{lookback}": F.lag(gap, lookback - period).over(w),
-            base + "_f": F.first(F.when(seen == period, gap), ignorenulls=True).over(prefix(keys)),
+            f"{base}_l{lookback}": lag(gap, lookback - period, keys),
+            f"{base}_f": since_start(f"first(CASE WHEN {seen} = {period} THEN {gap} END, true)", keys),
         },
         running=running,
-        correction=correction,
-        value=F.when(seen >= period, running + F.pow(decay, steps) * correction),
+        correction=f"({correction})",
+        value=f"CASE WHEN {seen} >= {period} THEN {running} + pow({decay}, least({seen}, {lookback}) - {period}) * ({correction}) END",
     )
 
 
-def last_positive(x: Column, keys: Sequence[str]) -> Column:
+def last_positive(x: str, keys: Sequence[str]) -> str:
     """Position of the latest row with ``x > 0`` (tells an exact zero from rounding noise)."""
-    return F.last(F.when(x > 0, F.col("idx")), ignorenulls=True).over(prefix(keys))
+    return since_start(f"last(CASE WHEN {x} > 0 THEN idx END, true)", keys)
 
 
 def geometric_response(decay: float, offset: int, count: int, period: int, gain: float) -> list[float]:
     """Seeded smoothing of ``decay**(offset+0), decay**(offset+1), ...`` after 1..count values."""
     out: list[float] = []
-    seed: list[float] = []
     for j in range(count):
         v = decay ** (offset + j)
-        if len(seed) < period:
-            seed.append(v)
-            out.append(sum(seed) / len(seed))
+        if j < period:
+            out.append((out[-1] * j if out else 0.0) / (j + 1) + v / (j + 1))
         else:
             out.append(out[-1] * (1 - gain) + v * gain)
     return out
@@ -96,13 +86,13 @@ def geometric_response(decay: float, offset: int, count: int, period: int, gain:
 
 @dataclass
 class Macd:
-    layers: Layers
-    line: Column
-    signal: Column
+    layers: list[Layer]
+    line: str
+    signal: str
 
 
 def macd_parts(
-    price: Column, lookback: int, fast: int = 5, slow: int = 13, signal: int = 3,
+    price: str, lookback: int, fast: int = 5, slow: int = 13, signal: int = 3,
     keys: Sequence[str] = ("product_id",),
 ) -> Macd:
     """MACD line and signal of a ``lookback``-bar slice; zeros below slow+signal bars.
@@ -115,18 +105,19 @@ def macd_parts(
     f = smoothed("close", price, fast, kf, lookback, keys=keys)
     s = smoothed("close", price, slow, ks, lookback, keys=keys)
     # The line exists from bar ``slow`` on, so its own look-back is shorter by slow - 1.
-    g = smoothed("macd", f.running - s.running, signal, kg, lookback - slow + 1, first_idx=slow - 1, keys=keys)
-    seen = F.col("idx") + 1
-    size = F.least(seen, F.lit(lookback))
+    g = smoothed("macd", f"({f.running} - {s.running})", signal, kg, lookback - slow + 1, first_idx=slow - 1, keys=keys)
     count = lookback - slow + 1
-    resp_f = F.array(*[F.lit(v) for v in geometric_response(1 - kf, slow - fast, count, signal, kg)])
-    resp_s = F.array(*[F.lit(v) for v in geometric_response(1 - ks, 0, count, signal, kg)])
-    at = (size - slow + 1).cast("int")
-    enough = seen >= slow + signal
+
+    def response(decay: float, offset: int) -> str:
+        values = geometric_response(decay, offset, count, signal, kg)
+        return f"element_at(array({', '.join(d(v) for v in values)}), CAST(least(idx + 1, {lookback}) - {slow - 1} AS INT))"
+
+    enough = f"idx + 1 >= {slow + signal}"
     return Macd(
         layers=[{**f.early, **s.early}, {**f.late, **s.late, **g.early}, g.late],
-        line=F.when(enough, f.value - s.value).otherwise(0.0),
-        signal=F.when(
-            enough, g.value + F.element_at(resp_f, at) * f.correction - F.element_at(resp_s, at) * s.correction,
-        ).otherwise(0.0),
+        line=f"CASE WHEN {enough} THEN ({f.value}) - ({s.value}) ELSE 0D END",
+        signal=(
+            f"CASE WHEN {enough} THEN ({g.value}) + {response(1 - kf, slow - fast)} * {f.correction} "
+            f"- {response(1 - ks, 0)} * {s.correction} ELSE 0D END"
+        ),
     )

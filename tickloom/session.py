@@ -30,6 +30,8 @@ def local_session(cores: int = 8, memory: str = "8g", app: str = "tickloom", **c
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cores))
+        # Recording a call site per column expression dominates the time to build large plans.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in {**RUNTIME_CONF, **conf}.items():
         builder = builder.config(key, value)
