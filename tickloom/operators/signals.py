@@ -13,6 +13,7 @@ from tickloom.functions import scoring as S
 from tickloom.operators import indicators as ind
 from tickloom.operators.blocks import blocked, core_rows, running
 from tickloom.operators.nested import nested_indicators
+from tickloom.session import materialize
 
 C = F.col
 DAY = 86_400
@@ -73,7 +74,7 @@ def decide(scored: DataFrame, order: Sequence[str], buckets: Sequence[str], keys
         "__set": F.when(b & ~s, 1).when(s & ~b, 0),
         "__flip": F.when(b & s, 1).otherwise(0),
     })
-    df = running(df, keys, buckets, order, {"__flips": ("sum", C("__flip"))})
+    df = materialize(running(materialize(df), keys, buckets, order, {"__flips": ("sum", C("__flip"))}))
     df = running(df, keys, buckets, order, {
         "__state": ("last", F.when(C("__set").isNotNull(), F.struct(C("__set").alias("v"), C("__flips").alias("f")))),
         "__before": ("last", C("__flips")),
@@ -100,8 +101,10 @@ def suppress_repeats(signals: DataFrame, ts: str, seq: str, cooldown: int = 300,
     df = signals.withColumns({"__s": second, "__b": F.floor(second / DAY)})
     order = ["__s", seq]
     df = running(df, keys, ["__b"], order, {"__prev": ("last", F.struct(C("__s").alias("s"), C("side").alias("side")))}, inclusive=False)
+    df = materialize(df)
     starts = C("__prev").isNull() | (C("__prev.side") != C("side")) | (C("__s") - C("__prev.s") >= cooldown)
     df = running(df, keys, ["__b"], order, {"__run": ("last", F.when(starts, F.struct(C("__s").alias("s"), C(seq).alias("q"))))})
+    df = materialize(df)
     first_in_second = df.groupBy(*keys, "__run", "__s").agg(F.min(seq).alias(seq))
 
     def walk(table: pa.Table) -> pa.Table:

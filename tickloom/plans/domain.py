@@ -25,7 +25,7 @@ def ticks(spark: SparkSession, sf_dir: str, key: str = "event_type") -> DataFram
     )
 
 
-def bars(spark: SparkSession, sf_dir: str, granularity: str = "ONE_HOUR", key: str = "event_type") -> DataFrame:
+def bars(spark: SparkSession, sf_dir: str, granularity: str | int = "ONE_HOUR", key: str = "event_type") -> DataFrame:
     return time_bars(ticks(spark, sf_dir, key), granularity)
 
 
@@ -92,3 +92,16 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_retailprice").alias("price"),
         F.coalesce("volume_24h", F.lit(0.0)).alias("volume_24h"),
     )
+
+
+def funding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Funding events every eight hours: a hundredth of the bar's return."""
+    from tickloom.operators.blocks import blocked, core_rows
+    from tickloom.operators.layers import Indicator, lag, with_indicators
+
+    previous = Indicator({"before": "__pc"}, [{"__pc": lag("close", 1, ("product_id",))}])
+    df = core_rows(with_indicators(blocked(bars(spark, sf_dir, 28_800), 1), [previous]))
+    return df.where("before IS NOT NULL").select(
+        "product_id", (F.unix_seconds("start") * 1000).alias("funding_time_ms"),
+        ((F.col("close") - F.col("before")) / F.col("before") / 100).alias("rate"),
+    )

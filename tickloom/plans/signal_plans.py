@@ -220,7 +220,8 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = adjusted_scores(spark, sf_dir).withColumn("__month", F.floor(F.unix_seconds("start") / (86400 * 30)))
+    scored = adjusted_scores(spark, sf_dir).select(
+        "product_id", "start", "adj_buy", "adj_sell", F.floor(F.unix_seconds("start") / (86400 * 30)).alias("__month"))
     return sig.decide(scored, ["start"], ["__month"], threshold=0.3).drop("__month")
 
 

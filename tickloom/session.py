@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that may be changed on a running session.
 RUNTIME_CONF = {
@@ -40,14 +42,20 @@ def local_session(cores: int = 8, memory: str = "8g", app: str = "tickloom", **c
     return spark
 
 
-def shared_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a frame that several later steps read.
 
-    ``fallback`` is used only where the setting is absent (local tests).
+    Written as a reliable checkpoint to the shared folder the cluster names; a local session
+    without one gets its own folder, a cluster without one recomputes.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if fallback is None:
-        raise ValueError("spark.checkpoint.dir is not set and no fallback folder was given")
-    return fallback
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured:
+            context.setCheckpointDir(configured)
+        elif context.master.startswith("local"):
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        else:
+            return df
+    return df.checkpoint(eager=True)

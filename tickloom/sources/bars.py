@@ -16,13 +16,15 @@ GRANULARITY_SECONDS = {
 }
 
 
-def time_bars(ticks: DataFrame, granularity: str = "ONE_HOUR", keys: Sequence[str] = ("product_id",)) -> DataFrame:
-    """Ticks to OHLCV bars; works on batch and (with a watermark) on streaming input.
+def time_bars(ticks: DataFrame, granularity: str | int = "ONE_HOUR", keys: Sequence[str] = ("product_id",)) -> DataFrame:
+    """Ticks to OHLCV bars of a named granularity or a number of seconds.
+
+    Works on batch and (with a watermark) on streaming input.
 
     One shuffle; open and close are picked by ``(ts, seq)`` so map-side combine reduces each
     partition to one row per key and bar before anything moves.
     """
-    seconds = GRANULARITY_SECONDS[granularity]
+    seconds = granularity if isinstance(granularity, int) else GRANULARITY_SECONDS[granularity]
     when = F.struct("ts", "seq")
     return (
         ticks.groupBy(*keys, F.window("ts", f"{seconds} seconds").alias("__w"))
