@@ -235,7 +235,7 @@ def kelly_fraction(confidence: Column, cap: float = 0.25) -> Column:
     return clip(2 * confidence - 1, 0.0, cap)
 
 
-def kelly_size(prob: Column, price: Column, bankroll: Column, exposure: Column, fraction: float = 0.25, max_position: float = 500.0, max_exposure: float = 5000.0, min_edge: float = 0.08) -> Column:
+def kelly_size(prob: Column, price: Column, bankroll: Column, exposure: Column, fraction: float = 0.25, max_position: float = 500.0, max_exposure: float = 5000.0, min_edge: float = 0.08, digits: int = 2) -> Column:
     """Fractional Kelly size against a market price, with the reason where nothing is bought."""
     edge = prob - price
     full = F.try_divide(edge, 1 - price)
@@ -249,24 +249,24 @@ def kelly_size(prob: Column, price: Column, bankroll: Column, exposure: Column,
         .when(negative, "negative Kelly").when(size < 1.0, "below $1 after caps")
     )
     return F.struct(
-        F.when(rejected | negative, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), size), 2)).alias("recommended_usd"),
-        F.when(rejected, 0.0).otherwise(F.round(full, 4)).alias("full_kelly"),
-        F.when(rejected | negative, 0.0).otherwise(F.round(full * fraction, 4)).alias("frac_kelly"),
-        F.round(edge, 4).alias("edge"),
+        F.when(rejected | negative, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), size), digits)).alias("recommended_usd"),
+        F.when(rejected, 0.0).otherwise(F.round(full, digits + 2)).alias("full_kelly"),
+        F.when(rejected | negative, 0.0).otherwise(F.round(full * fraction, digits + 2)).alias("frac_kelly"),
+        F.round(edge, digits + 2).alias("edge"),
         reason.alias("skip_reason"),
     )
 
 
-def arb_size(yes: Column, no: Column, bankroll: Column, exposure: Column, max_position: float = 500.0, max_exposure: float = 5000.0) -> Column:
+def arb_size(yes: Column, no: Column, bankroll: Column, exposure: Column, max_position: float = 500.0, max_exposure: float = 5000.0, digits: int = 2) -> Column:
     """Two-leg size, legs, return and locked profit when both sides cost less than 1."""
     total = yes + no
     size = F.least(F.lit(max_position * 2), bankroll * 0.10, F.greatest(F.lit(0.0), max_exposure - exposure))
     return F.struct(
-        F.round(size, 2).alias("recommended_usd"),
-        F.round(F.try_divide(size * yes, total), 2).alias("yes_leg"),
-        F.round(F.try_divide(size * no, total), 2).alias("no_leg"),
-        F.round(F.coalesce(F.try_divide(1 - total, total) * 100, F.lit(0.0)), 2).alias("roi_pct"),
-        F.round((1 - total) * size, 2).alias("locked_profit"),
+        F.round(size, digits).alias("recommended_usd"),
+        F.round(F.try_divide(size * yes, total), digits).alias("yes_leg"),
+        F.round(F.try_divide(size * no, total), digits).alias("no_leg"),
+        F.round(F.coalesce(F.try_divide(1 - total, total) * 100, F.lit(0.0)), digits).alias("roi_pct"),
+        F.round((1 - total) * size, digits).alias("locked_profit"),
     )
 
 

@@ -27,21 +27,19 @@ def _ts(text: str) -> Column:
     return F.to_timestamp(F.lit(text))
 
 
-# Means and ratios are shown with three more digits than sums of four-digit amounts, so that no
-# value sits exactly between two roundings.
+# Means and ratios of decimal amounts can sit exactly between two decimal roundings, where the
+# last bit decides; they are reported in single precision instead.
 _MEANS = {"avg_pct_pnl", "avg_win", "avg_loss", "win_rate", "expectancy", "return_pct", "expectancy_pct", "avg_price", "share_pct", "pnl_pct", "pct_pnl"}
 
 
-def _digits(name: str, digits: int) -> int:
-    return digits + 3 if name in _MEANS else digits
-
-
 def _round(df: DataFrame, keep: list[str], *numbers: str, digits: int = 4) -> DataFrame:
-    return df.select(*keep, *[rounded(C(c), _digits(c, digits)).alias(c) for c in numbers])
+    return df.select(*keep, *[
+        (C(c).cast("float").cast("double") if c in _MEANS else rounded(C(c), digits)).alias(c) for c in numbers])
 
 
 def _r(*names: str, digits: int = 4, **exprs: str) -> str:
-    return ", ".join(f"{q.r(e, _digits(n, digits))} AS {n}" for n, e in {**{n: n for n in names}, **exprs}.items())
+    return ", ".join(
+        (f"({e})::FLOAT::DOUBLE" if n in _MEANS else q.r(e, digits)) + f" AS {n}" for n, e in {**{n: n for n in names}, **exprs}.items())
 
 
 # -- performance ---------------------------------------------------------------------------
@@ -57,23 +55,23 @@ def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.monthly_performance(domain.ledger(spark, sf_dir), ORDER)
 
 
-@query("agg1_monthly_performance", f"{_MONTH} SELECT month, trades, wins, losses, {_r(*_MONEY} FROM mo")
+@query("agg1_monthly_performance", f"{_MONTH} SELECT month, trades, wins, losses, {_r(*_MONEY)} FROM mo")
 def monthly_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(monthly(spark, sf_dir), ["month", "trades", "wins", "losses"], *_MONEY
+    return _round(monthly(spark, sf_dir), ["month", "trades", "wins", "losses"], *_MONEY)
 
 
-@query("ind30_agg1_monthly_by_agent", f"WITH {q.LEDGER} SELECT agent, strftime(closed_at, '%Y-%m') AS month, count(*) AS trades, {_r(open_balance=f'arg_min(balance_after, {_ORD})', close_balance=f'arg_max(balance_after, {_ORD})'} FROM ledger GROUP BY 1, 2")
+@query("ind30_agg1_monthly_by_agent", f"WITH {q.LEDGER} SELECT agent, strftime(closed_at, '%Y-%m') AS month, count(*) AS trades, {_r(open_balance=f'arg_min(balance_after, {_ORD})', close_balance=f'arg_max(balance_after, {_ORD})')} FROM ledger GROUP BY 1, 2")
 def monthly_by_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = reports.monthly_performance(domain.ledger(spark, sf_dir), ORDER, by_agent=True)
-    return _round(df, ["agent", "month", "trades"], "open_balance", "close_balance"
+    return _round(df, ["agent", "month", "trades"], "open_balance", "close_balance")
 
 
 _RATE = "(wins::DOUBLE / (wins + losses))"
 
 
-@query("agg2_monthly_ratios", f"{_MONTH} SELECT month, {_r(win_rate=f'{_RATE} * 100', expectancy=f'{_RATE} * coalesce(avg_win, 0) + (1 - {_RATE}) * coalesce(avg_loss, 0)', return_pct='CASE WHEN open_balance > 0 THEN total_pnl / open_balance * 100 ELSE 0 END'} FROM mo")
+@query("agg2_monthly_ratios", f"{_MONTH} SELECT month, {_r(win_rate=f'{_RATE} * 100', expectancy=f'{_RATE} * coalesce(avg_win, 0) + (1 - {_RATE}) * coalesce(avg_loss, 0)', return_pct='CASE WHEN open_balance > 0 THEN total_pnl / open_balance * 100 ELSE 0 END')} FROM mo")
 def monthly_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(reports.monthly_ratios(monthly(spark, sf_dir)), ["month"], "win_rate", "expectancy", "return_pct"
+    return _round(reports.monthly_ratios(monthly(spark, sf_dir)), ["month"], "win_rate", "expectancy", "return_pct")
 
 
 _AS_OF = "2001-06-01 00:00:00"
@@ -81,23 +79,23 @@ _TRAIL = f"""WITH {q.LEDGER}, t30 AS (SELECT count(*) AS trades, sum((pnl > 0)::
  FROM ledger WHERE closed_at >= TIMESTAMP '{_AS_OF}' - INTERVAL 30 DAY AND closed_at <= TIMESTAMP '{_AS_OF}')"""
 
 
-@query("agg3_trailing_30_days", f"{_TRAIL} SELECT trades, wins, {_r('total_pnl', 'first_balance', 'last_balance', return_pct='CASE WHEN first_balance > 0 THEN total_pnl / first_balance * 100 ELSE 0 END', win_rate='wins * 100.0 / trades'} FROM t30")
+@query("agg3_trailing_30_days", f"{_TRAIL} SELECT trades, wins, {_r('total_pnl', 'first_balance', 'last_balance', return_pct='CASE WHEN first_balance > 0 THEN total_pnl / first_balance * 100 ELSE 0 END', win_rate='wins * 100.0 / trades')} FROM t30")
 def trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = reports.trailing_performance(domain.ledger(spark, sf_dir), _ts(_AS_OF), ORDER)
-    return _round(df, ["trades", "wins"], "total_pnl", "first_balance", "last_balance", "return_pct", "win_rate"
+    return _round(df, ["trades", "wins"], "total_pnl", "first_balance", "last_balance", "return_pct", "win_rate")
 
 
 @query("agg3_trailing_by_day", f"WITH {q.TRADES}, dl AS (SELECT agent, closed_at::DATE AS day, count(*) AS n, sum((pnl > 0)::INT) AS w, sum(pnl) AS p FROM trades GROUP BY 1, 2) "
-       f"SELECT agent, strftime(day, '%Y-%m-%d') AS day, (sum(n) OVER v)::BIGINT AS trades, (sum(w) OVER v)::BIGINT AS wins, {_r(total_pnl='sum(p) OVER v'} FROM dl WINDOW v AS (PARTITION BY agent ORDER BY day RANGE BETWEEN INTERVAL 29 DAY PRECEDING AND CURRENT ROW)")
+       f"SELECT agent, strftime(day, '%Y-%m-%d') AS day, (sum(n) OVER v)::BIGINT AS trades, (sum(w) OVER v)::BIGINT AS wins, {_r(total_pnl='sum(p) OVER v')} FROM dl WINDOW v AS (PARTITION BY agent ORDER BY day RANGE BETWEEN INTERVAL 29 DAY PRECEDING AND CURRENT ROW)")
 def trailing_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = reports.daily_trailing(domain.trades(spark, sf_dir)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
-    return _round(df, ["agent", "day", "trades", "wins"], "total_pnl"
+    return _round(df, ["agent", "day", "trades", "wins"], "total_pnl")
 
 
-@query("agg4_overall", f"WITH {q.LEDGER} SELECT count(*) AS trades, sum((pnl > 0)::INT)::BIGINT AS wins, {_r(total_pnl='sum(pnl)', low_balance='min(balance_after)', peak_balance='max(balance_after)', first_balance=f'arg_min(balance_after, {_ORD})', current_balance=f'arg_max(balance_after, {_ORD})'} FROM ledger")
+@query("agg4_overall", f"WITH {q.LEDGER} SELECT count(*) AS trades, sum((pnl > 0)::INT)::BIGINT AS wins, {_r(total_pnl='sum(pnl)', low_balance='min(balance_after)', peak_balance='max(balance_after)', first_balance=f'arg_min(balance_after, {_ORD})', current_balance=f'arg_max(balance_after, {_ORD})')} FROM ledger")
 def overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = reports.overall_performance(domain.ledger(spark, sf_dir), ORDER)
-    return _round(df, ["trades", "wins"], "total_pnl", "low_balance", "peak_balance", "first_balance", "current_balance"
+    return _round(df, ["trades", "wins"], "total_pnl", "low_balance", "peak_balance", "first_balance", "current_balance")
 
 
 # Balance and monthly rate per customer: the account balance, and its last two digits as percent.
@@ -155,9 +153,9 @@ def drop_corrupt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(ledger.not_corrupt(positions(spark, sf_dir).withColumn("avg_price", damaged)), ["product_id"], "size")
 
 
-@query("agg7_exit_statistics", f"WITH {q.TRADES} SELECT trigger_close, sum((pnl > 0)::INT)::BIGINT AS wins, sum((pnl <= 0)::INT)::BIGINT AS losses, {_r(total_pnl='sum(pnl)'}, round(sum((pnl > 0)::INT) * 100.0::DOUBLE / count(*), 1) AS win_rate FROM trades GROUP BY 1")
+@query("agg7_exit_statistics", f"WITH {q.TRADES} SELECT trigger_close, sum((pnl > 0)::INT)::BIGINT AS wins, sum((pnl <= 0)::INT)::BIGINT AS losses, {_r(total_pnl='sum(pnl)')}, round(sum((pnl > 0)::INT) * 100.0::DOUBLE / count(*), 1) AS win_rate FROM trades GROUP BY 1")
 def exit_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(reports.exit_statistics(domain.trades(spark, sf_dir)), ["trigger_close", "wins", "losses", "win_rate"], "total_pnl"
+    return _round(reports.exit_statistics(domain.trades(spark, sf_dir)), ["trigger_close", "wins", "losses", "win_rate"], "total_pnl")
 
 
 _UP, _DN = "avg(CASE WHEN pnl > 0 THEN pct_pnl END)", "avg(CASE WHEN pnl < 0 THEN abs(pct_pnl) END)"

@@ -42,20 +42,25 @@ def local_session(cores: int = 8, memory: str = "8g", app: str = "tickloom", **c
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str | None:
+    """Folder all executors reach: the one the cluster names, or a fresh one on a local session."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured
+    if spark.sparkContext.master.startswith("local"):
+        return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return None
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of a frame that several later steps read.
 
-    Written as a reliable checkpoint to the shared folder the cluster names; a local session
-    without one gets its own folder, a cluster without one recomputes.
+    Written as a reliable checkpoint to the shared folder; a cluster that names none recomputes.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured:
-            context.setCheckpointDir(configured)
-        elif context.master.startswith("local"):
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        else:
+        folder = shared_dir(df.sparkSession)
+        if folder is None:
             return df
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
