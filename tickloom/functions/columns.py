@@ -21,3 +21,8 @@ def safe_div(top: Column, bottom: Column, otherwise: float | None = None) -> Col
 def rounded(value: Column, digits: int = 6) -> Column:
     """Report rounding that never yields a negative zero."""
     return F.when(F.abs(value) < 0.5 * 10.0 ** -digits, 0.0).otherwise(F.round(value, digits))
+
+
+def single(value: Column) -> Column:
+    """Single precision without negative zero."""
+    return F.when(F.abs(value) < 5e-10, 0.0).otherwise(value.cast("float").cast("double"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.session import materialize
+
 C = F.col
 
 
@@ -40,21 +42,19 @@ def asof_join(
     keys = on + constant
     folded = folded_in.groupBy(*keys, bucket(ref_ts).alias("__b")).agg(
         F.array_sort(F.collect_list(pick)).alias("__rows"))
+    # One compact row per bucket; read three times below, so computed once.
+    folded = materialize(folded)
     by_bucket = Window.partitionBy(*keys).orderBy("__b")
+    last = F.element_at("__rows", -1)
     chained = folded.select(
-        *keys, "__b", "__rows",
-        F.lag(F.element_at("__rows", -1)).over(by_bucket).alias("__carry"),
-        F.lead("__b").over(by_bucket).alias("__next"),
-        (F.row_number().over(by_bucket) == 1).alias("__is_first"),
-    )
-    own = chained.select(
-        *keys, "__b",
-        F.when(C("__carry").isNotNull(), F.concat(F.array("__carry"), C("__rows"))).otherwise(C("__rows")).alias("__rows"))
-    idle = chained.where(C("__next") > C("__b") + 1).select(
-        *keys, F.explode(F.sequence(C("__b") + 1, C("__next") - 1)).alias("__b"),
-        F.array(F.element_at("__rows", -1)).alias("__rows"))
-    ends = chained.groupBy(*keys).agg(
-        F.max_by(F.element_at("__rows", -1), C("__b")).alias("__last"),
+        *keys, "__b", "__rows", F.lag(last).over(by_bucket).alias("__carry"), F.lead("__b").over(by_bucket).alias("__next"))
+    own = F.when(C("__carry").isNotNull(), F.concat(F.array("__carry"), C("__rows"))).otherwise(C("__rows"))
+    # Buckets up to the next one with reference rows just hold the last row of this one.
+    until = F.coalesce(C("__next") - 1, C("__b"))
+    table = chained.select(*keys, "__b", own.alias("__own"), F.array(last).alias("__idle"), F.explode(F.sequence("__b", until)).alias("__at")).select(
+        *keys, C("__at").alias("__b"), F.when(C("__at") == C("__b"), C("__own")).otherwise(C("__idle")).alias("__rows"))
+    ends = folded.groupBy(*keys).agg(
+        F.max_by(last, C("__b")).alias("__last"),
         F.max("__b").alias("__last_b"),
         F.min_by(F.element_at("__rows", 1), C("__b")).alias("__first"),
     )
@@ -62,7 +62,7 @@ def asof_join(
         ends = F.broadcast(ends)  # exactly one row
     joined = (
         left.withColumn("__b", bucket(left_ts))
-        .join(own.unionByName(idle), [*keys, "__b"], "left")
+        .join(table, [*keys, "__b"], "left")
         .join(ends, keys, "left")
     )
     at = C(left_ts)

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,29 +91,39 @@ def suppress_repeats(signals: DataFrame, ts: str, seq: str, cooldown: int = 300,
     """Drop a signal that repeats the side of the last emitted one within ``cooldown`` seconds.
 
     A change of side, or a pause of ``cooldown`` after any signal, always emits, so the series
-    falls into independent runs. Inside a run at most one signal per second can be emitted;
-    only those distinct seconds (bounded by the run's length in time, whatever the number of
-    signals) are walked, run by run in parallel.
+    falls into independent runs whose first signal is emitted. After it, at most one signal per
+    second can follow, and none within the cool-down: only the remaining distinct seconds are
+    walked, sorted by run and streamed in Arrow batches with the last emission carried along.
     """
     keys = list(keys)
     second = F.unix_seconds(C(ts))
     df = signals.withColumns({"__s": second, "__b": F.floor(second / DAY)})
     order = ["__s", seq]
     df = running(df, keys, ["__b"], order, {"__prev": ("last", F.struct(C("__s").alias("s"), C("side").alias("side")))}, inclusive=False)
-    df = materialize(df)
     starts = C("__prev").isNull() | (C("__prev.side") != C("side")) | (C("__s") - C("__prev.s") >= cooldown)
-    df = running(df, keys, ["__b"], order, {"__run": ("last", F.when(starts, F.struct(C("__s").alias("s"), C(seq).alias("q"))))})
-    df = materialize(df)
-    first_in_second = df.groupBy(*keys, "__run", "__s").agg(F.min(seq).alias(seq))
-
-    def walk(table: pa.Table) -> pa.Table:
-        table = table.sort_by("__s")
-        t = table.column("__s").to_numpy()
-        chosen, i = [], 0
-        while i < len(t):
-            chosen.append(i)
-            i = int(np.searchsorted(t, t[i] + cooldown))
-        return table.take(pa.array(chosen))
-
-    emitted = first_in_second.groupBy(*keys, "__run").applyInArrow(walk, first_in_second.schema)
-    return df.join(emitted.select(*keys, "__s", seq), [*keys, "__s", seq], "left_semi").drop("__s", "__b", "__prev", "__run")
+    df = materialize(df.withColumn("__starts", starts).drop("__prev"))
+    run_of = F.when(C("__starts"), F.struct(C("__s").alias("s"), C(seq).alias("q")))
+    df = materialize(running(df, keys, ["__b"], order, {"__run": ("last", run_of)}))
+    open_seconds = (
+        df.where(C("__s") - C("__run.s") >= cooldown)
+        .groupBy(*keys, C("__run.s").alias("__from"), C("__run.q").alias("__q"), "__s").agg(F.min(seq).alias(seq))
+    )
+    run_key = [*keys, "__from", "__q"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, last = None, 0
+        for batch in batches:
+            runs = list(zip(*[batch.column(c).to_pylist() for c in run_key]))
+            keep = []
+            for i, (run, t) in enumerate(zip(runs, batch.column("__s").to_pylist())):
+                if run != current:
+                    current, last = run, run[-2]
+                if t - last >= cooldown:
+                    last = t
+                    keep.append(i)
+            yield batch.take(pa.array(keep, type=pa.int64()))
+
+    chained = open_seconds.repartition(*[C(c) for c in run_key]).sortWithinPartitions(*run_key, "__s")
+    later = chained.mapInArrow(walk, chained.schema).select(*keys, "__s", seq)
+    emitted = later.unionByName(df.where("__starts").select(*keys, "__s", seq))
+    return df.join(emitted, [*keys, "__s", seq], "left_semi").drop("__s", "__b", "__starts", "__run")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions import scoring as S
-from tickloom.functions.columns import rounded
+from tickloom.functions.columns import rounded, single
 from tickloom.operators import alignment, features, labels
 from tickloom.plans import domain, sqlparts as q
 from tickloom.plans.indicator_plans import VALUE, base, slope_sql
@@ -209,7 +209,7 @@ _WINDOW_SQL = (
 )
 
 
-_LAST_SQL = ", ".join(f"{q.r(f'({e})')} AS ch{i}" for i, e in _LAST.items())
+_LAST_SQL = ", ".join(f"{q.single(f'({e})')} AS ch{i}" for i, e in _LAST.items())
 
 
 @query("ds1_window_last", f"{_WINDOW_SQL} SELECT product_id, start, label, {q.cols(weight='weight')}, {_LAST_SQL} FROM x3")
@@ -218,7 +218,7 @@ def window_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = dataset(spark, sf_dir, "double")
     return df.select(
         "product_id", _start(), "label", rounded(C("weight")).alias("weight"),
-        *[rounded(F.element_at(C("channels")[i], -1).cast("double")).alias(f"ch{i}") for i in range(features.CHANNELS)],
+        *[single(F.element_at(C("channels")[i], -1)).alias(f"ch{i}") for i in range(features.CHANNELS)],
     )
 
 

@@ -8,6 +8,11 @@ def r(expr: str, digits: int = 6) -> str:
     return f"CASE WHEN abs({expr}) < {0.5 * 10.0 ** -digits:.12f} THEN 0.0::DOUBLE ELSE round(({expr})::DOUBLE, {digits}) END"
 
 
+def single(expr: str) -> str:
+    """Single precision without negative zero, for values that may sit between two roundings."""
+    return f"CASE WHEN abs({expr}) < 5e-10 THEN 0.0::DOUBLE ELSE ({expr})::FLOAT::DOUBLE END"
+
+
 def cols(**exprs: str) -> str:
     return ", ".join(f"{r(e)} AS {n}" for n, e in exprs.items())
 

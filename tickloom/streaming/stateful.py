@@ -144,6 +144,9 @@ class TickTrader(_OneValue):
         return out, (size, avg, peak, stop, buy, sell)
 
 
+_LONGS, _DOUBLES = T.ArrayType(T.LongType()), T.ArrayType(T.DoubleType())
+
+
 class ResolveOutcomes(StatefulProcessor):
     """Resolves pending signals at ``check_after`` with the last close known for that time.
 
@@ -154,8 +157,8 @@ class ResolveOutcomes(StatefulProcessor):
     """
 
     STATE = (
-        T.StructType().add("at", "array<bigint>").add("close", "array<double>")
-        .add("due", "array<bigint>").add("seq", "array<bigint>").add("side", "array<string>").add("entry", "array<double>")
+        T.StructType().add("at", _LONGS).add("close", _DOUBLES)
+        .add("due", _LONGS).add("seq", _LONGS).add("side", T.ArrayType(T.StringType())).add("entry", _DOUBLES)
     )
     OUTPUT = (
         T.StructType().add("product_id", "string").add("seq", "long").add("side", "string").add("exit_price", "double")
