@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators.alignment import asof_join, band_join, latest_n_per_key, latest_per_key, marked_to_market, nearest, with_live_price
+from tickloom.operators.alignment import asof_join, asof_scan, band_join, latest_n_per_key, latest_per_key, marked_to_market, nearest, with_live_price
 
 
 def frame(spark, rows, value="v"):
@@ -36,6 +36,16 @@ def test_asof_seed_strict_and_age(spark, left):
     assert aged[("a", 1000.0)] == 2.0 and aged[("a", 5000.0)] is None
 
 
+@pytest.mark.parametrize("options", [{}, {"strict": True}, {"max_age_seconds": 840}])
+@pytest.mark.parametrize("on", [["k"], []])
+def test_scan_and_join_agree(spark, left, on, options):
+    ref = frame(spark, [("a", 100, 1.0), ("a", 160, 2.0), ("a", 4000, 3.0)], "x").withColumnRenamed("t", "rt")
+    ref = ref if on else ref.drop("k")
+    joined = asof_join(left, ref, on, "t", "rt", ["x"], 500, **options)
+    for width in (30, 100_000):
+        assert matched(asof_scan(left, ref, on, "t", "rt", ["x"], width, **options)) == matched(joined)
+
+
 def test_asof_without_keys_and_with_empty_reference(spark, left):
     ref = frame(spark, [("z", 50, 7.0)], "x").withColumnRenamed("t", "rt").drop("k")
     got = matched(asof_join(left, ref, [], "t", "rt", ["x"], 60))

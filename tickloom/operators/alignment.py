@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.blocks import TICK_BUCKET, running
 from tickloom.session import materialize
 
 C = F.col
@@ -22,7 +23,8 @@ def asof_join(
     last row before it. Left rows then need a plain equi-join on ``(on, bucket)`` and pick from
     that short array, so the large side is neither sorted nor unioned, a hot key is split
     by adaptive skew handling, and a small reference is broadcast on its measured size.
-    ``bucket_seconds`` bounds the array: choose it so a bucket holds few reference rows.
+    Meant for references of a fixed cadence (bars, funding events, macro rows), where
+    ``bucket_seconds`` bounds the array; ``asof_scan`` takes references of any density.
 
     ``seed_first`` gives rows before the first reference row that first row's values;
     ``max_age_seconds`` turns older matches into null.
@@ -81,6 +83,36 @@ def asof_join(
     )
 
 
+def asof_scan(
+    left: DataFrame, ref: DataFrame, on: Sequence[str], left_ts: str, ref_ts: str, values: Sequence[str],
+    bucket_seconds: int = TICK_BUCKET, max_age_seconds: int | None = None, strict: bool = False,
+) -> DataFrame:
+    """``asof_join`` for references as dense as the left side (ticks against ticks).
+
+    Both sides are merged into one ordered series and the last reference value is scanned over
+    short time buckets, so no bucket is ever held as an array.
+    """
+    on = list(on)
+    keys = on or ["__one"]
+    if not on:
+        left, ref = left.withColumn("__one", F.lit(1)), ref.withColumn("__one", F.lit(1))
+    payload = F.struct(C(ref_ts).alias("t"), *[C(v) for v in values])
+    a = left.select(*keys, C(left_ts).alias("__t"), F.lit(1).alias("__side"), F.struct(*[c for c in left.columns if c != "__one"]).alias("__row"))
+    b = ref.select(*keys, C(ref_ts).alias("__t"), F.lit(2 if strict else 0).alias("__side"), payload.alias("__v"))
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("__b", F.floor(F.unix_seconds("__t") / bucket_seconds))
+    scanned = running(both, keys, ["__b"], ["__t", "__side"], {"__m": ("last", C("__v"))}).where(C("__side") == 1)
+    match = C("__m")
+    if max_age_seconds is not None:
+        match = F.when(F.unix_micros("__t") - F.unix_micros("__m.t") <= max_age_seconds * 1_000_000, match)
+    scanned = scanned.withColumn("__m", match)
+    return scanned.select("__row.*", *[C(f"__m.{v}").alias(v) for v in values], C("__m.t").alias(f"{ref_ts}_matched"))
+
+
+def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row aggregate to every row."""
+    return df.withColumn("__one", F.lit(1)).join(F.broadcast(one_row.withColumn("__one", F.lit(1))), "__one").drop("__one")
+
+
 def band_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, right_ts: str, seconds: int,
 ) -> DataFrame:

@@ -19,6 +19,9 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 512
+# Seconds per bucket of tick-level scans: a task sorts one minute of one key, the bucket totals
+# of a key stay a few million rows even over years.
+TICK_BUCKET = 60
 _FIRST = Window.unboundedPreceding
 
 _REDUCE = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.operators.alignment import with_scalar
 from tickloom.operators.blocks import blocked, core_rows
 from tickloom.operators.layers import Indicator, d, with_indicators
 
@@ -116,7 +117,7 @@ def time_split(df: DataFrame, ts: str, share: float = 0.8) -> DataFrame:
     """
     seconds = F.unix_seconds(C(ts))
     cut = df.agg(F.percentile_approx(seconds, share, 100_000).alias("__cut"))
-    return df.join(F.broadcast(cut)).withColumn("split", F.when(seconds <= C("__cut"), "train").otherwise("val")).drop("__cut")
+    return with_scalar(df, cut).withColumn("split", F.when(seconds <= C("__cut"), "train").otherwise("val")).drop("__cut")
 
 
 def class_balance(samples: DataFrame, label: str = "label") -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.operators.blocks import running
+from tickloom.operators.alignment import with_scalar
+from tickloom.operators.blocks import TICK_BUCKET, running
 from tickloom.session import materialize
 
 C = F.col
@@ -62,8 +63,7 @@ def average_cost_book(fills: DataFrame, opening: float = 1000.0) -> DataFrame:
     batch plus the open positions, however long the chain. Sells with nothing bought since the
     previous sell of the product can have no effect and are dropped before the sort.
     """
-    day = F.floor(F.unix_seconds("ts") / DAY)
-    df = fills.withColumn("__b", day)
+    df = fills.withColumn("__b", F.floor(F.unix_seconds("ts") / TICK_BUCKET))
     df = running(df, ["agent", "product_id"], ["__b"], ["ts", "seq"], {"__prev": ("last", C("side"))}, inclusive=False)
     useful = df.where((C("side") == "BUY") | (C("__prev") == "BUY")).drop("__b", "__prev")
     chained = useful.select("agent", "ts", "seq", "product_id", "side", "price", "frac").repartition("agent").sortWithinPartitions("agent", "ts", "seq")
@@ -103,10 +103,10 @@ def pair_trades(events: DataFrame, keys: Sequence[str] = ("agent", "product_id")
     close without an open becomes a closed row with an unknown opening.
     """
     keys = list(keys)
-    order, day = ["ts", "seq"], F.floor(F.unix_seconds("ts") / DAY)
+    order, minute = ["ts", "seq"], F.floor(F.unix_seconds("ts") / TICK_BUCKET)
     step = F.when(C("kind") == "OPEN", 1).otherwise(-1)
-    df = materialize(running(events.withColumn("__day", day), keys, ["__day"], order, {"__sum": ("sum", step)}))
-    df = running(df, keys, ["__day"], order, {"__low": ("min", C("__sum"))}, inclusive=False)
+    df = materialize(running(events.withColumn("__minute", minute), keys, ["__minute"], order, {"__sum": ("sum", step)}))
+    df = running(df, keys, ["__minute"], order, {"__low": ("min", C("__sum"))}, inclusive=False)
     # A close that pushes the running minimum lower meets an empty book.
     low_before = F.least(F.coalesce("__low", F.lit(0)), F.lit(0))
     depth = C("__sum") - F.least(low_before, C("__sum"))
@@ -114,7 +114,7 @@ def pair_trades(events: DataFrame, keys: Sequence[str] = ("agent", "product_id")
     level = F.when(orphan, F.lit(None)).when(C("kind") == "OPEN", depth).otherwise(depth + 1)
     df = materialize(df.withColumn("__level", level))
     # At one depth opens and closes alternate, so the n-th open pairs with the n-th close.
-    df = running(df, [*keys, "__level"], ["__day"], order, {"__n": ("sum", F.when(C("kind") == "OPEN", 1).otherwise(0))})
+    df = running(df, [*keys, "__level"], ["__minute"], order, {"__n": ("sum", F.when(C("kind") == "OPEN", 1).otherwise(0))})
     df = df.withColumn("__pair", F.coalesce(F.concat("__level", F.lit("-"), "__n"), F.concat(F.lit("x-"), C("seq").cast("string"))))
 
     def side(kind: str, column: str) -> Column:
@@ -191,7 +191,7 @@ def acted(signals: DataFrame, orders: DataFrame, key: str = "signal_id") -> Data
 def preflight(requests: DataFrame, positions: DataFrame, balance: Column, cap: float = 5000.0) -> DataFrame:
     """Reject a request over the balance or the exposure cap (exposure is one aggregated row)."""
     exposure = positions.agg(F.coalesce(F.sum("current_value"), F.lit(0.0)).alias("exposure"))
-    df = requests.join(F.broadcast(exposure))
+    df = with_scalar(requests, exposure)
     reason = F.when(balance < C("quote_size"), "insufficient balance").when(C("exposure") + C("quote_size") > cap, "exposure cap")
     return df.withColumn("reject_reason", reason)
 
@@ -206,7 +206,7 @@ def tick_exits(
 
     ``ticks``: episode keys, ``ts, seq, price, avg_price, size`` and optionally ``sell_score``
     and ``atr_stop``. Rules in order: sell score, stop, trailing giveback, take profit. The peak
-    P&L is a running maximum from zero, a prefix scan over the episode's days.
+    P&L is a running maximum from zero, a prefix scan over the episode's minutes.
     """
     episode = list(episode)
     score = C("sell_score") if "sell_score" in ticks.columns else F.lit(None).cast("double")
@@ -214,9 +214,9 @@ def tick_exits(
     df = ticks.withColumns({
         "pnl_usd": (C("price") - C("avg_price")) * C("size"),
         "pct": F.try_divide(C("price") - C("avg_price"), C("avg_price")),
-        "__day": F.floor(F.unix_seconds("ts") / DAY),
+        "__minute": F.floor(F.unix_seconds("ts") / TICK_BUCKET),
     })
-    df = running(df, episode, ["__day"], ["ts", "seq"], {"__peak": ("max", C("pnl_usd"))})
+    df = running(df, episode, ["__minute"], ["ts", "seq"], {"__peak": ("max", C("pnl_usd"))})
     df = df.withColumn("peak_pnl_usd", F.greatest(F.lit(0.0), "__peak"))
     trigger = (
         F.when(score >= sell_threshold, "TICK_SIGNAL").when(C("pct") < -stop, "TICK_STOP")
@@ -237,8 +237,8 @@ def scan_exits(
     from tickloom.operators.indicators import atr_trail
 
     episode = list(episode)
-    df = scans.where(C("price") > 0).withColumn("__day", F.floor(F.unix_seconds("ts") / DAY))
-    df = running(df, episode, ["__day"], ["ts", "seq"], {"__top": ("max", C("price"))})
+    df = scans.where(C("price") > 0).withColumn("__minute", F.floor(F.unix_seconds("ts") / TICK_BUCKET))
+    df = running(df, episode, ["__minute"], ["ts", "seq"], {"__top": ("max", C("price"))})
     df = df.withColumn("peak_price", F.greatest("__top", "avg_price"))
     trail = F.expr(atr_trail("peak_price")) if "atr" in scans.columns else F.lit(min_trail)
     held = F.unix_seconds("ts") - F.unix_seconds("entry_time")
@@ -275,7 +275,7 @@ def drawdown(balances: DataFrame, daily: float = 0.05, weekly: float = 0.10, key
     """Daily and weekly drawdown against the window's first balance; halted until it ends.
 
     The baseline of a window is one ``min_by`` per window; the halt flag is a running maximum of
-    the breaches inside the window, scanned over hour buckets.
+    the breaches inside the window, scanned over minute buckets.
     """
     keys, order = list(keys), list(order)
     df = materialize(balances)
@@ -286,10 +286,10 @@ def drawdown(balances: DataFrame, daily: float = 0.05, weekly: float = 0.10, key
         df = df.join(base, [*keys, slot])
         start = C(f"{name}_start_balance")
         df = materialize(df).withColumn(f"{name}_drawdown", (start - C("balance")) / F.greatest(start, F.lit(1.0)))
-        df = df.withColumn("__hour", F.floor(F.unix_seconds("ts") / 3600))
-        df = running(df, [*keys, slot], ["__hour"], order, {f"{name}_halted": ("max", C(f"{name}_drawdown") >= limit)})
+        df = df.withColumn("__minute", F.floor(F.unix_seconds("ts") / TICK_BUCKET))
+        df = running(df, [*keys, slot], ["__minute"], order, {f"{name}_halted": ("max", C(f"{name}_drawdown") >= limit)})
     halted = C("day_halted") | C("week_halted")
-    return df.withColumn("halted", halted).drop("__hour", "day_slot", "week_slot")
+    return df.withColumn("halted", halted).drop("__minute", "day_slot", "week_slot")
 
 
 def window_elapsed(ts: Column, seconds: int) -> Column:

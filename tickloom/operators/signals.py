@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import scoring as S
 from tickloom.operators import indicators as ind
-from tickloom.operators.blocks import blocked, core_rows, running
+from tickloom.operators.blocks import TICK_BUCKET, blocked, core_rows, running
 from tickloom.operators.nested import nested_indicators
 from tickloom.session import materialize
 
 C = F.col
-DAY = 86_400
-
 
 def ta_indicators(bars: DataFrame, lookback: int = 100) -> DataFrame:
     """All inputs of the technical score, one exchange for the lot."""
@@ -97,7 +95,7 @@ def suppress_repeats(signals: DataFrame, ts: str, seq: str, cooldown: int = 300,
     """
     keys = list(keys)
     second = F.unix_seconds(C(ts))
-    df = signals.withColumns({"__s": second, "__b": F.floor(second / DAY)})
+    df = signals.withColumns({"__s": second, "__b": F.floor(second / TICK_BUCKET)})
     order = ["__s", seq]
     df = running(df, keys, ["__b"], order, {"__prev": ("last", F.struct(C("__s").alias("s"), C("side").alias("side")))}, inclusive=False)
     starts = C("__prev").isNull() | (C("__prev.side") != C("side")) | (C("__s") - C("__prev.s") >= cooldown)

@@ -9,7 +9,7 @@ from tickloom.functions import scoring as S
 from tickloom.functions.columns import rounded
 from tickloom.operators import filters, ledger, outcomes, reports
 from tickloom.operators import indicators as ind
-from tickloom.operators.alignment import asof_join, latest_per_key
+from tickloom.operators.alignment import asof_scan
 from tickloom.operators.blocks import blocked, core_rows
 from tickloom.plans import domain, sqlparts as q
 from tickloom.plans.indicator_plans import VALUE, base
@@ -413,7 +413,7 @@ def atr_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tick_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = domain.ticks(spark, sf_dir)
     scores = t.where("seq % 3 = 0").select("product_id", C("ts").alias("score_ts"), (C("volume") / 100).alias("buy_score"))
-    live = asof_join(t.where("seq % 3 <> 0"), scores, ["product_id"], "ts", "score_ts", ["buy_score"], 21_600)
+    live = asof_scan(t.where("seq % 3 <> 0"), scores, ["product_id"], "ts", "score_ts", ["buy_score"])
     live = live.withColumnRenamed("score_ts_matched", "score_ts").withColumn("holding", F.lit(False))
     return _round(ledger.tick_entries(live), ["product_id", "seq"], "buy_score", "fraction")
 

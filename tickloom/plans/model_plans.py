@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import scoring as S
 from tickloom.functions.columns import rounded
 from tickloom.operators import features, labels, models, reports
-from tickloom.operators.alignment import asof_join
+from tickloom.operators.alignment import asof_scan
 from tickloom.plans import domain, sqlparts as q
 from tickloom.plans.dataset_plans import LABELS, dataset, sample_rows
 from tickloom.plans.indicator_plans import values_cte
@@ -124,7 +124,7 @@ def fear_greed(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = domain.ticks(spark, sf_dir)
     index = t.where(C("product_id") == "error").select(C("ts").alias("ft"), C("volume").cast("int").alias("score"))
     s = t.where(C("product_id") != "error").withColumn("side", F.when(C("price") >= 50, "BUY").otherwise("SELL"))
-    df = asof_join(s, index, [], "ts", "ft", ["score"], 86_400)
+    df = asof_scan(s, index, [], "ts", "ft", ["score"])
     return df.select("seq", S.fear_greed_allows(C("side"), C("score")).alias("allowed"), F.when(C("score").isNotNull(), S.fear_greed_label(C("score"))).alias("label"))
 
 

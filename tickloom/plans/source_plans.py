@@ -439,7 +439,7 @@ def venue_premium(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price gap to the other venue's latest quote, ignored when older than an hour."""
     t = domain.ticks(spark, sf_dir)
     other = t.where(C("product_id") == "view").select(C("ts").alias("other_ts"), C("price").alias("other"))
-    df = alignment.asof_join(t.where(C("product_id") == "click"), other, [], "ts", "other_ts", ["other"], 86400, max_age_seconds=3600)
+    df = alignment.asof_scan(t.where(C("product_id") == "click"), other, [], "ts", "other_ts", ["other"], max_age_seconds=3600)
     return df.select("seq", rounded(S.premium(C("price"), C("other"))).alias("premium"))
 
 
@@ -449,5 +449,5 @@ def ttl_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cached value with a 600-second time to live; the neutral 50 where it has expired."""
     t = domain.ticks(spark, sf_dir)
     ref = t.where(C("product_id") == "error").select(C("ts").alias("rt"), C("price").alias("value"))
-    df = alignment.asof_join(t.where(C("product_id") != "error"), ref, [], "ts", "rt", ["value"], 86400, max_age_seconds=600)
+    df = alignment.asof_scan(t.where(C("product_id") != "error"), ref, [], "ts", "rt", ["value"], max_age_seconds=600)
     return df.select("seq", F.coalesce("value", F.lit(50.0)).alias("value"))
