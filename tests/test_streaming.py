@@ -84,3 +84,16 @@ def test_outcome_timers(spark, source, batch):
             change = (exit_ - price) / price * (-1 if sd == "SELL" else 1)
             want.append((seq, exit_, "WIN" if change > 0.005 else "LOSS" if change < -0.005 else "NEUTRAL"))
     assert rows(got.select("seq", "exit_price", "outcome")) == sorted(want)
+
+
+def test_book_over_micro_batches(spark, source, batch):
+    def fills(df):
+        return df.select(
+            (F.col("seq") % 2).cast("string").alias("agent"), "ts", "seq", "product_id", F.when(F.col("volume") < 50, "BUY").otherwise("SELL").alias("side"),
+            "price", (F.col("volume") / 200).alias("frac"))
+
+    got = windows.drain(stateful.run(fills(stream(spark, source)), ["agent"], stateful.BookKeeper()))
+    want = {r.seq: r.balance for r in ledger.average_cost_book(fills(batch)).collect()}
+    rows_ = {r.seq: r.balance for r in got.collect()}
+    assert rows_.keys() == want.keys()
+    assert all(rows_[k] == pytest.approx(want[k]) for k in want)

@@ -264,9 +264,12 @@ def firing_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One agent per event type trading ten products; volume decides the side."""
-    t = domain.table(spark, sf_dir, "events")
+    return fills_of(domain.table(spark, sf_dir, "events"))
+
+
+def fills_of(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
-    return t.select(
+    return events.select(
         C("event_type").alias("agent"), C("ts").cast("timestamp").alias("ts"), C("event_id").alias("seq"), (C("user_id") % 10).cast("string").alias("product_id"),
         F.when(k >= 50, "BUY").otherwise("SELL").alias("side"), C("value").alias("price"), (k % 7 / 20.0).alias("frac"))
 

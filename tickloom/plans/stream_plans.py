@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.columns import rounded
 from tickloom.plans import domain, sqlparts as q
+from tickloom.plans.ledger_plans import fills_of
 from tickloom.plans.registry import ORACLE, query
 from tickloom.plans.source_plans import OHLCV
 from tickloom.sources import messages
@@ -68,6 +69,14 @@ def streaming_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("agent", "seq", "halted", *[rounded(C(c)).alias(c) for c in ("day_drawdown", "week_drawdown")])
 
 
+@query("pos1_streaming_book", ORACLE["pos1_average_cost_book"])
+def streaming_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = domain.table(spark, sf_dir, "events").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    df = windows.drain(stateful.run(fills_of(raw), ["agent"], stateful.BookKeeper()))
+    return df.select("agent", "seq", "action", F.round(F.log("balance"), 6).alias("log_balance"))
+
+
 _TRADER = f"""WITH {T}, gs AS (SELECT product_id, list({{'seq': seq, 'scan': seq % 3 = 0, 'p': price, 'v': volume / 100}} ORDER BY ts, seq) AS es FROM ticks GROUP BY 1),
  fd AS (SELECT product_id, list_reduce(es, lambda acc, e:
    CASE WHEN e.scan THEN {{'z': acc.z, 'a': acc.a, 'k': acc.k, 'b': e.v, 's': 1 - e.v, 'o': acc.o}}

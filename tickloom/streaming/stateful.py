@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tickloom.operators.ledger import Book
+
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
@@ -95,6 +97,33 @@ class Drawdown(_OneValue):
         return out, (*windows[0], *windows[1])
 
 
+class BookKeeper(_OneValue):
+    """Average-cost book of one agent; the state is its cash and open positions."""
+
+    STATE = (
+        T.StructType().add("balance", "double").add("realized", "double").add("products", T.ArrayType(T.StringType()))
+        .add("sizes", T.ArrayType(T.DoubleType())).add("costs", T.ArrayType(T.DoubleType()))
+    )
+    OUTPUT = (
+        T.StructType().add("agent", "string").add("seq", "long").add("product_id", "string").add("action", "string")
+        .add("size", "double").add("avg_price", "double").add("pnl", "double").add("balance", "double")
+    )
+
+    def __init__(self, opening: float = 1000.0):
+        self.opening = opening
+
+    def step(self, key, frame, state):
+        book = Book(state[0], state[1], dict(zip(state[2], zip(state[3], state[4])))) if state else Book(self.opening)
+        out = []
+        for seq, product, side, price, frac in zip(frame["seq"], frame["product_id"], frame["side"], frame["price"], frame["frac"]):
+            done = book.apply(product, side, price, frac)
+            if done:
+                action, size, avg, _, pnl = done
+                out.append((key[0], seq, product, action, size, avg, pnl, book.balance))
+        held = list(book.open.items())
+        return out, (book.balance, book.realized, [p for p, _ in held], [v[0] for _, v in held], [v[1] for _, v in held])
+
+
 class TickTrader(_OneValue):
     """Tick entries and exits of one product: a fresh passing score opens, the exit rules close.
 
