@@ -245,10 +245,11 @@ def return_correlation(reference: str, window: int = 20, minimum: int = 5, name:
     ref = f"(({reference} - __pref) / greatest(__pref, 1e-9D))"
     a, b = f"CASE WHEN __pref IS NOT NULL AND __pc IS NOT NULL THEN {own} END", f"CASE WHEN __pref IS NOT NULL AND __pc IS NOT NULL THEN {ref} END"
     layers = [{**_previous_close(keys), "__pref": lag(reference, 1, keys)}, {
-        "__cn": rows(f"count({a})", window, keys), "__ccorr": rows(f"corr({a}, {b})", window, keys),
+        "__cn": rows(f"count({a})", window, keys), "__ccov": rows(f"covar_pop({a}, {b})", window, keys),
+        "__csd": rows(f"stddev_pop({a})", window, keys) + " * " + rows(f"stddev_pop({b})", window, keys),
         "__cvar": " AND ".join(f"{rows(f'max({x})', window, keys)} > {rows(f'min({x})', window, keys)}" for x in (a, b)),
     }]
-    value = f"CASE WHEN __cvar AND __cn >= {minimum} THEN {clip('nanvl(__ccorr, 0D)', -1, 1)} END"
+    value = f"CASE WHEN __cvar AND __cn >= {minimum} THEN {clip('try_divide(__ccov, __csd)', -1, 1)} END"
     return Indicator({name: f"coalesce({value}, 0D)"}, layers)
 
 
