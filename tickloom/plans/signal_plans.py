@@ -158,14 +158,14 @@ LABEL = (
 )
 
 
-@query("sig5_buy_multiplier", f"WITH {q.ticks()}, {MACRO_SQL} SELECT mt AS ts, {q.cols(buy_multiplier=BUY_MULT)} FROM macro")
+@query("sig5_buy_multiplier", f"WITH {q.ticks()}, {MACRO_SQL} SELECT mt AS ts, {q.r(BUY_MULT, 12)} AS buy_multiplier FROM macro")
 def buy_multiplier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return macro(spark, sf_dir).select(F.unix_seconds("ts").alias("ts"), rounded(S.buy_multiplier()).alias("buy_multiplier"))
+    return macro(spark, sf_dir).select(F.unix_seconds("ts").alias("ts"), rounded(S.buy_multiplier(), 12).alias("buy_multiplier"))
 
 
-@query("sig6_sell_multiplier", f"WITH {q.ticks()}, {MACRO_SQL} SELECT mt AS ts, {q.cols(sell_multiplier=SELL_MULT)} FROM macro")
+@query("sig6_sell_multiplier", f"WITH {q.ticks()}, {MACRO_SQL} SELECT mt AS ts, {q.r(SELL_MULT, 12)} AS sell_multiplier FROM macro")
 def sell_multiplier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return macro(spark, sf_dir).select(F.unix_seconds("ts").alias("ts"), rounded(S.sell_multiplier()).alias("sell_multiplier"))
+    return macro(spark, sf_dir).select(F.unix_seconds("ts").alias("ts"), rounded(S.sell_multiplier(), 12).alias("sell_multiplier"))
 
 
 @query("sig7_macro_label", f"WITH {q.ticks()}, {MACRO_SQL} SELECT mt AS ts, {LABEL} AS label FROM macro")
@@ -195,10 +195,10 @@ def adjusted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-@query("sig8_macro_adjusted", _ADJ + f" SELECT product_id, start, {q.cols(adj_buy='adj_buy', adj_sell='adj_sell')} FROM adj")
+@query("sig8_macro_adjusted", _ADJ + f" SELECT product_id, start, {q.r('adj_buy', 12)} AS adj_buy, {q.r('adj_sell', 12)} AS adj_sell FROM adj")
 def macro_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adjusted_scores(spark, sf_dir).select(
-        "product_id", F.unix_seconds("start").alias("start"), *[rounded(C(c)).alias(c) for c in ("adj_buy", "adj_sell")])
+        "product_id", F.unix_seconds("start").alias("start"), *[rounded(C(c), 12).alias(c) for c in ("adj_buy", "adj_sell")])
 
 
 # The reference decision threshold is .55; the sample series rarely reaches it, so use .3 as well.

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def r(expr: str, digits: int = 6) -> str:
     """Report rounding without negative zero."""
-    return f"CASE WHEN abs({expr}) < {0.5 * 10.0 ** -digits:.12f} THEN 0.0::DOUBLE ELSE round(({expr})::DOUBLE, {digits}) END"
+    return f"CASE WHEN abs({expr}) < {0.5 * 10.0 ** -digits!r} THEN 0.0::DOUBLE ELSE round(({expr})::DOUBLE, {digits}) END"
 
 
 def single(expr: str) -> str:
