@@ -128,17 +128,17 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t F
 k(kind, rank, pattern) AS (VALUES ('assign', 0, '{ASSIGN.replace("'", "''")}'), ('access', 1, '{ACCESS}'), ('hex', 2, '{HEX}'), ('entropy', 3, '{CANDIDATE}')),
 m AS (SELECT rid, kind, rank, regexp_extract_all(t, pattern) AS f, string_split_regex(t, pattern) AS g FROM d, k WHERE regexp_matches(t, pattern)),
 p AS (SELECT rid, kind, rank, unnest(f) AS found, unnest(range(1, len(f) + 1)) AS i, f, g FROM m),
-s AS (SELECT rid, kind, rank, found, (list_sum(list_transform(g[1:i], x -> length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], x -> length(x))), 0))::BIGINT AS a FROM p),
+s AS (SELECT rid, kind, rank, found, (list_sum([length(x) FOR x IN g[1:i]]) + coalesce(list_sum([length(x) FOR x IN f[1:i - 1]]), 0))::BIGINT AS a FROM p),
 r AS (SELECT *, a + length(found) AS e FROM s),
 b AS (SELECT * FROM r WHERE kind IN ('access', 'hex') OR kind = 'assign' AND length(regexp_extract(found, '{ASSIGN.replace("'", "''")}', 2)) >= 6),
 c AS (SELECT *, CASE WHEN regexp_full_match(found, '[0-9a-fA-F]+') THEN {THRESHOLDS["hex"]} WHEN NOT regexp_matches(found, '[a-z]') THEN {THRESHOLDS["upper"]}
   WHEN NOT regexp_matches(found, '[A-Z]') THEN {THRESHOLDS["lower"]} ELSE {THRESHOLDS["mixed"]} END AS least FROM r WHERE kind = 'entropy' AND regexp_matches(found, '[0-9]')
   AND NOT regexp_matches(found, '{ALLOWED[0]}') AND NOT regexp_matches(found, '{ALLOWED[1]}') AND NOT regexp_matches(found, '{ALLOWED[2]}')
   AND NOT EXISTS (SELECT 1 FROM b WHERE b.rid = r.rid AND b.a < r.e AND r.a < b.e)),
-v AS (SELECT rid, a, found, unnest(range(1, length(found) - {WINDOW - 2})) AS at FROM c),
-l AS (SELECT rid, a, at, unnest(string_split(substring(found, at, {WINDOW}), '')) AS ch FROM v),
-n AS (SELECT rid, a, at, ch, count(*) AS n FROM l GROUP BY ALL),
-h AS (SELECT rid, a, at, log2({WINDOW}) - sum(n * log2(n)) / {WINDOW} AS bits FROM n GROUP BY ALL),
+v AS (SELECT rid, a, found, unnest(range(1, length(found) - {WINDOW - 2})) AS w FROM c),
+l AS (SELECT rid, a, w, unnest(string_split(substring(found, w, {WINDOW}), '')) AS ch FROM v),
+n AS (SELECT rid, a, w, ch, count(*) AS n FROM l GROUP BY ALL),
+h AS (SELECT rid, a, w, log2({WINDOW}) - sum(n * log2(n)) / {WINDOW} AS bits FROM n GROUP BY ALL),
 t AS (SELECT rid, a, max(bits) AS bits FROM h GROUP BY ALL),
 o AS (SELECT rid, kind, rank, a, e, TRUE AS base FROM b UNION ALL SELECT c.rid, kind, rank, c.a, e, FALSE FROM c JOIN t ON c.rid = t.rid AND c.a = t.a WHERE bits >= least),
 j AS (SELECT rid, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,

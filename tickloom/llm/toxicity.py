@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,8 +18,10 @@ from tickloom.llm.common import table, text_or_empty
 from tickloom.llm.registry import query
 
 C = F.col
-#: Labelled rows the model is fitted on, at most, and words it knows, at most; a word counts from so many of those rows on.
-FIT_ROWS, MAX_WORDS, MIN_ROWS = 8000, 50_000, 4
+#: Labelled rows the model is fitted on, at most, and words it knows, at most.
+FIT_ROWS, MAX_WORDS = 8000, 50_000
+#: A word is known if it is in so many of those rows and its share of toxic ones is so many standard errors off.
+MIN_ROWS, MIN_Z = 6, 4.0
 #: A sentence offends from this score on.
 OFFENDS = 0.5
 
@@ -47,6 +51,15 @@ class SentenceModel:
         return float(-np.expm1(clean)), offending
 
 
+def one_of_each(texts: list[str], labels: list[int]) -> tuple[list[str], list[int]]:
+    """One of the rows that share their two smallest word hashes and the label: words of a much-copied text would look telling."""
+    kept = {}
+    for text, label in zip(texts, labels):
+        words = {zlib.crc32(w.encode()) for w in _WORD.findall(text.lower())}
+        kept.setdefault((label, *heapq.nsmallest(2, words)), text)
+    return list(kept.values()), [k[0] for k in kept]
+
+
 def fit(texts: list[str], labels: list[int], rounds: int = 200, rate: float = 0.1, shrink: float = 2e-4) -> SentenceModel:
     """Maximise the documents' likelihood by gradient steps (Adam) over all of them.
 
@@ -55,8 +68,14 @@ def fit(texts: list[str], labels: list[int], rounds: int = 200, rate: float = 0.
     their absolute size, which leaves out words that only happened to be near.
     """
     split = [[words for _, _, words in _sentence_words(t)] for t in texts]
-    seen = Counter(w for sentences in split for w in set().union(*sentences))
-    known = {w: i for i, (w, _) in enumerate(sorted(((w, n) for w, n in seen.items() if n >= MIN_ROWS), key=lambda x: (-x[1], x[0]))[:MAX_WORDS])}
+    seen, toxic = Counter(), Counter()
+    for sentences, label in zip(split, labels):
+        words = set().union(*sentences)
+        seen.update(words)
+        toxic.update(words if label else ())
+    share = sum(labels) / max(1, len(labels))
+    z = {w: (toxic[w] - n * share) / (n * share * (1 - share)) ** 0.5 for w, n in seen.items() if n >= MIN_ROWS}
+    known = {w: i for i, w in enumerate(sorted((w for w in z if abs(z[w]) >= MIN_Z), key=lambda w: (-abs(z[w]), w))[:MAX_WORDS])}
     doc_of, sentence_of, feature = [], [], []
     for d, sentences in enumerate(split):
         for words in sentences:
@@ -106,7 +125,7 @@ def score_texts(docs: DataFrame, model: SentenceModel) -> DataFrame:
             found = [own.score(t or "") for t in frame["__text"]]
             yield frame.assign(tox_score=[s for s, _ in found], tox_spans=[[dict(zip(("start", "end", "score"), x)) for x in o] for _, o in found])
 
-    row = docs.select(F.struct(*docs.columns).alias("__row"), C("text").alias("__text")) if False else docs.withColumn("__text", text_or_empty())
+    row = docs.withColumn("__text", text_or_empty())
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in row.schema)
     return row.mapInPandas(score, schema + ", tox_score double, tox_spans array<struct<start:int,end:int,score:double>>").drop("__text")
 
@@ -116,7 +135,7 @@ def fit_from(docs: DataFrame, labels: DataFrame) -> SentenceModel:
     texts, toxic = training_rows(docs, labels)
     if len(set(toxic)) < 2:
         return SentenceModel({}, -12.0)
-    return fit(texts, toxic)
+    return fit(*one_of_each(texts, toxic))
 
 
 @query("op3_toxicity")
