@@ -18,7 +18,9 @@ C = F.col
 #: Independent trees, the depth all paths have, how deep large nodes go on, and the size from which a node is large.
 TREES, DEPTH, MAX_DEPTH, NODE = 8, 4, 10, 256
 #: How far below the threshold an estimated similarity may lie for the pair to be confirmed (3.4 standard errors at 0.8).
-SLACK = 0.12
+SLACK = 0.085
+#: Coordinates of the sketch that the trees branch on.
+BRANCHED = 128
 #: Documents of a large node that meet all others of it.
 PIVOTS = 3
 
@@ -35,17 +37,20 @@ def _signed(x: list[int]) -> np.ndarray:
 def _features(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            n, s1, s2, sk, known = [], [], [], [], {}
+            n, s1, s2, sk, marks, known = [], [], [], [], [], {}
             for text in frame["text"]:
                 x = shingle_set(text, width)
                 sign = _sign(x)
                 if sign not in known:
-                    known[sign] = sketch(x).tobytes()
+                    low = sketch(x)
+                    # A byte of each minwise token is enough to compare sketches.
+                    known[sign] = low[:BRANCHED].tobytes(), low.astype(np.uint8).tobytes()
                 n.append(sign[0])
                 s1.append(sign[1])
                 s2.append(sign[2])
-                sk.append(known[sign])
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n": n, "s1": _signed(s1), "s2": _signed(s2), "sketch": sk})
+                sk.append(known[sign][0])
+                marks.append(known[sign][1])
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n": n, "s1": _signed(s1), "s2": _signed(s2), "sketch": sk, "marks": marks})
 
     return run
 
@@ -55,10 +60,10 @@ def _branch(row: np.ndarray, path: np.ndarray, sketches: np.ndarray, levels: int
     the child of its minwise token there. Two documents as similar as 1 / (1 + more) expect to share as many nodes a level deeper."""
     for _ in range(levels):
         h = mix(path)
-        first = (h % np.uint64(COORDS)).astype(np.int64)
-        second = ((h >> np.uint64(8)) % np.uint64(COORDS - 1)).astype(np.int64) + 1 + first
+        first = (h % np.uint64(BRANCHED)).astype(np.int64)
+        second = ((h >> np.uint64(8)) % np.uint64(BRANCHED - 1)).astype(np.int64) + 1 + first
         also = (h >> np.uint64(32)) < np.uint64(int(more * 2**32))
-        coord = np.r_[first, second[also] % COORDS]
+        coord = np.r_[first, second[also] % BRANCHED]
         row, path = np.r_[row, row[also]], np.r_[path, path[also]]
         path = mix(path ^ mix(sketches[row, coord].astype(np.uint64) + (coord.astype(np.uint64) << np.uint64(40))))
     return row, path
@@ -69,7 +74,7 @@ def _paths(levels: int, more: float, roots: bool):
         for frame in batches:
             if frame.empty:
                 continue
-            sketches = np.frombuffer(b"".join(frame["sketch"]), np.uint32).reshape(-1, COORDS)
+            sketches = np.frombuffer(b"".join(frame["sketch"]), np.uint32).reshape(-1, BRANCHED)
             if roots:
                 row, path = np.repeat(np.arange(len(frame)), TREES), np.tile(mix(np.arange(1, TREES + 1, dtype=np.uint64)), len(frame))
             else:
@@ -105,31 +110,80 @@ def _root(of: dict, x):
 
 
 def _candidates(least: float, spanning: bool):
-    """Pairs of one block whose sketches agree on ``least`` and whose components differ: a spanning forest of the most similar ones, or all."""
+    """Pairs of one block whose sketches agree on ``least`` and whose components differ: a spanning forest of the most similar ones, or
+    all, told as one document and the other one's component.
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("rep").sort_values("rep", ignore_index=True)
-        rep, comp, home = frame["rep"].to_numpy(), frame["comp"].to_numpy(), frame["home"].to_numpy()
-        marks = np.frombuffer(b"".join(frame["marks"]), np.uint8).reshape(-1, COORDS)
+    Partitions come sorted by block and are cut where it changes; a block never exceeds a few times ``NODE`` rows.
+    """
+
+    def compare(comp, home, n, marks) -> np.ndarray:
         found = []
-        for i in range(len(rep) - 1):
-            other = np.flatnonzero((comp[i + 1:] != comp[i]) & (home[i + 1:] | home[i])) + i + 1
+        for i in range(len(comp) - 1):
+            later = slice(i + 1, None)
+            small, large = np.minimum(n[later], n[i]), np.maximum(n[later], n[i])
+            other = np.flatnonzero((comp[later] != comp[i]) & (home[later] | home[i]) & (small >= (least + SLACK) * large - 1e-9)) + i + 1
             if len(other):
                 agree = (marks[other] == marks[i]).mean(1)
-                found += [(-a, i, j) for a, j in zip(agree[agree >= least], other[agree >= least])]
+                near = agree >= least
+                found += zip((-agree[near]).tolist(), [i] * int(near.sum()), other[near].tolist())
         if spanning:
             of, kept = {}, []
-            for a, i, j in sorted(found):
+            for _, i, j in sorted(found):
                 x, y = _root(of, comp[i]), _root(of, comp[j])
                 if x != y:
                     of[max(x, y)] = min(x, y)
-                    kept.append((a, i, j))
+                    kept.append((0, i, j))
             found = kept
-        return pd.DataFrame({"a": rep[[i for _, i, _ in found]], "b": rep[[j for _, _, j in found]]}).astype("int64")
+        return np.array([(i, j) for _, i, j in found], np.int64).reshape(-1, 2)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts, ends in _whole(batches, ["path", "block"]):
+            rep, comp, main, home, n = (rows[c].to_numpy() for c in ("rep", "comp", "main", "home", "n"))
+            marks = np.frombuffer(b"".join(rows["marks"]), np.uint8).reshape(-1, COORDS)
+            # Most blocks are pairs: all at once.
+            i = starts[ends - starts == 2]
+            j = i + 1
+            ok = (comp[i] != comp[j]) & (home[i] | home[j]) & (np.minimum(n[i], n[j]) >= (least + SLACK) * np.maximum(n[i], n[j]) - 1e-9)
+            i, j = i[ok], j[ok]
+            ok = (marks[i] == marks[j]).mean(1) >= least if len(i) else np.zeros(0, bool)
+            pairs = [np.stack([i[ok], j[ok]], 1)]
+            for x, y in zip(starts, ends):
+                if y - x > 2 and (comp[x:y] != comp[x]).any():
+                    pairs.append(x + compare(comp[x:y], home[x:y], n[x:y], marks[x:y]))
+            i, j = np.concatenate(pairs).T
+            if spanning:
+                yield pd.DataFrame({"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j])})
+            else:  # a document outside the node's main component, and the component it may belong to
+                swap = comp[i] == main[i]
+                yield pd.DataFrame({"a": np.where(swap, rep[j], rep[i]), "b": np.where(swap, comp[i], comp[j])}).drop_duplicates()
 
     return run
 
 
+def _whole(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Frames of whole groups of a partition that is sorted by ``keys``, with the groups' bounds; the last group waits for the next batch."""
+
+    def bounds(rows: pd.DataFrame) -> np.ndarray:
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[keys].to_numpy()[1:] != rows[keys].to_numpy()[:-1]).any(1)
+        return np.flatnonzero(new)
+
+    held = None
+    for frame in batches:
+        rows = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        starts = bounds(rows)
+        if len(starts) > 1:
+            yield rows.iloc[: starts[-1]], starts[:-1], starts[1:]
+        held = rows.iloc[starts[-1]:].reset_index(drop=True) if len(starts) else None
+    if held is not None:
+        yield held, np.zeros(1, np.int64), np.array([len(held)])
+
+
+def _pairs(blocks: DataFrame, least: float, spanning: bool) -> DataFrame:
+    rows = blocks.repartition("path", "block").sortWithinPartitions("path", "block", "rep")
+    return rows.mapInPandas(_candidates(least, spanning), "a long, b long").distinct()
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``a, b, linked`` for pairs of ids, by their full sets; each set is shuffled to its pairs, which carry it to the other side."""
 
@@ -143,6 +197,44 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInPandas(check, "a long, b long, linked boolean")
 
 
+def _join_components(reach: DataFrame, roots: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, least: float) -> DataFrame:
+    """Links (``a, b``) of documents ``a`` into components ``b`` they may belong to: one for each block of members that has any.
+
+    Every document meets all members of the component once, however many nodes they share: members and documents are cut
+    into blocks of about ``NODE`` and every pair of blocks is one group, where full sets decide.
+    """
+    sets = sets.join(reps.select("rep", "n", "marks").dropDuplicates(["rep"]), "rep")
+    of = sets.select("rep").join(roots, C("rep") == C("node"), "left").select("rep", F.coalesce("root", "rep").alias("c"))
+    sizes = of.groupBy("c").agg(F.count("*").alias("members")).join(reach.groupBy(C("b").alias("c")).agg(F.count("*").alias("guests")), "c")
+    m, g = (F.ceil(C(x) / NODE).cast("int") for x in ("members", "guests"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    spot = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    inside = of.join(sizes, "c").select("c", "rep", spot(m).alias("i"), every(g).alias("j"), F.lit(False).alias("guest"))
+    outside = reach.select(C("a").alias("rep"), C("b").alias("c")).join(sizes, "c").select("c", "rep", every(m).alias("i"), spot(g).alias("j"), F.lit(True).alias("guest"))
+    rows = inside.unionByName(outside).join(sets, "rep").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "rep")
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, starts, ends in _whole(batches, ["c", "i", "j"]):
+            guest, rep, n = (frame[c].to_numpy() for c in ("guest", "rep", "n"))
+            full = [np.frombuffer(x, np.uint64) for x in frame["shingles"]]
+            marks = np.frombuffer(b"".join(frame["marks"]), np.uint8).reshape(-1, COORDS)
+            found = []
+            for x, y in zip(starts, ends):
+                members = np.flatnonzero(~guest[x:y]) + x
+                for a in np.flatnonzero(guest[x:y]) + x:
+                    fit = members[100 * np.minimum(n[members], n[a]) >= percent * np.maximum(n[members], n[a])]
+                    agree = (marks[fit] == marks[a]).mean(1) if len(fit) else np.zeros(0)
+                    for k in np.argsort(-agree, kind="stable"):
+                        if agree[k] < least:
+                            break
+                        if similar(full[a], full[fit[k]], percent):
+                            found.append((rep[a], rep[fit[k]]))
+                            break
+            yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return rows.mapInPandas(check, "a long, b long")
+
+
 def _blocks(rows: DataFrame, guest) -> DataFrame:
     """Cut nodes into blocks of about ``NODE`` by a hash; rows for which ``guest`` holds come to every block of their node."""
     n = F.ceil(C("size") / NODE).cast("int")
@@ -162,26 +254,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     a pair at the threshold shares a node of one tree in 58 of 100 cases, thus one of eight trees in 999 of 1000, and
     more similar pairs more often. A node is compared exhaustively on sketches in blocks of ``NODE``. First a spanning forest of
     each block's most similar pairs is confirmed on the full sets, so a group of near copies costs one confirmation a
-    document instead of one a pair; then every pair in reach of the threshold whose components still differ. In nodes that stay
+    document instead of one a pair; then every document in reach of the threshold of another component meets all of its members. In nodes that stay
     large to ``MAX_DEPTH``, near copies throughout, ``PIVOTS`` documents meet all blocks at first, and then all documents outside the
     node's largest component do.
     """
     features = staged(docs.select(C("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        _features(width), "doc_id long, n long, s1 long, s2 long, sketch binary"), "features")
+        _features(width), "doc_id long, n long, s1 long, s2 long, sketch binary, marks binary"), "features")
     sign = ["n", "s1", "s2"]
-    reps = features.where((C("n") > 0) & C("doc_id").isNotNull()).groupBy(*sign).agg(F.min("doc_id").alias("rep"), F.max("sketch").alias("sketch"))
+    reps = features.where((C("n") > 0) & C("doc_id").isNotNull()).groupBy(*sign).agg(F.min("doc_id").alias("rep"), F.max("sketch").alias("sketch"), F.max("marks").alias("marks"))
     reps = staged(reps, "representatives")
     least = percent / 100 - SLACK
     nodes = _nodes(reps, 100 / percent - 1)
-    # A byte of each minwise token is enough to compare sketches.
-    marks = reps.mapInPandas(_marks, "rep long, marks binary").dropDuplicates(["rep"])
-    rows = staged(nodes.join(marks, "rep").withColumn("comp", C("rep")), "members")
+    rows = staged(nodes.join(reps.select("rep", "n", "marks").dropDuplicates(["rep"]), "rep").withColumn("comp", C("rep")), "members")
 
     pivots = rows.where(C("size") > NODE).groupBy("path").agg(F.expr(f"slice(array_sort(collect_set(xxhash64(rep, path) % 4096)), 1, {PIVOTS})").alias("chosen"))
     led = rows.join(pivots, "path", "left")
     guest = F.coalesce(F.array_contains("chosen", F.xxhash64("rep", "path") % 4096), F.lit(False))
-    blocks = _blocks(led, guest).select("path", "block", "rep", "comp", "marks", "home")
-    tried = staged(blocks.groupBy("path", "block").applyInPandas(_candidates(least, True), "a long, b long").distinct(), "forest")
+    blocks = _blocks(led.withColumn("main", C("rep")), guest)
+    tried = staged(_pairs(blocks, least, True), "forest")
 
     wanted = nodes.select("rep").distinct()
     full = docs.select(C("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep", "left_semi")
@@ -190,28 +280,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     links = staged(_confirm(tried, sets, percent), "confirmed")
     roots = staged(components(links.where("linked").select(C("a").alias("u"), C("b").alias("v"))), "roots")
-    rows = rows.drop("comp").join(roots, C("rep") == C("node"), "left").select("path", "rep", "size", "marks", F.coalesce("root", "rep").alias("comp"))
+    rows = rows.drop("comp").join(roots, C("rep") == C("node"), "left").select("path", "rep", "size", "n", "marks", F.coalesce("root", "rep").alias("comp"))
     shares = rows.groupBy("path", "comp").agg(F.count("*").alias("share")).groupBy("path").agg(F.count("*").alias("parts"), F.max_by("comp", "share").alias("main"))
     rows = rows.join(shares.where(C("parts") > 1), "path")
-    blocks = _blocks(rows, C("comp") != C("main")).select("path", "block", "rep", "comp", "marks", "home")
-    again = blocks.groupBy("path", "block").applyInPandas(_candidates(least, False), "a long, b long").distinct()
-    again = staged(again.join(tried, ["a", "b"], "left_anti"), "rest")
-    more = staged(_confirm(again, sets, percent), "confirmed-rest")
-    edges = links.unionByName(more).where("linked").select(C("a").alias("u"), C("b").alias("v"))
-    roots = components(edges)
+    reach = staged(_pairs(_blocks(rows, C("comp") != C("main")), least, False), "rest")
+    more = staged(_join_components(reach, roots, reps, sets, percent, least), "confirmed-rest")
+    roots = components(links.where("linked").select("a", "b").unionByName(more).select(C("a").alias("u"), C("b").alias("v")))
 
     classes = reps.join(roots, C("rep") == C("node"), "left").select(*[C(c).alias(f"{c}_") for c in sign], F.coalesce("root", "rep").alias("component"))
-    out = features.drop("sketch").join(classes, (C("n") == C("n_")) & (C("s1") == C("s1_")) & (C("s2") == C("s2_")), "left")
+    out = features.drop("sketch", "marks").join(classes, (C("n") == C("n_")) & (C("s1") == C("s1_")) & (C("s2") == C("s2_")), "left")
     component = F.when(C("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", C("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == C("doc_id"), F.lit(False)).alias("kept"))
 
 
-def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in batches:
-        low = np.frombuffer(b"".join(frame["sketch"]), np.uint32).astype(np.uint8).reshape(-1, COORDS)
-        yield pd.DataFrame({"rep": frame["rep"], "marks": [x.tobytes() for x in low]})
-
-
 def _sets(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:

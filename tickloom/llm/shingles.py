@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Coordinates of a sketch.
-COORDS = 128
+COORDS = 256
 
 _rng = np.random.default_rng(20)
 _XOR = _rng.integers(0, 2**32, COORDS, np.uint32)
