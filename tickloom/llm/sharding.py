@@ -110,8 +110,8 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.0025, part_byte
 
     Returns ``doc_id, size, text_crc32, shard, part, slot``. Size is the text's UTF-8 bytes (null: none) plus 1. Documents are
     sorted by a key of two hashes, of the text and of doc_id, so copies of a text are neighbours; a shard boundary cuts a group
-    of copies only if no boundary between groups is within ``tolerance`` of a shard's bytes. Beyond that a shard's bytes differ
-    from an equal share by half a document at most. Each shard is cut by further splitters into parts that one task can
+    of copies only if no boundary between groups is near enough. Every boundary lies within ``tolerance`` of a shard's bytes, or half
+    a document, of its even place. Each shard is cut by further splitters into parts that one task can
     sort; a group of copies of any size is split over parts by the second hash.
 
     Null doc_ids hash alike; rows equal in doc_id and text stay together. An empty table gives no rows.
