@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -65,25 +66,25 @@ def fit(texts: list[str], labels: list[int], rounds: int = 200, rate: float = 0.
 
     With s = softplus(z) summed over a document, log(1 - P) = -s: the gradient by a sentence's z is p for label 0 and
     -p (1 - P) / P for label 1, so the sentences that explain a label get the credit. Weights shrink towards 0 by
-    their absolute size, which leaves out words that only happened to be near.
+    their absolute size, which leaves out words that only happened to be near. Texts are split twice, so that only the
+    known words' places are held.
     """
-    split = [[words for _, _, words in _sentence_words(t)] for t in texts]
     seen, toxic = Counter(), Counter()
-    for sentences, label in zip(split, labels):
-        words = set().union(*sentences)
+    for text, label in zip(texts, labels):
+        words = set(_WORD.findall(text.lower()))
         seen.update(words)
         toxic.update(words if label else ())
     share = sum(labels) / max(1, len(labels))
     z = {w: (toxic[w] - n * share) / (n * share * (1 - share)) ** 0.5 for w, n in seen.items() if n >= MIN_ROWS}
     known = {w: i for i, w in enumerate(sorted((w for w in z if abs(z[w]) >= MIN_Z), key=lambda w: (-abs(z[w]), w))[:MAX_WORDS])}
-    doc_of, sentence_of, feature = [], [], []
-    for d, sentences in enumerate(split):
-        for words in sentences:
+    doc_of, sentence_of, feature = array("q"), array("q"), array("q")
+    for d, text in enumerate(texts):
+        for _, _, words in _sentence_words(text):
             own = sorted(known[w] for w in words if w in known)
-            sentence_of += [len(doc_of)] * len(own)
-            feature += own
+            sentence_of.extend([len(doc_of)] * len(own))
+            feature.extend(own)
             doc_of.append(d)
-    doc_of, sentence_of, feature = (np.asarray(x, np.int64) for x in (doc_of, sentence_of, feature))
+    doc_of, sentence_of, feature = (np.frombuffer(x, np.int64) if len(x) else np.zeros(0, np.int64) for x in (doc_of, sentence_of, feature))
     y = np.asarray(labels, float)
     theta, bias = np.zeros(len(known)), -4.0
     m, v = np.zeros(len(known) + 1), np.zeros(len(known) + 1)
