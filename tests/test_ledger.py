@@ -52,7 +52,8 @@ def test_pairing_takes_the_newest_free_open(spark):
     assert (row.hold_secs, row.trigger_open, row.trigger_close) == (100, "t1", "t2")
     assert row.pct_pnl == pytest.approx(1.0 / 11.0 * 100)
     orphan = ledger.pair_trades(events).where("close_seq = 4").first()
-    assert orphan.trigger_open == "UNKNOWN" and orphan.opened_at is None
+    assert orphan.trigger_open == "UNKNOWN" and orphan.opened_at == orphan.closed_at and orphan.hold_secs is None
+    assert (orphan.entry_price, orphan.usd_open) == (orphan.exit_price, orphan.usd_close)
 
 
 def test_ghost_trades(spark):
@@ -139,7 +140,8 @@ def test_repeats_are_suppressed_from_the_last_emitted(spark, spread):
 def test_outcomes_resolve_at_the_horizon(spark, side, exit_, expected):
     sig = spark.createDataFrame([("TECH", "p", side, 0.61234, 100.0, 0, 1, {"rsi": "28.6", "macd_h": "0.2"})], "source string, product_id string, side string, confidence double, price double, s long, seq long, indicators map<string,string>")
     sig = sig.withColumn("created_at", F.timestamp_seconds("s")).drop("s")
-    bars = spark.createDataFrame([("p", 14_400, exit_), ("p", 18_000, 500.0), ("p", 3600, 77.0)], "product_id string, s long, close double").withColumn("start", F.timestamp_seconds("s"))
+    # The bar that has ended at the horizon counts, not the one that opens there.
+    bars = spark.createDataFrame([("p", 10_800, exit_), ("p", 14_400, 500.0), ("p", 3600, 77.0)], "product_id string, s long, close double").withColumn("start", F.timestamp_seconds("s"))
     r = outcomes.resolve(outcomes.record(sig), bars).first()
     assert (r.outcome, r.exit_price) == (expected, exit_)
     assert r.lesson.startswith(f"TECH {side} conf=0.61 RSI=29 MACD=bull → ") and r.lesson.endswith(f"after 4h [{expected}]")

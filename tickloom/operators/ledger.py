@@ -100,7 +100,7 @@ def pair_trades(events: DataFrame, keys: Sequence[str] = ("agent", "product_id")
     ``events``: keys, ``ts, seq, kind`` (OPEN/CLOSE), ``price, size, usd, pnl, trigger, balance``.
     Opens and closes nest like brackets, so the running depth (opens minus closes, floored at
     zero by its running minimum) tells which open a close belongs to; both are prefix scans. A
-    close without an open becomes a closed row with an unknown opening.
+    close without an open becomes a closed row that opened when, where and as large as it closed, of unknown trigger and without a holding time.
     """
     keys = list(keys)
     order, minute = ["ts", "seq"], F.floor(F.unix_seconds("ts") / TICK_BUCKET)
@@ -129,9 +129,13 @@ def pair_trades(events: DataFrame, keys: Sequence[str] = ("agent", "product_id")
         F.coalesce(side("CLOSE", "balance"), side("OPEN", "balance")).alias("balance_after"),
         side("OPEN", "seq").alias("open_seq"), side("CLOSE", "seq").alias("close_seq"),
     ).drop("__pair")
+    cost = C("usd_close") - C("pnl")
+    orphan = C("open_seq").isNull()
     return trades.withColumns({
-        "pct_pnl": F.try_divide(C("pnl"), C("usd_close") - C("pnl")) * 100,
+        "pct_pnl": F.when(cost > 0, C("pnl") / cost * 100).when(C("close_seq").isNotNull(), 0.0),
         "hold_secs": F.unix_seconds("closed_at") - F.unix_seconds("opened_at"),
+    }).withColumns({
+        own: F.when(orphan, C(other)).otherwise(C(own)) for own, other in (("opened_at", "closed_at"), ("entry_price", "exit_price"), ("usd_open", "usd_close"))
     })
 
 

@@ -29,9 +29,10 @@ def verdict(change: Column, win: float = 0.005, loss: float = 0.005) -> Column:
     return F.when(change > win, "WIN").when(change < -loss, "LOSS").otherwise("NEUTRAL")
 
 
-def exit_prices(pending: DataFrame, bars: DataFrame, products: DataFrame | None = None, bucket_seconds: int = 86_400 * 7) -> DataFrame:
-    """Close of the latest bar at ``check_after``, else the stored price, else none."""
-    ref = bars.select("product_id", C("start").alias("bar_start"), C("close").alias("exit_price"))
+def exit_prices(pending: DataFrame, bars: DataFrame, products: DataFrame | None = None, bucket_seconds: int = 86_400 * 7, bar_seconds: int = 3600) -> DataFrame:
+    """Close of the latest bar that has ended at ``check_after``, else the stored price, else none."""
+    ended = C("start") + F.make_dt_interval(secs=F.lit(bar_seconds))
+    ref = bars.select("product_id", ended.alias("bar_start"), C("close").alias("exit_price"))
     df = asof_join(pending, ref, ["product_id"], "check_after", "bar_start", ["exit_price"], bucket_seconds).drop("bar_start_matched")
     if products is not None:
         stored = products.select("product_id", C("price").alias("__stored"))

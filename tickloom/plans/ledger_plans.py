@@ -315,7 +315,7 @@ def trade_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("SCAN").alias("trigger"), C("price").alias("balance"))
 
 
-@query("pos2_pos3_pair_trades", f"{_PAIR} SELECT p.agent, p.product_id, p.open_seq, p.close_seq, a.price AS entry_price, z.price AS exit_price, z.s - a.s AS hold_secs, CASE WHEN p.open_seq IS NULL THEN 'UNKNOWN' ELSE 'SCAN' END AS trigger_open, "
+@query("pos2_pos3_pair_trades", f"{_PAIR} SELECT p.agent, p.product_id, p.open_seq, p.close_seq, coalesce(a.price, z.price) AS entry_price, z.price AS exit_price, z.s - a.s AS hold_secs, CASE WHEN p.open_seq IS NULL THEN 'UNKNOWN' ELSE 'SCAN' END AS trigger_open, "
        f"{q.r('(z.price - 50) / nullif(z.price - (z.price - 50), 0) * 100')} AS pct_pnl FROM pr p LEFT JOIN ev a ON p.open_seq = a.seq LEFT JOIN ev z ON p.close_seq = z.seq")
 def pair_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = ledger.pair_trades(trade_events(spark, sf_dir))
@@ -451,7 +451,7 @@ def pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PEND = TA_SIGNALS_SQL + ", pd AS (SELECT product_id, side, round(strength, 4) AS confidence, close AS entry, start + 3600 AS created, start + 3600 + 14400 AS check_after, idx, rsi, bb_pos, macd_hist FROM ta WHERE strength >= 0.20)"
 _RESOLVE = _PEND + (
-    ", rs AS (SELECT pd.*, b.close AS exit_price, (b.close - entry) / greatest(entry, 1e-9) AS raw FROM pd ASOF JOIN bars b ON pd.product_id = b.product_id AND pd.check_after >= b.start), "
+    ", rs AS (SELECT pd.*, b.close AS exit_price, (b.close - entry) / greatest(entry, 1e-9) AS raw FROM pd ASOF JOIN bars b ON pd.product_id = b.product_id AND pd.check_after - 3600 >= b.start), "
     "ou AS (SELECT *, CASE WHEN side = 'SELL' THEN -raw ELSE raw END AS chg FROM rs), "
     "oc AS (SELECT *, CASE WHEN chg > 0.005 THEN 'WIN' WHEN chg < -0.005 THEN 'LOSS' ELSE 'NEUTRAL' END AS outcome FROM ou)"
 )

@@ -60,10 +60,9 @@ def regime_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate_inputs(spark, sf_dir).select("regime", (C("seq") % 11).alias("c"), own.alias("w")).distinct()
 
 
-@query("sig11_blend_and_side", f"WITH {_BLEND} SELECT seq, {q.r('mp')} AS model_prob, CASE WHEN mp > 0.60 THEN 'BUY' WHEN mp < 0.40 THEN 'SELL' ELSE 'HOLD' END AS side FROM bp WHERE abs(mp - 0.6) > 1e-9 AND abs(mp - 0.4) > 1e-9")
+@query("sig11_blend_and_side", f"WITH {_BLEND} SELECT seq, {q.r('mp')} AS model_prob, CASE WHEN mp > 0.60 THEN 'BUY' WHEN mp < 0.40 THEN 'SELL' ELSE 'HOLD' END AS side FROM bp")
 def blend_and_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blend and side; rows exactly on a threshold are left out because rounding decides them."""
-    df = blended(spark, sf_dir).where((F.abs(C("mp") - 0.6) > 1e-9) & (F.abs(C("mp") - 0.4) > 1e-9))
+    df = blended(spark, sf_dir)
     side, _ = S.side_and_strength(C("mp"))
     return df.select("seq", rounded(C("mp")).alias("model_prob"), side.alias("side"))
 
@@ -94,11 +93,10 @@ _KS = f"{_GATE}, ks AS (SELECT seq, p, (price % 100) / 100.0 AS mp, 1000 + volum
 
 
 @query("sig15_kelly_size", f"WITH {_KS} SELECT seq, {q.cols(usd='CASE WHEN abs(edge) < 0.08 OR mp <= 0.01 OR mp >= 0.99 OR fk <= 0 THEN 0.0 ELSE greatest(0, least(fk * 0.25 * bank, 500, room)) END', edge='edge')}, "
-       "CASE WHEN abs(edge) < 0.08 THEN 'edge below minimum' WHEN mp <= 0.01 OR mp >= 0.99 THEN 'market price too extreme' WHEN fk <= 0 THEN 'negative Kelly' WHEN least(fk * 0.25 * bank, 500, room) < 1 THEN 'below $1 after caps' END AS skip_reason FROM kz WHERE abs(abs(edge) - 0.08) > 1e-9")
+       "CASE WHEN abs(edge) < 0.08 THEN 'edge below minimum' WHEN mp <= 0.01 OR mp >= 0.99 THEN 'market price too extreme' WHEN fk <= 0 THEN 'negative Kelly' WHEN least(fk * 0.25 * bank, 500, room) < 1 THEN 'below $1 after caps' END AS skip_reason FROM kz")
 def kelly_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes at full precision."""
     df = gate_inputs(spark, sf_dir).withColumns({"mp": C("price") % 100 / 100, "bank": 1000 + C("volume") * 10, "ex": C("volume") * 51})
-    df = df.where(F.abs(F.abs(C("p") - C("mp")) - 0.08) > 1e-9)
     sized = df.withColumn("k", S.kelly_size(C("p"), C("mp"), C("bank"), C("ex"), digits=12))
     return sized.select("seq", rounded(C("k.recommended_usd")).alias("usd"), rounded(C("k.edge")).alias("edge"), C("k.skip_reason").alias("skip_reason"))
 
@@ -143,9 +141,9 @@ def iv_rv_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("product_id", F.unix_seconds("start").alias("start"), S.iv_rv_spread(iv, C("realized_vol")).alias("spread20"), S.iv_rv_spread(iv, C("realized_vol_60")).alias("spread60"))
 
 
-@query("sig20_indicator_summary", f"WITH {T} SELECT seq, CASE seq % 4 WHEN 0 THEN 'RSI=' || volume::INT || ' MACD=' || CASE WHEN price > 50 THEN 'bull' ELSE 'bear' END WHEN 1 THEN 'mom5d=+' || volume::INT || '.0%' WHEN 2 THEN 'ADX=' || volume::INT || ' regime=' || product_id ELSE '' END AS summary FROM ticks WHERE volume > 0")
+@query("sig20_indicator_summary", f"WITH {T} SELECT seq, CASE seq % 4 WHEN 0 THEN 'RSI=' || volume::INT || ' MACD=' || CASE WHEN price > 50 THEN 'bull' ELSE 'bear' END WHEN 1 THEN 'mom5d=+' || volume::INT || '.0%' WHEN 2 THEN 'ADX=' || volume::INT || ' regime=' || product_id ELSE '' END AS summary FROM ticks")
 def indicator_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = domain.ticks(spark, sf_dir).where("volume > 0")
+    t = domain.ticks(spark, sf_dir)
     source = F.element_at(F.array(*[F.lit(x) for x in ("TECH", "MOMENTUM", "CNN", "NONE")]), (C("seq") % 4 + 1).cast("int"))
     values = (
         F.when(C("seq") % 4 == 0, F.create_map(F.lit("rsi"), C("volume").cast("string"), F.lit("macd_h"), (C("price") - 50).cast("string")))
@@ -154,9 +152,9 @@ def indicator_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumns({"source": source, "indicators": values}).select("seq", S.indicator_summary(C("source")).alias("summary"))
 
 
-@query("sig22_extract_probability", f"WITH {T} SELECT seq, CASE seq % 4 WHEN 0 THEN CASE WHEN price / 100 <= 1 THEN round(price / 100, 6) END WHEN 1 THEN volume / 100 WHEN 2 THEN NULL ELSE NULL END::DOUBLE AS prob FROM ticks WHERE volume >= 10")
+@query("sig22_extract_probability", f"WITH {T} SELECT seq, CASE seq % 4 WHEN 0 THEN CASE WHEN price / 100 <= 1 THEN round(price / 100, 6) END WHEN 1 THEN volume / 100 WHEN 2 THEN NULL ELSE NULL END::DOUBLE AS prob FROM ticks")
 def extract_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = domain.ticks(spark, sf_dir).where("volume >= 10")
+    t = domain.ticks(spark, sf_dir)
     text = (
         F.when(C("seq") % 4 == 0, F.to_json(F.struct(F.round(C("price") / 100, 6).alias("probability"))))
         .when(C("seq") % 4 == 1, F.concat(F.lit("I would say 0."), F.lpad(C("volume").cast("int").cast("string"), 2, "0"), F.lit(" or so")))
@@ -266,7 +264,7 @@ def enough_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entry_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train on the older trades, gate the newer ones."""
     rows = materialize(labels.time_split(entry_inputs(spark, sf_dir), "ts"))
-    model = models.train_entry_filter(rows.where(C("split") == "train"), trees=20)
+    model = models.train_entry_filter(rows.where(C("split") == "train"))
     return models.gate_entries(model, rows.where(C("split") == "val")).select("seq", "label", "entry_prob", "allow")
 
 
@@ -285,7 +283,7 @@ def regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _trained(spark: SparkSession, sf_dir: str) -> tuple[object, DataFrame]:
     data = materialize(labels.time_split(features.masked(dataset(spark, sf_dir)), "start"))
-    return models.train_window_classifier(data.where(C("split") == "train"), iterations=10), data.where(C("split") == "val")
+    return models.train_window_classifier(data.where(C("split") == "train")), data.where(C("split") == "val")
 
 
 @query("ml7_ml8_window_classifier")

@@ -206,42 +206,43 @@ def json_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("seq", F.size("m").alias("entries"), F.try_element_at("m", C("product_id"))["avg_price"].alias("avg_price"))
 
 
-_ASSET_SQL = "[" + ", ".join(f"'{a}'" for a in [*messages.ASSETS, "ZZZ"]) + "]"
+_ASSETS = [row[0].removesuffix("-USD") for row in messages.VENUES] + ["ZZZ"]
+_ASSET_SQL = "[" + ", ".join(f"'{a}'" for a in _ASSETS) + "]"
 
 
 @query("src16_venue_symbols", f"WITH a AS (SELECT p_partkey, p_partkey % 27 AS i, {_ASSET_SQL}[p_partkey % 27 + 1] AS asset FROM part) "
        "SELECT p_partkey AS part, asset || '-USD' AS product_id, CASE WHEN i < 26 THEN asset || 'USDT' END AS futures_symbol, CASE WHEN i < 10 THEN asset || 'USDT' END AS sentiment_symbol, "
        "CASE WHEN i < 2 THEN asset END AS options_currency, asset || 'USDT' AS plain FROM a")
 def venue_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.array(*[F.lit(a) for a in [*messages.ASSETS, "ZZZ"]])
+    names = F.array(*[F.lit(a) for a in _ASSETS])
     part = domain.table(spark, sf_dir, "part").select(
         C("p_partkey").alias("part"), F.concat(F.element_at(names, (C("p_partkey") % 27 + 1).cast("int")), F.lit("-USD")).alias("product_id"))
     return messages.with_venue_symbols(part).withColumn("plain", messages.plain_symbol(C("product_id")))
 
 
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order book per hourly bar: levels step away from the close, sizes from the volume."""
+    """An order book per hourly bar, some of them empty: levels step away from the close, sizes from the volume."""
     b = domain.bars(spark, sf_dir)
 
     def side(sign: str) -> Column:
-        return F.expr(f"transform(sequence(1, CAST(volume AS INT) % 20), i -> named_struct('price', close {sign} i * 0.25D, 'size', volume * (i % 5 + 1) {'' if sign == '-' else '+ i'}))")
+        return F.expr(f"transform(filter(sequence(0, CAST(volume AS INT) % 20), i -> i > 0), i -> named_struct('price', close {sign} i * 0.25D, 'size', volume * (i % 5 + 1) {'' if sign == '-' else '+ i'}))")
 
-    return b.where("CAST(volume AS INT) % 20 > 0").withColumns({"bids": side("-"), "asks": side("+")})
+    return b.withColumns({"bids": side("-"), "asks": side("+")})
 
 
 _BOOKS = (
-    f"WITH {T}, {B}, n AS (SELECT product_id, start, close, volume, volume::INT % 20 AS n FROM bars WHERE volume::INT % 20 > 0), "
+    f"WITH {T}, {B}, n AS (SELECT product_id, start, close, volume, volume::INT % 20 AS n FROM bars), "
     "bk AS (SELECT *, list_transform(range(1, n + 1), lambda i: volume * (i % 5 + 1)) AS bs, list_transform(range(1, n + 1), lambda i: volume * (i % 5 + 1) + i) AS sz FROM n)"
 )
 
 
-@query("src17_book_imbalance", f"{_BOOKS} SELECT product_id, start, {q.cols(bid_depth='list_sum(bs)', ask_depth='list_sum(sz)', imbalance='(list_sum(bs) - list_sum(sz)) / (list_sum(bs) + list_sum(sz))')} FROM bk")
+@query("src17_book_imbalance", f"{_BOOKS} SELECT product_id, start, {q.cols(bid_depth='coalesce(list_sum(bs), 0)', ask_depth='coalesce(list_sum(sz), 0)', imbalance='coalesce((list_sum(bs) - list_sum(sz)) / nullif(list_sum(bs) + list_sum(sz), 0), 0)')} FROM bk")
 def book_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = books(spark, sf_dir).withColumns(messages.book_imbalance())
     return df.select("product_id", _start(), *[rounded(C(c)).alias(c) for c in ("bid_depth", "ask_depth", "imbalance")])
 
 
-@query("src18_book_display", f"{_BOOKS} SELECT product_id, start, least(n, 15)::INT AS levels, 0.5::DOUBLE AS spread, list_max(bs[1:15])::DOUBLE AS max_bid_size, list_max(sz[1:15])::DOUBLE AS max_ask_size FROM bk")
+@query("src18_book_display", f"{_BOOKS} SELECT product_id, start, least(n, 15)::INT AS levels, CASE WHEN n > 0 THEN 0.5::DOUBLE END AS spread, list_max(bs[1:15])::DOUBLE AS max_bid_size, list_max(sz[1:15])::DOUBLE AS max_ask_size FROM bk")
 def book_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = messages.book_display(books(spark, sf_dir))
     return df.select("product_id", _start(), F.size("bids").alias("levels"), rounded(C("spread")).alias("spread"), "max_bid_size", "max_ask_size")

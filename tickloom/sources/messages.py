@@ -103,17 +103,40 @@ def decode_numbers(column: str) -> Column:
     return F.coalesce(F.from_json(column, kind), F.from_json(F.lit("{}"), kind))
 
 
-# Assets listed on the other venues, most liquid first. The first ten have
-# sentiment data, the first two implied volatility.
-ASSETS = (
-    "BTC ETH SOL XRP BNB ADA AVAX LINK DOT MATIC DOGE LTC ATOM FIL NEAR APT INJ ARB OP TIA SEI SUI RNDR FET AAVE UNI"
-).split()
+# product_id, futures symbol, sentiment symbol, options currency.
+VENUES = [
+    ("BTC-USD", "BTCUSDT", "BTCUSDT", "BTC"),
+    ("ETH-USD", "ETHUSDT", "ETHUSDT", "ETH"),
+    ("SOL-USD", "SOLUSDT", "SOLUSDT", None),
+    ("XRP-USD", "XRPUSDT", "XRPUSDT", None),
+    ("BNB-USD", "BNBUSDT", "BNBUSDT", None),
+    ("ADA-USD", "ADAUSDT", "ADAUSDT", None),
+    ("AVAX-USD", "AVAXUSDT", "AVAXUSDT", None),
+    ("LINK-USD", "LINKUSDT", "LINKUSDT", None),
+    ("DOT-USD", "DOTUSDT", "DOTUSDT", None),
+    ("MATIC-USD", "MATICUSDT", "MATICUSDT", None),
+    ("DOGE-USD", "DOGEUSDT", None, None),
+    ("LTC-USD", "LTCUSDT", None, None),
+    ("ATOM-USD", "ATOMUSDT", None, None),
+    ("FIL-USD", "FILUSDT", None, None),
+    ("NEAR-USD", "NEARUSDT", None, None),
+    ("APT-USD", "APTUSDT", None, None),
+    ("INJ-USD", "INJUSDT", None, None),
+    ("ARB-USD", "ARBUSDT", None, None),
+    ("OP-USD", "OPUSDT", None, None),
+    ("TIA-USD", "TIAUSDT", None, None),
+    ("SEI-USD", "SEIUSDT", None, None),
+    ("SUI-USD", "SUIUSDT", None, None),
+    ("RNDR-USD", "RNDRUSDT", None, None),
+    ("FET-USD", "FETUSDT", None, None),
+    ("AAVE-USD", "AAVEUSDT", None, None),
+    ("UNI-USD", "UNIUSDT", None, None),
+]
 
 
 def venue_symbols(spark: SparkSession) -> DataFrame:
     """Dimension of listed products: futures symbol, sentiment symbol and options currency."""
-    rows = [(f"{a}-USD", f"{a}USDT", f"{a}USDT" if i < 10 else None, a if i < 2 else None) for i, a in enumerate(ASSETS)]
-    return spark.createDataFrame(rows, "product_id string, futures_symbol string, sentiment_symbol string, options_currency string")
+    return spark.createDataFrame(VENUES, "product_id string, futures_symbol string, sentiment_symbol string, options_currency string")
 
 
 def with_venue_symbols(df: DataFrame) -> DataFrame:
