@@ -17,8 +17,9 @@ from tickloom.llm.shingles import _words as word_hashes
 C = F.col
 K1, B = 1.2, 0.75
 #: Documents and postings of an index shard, documents of a block, and terms of a block of queries, at most.
-SHARD_DOCS, SHARD_POSTINGS, BLOCK, QUERY_TERMS = 8192, 4_000_000, 16, 500_000
+SHARD_DOCS, SHARD_POSTINGS, BLOCK, QUERY_TERMS = 4096, 1_000_000, 16, 500_000
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _INDEX = "docs binary, lengths binary, terms binary, starts binary, doc binary, tf binary"
 
 
@@ -58,6 +59,7 @@ def _build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 ids, parts, postings = [], [], 0
     if ids:
         yield shard()
+    word_hashes.clear()  # the worker lives on
 
 
 def build_index(docs: DataFrame) -> DataFrame:
@@ -87,8 +89,9 @@ class Shard:
         self.terms, self.doc = np.frombuffer(row.terms, np.uint64), np.frombuffer(row.doc, np.uint16).astype(np.int64)
         starts, tf = np.frombuffer(row.starts, np.int64), np.frombuffer(row.tf, np.uint32).astype(np.float64)
         self.impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * lengths / max(mean_length, 1e-9)))[self.doc])
-        term_of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(self.doc)]))
-        cell = term_of * (len(self.docs) // BLOCK + 1) + self.doc // BLOCK
+        del tf
+        cell = np.repeat(np.arange(len(starts)) * (len(self.docs) // BLOCK + 1), np.diff(np.r_[starts, len(self.doc)]))
+        cell += self.doc // BLOCK
         self.begin = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
         self.count = np.diff(np.r_[self.begin, len(cell)])
         self.block = self.doc[self.begin] // BLOCK
@@ -158,6 +161,15 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """
     spark = docs.sparkSession
     index = build_index(docs)
+    held = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, "2")  # a row of the index is a whole shard
+    try:
+        return _top_k(spark, index, queries, k)
+    finally:
+        spark.conf.set(_BATCH, held)
+
+
+def _top_k(spark: SparkSession, index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     def sizes(batches):
         for frame in batches:
