@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom.functions.columns import two_decimals
 from tickloom.functions import scoring as S
 
 
@@ -108,3 +109,9 @@ def test_scan_scores(spark, row, buy, sell, why):
     r = spark.createDataFrame([row], TECH).select(b.alias("b"), s.alias("s"), reasons.alias("w")).first()
     assert (r.b, r.s) == (pytest.approx(buy), pytest.approx(sell))
     assert why in r.w
+
+
+def test_two_decimals_round_by_the_exact_binary_value(spark):
+    values = [i / 1000 for i in range(0, 1001)] + [0.125, 0.375, 0.625, 0.875, 1.0]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", two_decimals(F.col("x")).alias("t")).collect()
+    assert [r.t for r in got] == [f"{r.x:.2f}" for r in got]

@@ -24,8 +24,7 @@ def test_store_round_trip_and_top_up(spark, tmp_path):
     incoming = bars_of(spark, [7200, 10_800], close=2.0).unionByName(bars_of(spark, [86_400 * 3], "q"))
     report = {r.product_id: (r.new_bars, r.total_bars) for r in store.backfill_report(store.read_bars(spark, path), incoming).collect()}
     assert report == {"p": (1, 4), "q": (1, 1)}
-    merged = store.merge_history(store.read_bars(spark, path), incoming)
-    store.write_bars(spark.createDataFrame(merged.collect(), merged.schema), path, "ONE_HOUR")
+    store.write_bars(store.new_bars(store.read_bars(spark, path), incoming), path, "ONE_HOUR")
     got = {(r.product_id, int(r.start.timestamp())): r.close for r in store.read_bars(spark, path).collect()}
     assert got == {("p", 0): 1.0, ("p", 3600): 1.0, ("p", 7200): 1.0, ("p", 10_800): 2.0, ("q", 86_400 * 3): 1.0}
     assert store.read_bars(spark, path, "FIVE_MINUTE", ["p"]).count() == 2
@@ -34,6 +33,18 @@ def test_store_round_trip_and_top_up(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(granularity" in plan and "PushedFilters" in plan and "product_id" in plan
 
 
+def test_writer_leaves_other_bars_and_keeps_the_last_arrival(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    store.write_bars(bars_of(spark, [0, 3600]).unionByName(bars_of(spark, [0, 3600, 86_400], "q")), path, "ONE_HOUR")
+    late = bars_of(spark, [3600], "q", 7.0).withColumn("n", F.lit(2)).unionByName(bars_of(spark, [3600, 7200], "q", 8.0).withColumn("n", F.lit(1)))
+    for _ in range(2):  # a rerun changes nothing
+        store.write_bars(late, path, "ONE_HOUR", "n")
+        got = sorted((r.product_id, int(r.start.timestamp()), r.close) for r in store.read_bars(spark, path).collect())
+        assert got == [("p", 0, 1.0), ("p", 3600, 1.0), ("q", 0, 1.0), ("q", 3600, 7.0), ("q", 7200, 8.0), ("q", 86_400, 1.0)]
+    store.write_bars(late.where("n > 9"), path, "ONE_HOUR", "n")
+    assert store.read_bars(spark, path).count() == 6
+
+
 def test_dedupe_keeps_first_or_last(spark):
     df = bars_of(spark, [0, 0, 60]).withColumn("n", F.monotonically_increasing_id()).withColumn("close", F.col("n").cast("double"))
     ordered = sorted(r.n for r in df.where(F.unix_seconds("start") == 0).collect())

@@ -26,3 +26,15 @@ def rounded(value: Column, digits: int = 6) -> Column:
 def single(value: Column) -> Column:
     """Single precision without negative zero."""
     return F.when(F.abs(value) < 5e-10, 0.0).otherwise(value.cast("float").cast("double"))
+
+
+def two_decimals(x: Column) -> Column:
+    """Text of a moderate ``x`` with two decimals; a value beside a half cent is rounded by its exact binary value, as ``%.2f``
+    does in most languages, where Java's formatter rounds its shortest decimal form."""
+    half_cents = F.rint(x * 200)
+    # Products with powers of two are exact, and so are the differences near zero.
+    gap = ((half_cents - x * 128) - x * 64) - x * 8
+    odd = (half_cents.cast("long") % 2) != 0
+    down = F.floor(half_cents / 2)
+    cents = F.when(gap > 0, down).when(gap < 0, down + 1).otherwise(F.when(down % 2 == 0, down).otherwise(down + 1))
+    return F.format_string("%.2f", F.when(odd & (F.abs(gap) < 1e-9), cents / 100).otherwise(x))

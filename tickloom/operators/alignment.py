@@ -6,11 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.operators.blocks import TICK_BUCKET, running
 from tickloom.session import materialize
 
 C = F.col
+#: Into how many tasks the left rows of one time bucket are spread when the join has no other key.
+SPREAD = 32
 
 
 def asof_join(
@@ -26,6 +29,8 @@ def asof_join(
     Meant for references of a fixed cadence (bars, funding events, macro rows), where
     ``bucket_seconds`` bounds the array; ``asof_scan`` takes references of any density.
 
+    Without keys all left rows of a bucket would meet in one task: they are spread over ``SPREAD`` copies of the folded reference.
+
     ``seed_first`` gives rows before the first reference row that first row's values;
     ``max_age_seconds`` turns older matches into null.
     """
@@ -40,7 +45,8 @@ def asof_join(
         folded_in, constant = ref, []
     else:
         folded_in, constant = ref.withColumn("__one", F.lit(1)), ["__one"]
-        left = left.withColumn("__one", F.lit(1))
+        plain = [f.name for f in left.schema if not isinstance(f.dataType, (T.MapType, T.StructType, T.ArrayType))]
+        left = left.withColumn("__one", F.pmod(F.xxhash64(*plain), F.lit(SPREAD)).cast("int"))
     keys = on + constant
     folded = folded_in.groupBy(*keys, bucket(ref_ts).alias("__b")).agg(
         F.array_sort(F.collect_list(pick)).alias("__rows"))
@@ -61,7 +67,9 @@ def asof_join(
         F.min_by(F.element_at("__rows", 1), C("__b")).alias("__first"),
     )
     if constant:
-        ends = F.broadcast(ends)  # exactly one row
+        copies = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
+        table = table.withColumn("__one", copies)
+        ends = F.broadcast(ends.withColumn("__one", copies))  # SPREAD rows
     joined = (
         left.withColumn("__b", bucket(left_ts))
         .join(table, [*keys, "__b"], "left")

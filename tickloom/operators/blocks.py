@@ -62,14 +62,10 @@ def running(
         return _REDUCE[kind](v)
 
     totals = values.groupBy(*keys, *buckets).agg(*[total(n, k).alias(f"__c_{n}") for n, (k, _) in aggs.items()])
-    before = Window.partitionBy(*keys).orderBy(*buckets).rowsBetween(_FIRST, -1)
-    carry = totals.select(
-        *keys, *buckets,
-        *[(F.last(f"__c_{n}", ignorenulls=True) if k == "last" else _SCAN[k](f"__c_{n}")).over(before).alias(f"__c_{n}")
-          for n, (k, _) in aggs.items()],
-    )
+    carry = _carried(totals, keys, buckets, {n: k for n, (k, _) in aggs.items()})
     inside = Window.partitionBy(*keys, *buckets).orderBy(*order).rowsBetween(_FIRST, 0 if inclusive else -1)
-    local = values.withColumns({
+    # Dealt by key and bucket even when the input happens to be dealt by the key alone, which would satisfy the window.
+    local = values.repartition(*[F.col(c) for c in (*keys, *buckets)]).withColumns({
         f"__l_{n}": (F.last(f"__v_{n}", ignorenulls=True) if k == "last" else _REDUCE[k](f"__v_{n}")).over(inside)
         for n, (k, _) in aggs.items()
     })
@@ -80,6 +76,33 @@ def running(
     )
 
 
+def _carried(totals: DataFrame, keys: list[str], buckets: list[str], kinds: dict[str, str]) -> DataFrame:
+    """Bucket totals to the totals of all earlier buckets. With several bucket columns the first one is scanned over its own
+    totals and the others inside it, so no task holds all buckets of a key."""
+
+    def scan(df: DataFrame, over: list[str], by: list[str]) -> DataFrame:
+        before = Window.partitionBy(*over).orderBy(*by).rowsBetween(_FIRST, -1)
+        return df.withColumns({
+            f"__c_{n}": (F.last(f"__c_{n}", ignorenulls=True) if k == "last" else _SCAN[k](f"__c_{n}")).over(before) for n, k in kinds.items()})
+
+    if len(buckets) == 1:
+        return scan(totals, keys, buckets)
+    first, rest = buckets[0], buckets[1:]
+
+    def total(n: str, k: str) -> Column:
+        c = F.col(f"__c_{n}")
+        return F.max_by(c, F.when(c.isNotNull(), F.struct(*rest))) if k == "last" else _SCAN[k](c)
+
+    outer = scan(totals.groupBy(*keys, first).agg(*[total(n, k).alias(f"__c_{n}") for n, k in kinds.items()]), keys, [first])
+    outer = outer.select(*keys, first, *[F.col(f"__c_{n}").alias(f"__o_{n}") for n in kinds])
+    merged = _carried(totals, [*keys, first], rest, kinds).join(outer, [*keys, first])
+    both = {
+        f"__c_{n}": F.coalesce(F.col(f"__c_{n}"), F.col(f"__o_{n}")) if k == "last" else _merge(k, F.col(f"__o_{n}"), F.col(f"__c_{n}"))
+        for n, k in kinds.items()
+    }
+    return merged.withColumns(both).drop(*[f"__o_{n}" for n in kinds])
+
+
 def row_index(df: DataFrame, keys: Sequence[str], buckets: Sequence[str], order: Sequence[str], name: str = "idx") -> DataFrame:
     """Zero-based position of every row inside its key, without sorting a key in one task."""
     return running(df, keys, buckets, order, {name: ("count", F.lit(1))}).withColumn(name, (F.col(name) - 1).cast("long"))

@@ -203,18 +203,23 @@ def feature_inputs(bars: DataFrame, reference: DataFrame | None = None, funding:
     return df
 
 
+def _dealt(blocks: DataFrame) -> DataFrame:
+    """Dealt by product and block: the as-of joins leave rows dealt by product alone, which would satisfy all later windows."""
+    return blocks.repartition(C("product_id"), C("block"))
+
+
 def dataset(
     bars: DataFrame, reference: DataFrame | None = None, funding: DataFrame | None = None, bars_5m: DataFrame | None = None,
     seq_len: int = WINDOW, horizon: int = 4, dead_zone: float = 0.003, precision: str = "float",
 ) -> DataFrame:
     """Windows, labels and weights of every sample: features look back, labels look ahead."""
-    df = halo(feature_inputs(bars, reference, funding, bars_5m), before=seq_len, after=2 * horizon)
+    df = _dealt(halo(feature_inputs(bars, reference, funding, bars_5m), before=seq_len, after=2 * horizon))
     return assemble(per_bar_channels(label_blocks(df, seq_len, horizon, dead_zone=dead_zone)), seq_len, precision=precision)
 
 
 def feature_windows(bars: DataFrame, reference: DataFrame | None = None, funding: DataFrame | None = None, bars_5m: DataFrame | None = None, pad_short: bool = False) -> DataFrame:
     """Windows at every bar (for scoring)."""
-    df = halo(feature_inputs(bars, reference, funding, bars_5m), before=WINDOW)
+    df = _dealt(halo(feature_inputs(bars, reference, funding, bars_5m), before=WINDOW))
     return assemble(per_bar_channels(df), samples_only=False, pad_short=pad_short)
 
 

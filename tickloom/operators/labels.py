@@ -156,9 +156,15 @@ def fingerprint(bars: DataFrame, **parameters: object) -> DataFrame:
     line = F.concat_ws("|", "product_id", C("n").cast("string"), F.unix_seconds("a").cast("string"),
                        F.unix_seconds("b").cast("string"), F.format_string("%.6f", "c"))
     head = ";".join(f"{k}={v}" for k, v in sorted(parameters.items()))
-    # One short digest per product, so the final sort handles 64 characters per product only.
-    digests = per_key.select(F.sha2(line, 256).alias("d"))
-    return digests.agg(F.sha2(F.concat_ws("#", F.lit(head), F.array_join(F.array_sort(F.collect_list("d")), ",")), 256).alias("fingerprint"))
+    # Digests of products are folded by their first five characters, then by three, so the last row holds at most 4096 of them.
+    digests = per_key.select(F.sha2(line, 256).alias("d"), F.sha2(line, 256).substr(1, 5).alias("p"))
+
+    def folded(d: DataFrame, prefix: int) -> DataFrame:
+        joined = F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ","), 256)
+        return d.groupBy("p").agg(joined.alias("d")).select("d", C("p").substr(1, prefix).alias("p"))
+
+    top = folded(folded(digests, 3), 0)
+    return top.agg(F.sha2(F.concat_ws("#", F.lit(head), F.array_join(F.array_sort(F.collect_list("d")), ",")), 256).alias("fingerprint"))
 
 
 def sample_positions(samples: DataFrame, key: str = "product_id", index: str = "idx", width: int = 4096) -> DataFrame:

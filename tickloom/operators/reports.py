@@ -166,11 +166,11 @@ def volume_share(tickers: DataFrame, prefix: str, symbol: str = "symbol", volume
 
 
 def nearest_strike_iv(options: DataFrame, spot: str = "spot", keys: Sequence[str] = ("currency",)) -> DataFrame:
-    """IV of the call whose strike is nearest the spot price, as a fraction."""
+    """IV of the call whose strike is nearest the spot price, as a fraction; ties go to the lower strike, then the lower IV."""
     strike = F.try_element_at(F.split("instrument", "-"), F.lit(3)).try_cast("double")
     calls = options.where(C("instrument").endswith("-C") & C("mark_iv").isNotNull()).withColumn("strike", strike)
     return calls.where(C("strike").isNotNull()).groupBy(*keys).agg(
-        (F.min_by("mark_iv", F.struct(F.abs(C("strike") - C(spot)), C("strike"))) / 100).alias("atm_iv"))
+        (F.min_by("mark_iv", F.struct(F.abs(C("strike") - C(spot)), C("strike"), C("mark_iv"))) / 100).alias("atm_iv"))
 
 
 def regime_metrics(scored: DataFrame, key: str = "regime") -> DataFrame:

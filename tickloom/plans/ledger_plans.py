@@ -207,15 +207,14 @@ def volume_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("agg14_nearest_strike_iv", "WITH o AS (SELECT p_brand AS currency, p_partkey, p_size * 100 AS strike, p_retailprice / 20 AS iv, CASE WHEN p_partkey % 3 = 0 THEN 'P' ELSE 'C' END AS kind FROM part), "
-       "x AS (SELECT currency, strike, iv FROM o WHERE kind = 'C' AND iv IS NOT NULL AND strike % 700 <> 0) "
+       "x AS (SELECT currency, strike, iv FROM o WHERE kind = 'C' AND iv IS NOT NULL) "
        f"SELECT currency, {_r(atm_iv='arg_min(iv, (abs(strike - 2025), strike, iv)) / 100', digits=6)} FROM x GROUP BY 1")
 def nearest_strike(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Option chain from parts: strikes from sizes, IV from prices, a third of them puts."""
-    part = domain.table(spark, sf_dir, "part").where(C("p_size") * 100 % 700 != 0)
+    part = domain.table(spark, sf_dir, "part")
     name = F.concat_ws("-", "p_brand", F.lit("27DEC"), (C("p_size") * 100).cast("string"), F.when(C("p_partkey") % 3 == 0, "P").otherwise("C"))
     chain = part.select(C("p_brand").alias("currency"), name.alias("instrument"), (C("p_retailprice") / 20).alias("mark_iv"), F.lit(2025.0).alias("spot"))
-    cheapest = chain.groupBy("currency", "instrument", "spot").agg(F.min("mark_iv").alias("mark_iv"))
-    return _round(reports.nearest_strike_iv(cheapest), ["currency"], "atm_iv", digits=6)
+    return _round(reports.nearest_strike_iv(chain), ["currency"], "atm_iv", digits=6)
 
 
 # -- model quality -------------------------------------------------------------------------
@@ -340,14 +339,18 @@ def average_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("join12_positions_from_balances", "WITH ac AS (SELECT CASE WHEN c_custkey % 50 = 0 THEN 'USDC' ELSE 'C' || c_custkey END AS currency, greatest(c_acctbal, 0) AS available, CASE WHEN c_custkey % 2 = 0 THEN 5.0 END AS hold FROM customer), "
-       "pr AS (SELECT 'C' || p_partkey || '-USD' AS product_id, p_retailprice AS price FROM part), ps AS (SELECT currency || '-USD' AS product_id, available + coalesce(hold, 0) AS size FROM ac WHERE currency <> 'USDC') "
-       f"SELECT ps.product_id, {_r('size', current_value='size * price', cash_pnl='0.0')} FROM ps JOIN pr ON ps.product_id = pr.product_id WHERE size > 0")
+       "pr AS (SELECT 'C' || p_partkey || '-USD' AS product_id, p_retailprice AS price FROM part), ps AS (SELECT currency || '-USD' AS product_id, available + coalesce(hold, 0) AS size FROM ac WHERE currency <> 'USDC'), "
+       "co AS (SELECT 'C' || l_partkey || '-USD' AS product_id, sum(l_extendedprice) / sum(l_quantity) AS avg_price FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1) "
+       f"SELECT ps.product_id, {_r('size', current_value='size * price', cash_pnl='size * price - size * coalesce(avg_price, price)')} FROM ps JOIN pr ON ps.product_id = pr.product_id LEFT JOIN co ON ps.product_id = co.product_id WHERE size > 0")
 def positions_from_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
     accounts = domain.table(spark, sf_dir, "customer").select(
         F.when(C("c_custkey") % 50 == 0, "USDC").otherwise(F.concat(F.lit("C"), C("c_custkey").cast("string"))).alias("currency"),
         F.greatest(C("c_acctbal"), F.lit(0.0)).alias("available"), F.when(C("c_custkey") % 2 == 0, 5.0).alias("hold"))
     prices = domain.table(spark, sf_dir, "part").select(F.concat(F.lit("C"), C("p_partkey").cast("string"), F.lit("-USD")).alias("product_id"), C("p_retailprice").alias("price"))
-    costs = prices.select("product_id", F.lit(None).cast("double").alias("avg_price"))
+    fills = domain.table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("C"), C("l_partkey").cast("string"), F.lit("-USD")).alias("product_id"), F.when(C("l_returnflag") == "N", "BUY").otherwise("SELL").alias("side"),
+        (C("l_extendedprice") / C("l_quantity")).alias("avg_fill_price"), C("l_quantity").alias("filled_size"))
+    costs = ledger.average_cost(fills)
     return _round(ledger.positions_from_balances(accounts, prices, costs), ["product_id"], "size", "current_value", "cash_pnl")
 
 
@@ -412,12 +415,12 @@ def atr_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("pos6_tick_entries", f"WITH {T}, sc AS (SELECT product_id, ts AS score_ts, volume / 100 AS buy_score, seq AS sq FROM ticks WHERE seq % 3 = 0), tk AS (SELECT * FROM ticks WHERE seq % 3 <> 0), "
        "j AS (SELECT tk.*, sc.score_ts, sc.buy_score FROM tk ASOF JOIN sc ON tk.product_id = sc.product_id AND tk.ts >= sc.score_ts) "
-       f"SELECT product_id, min(seq) AS seq, {_r(buy_score='min(buy_score)', fraction='least(0.15, least(0.25, greatest(0, 2 * min(buy_score) - 1)))')} FROM (SELECT * FROM j WHERE buy_score >= 0.55 QUALIFY row_number() OVER (PARTITION BY product_id, score_ts ORDER BY ts, seq) = 1) GROUP BY product_id, score_ts")
+       f"SELECT product_id, min(seq) AS seq, {_r(buy_score='min(buy_score)', fraction='least(0.15, least(0.25, greatest(0, 2 * min(buy_score) - 1)))')} FROM (SELECT * FROM j WHERE buy_score >= 0.55 AND seq % 7 >= 3 QUALIFY row_number() OVER (PARTITION BY product_id, score_ts ORDER BY ts, seq) = 1) GROUP BY product_id, score_ts")
 def tick_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = domain.ticks(spark, sf_dir)
     scores = t.where("seq % 3 = 0").select("product_id", C("ts").alias("score_ts"), (C("volume") / 100).alias("buy_score"))
     live = asof_scan(t.where("seq % 3 <> 0"), scores, ["product_id"], "ts", "score_ts", ["buy_score"])
-    live = live.withColumnRenamed("score_ts_matched", "score_ts").withColumn("holding", F.lit(False))
+    live = live.withColumnRenamed("score_ts_matched", "score_ts").withColumn("holding", C("seq") % 7 < 3)
     return _round(ledger.tick_entries(live), ["product_id", "seq"], "buy_score", "fraction")
 
 
@@ -472,7 +475,7 @@ def resolve_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LESSON = "'TECH ' || side || ' conf=' || printf('%.2f', confidence) || ' RSI=' || printf('%.0f', rsi) || ' BB=' || printf('%.2f', bb_pos) || ' MACD=' || CASE WHEN macd_hist > 0 THEN 'bull' ELSE 'bear' END || ' → ' || printf('%+.1f', raw * 100) || '% after 4h [' || outcome || ']'"
 
 
-@query("out3_lesson_text")
+@query("out3_lesson_text", f"{_RESOLVE} SELECT product_id, idx, {_LESSON} AS lesson FROM oc")
 def lesson_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.resolve(pending(spark, sf_dir), domain.bars(spark, sf_dir)).select("product_id", C("seq").alias("idx"), "lesson")
 

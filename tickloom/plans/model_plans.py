@@ -214,8 +214,9 @@ def class_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("ds9_fingerprint", f"WITH {T}, {B}, k AS (SELECT product_id, count(*) AS n, min(start) AS a, max(start) AS b, arg_max(close, start) AS c FROM bars GROUP BY 1), "
-       "d AS (SELECT sha256(product_id || '|' || n || '|' || a || '|' || b || '|' || printf('%.6f', c)) AS d FROM k) "
-       "SELECT sha256('horizon=4;seq_len=60;version=7' || '#' || string_agg(d, ',' ORDER BY d)) AS fingerprint FROM d")
+       "d AS (SELECT sha256(product_id || '|' || n || '|' || a || '|' || b || '|' || printf('%.6f', c)) AS d FROM k), "
+       "d1 AS (SELECT left(d, 5) AS p, sha256(string_agg(d, ',' ORDER BY d)) AS d FROM d GROUP BY 1), d2 AS (SELECT left(p, 3) AS p, sha256(string_agg(d, ',' ORDER BY d)) AS d FROM d1 GROUP BY 1) "
+       "SELECT sha256('horizon=4;seq_len=60;version=7' || '#' || string_agg(d, ',' ORDER BY d)) AS fingerprint FROM d2")
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.fingerprint(domain.bars(spark, sf_dir), seq_len=60, horizon=4, version=7)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from tickloom.operators import alignment, filters
 from tickloom.plans import domain, sqlparts as q
 from tickloom.plans.registry import query
 from tickloom.sources import bars as store
+from tickloom.session import shared_dir
 from tickloom.sources import messages
 
 C = F.col
@@ -71,6 +74,32 @@ def backfill_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.backfill_report(existing, incoming).select("product_id", "new_bars", "total_bars", _start("oldest", "oldest"))
 
 
+def top_up(spark: SparkSession, sf_dir: str) -> str:
+    """A store of the first three weeks, topped up with everything from the second week on, every other product one dearer."""
+    existing, incoming = history(spark, sf_dir)
+    path = f"{shared_dir(spark)}/bars-{uuid.uuid4().hex}"
+    store.write_bars(existing, path, "ONE_HOUR")
+    dearer = incoming.where(C("product_id").isin("click", "error", "view"))
+    store.write_bars(dearer.withColumn("close", C("close") + 1), path, "ONE_HOUR")
+    store.write_bars(store.new_bars(store.read_bars(spark, path), incoming), path, "ONE_HOUR")
+    return path
+
+
+_TOPPED = f"{_SPLIT}, up AS (SELECT product_id, start, open, high, low, close + CASE WHEN product_id IN ('click', 'error', 'view') AND start >= t0 + 604800 THEN 1 ELSE 0 END AS close, volume FROM bars, lim)"
+
+
+@query("src1_src3_src4_store_top_up", f"WITH {_TOPPED} SELECT product_id, start, {q.cols(**{c: c for c in OHLCV})} FROM up")
+def store_top_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = store.read_bars(spark, top_up(spark, sf_dir), "ONE_HOUR")
+    return bars.select("product_id", _start(), *[rounded(C(c)).alias(c) for c in OHLCV])
+
+
+@query("src2_stored_products", f"WITH {_TOPPED} SELECT product_id, start, {q.cols(close='close')} FROM up WHERE product_id IN ('click', 'signup')")
+def stored_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = store.read_bars(spark, top_up(spark, sf_dir), "ONE_HOUR", ["click", "signup"])
+    return bars.select("product_id", _start(), rounded(C("close")).alias("close"))
+
+
 @query("src5_backfill_summary", f"WITH {_SPLIT}, u AS (SELECT product_id, start FROM ex UNION SELECT product_id, start FROM inc) "
        "SELECT count(DISTINCT product_id) AS products, (count(*) - (SELECT count(*) FROM ex))::BIGINT AS new_bars, count(*)::BIGINT AS total_bars FROM u")
 def backfill_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,12 +76,12 @@ def shared_dir(spark: SparkSession) -> str | None:
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of a frame that several later steps read.
 
-    Written as a reliable checkpoint to the shared folder; a cluster that names none recomputes.
+    Written as a reliable checkpoint to the shared folder; a cluster has to name one.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = shared_dir(df.sparkSession)
         if folder is None:
-            return df
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

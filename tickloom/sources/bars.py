@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom import schemas
+from tickloom.session import materialize
 
 # Bar granularities and their length in seconds.
 GRANULARITY_SECONDS = {
@@ -50,14 +51,25 @@ def dedupe_bars(bars: DataFrame, arrival: str, keep: str = "last") -> DataFrame:
     )
 
 
-def write_bars(bars: DataFrame, path: str, granularity: str) -> None:
-    """Store bars by granularity and day, sorted by product and time inside each file.
+def write_bars(bars: DataFrame, path: str, granularity: str, arrival: str | None = None) -> None:
+    """Add bars to the store, by granularity and day, sorted by product and time inside each file.
 
-    Only the partitions present in ``bars`` are replaced, so a re-run is safe.
+    The store keeps one bar per ``(product_id, start)``: a new bar replaces a stored one, and of several new ones the last
+    by ``arrival`` stays (without it, the greatest by its values, so reruns agree). The days that ``bars`` touches are read,
+    merged and written to a reliable checkpoint before they are replaced, so all other bars of those days stay. One writer at a time.
     """
+    spark, values = bars.sparkSession, [c for c in schemas.BAR.fieldNames() if c not in ("product_id", "start")]
+    bar = F.struct(*values)
+    newest = F.struct(F.col(arrival), bar) if arrival else bar
+    fresh = bars.groupBy("product_id", "start").agg(F.max_by(bar, newest).alias("bar"), F.lit(1).alias("side"))
+    fresh = materialize(fresh.withColumn("day", F.to_date("start")))
+    days = [r.day for r in fresh.select("day").distinct().collect()]  # at most one a calendar day
+    stored = _stored(spark, path, granularity).where(F.col("day").isin(days)) if days else _stored(spark, path, granularity)
+    held = stored.select("product_id", "start", bar.alias("bar"), F.lit(0).alias("side"), "day")
+    merged = held.unionByName(fresh).groupBy("product_id", "start", "day").agg(F.max_by("bar", "side").alias("bar"))
     (
-        bars.withColumn("granularity", F.lit(granularity))
-        .withColumn("day", F.to_date("start"))
+        materialize(merged.select("product_id", "start", "bar.*", "day"))
+        .withColumn("granularity", F.lit(granularity))
         .repartitionByRange("day", "product_id", "start")
         .sortWithinPartitions("day", "product_id", "start")
         .write.mode("overwrite")
@@ -73,11 +85,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def _stored(spark: SparkSession, path: str, granularity: str) -> DataFrame:
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schemas.BAR_TABLE)
+    return spark.read.schema(schemas.BAR_TABLE).parquet(path).where(F.col("granularity") == granularity)
+
+
 def read_bars(spark: SparkSession, path: str, granularity: str = "ONE_HOUR", products: Sequence[str] | None = None) -> DataFrame:
     """Stored bars of one granularity; a store that does not exist yet reads as empty."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], schemas.BAR)
-    bars = spark.read.schema(schemas.BAR_TABLE).parquet(path).where(F.col("granularity") == granularity)
+    bars = _stored(spark, path, granularity)
     if products is not None:
         bars = bars.where(F.col("product_id").isin(list(products)))
     return bars.select(*schemas.BAR.fieldNames())

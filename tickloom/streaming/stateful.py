@@ -230,16 +230,16 @@ class ResolveOutcomes(StatefulProcessor):
         limit = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         closes, pending = self._load()
         times = [at for at, _ in closes]
-        out = []
+        out, waiting = [], []
         for due, seq, side, entry in pending:
             i = bisect.bisect_right(times, due)
-            if due > limit or i == 0:
+            if due > limit or i == 0:  # not due, or no close known yet
+                waiting.append((due, seq, side, entry))
                 continue
             raw = (closes[i - 1][1] - entry) / max(entry, 1e-9)
             change = -raw if side == "SELL" else raw
             verdict = "WIN" if change > self.win else "LOSS" if change < -self.loss else "NEUTRAL"
             out.append((key[0], seq, side, closes[i - 1][1], change, verdict))
-        waiting = [p for p in pending if p[0] > limit]
         oldest = waiting[0][0] if waiting else limit
         self._store(closes[max(bisect.bisect_right(times, oldest) - 1, 0):], waiting)
         if out:
