@@ -46,7 +46,7 @@ class Encoder:
     Any other tokenizer encodes whole texts. The memory is emptied beyond ``limit`` chunks.
     """
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

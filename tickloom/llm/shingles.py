@@ -17,7 +17,7 @@ class _Words(dict):
     """Hash of every word seen; emptied when it grows large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word)
         return found
