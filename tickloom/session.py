@@ -15,6 +15,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Python workers hold a few batches at a time; rows may carry whole texts.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
