@@ -234,6 +234,21 @@ def test_near_copies_against_brute_force(docs, rows):
         assert len(set(root.values())) < len(root) - 2
 
 
+def test_near_copies_at_the_threshold_in_large_nodes(spark):
+    """Pairs of exactly 0.8 whose boilerplate puts all documents into large nodes; other pairs are at 280 / 440."""
+    rng, n = random.Random(11), 900
+    boiler, texts = [f"b{i}" for i in range(280)], []
+    for i in range(n):
+        for side in "xy":
+            own = boiler + [f"c{i}.{j}" for j in range(40)] + [f"{side}{i}.{j}" for j in range(40)]
+            rng.shuffle(own)
+            texts.append((2 * i + (side == "y"), " ".join(own)))
+    got = neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(8), width=1).collect()
+    assert len(got) == 2 * n and all(r["component_id"] in (r["doc_id"], r["doc_id"] - r["doc_id"] % 2) for r in got)
+    lost = sum(r["kept"] for r in got) - n
+    assert lost <= 0.004 * n, lost
+
+
 def test_packing_round_trip(docs, rows):
     path = packing.word_tokenizer()
     from tokenizers import Tokenizer

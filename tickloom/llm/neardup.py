@@ -17,10 +17,10 @@ from tickloom.llm.shingles import COORDS, mix, shingle_set, similar, sketch
 C = F.col
 #: Independent trees, the depth all paths have, how deep large nodes go on, and the size from which a node is large.
 TREES, DEPTH, MAX_DEPTH, NODE = 8, 4, 10, 256
-#: How far below the threshold an estimated similarity may lie for the pair to be confirmed (3.4 standard errors at 0.8).
-SLACK = 0.085
-#: Coordinates of the sketch that the trees branch on.
-BRANCHED = 128
+#: Trees for the documents of large nodes: a tree keeps fewer pairs the deeper it goes, 36 in 100 at ``MAX_DEPTH``.
+DEEP_TREES = 18
+#: How far below the threshold an estimated similarity may lie for the pair to be confirmed (4.8 standard errors at 0.8).
+SLACK = 0.12
 #: Documents of a large node that meet all others of it.
 PIVOTS = 3
 
@@ -43,8 +43,8 @@ def _features(width: int):
                 sign = _sign(x)
                 if sign not in known:
                     low = sketch(x)
-                    # A byte of each minwise token is enough to compare sketches.
-                    known[sign] = low[:BRANCHED].tobytes(), low.astype(np.uint8).tobytes()
+                    # Two bytes of each minwise token are enough to branch on, and one to compare sketches.
+                    known[sign] = low.astype(np.uint16).tobytes(), low.astype(np.uint8).tobytes()
                 n.append(sign[0])
                 s1.append(sign[1])
                 s2.append(sign[2])
@@ -60,23 +60,26 @@ def _branch(row: np.ndarray, path: np.ndarray, sketches: np.ndarray, levels: int
     the child of its minwise token there. Two documents as similar as 1 / (1 + more) expect to share as many nodes a level deeper."""
     for _ in range(levels):
         h = mix(path)
-        first = (h % np.uint64(BRANCHED)).astype(np.int64)
-        second = ((h >> np.uint64(8)) % np.uint64(BRANCHED - 1)).astype(np.int64) + 1 + first
+        first = (h % np.uint64(COORDS)).astype(np.int64)
+        second = ((h >> np.uint64(8)) % np.uint64(COORDS - 1)).astype(np.int64) + 1 + first
         also = (h >> np.uint64(32)) < np.uint64(int(more * 2**32))
-        coord = np.r_[first, second[also] % BRANCHED]
+        coord = np.r_[first, second[also] % COORDS]
         row, path = np.r_[row, row[also]], np.r_[path, path[also]]
         path = mix(path ^ mix(sketches[row, coord].astype(np.uint64) + (coord.astype(np.uint64) << np.uint64(40))))
     return row, path
 
 
-def _paths(levels: int, more: float, roots: bool):
+def _paths(levels: int, more: float, trees: tuple[int, int] | None = None):
+    """Walk down from the roots of the trees of a range, or from the paths at hand."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             if frame.empty:
                 continue
-            sketches = np.frombuffer(b"".join(frame["sketch"]), np.uint32).reshape(-1, BRANCHED)
-            if roots:
-                row, path = np.repeat(np.arange(len(frame)), TREES), np.tile(mix(np.arange(1, TREES + 1, dtype=np.uint64)), len(frame))
+            sketches = np.frombuffer(b"".join(frame["sketch"]), np.uint16).reshape(-1, COORDS)
+            if trees:
+                roots = mix(np.arange(trees[0] + 1, trees[1] + 1, dtype=np.uint64))
+                row, path = np.repeat(np.arange(len(frame)), len(roots)), np.tile(roots, len(frame))
             else:
                 row, path = np.arange(len(frame)), frame["path"].to_numpy().view(np.uint64)
             row, path = _branch(row, path, sketches, levels, more)
@@ -86,19 +89,28 @@ def _paths(levels: int, more: float, roots: bool):
 
 
 def _nodes(reps: DataFrame, more: float) -> DataFrame:
-    """``path, rep, size``: the nodes of two documents or more. Nodes over ``NODE`` go on to branch until ``MAX_DEPTH``."""
-    rows = staged(reps.select("rep", "sketch").mapInPandas(_paths(DEPTH, more, True), "path long, rep long").distinct(), "paths")
-    done, depth = None, DEPTH
-    while True:
+    """``path, rep, size``: the nodes of two documents or more. Nodes over ``NODE`` go on to branch until ``MAX_DEPTH``.
+
+    What a tree loses on the way down, further trees make up for: documents of a large node walk ``DEEP_TREES`` of them.
+    """
+
+    def walked(rows: DataFrame, levels: int, trees: tuple[int, int] | None = None) -> DataFrame:
+        rows = staged(rows.mapInPandas(_paths(levels, more, trees), "path long, rep long").distinct(), "paths")
         sizes = rows.groupBy("path").agg(F.count("*").alias("size")).where(C("size") > 1)
-        sized = staged(rows.join(sizes, "path"), "nodes")
+        return staged(rows.join(sizes, "path"), "nodes")
+
+    sketches = reps.select("rep", "sketch")
+    sized, done, depth = walked(sketches, DEPTH, (0, TREES)), None, DEPTH
+    if not sized.where(C("size") > NODE).isEmpty():
+        crowd = sketches.join(sized.where(C("size") > NODE).select("rep").distinct(), "rep", "left_semi")
+        sized = sized.unionByName(walked(crowd, DEPTH, (TREES, DEEP_TREES)))
+    while True:
         last = depth >= MAX_DEPTH or sized.where(C("size") > NODE).isEmpty()
         small = sized if last else sized.where(C("size") <= NODE)
         done = small if done is None else done.unionByName(small)
         if last:
             return done
-        large = sized.where(C("size") > NODE).select("path", "rep").join(reps.select("rep", "sketch"), "rep")
-        rows = staged(large.mapInPandas(_paths(2, more, False), "path long, rep long").distinct(), "paths")
+        sized = walked(sized.where(C("size") > NODE).select("path", "rep").join(sketches, "rep"), 2)
         depth += 2
 
 
@@ -251,8 +263,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     do rows without a doc_id, whose component is null and which are not kept. Rows that share a doc_id are one node.
 
     Equal sets are folded to one representative. ``TREES`` independent trees branch representatives by selected minwise tokens;
-    a pair at the threshold shares a node of one tree in 58 of 100 cases, thus one of eight trees in 999 of 1000, and
-    more similar pairs more often. A node is compared exhaustively on sketches in blocks of ``NODE``. First a spanning forest of
+    a pair at the threshold shares a node of one tree in 58 of 100 cases, thus one of eight trees in 998 of 1000, and
+    more similar pairs more often. Where large nodes branch deeper, down to 36 of 100, ``DEEP_TREES`` keep it at 998. A node is compared exhaustively on sketches in blocks of ``NODE``. First a spanning forest of
     each block's most similar pairs is confirmed on the full sets, so a group of near copies costs one confirmation a
     document instead of one a pair; then every document in reach of the threshold of another component meets all of its members. In nodes that stay
     large to ``MAX_DEPTH``, near copies throughout, ``PIVOTS`` documents meet all blocks at first, and then all documents outside the
