@@ -136,6 +136,16 @@ def test_toxicity_credits_sentences(spark):
     assert all(r["tox_score"] == 0 for r in got if not r["text"])
 
 
+def test_only_copies_are_folded_for_the_fit():
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    common = sorted(words, key=lambda w: zlib.crc32(w.encode()))[:2]
+    texts = [" ".join(common + rng.sample(words, 60)) for _ in range(50)]
+    copies = [texts[0], texts[1] + " tail", " ".join(sorted(texts[2].split()))]
+    got, labels = toxicity.one_of_each(texts + copies + texts[:1], [0] * 53 + [1])
+    assert sorted(got) == sorted(texts + texts[:1]) and sum(labels) == 1
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1500, 8)).astype(np.float32)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
 import re
-import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -12,17 +10,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import table, text_or_empty
 from tickloom.llm.registry import query
+from tickloom.llm.shingles import similar, sketch
 
 C = F.col
 #: Labelled rows the model is fitted on, at most, and words it knows, at most.
 FIT_ROWS, MAX_WORDS = 8000, 50_000
 #: A word is known if it is in so many of those rows and its share of toxic ones is so many standard errors off.
 MIN_ROWS, MIN_Z = 6, 4.0
+#: Rows that share so many per cent of their words are copies; minwise tokens looked at first.
+COPY, MINIMA = 80, 64
 #: A sentence offends from this score on.
 OFFENDS = 0.5
 
@@ -53,12 +55,20 @@ class SentenceModel:
 
 
 def one_of_each(texts: list[str], labels: list[int]) -> tuple[list[str], list[int]]:
-    """One of the rows that share their two smallest word hashes and the label: words of a much-copied text would look telling."""
-    kept = {}
+    """One of the rows that share a label and ``COPY`` per cent of their words: words of a much-copied text would look telling.
+
+    Rows kept so far are candidates if their minwise tokens agree; the whole word sets decide.
+    """
+    kept = {0: [], 1: []}
+    marks = {k: np.zeros((len(texts), MINIMA), np.uint16) for k in kept}
     for text, label in zip(texts, labels):
-        words = {zlib.crc32(w.encode()) for w in _WORD.findall(text.lower())}
-        kept.setdefault((label, *heapq.nsmallest(2, words)), text)
-    return list(kept.values()), [k[0] for k in kept]
+        words = np.unique(np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in set(_WORD.findall(text.lower()))], np.uint64))
+        own, known = sketch(words)[:MINIMA].astype(np.uint16), marks[label][: len(kept[label])]
+        near = np.flatnonzero((known == own).mean(1) >= COPY / 100 - 0.2) if len(known) else ()
+        if not any(len(words) == len(kept[label][i][1]) == 0 or similar(words, kept[label][i][1], COPY) for i in near):
+            marks[label][len(kept[label])] = own
+            kept[label].append((text, words))
+    return [t for k in kept for t, _ in kept[k]], [k for k in kept for _ in kept[k]]
 
 
 def fit(texts: list[str], labels: list[int], rounds: int = 200, rate: float = 0.1, shrink: float = 2e-4) -> SentenceModel:
