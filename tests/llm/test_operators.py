@@ -122,6 +122,24 @@ def test_tagger_gradients_and_other_forms():
     assert sum(bool(f) for (_, s), f in zip(made, found) if not s) <= 3
 
 
+def test_spans_longer_than_a_window_are_whole():
+    class Sure(Tagger):
+        def emissions(self, chars):
+            return 9 * np.stack([(chars != ord("b") + 1) & (chars != ord("x") + 1), chars == ord("b") + 1, chars == ord("x") + 1], 2).astype(np.float32)
+
+    places = [(k, n) for k in range(0, 100, 7) for n in (35, 60, 100, 500)]
+    found = personal.tagged_spans(Sure(3), ["-" * k + "b" + "x" * (n - 1) + "-" * 90 for k, n in places])
+    assert found == [[("email", k, k + n)] for k, n in places]
+
+
+def test_regions_end_at_blanks_beyond_the_form():
+    mail = "firstname.lastname (at) some-company (dot) example (dot) com"
+    for text in (f"write to {mail} please", "z" * 200 + f" {mail} " + "z" * 200, "q" * 100 + "7" + "q" * 100):
+        (a, b), = personal.regions(text)
+        assert (a == 0 or text[a - 1] == " ") and (b == len(text) or text[b] == " ")
+        assert mail not in text or mail in text[a:b]
+
+
 def test_toxicity_credits_sentences(spark):
     rng = random.Random(1)
     plain = lambda: " ".join(rng.choice("abcdefghij") * 3 for _ in range(6))

@@ -19,7 +19,7 @@ KINDS = ("email", "ip", "card", "phone")
 #: Regions the tagger is trained on, at most; as many made variants come with them.
 FIT_REGIONS = 2500
 #: Characters of a window and between windows, and the context a region has on both sides.
-WINDOW, STRIDE, CONTEXT = 64, 32, 24
+WINDOW, STRIDE, CONTEXT = 64, 32, 64
 #: Least mean lead of a span's tags, in log units.
 CONFIDENT = 2.0
 
@@ -30,8 +30,9 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 
-#: Where a form of these kinds can be: every digit, "@" and spelled-out "at" in brackets.
-_SIGN = re.compile(r"[0-9@]|[(\[]\s*at\s*[)\]]", re.I)
+#: Where a form of these kinds can be: every digit, "@" and spelled-out "at" or "dot" in brackets.
+_SIGN = re.compile(r"[0-9@]|[(\[]\s*(?:at|dot)\s*[)\]]", re.I)
+_BLANK = re.compile(r"\s")
 
 
 def luhn(digits: str) -> bool:
@@ -81,14 +82,29 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches of text around all signs, ``CONTEXT`` characters on both sides, merged where they touch."""
+    """Stretches of text around all signs, ``CONTEXT`` characters on both sides and on to the next blank, merged where they touch."""
     out: list[list[int]] = []
+
+    def bounded() -> None:
+        blank = _BLANK.search(text, out[-1][1])
+        out[-1][1] = blank.start() if blank else len(text)
+
     for m in _SIGN.finditer(text):
         a, b = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
+        if out and a > out[-1][1]:
+            bounded()
         if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+            continue
+        free = out[-1][1] if out else 0
+        while a > free and not text[a - 1].isspace():
+            a -= 1
+        if out and a == free:
             out[-1][1] = b
         else:
             out.append([a, b])
+    if out:
+        bounded()
     return [(a, b) for a, b in out]
 
 
@@ -107,7 +123,11 @@ def _variants(contexts: list[str], n: int, rng: np.random.Generator) -> list[tup
     word = lambda: "".join(rng.choice(list("abcdefghijklmnoprstuvw"), rng.integers(3, 9)))
 
     def one() -> tuple[str | None, str]:
-        r = rng.integers(0, 12)
+        r = rng.integers(0, 13)
+        if r == 12:
+            at, dot = [(" (at) ", " (dot) "), (" [at] ", " [dot] ")][rng.integers(0, 2)]
+            long = lambda sep: rng.choice(sep).join(word() for _ in range(rng.integers(1, 4)))
+            return "email", f"{long(['.', '_'])}{at}{long(['-', dot])}{dot}{rng.choice(['com', 'org', 'net', 'example'])}"
         if r == 0:
             at, dot = [(" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "."), (" (AT) ", " . ")][rng.integers(0, 4)]
             return "email", f"{word()}{rng.choice(['.', '_', ''])}{num(2)}{at}{word()}{dot}{rng.choice(['com', 'org', 'net', 'example'])}"
@@ -137,7 +157,9 @@ def train(samples: list[tuple[str, list[tuple[str, int, int]]]], steps: int = 30
     samples = samples + _variants([t for t, _ in samples], max(800, len(samples)), rng)
     chars, tags = np.zeros((len(samples), WINDOW), np.int64), np.zeros((len(samples), WINDOW), np.int64)
     for i, (text, spans) in enumerate(samples):
-        a = int(rng.integers(0, max(1, len(text) - WINDOW + 1)))
+        marked = [s[1:] for s in spans] or [m.span() for m in _SIGN.finditer(text)] or [(0, len(text))]
+        first, after = marked[rng.integers(0, len(marked))]
+        a = int(np.clip(rng.integers(first - WINDOW + 1, max(after, first + 1)), 0, max(0, len(text) - WINDOW)))
         own = encode(text[a: a + WINDOW])
         chars[i, : len(own)], tags[i, : len(own)] = own, _labelled(text, spans)[a: a + WINDOW]
     tagger = Tagger(1 + 2 * len(KINDS), seed=seed)
@@ -145,30 +167,58 @@ def train(samples: list[tuple[str, list[tuple[str, int, int]]]], steps: int = 30
     return tagger
 
 
-def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]]:
-    """Spans of every region, from overlapping windows decoded on their own and reconciled.
-
-    Of the spans that windows propose, those that touch a window's edge inside the region give way to what other windows see whole;
-    the rest is taken by mean lead, best first, without overlaps.
-    """
-    places = [(r, a) for r, t in enumerate(texts) for a in range(0, max(1, len(t) - STRIDE), STRIDE)]
-    proposed: list[list[tuple[float, str, int, int]]] = [[] for _ in texts]
+def _emissions(tagger: Tagger, coded: list[np.ndarray]) -> list[np.ndarray]:
+    """Emissions of every character of whole regions: the mean of the windows over it, which count less towards edges inside the region."""
+    places = [(r, a) for r, c in enumerate(coded) for a in range(0, max(1, len(c) - STRIDE), STRIDE)]
+    sums, weights = [None] * len(coded), [np.zeros(len(c), np.float32) for c in coded]
     for k in range(0, len(places), 512):
         some = places[k: k + 512]
         chars = np.zeros((len(some), WINDOW), np.int64)
         for i, (r, a) in enumerate(some):
-            own = encode(texts[r][a: a + WINDOW])
+            own = coded[r][a: a + WINDOW]
             chars[i, : len(own)] = own
-        tags, lead = tagger.decode(chars)
+        em = tagger.emissions(chars)
         for i, (r, a) in enumerate(some):
-            row, end = tags[i], min(WINDOW, len(texts[r]) - a)
-            starts = [j for j in range(end) if row[j] and (row[j] % 2 or not j or (row[j - 1] + 1) // 2 != (row[j] + 1) // 2)]
-            for j in starts:
+            end = min(WINDOW, len(coded[r]) - a)
+            left = np.arange(1, end + 1) if a else np.full(end, WINDOW)
+            right = np.arange(end, 0, -1) if a + end < len(coded[r]) else np.full(end, WINDOW)
+            weight = np.minimum(left, right).astype(np.float32)
+            if sums[r] is None:
+                sums[r] = np.zeros((len(coded[r]), em.shape[2]), np.float32)
+            sums[r][a: a + end] += weight[:, None] * em[i, :end]
+            weights[r][a: a + end] += weight
+    return [s / w[:, None] for s, w in zip(sums, weights)]
+
+
+def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]]:
+    """Spans of every region, of any length: emissions of overlapping windows are joined and the whole region is decoded at once.
+
+    Spans are taken by mean lead, best first.
+    """
+    coded = [encode(t) for t in texts]
+    proposed: list[list[tuple[float, str, int, int]]] = [[] for _ in texts]
+    order, k = sorted((r for r, c in enumerate(coded) if len(c)), key=lambda r: len(coded[r])), 0
+    while k < len(order):
+        # Regions of like length, as many as make about 2**16 characters.
+        some = order[k: k + max(1, min(512, 2**16 // len(coded[order[k]])))]
+        while len(some) > 1 and len(some) * len(coded[some[-1]]) > 2**17:
+            some = some[: len(some) // 2]
+        k += len(some)
+        found = _emissions(tagger, [coded[r] for r in some])
+        em = np.zeros((len(some), len(found[-1]), found[-1].shape[1]), np.float32)
+        alive = np.zeros(em.shape[:2], bool)
+        for i, x in enumerate(found):
+            em[i, : len(x)], alive[i, : len(x)] = x, True
+        tags, lead = tagger.decode(em, alive)
+        for i, r in enumerate(some):
+            row, end = tags[i], len(coded[r])
+            before = np.r_[0, row[: end - 1]]
+            starts = np.flatnonzero((row[:end] > 0) & ((row[:end] % 2 == 1) | ((before + 1) // 2 != (row[:end] + 1) // 2)))
+            for j in starts.tolist():
                 e = j + 1
                 while e < end and row[e] == (row[j] + 1) // 2 * 2:
                     e += 1
-                if (j or not a) and (e < WINDOW or a + e == len(texts[r])):
-                    proposed[r].append((float(lead[i, j:e].mean()), KINDS[(row[j] - 1) // 2], a + j, a + e))
+                proposed[r].append((float(lead[i, j:e].mean()), KINDS[(row[j] - 1) // 2], j, e))
     out = []
     for spans in proposed:
         kept: list[tuple[str, int, int]] = []
@@ -207,7 +257,7 @@ def scan_personal(docs: DataFrame, steps: int = 300) -> DataFrame:
     """``doc_id, base, spans``: spans of the fixed patterns and all spans of every whole text (``kind, start, end`` in code points).
 
     Fixed patterns match leftmost without overlap, each kind on its own; matches that fail their check are dropped. The tagger reads
-    every region around a digit, an "@" or a bracketed "at" and adds spans of the four kinds in other forms, unless they overlap a
+    every region around a digit, an "@" or a bracketed "at" or "dot" and adds spans of the four kinds in other forms, unless they overlap a
     base span. It is trained on the driver on at most ``FIT_REGIONS`` regions, the same at every run, labelled by the fixed
     patterns' forms, and on made variants. Null texts count as empty and give no spans; rows that share a doc_id are
     scanned one by one; an empty table gives no rows.
@@ -215,7 +265,7 @@ def scan_personal(docs: DataFrame, steps: int = 300) -> DataFrame:
     scanned = staged(docs.select(C("doc_id").cast("long"), text_or_empty().alias("text")).mapInPandas(
         _scan, f"doc_id long, base {_SPANS}, regions array<struct<start:int,text:string>>"), "personal")
     sample = scanned.select(F.explode("regions.text").alias("text")).groupBy("text").agg(F.lit(1).alias("n")).orderBy(F.xxhash64("text"), "text")
-    texts = [r["text"] for r in sample.where(F.length("text") <= 4 * WINDOW).limit(FIT_REGIONS).collect()]
+    texts = [r["text"] for r in sample.where(F.length("text") <= 8 * WINDOW).limit(FIT_REGIONS).collect()]
     sent = docs.sparkSession.sparkContext.broadcast(train([(t, base_matches(t)) for t in texts], steps))  # a few thousand weights
 
     def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

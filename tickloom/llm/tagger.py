@@ -119,16 +119,16 @@ class Tagger:
             losses.append(loss)
         return losses
 
-    def decode(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best tag sequence of every window, and each character's lead: its tag's emission over the best other one."""
-        em, trans = self.emissions(chars), self.p["trans"]
+    def decode(self, em: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best tag sequence of every row of emissions, and each character's lead: its tag's emission over the best other one."""
+        em, trans = em.copy(), self.p["trans"]
         n, length, k = em.shape
-        best, back = em[:, 0], np.zeros((n, length, k), np.int64)
+        best, back = em[:, 0], np.zeros((n, length, k), np.int8)
         for t in range(1, length):
             scores = best[:, :, None] + trans
             back[:, t] = scores.argmax(1)
             new = np.take_along_axis(scores, back[:, t][:, None], 1)[:, 0] + em[:, t]
-            live = chars[:, t, None] > 0
+            live = alive[:, t, None]
             best = np.where(live, new, best)
             back[:, t] = np.where(live, back[:, t], np.arange(k))
         tags = np.zeros((n, length), np.int64)
