@@ -31,13 +31,13 @@ def scratch(spark: SparkSession) -> str:
     return _scratch[app]
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+def staged(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet, with the writer's options, to the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs its running tasks, never an earlier step.
     """
     path = f"{scratch(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
