@@ -194,16 +194,17 @@ def _exact(words_known: _Filter, phrases_known: _Filter, longest: int) -> Callab
 def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = 5, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
     """Exact counts ``lang, phrase, words, a`` of all runs of 1 to ``longest`` words that a language holds ``support`` times, and ``lang, n`` of all words.
 
-    A language's documents fall into ``shards`` by a hash, and a phrase with ``support`` occurrences has, in some shard, at least the
+    A language's documents fall into ``shards`` by the partitions they are read in, and a phrase with ``support`` occurrences has, in some shard, at least the
     share of ``support`` that the shard has of the language's words. So every shard is mined for the phrases that reach that lowered
     support: by length, each phrase only where both its parts of one word less reached it. The union of what shards found
     is counted over all texts, by the words themselves, and what reaches ``support`` stays.
 
-    A shard is a label, not a task: it spreads over all tasks, which count hashes of a bounded buffer each, and Spark sums them by (hash, shard).
+    A shard is a label that is written once with the coded words, not a task: it spreads over as many tasks as its partitions fill. These
+    count hashes of a bounded buffer each, and Spark sums them by (hash, shard).
     Sets of hashes reach the tasks as filters of fixed size; their false hits and hash collisions cost counting and change no result.
     """
     base = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce(C("text").cast("binary"), F.lit(b"")).alias("text"),
-                       F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(shards)).alias("shard"))
+                       (F.spark_partition_id() % shards).alias("shard"))
     base = base.withColumn("part", F.xxhash64("lang", "shard")).drop("shard")
     coded = base.mapInArrow(_coded, "lang string, part long, n_words long, codes binary")
     coded = staged(coded, "phrase-codes", compression="zstd")
