@@ -12,28 +12,43 @@ def with_ts(df):
     return df.withColumn("ts", F.timestamp_seconds("s")).drop("s")
 
 
-def test_average_cost_book_matches_a_loop(spark):
-    rng = random.Random(11)
-    rows = [(rng.choice("xy"), 1000 * i, i, rng.choice("pqr"), rng.choice(["BUY", "SELL"]), rng.uniform(1, 50), rng.choice([0.0005, 0.1, 0.3, 1.0])) for i in range(400)]
-    fills = with_ts(spark.createDataFrame(rows, "agent string, s long, seq long, product_id string, side string, price double, frac double"))
-    got = {r.seq: r for r in ledger.average_cost_book(fills).collect()}
-    cash, held, seen = {"x": 1000.0, "y": 1000.0}, {}, 0
-    for agent, _, seq, product, side, price, frac in rows:
-        spend = cash[agent] * min(frac, 0.95)
-        if side == "BUY" and spend >= 1:
-            size, cost = held.get((agent, product), (0.0, 0.0))
-            held[agent, product] = (size + spend / price, cost + spend)
-            cash[agent] -= spend
-        elif side == "SELL" and (agent, product) in held:
-            size, cost = held.pop((agent, product))
+def book_loop(rows, opening=1000.0):
+    """Position, profit, balance and realised profit after every fill that changes something."""
+    cash, won, held, out = {}, {}, {}, {}
+    for agent, _, seq, product, side, price, usd in rows:
+        cash.setdefault(agent, opening)
+        won.setdefault(agent, 0.0)
+        size, cost = held.get((agent, product), (0.0, 0.0))
+        if side == "BUY" and usd and price > 0:
+            held[agent, product] = size, cost = size + usd / price, cost + usd
+            cash[agent] -= usd
+            out[seq] = ("BUY", size, cost / size, None, cash[agent], won[agent])
+        elif side == "SELL" and size:
+            held.pop((agent, product))
             cash[agent] += size * price
-            assert got[seq].pnl == pytest.approx(size * price - cost)
-        else:
-            assert seq not in got
-            continue
-        seen += 1
-        assert got[seq].balance == pytest.approx(cash[agent])
-    assert seen == len(got) > 100
+            won[agent] += size * price - cost
+            out[seq] = ("SELL", size, cost / size, size * price - cost, cash[agent], won[agent])
+    return out
+
+
+def fill_rows(n=400):
+    rng = random.Random(11)
+    return [(rng.choice("xy"), 37 * i, i, rng.choice("pqr"), rng.choice(["BUY", "BUY", "SELL"]), rng.choice([rng.uniform(1, 50), 0.0]), rng.choice([None, 0.0, 5.0, 120.0])) for i in range(n)]
+
+
+FILLS = "agent string, s long, seq long, product_id string, side string, price double, usd double"
+
+
+def test_average_cost_book_matches_a_loop(spark):
+    rows = fill_rows()
+    got = {r.seq: r for r in ledger.average_cost_book(with_ts(spark.createDataFrame(rows, FILLS))).collect()}
+    want = book_loop(rows)
+    assert got.keys() == want.keys() and len(want) > 100
+    for seq, (action, size, avg, pnl, balance, realized) in want.items():
+        r = got[seq]
+        assert r.action == action and (r.pnl is None) == (pnl is None)
+        assert (r.size, r.avg_price, r.balance, r.realized_pnl or 0.0) == pytest.approx((size, avg, balance, realized))
+        assert pnl is None or r.pnl == pytest.approx(pnl)
 
 
 def test_pairing_takes_the_newest_free_open(spark):

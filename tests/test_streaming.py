@@ -1,6 +1,7 @@
 """Streams over several micro-batches give the batch answer."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +36,22 @@ def stream(spark, source):
     return spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(source)
 
 
+@pytest.fixture(scope="module")
+def shuffled(spark, batch, tmp_path_factory):
+    """The same ticks up to 50 minutes late, in ten files that overlap in time and are shuffled inside."""
+    rng, folder = random.Random(10), tmp_path_factory.mktemp("late")
+    ticks = sorted(batch.collect(), key=lambda r: r.ts.timestamp() + rng.uniform(0, 3000))
+    for k in range(10):
+        part = ticks[90 * k: 90 * k + 90]
+        rng.shuffle(part)
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(str(folder / f"part{k}"))
+    return str(folder)
+
+
+def late(spark, folder):
+    return stream(spark, folder).withWatermark("ts", "1 hour")
+
+
 def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
@@ -43,18 +60,62 @@ def side():
     return F.when(F.col("price") > 97, "BUY").otherwise("SELL")
 
 
-def test_suppression(spark, source, batch):
-    got = windows.drain(stateful.run(stream(spark, source).withColumn("side", side()), ["product_id"], stateful.Suppress(900)))
-    want = signals.suppress_repeats(batch.withColumn("side", side()), "ts", "seq", 900)
+def released(batch, delay=3600):
+    """Ticks that the last watermark has passed."""
+    last = batch.agg(F.max("ts")).first()[0]
+    return batch.where(F.unix_millis("ts") <= F.unix_millis(F.lit(last)) - 1000 * delay)
+
+
+def test_suppression(spark, shuffled, batch):
+    got = windows.drain(stateful.run(late(spark, shuffled).withColumn("side", side()), ["product_id"], stateful.Suppress(900)))
+    want = signals.suppress_repeats(released(batch).withColumn("side", side()), "ts", "seq", 900)
     assert rows(got.select("seq", "side")) == rows(want.select("seq", "side"))
 
 
-def test_drawdown(spark, source, batch):
+def test_drawdown(spark, shuffled, batch):
     def balances(df):
         return df.select(F.col("product_id").alias("agent"), "ts", "seq", F.col("price").alias("balance"))
 
-    got = windows.drain(stateful.run(balances(stream(spark, source)), ["agent"], stateful.Drawdown()))
-    assert rows(got.select("seq", "halted")) == rows(ledger.drawdown(balances(batch)).select("seq", "halted"))
+    got = windows.drain(stateful.run(balances(late(spark, shuffled)), ["agent"], stateful.Drawdown()))
+    want = ledger.drawdown(balances(released(batch)))
+    columns = ["seq", "halted", F.round("day_drawdown", 9), F.round("week_drawdown", 9)]
+    assert rows(got.select(*columns)) == rows(want.select(*columns))
+
+
+def test_cached_values_live_for_their_time(spark, tmp_path):
+    """Served until the time to live in event time, across batches, and for an older look-up of a later batch only what was there."""
+    schema = "cache string, name string, ts timestamp, seq long, value double"
+    batches = [[("a", "x", 100, None, 1.0), ("a", "x", 160, 1, None), ("a", "y", 160, 2, None)], [("a", "x", 700, 3, None), ("a", "x", 701, 4, None), ("b", "x", 150, 5, None)],
+               [("a", "x", 720, 6, None), ("a", "x", 710, None, 7.0), ("a", "x", 1310, 7, None), ("a", "x", 1311, 8, None)], [("a", "x", 705, 9, None)]]
+    for i, rows_ in enumerate(batches):
+        df = spark.createDataFrame(rows_, schema.replace("ts timestamp", "s long")).withColumn("ts", F.timestamp_seconds("s"))
+        df.select("cache", "name", "ts", "seq", "value").coalesce(1).write.parquet(str(tmp_path / f"in/part{i}"))
+    source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = windows.drain(stateful.run(source, ["cache"], stateful.CachedValues(600, 50.0, 3600), "ProcessingTime"))
+    assert {r.seq: r.value for r in got.collect()} == {1: 1.0, 2: 50.0, 3: 1.0, 4: 50.0, 5: 50.0, 6: 7.0, 7: 7.0, 8: 50.0, 9: 7.0}
+
+
+def test_state_forgets_after_its_time_to_live(spark, tmp_path):
+    """A value survives a restart from the checkpoint, but not its time to live in the store."""
+    schema = "cache string, name string, ts timestamp, seq long, value double"
+    seen = []
+
+    def run(i, row):
+        df = spark.createDataFrame([row], schema.replace("ts timestamp", "s long")).withColumn("ts", F.timestamp_seconds("s"))
+        df.select("cache", "name", "ts", "seq", "value").coalesce(1).write.parquet(str(tmp_path / f"in/part{i}"))
+        source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        out = stateful.run(source, ["cache"], stateful.CachedValues(1e6, 50.0, state_ttl_seconds=25), "ProcessingTime")
+        query = out.writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(lambda b, _: seen.extend(map(tuple, b.collect())))
+        query.start().awaitTermination()
+
+    begin = time.time()
+    run(0, ("a", "x", 100, None, 1.0))
+    run(1, ("a", "x", 101, 1, None))
+    served = time.time() - begin < 25
+    time.sleep(max(0.0, 27 - (time.time() - begin)))
+    run(2, ("a", "x", 102, 2, None))
+    assert dict((seq, value) for seq, _, value in seen)[2] == 50.0
+    assert not served or dict((seq, value) for seq, _, value in seen)[1] == 1.0
 
 
 def test_bars_and_late_ticks(spark, source, batch):
@@ -86,14 +147,17 @@ def test_outcome_timers(spark, source, batch):
     assert rows(got.select("seq", "exit_price", "outcome")) == sorted(want)
 
 
-def test_book_over_micro_batches(spark, source, batch):
+def test_book_over_micro_batches(spark, shuffled, batch):
     def fills(df):
         return df.select(
             (F.col("seq") % 2).cast("string").alias("agent"), "ts", "seq", "product_id", F.when(F.col("volume") < 50, "BUY").otherwise("SELL").alias("side"),
-            "price", (F.col("volume") / 200).alias("frac"))
-
-    got = windows.drain(stateful.run(fills(stream(spark, source)), ["agent"], stateful.BookKeeper()))
-    want = {r.seq: r.balance for r in ledger.average_cost_book(fills(batch)).collect()}
-    rows_ = {r.seq: r.balance for r in got.collect()}
-    assert rows_.keys() == want.keys()
-    assert all(rows_[k] == pytest.approx(want[k]) for k in want)
+            "price", F.col("volume").cast("double").alias("usd"))
+
+    got = windows.drain(stateful.run(fills(late(spark, shuffled)), ["agent", "product_id"], stateful.OpenPositions()))
+    want = {r.seq: (r.action, r.size, r.avg_price, r.pnl) for r in ledger.average_cost_book(fills(released(batch))).collect()}
+    found = {r.seq: r for r in got.collect()}
+    assert found.keys() == want.keys() and len(want) > 20
+    for seq, (action, size, avg, pnl) in want.items():
+        r = found[seq]
+        assert r.action == action and (r.size, r.avg_price) == pytest.approx((size, avg))
+        assert pnl is None or r.pnl == pytest.approx(pnl)

@@ -24,6 +24,7 @@ from tickloom.operators.nested import adx_path, ema_path, rsi_path, stoch_rsi_pa
 
 C = F.col
 WINDOW, CHANNELS = 60, 27
+FAST_LOOKBACK = 59
 
 # Channels with no history in training data (order book, funding, spreads, sentiment).
 MASKED = (10, 11, 20, 24, 25, 26)
@@ -31,7 +32,12 @@ MASKED = (10, 11, 20, 24, 25, 26)
 
 def fast_features(bars_5m: DataFrame) -> DataFrame:
     """Fast RSI, velocity and volume z-score at every 5-minute bar; neutral below 14 bars."""
-    df = core_rows(ind.with_indicators(blocked(bars_5m, 59), [
+    return fast_states(blocked(bars_5m, FAST_LOOKBACK))
+
+
+def fast_states(blocks: DataFrame) -> DataFrame:
+    """``fast_features`` of indexed bars in blocks with ``FAST_LOOKBACK`` rows before them."""
+    df = core_rows(ind.with_indicators(blocks, [
         ind.rsi(15, 12, "fast_rsi"), ind.velocity(12), ind.volume_zscore(60),
     ]))
     enough = C("idx") + 1 >= 14
@@ -213,7 +219,12 @@ def dataset(
     seq_len: int = WINDOW, horizon: int = 4, dead_zone: float = 0.003, precision: str = "float",
 ) -> DataFrame:
     """Windows, labels and weights of every sample: features look back, labels look ahead."""
-    df = _dealt(halo(feature_inputs(bars, reference, funding, bars_5m), before=seq_len, after=2 * horizon))
+    return dataset_of(feature_inputs(bars, reference, funding, bars_5m), seq_len, horizon, dead_zone, precision)
+
+
+def dataset_of(inputs: DataFrame, seq_len: int = WINDOW, horizon: int = 4, dead_zone: float = 0.003, precision: str = "float") -> DataFrame:
+    """``dataset`` of indexed and aligned bars (``feature_inputs``); they may start anywhere in a series."""
+    df = _dealt(halo(inputs, before=seq_len, after=2 * horizon))
     return assemble(per_bar_channels(label_blocks(df, seq_len, horizon, dead_zone=dead_zone)), seq_len, precision=precision)
 
 

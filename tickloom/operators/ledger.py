@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tickloom.operators.alignment import with_scalar
 from tickloom.operators.blocks import TICK_BUCKET, running
@@ -16,82 +14,30 @@ from tickloom.session import materialize
 C = F.col
 DAY = 86_400
 
-BOOK_SCHEMA = T.StructType([
-    T.StructField("agent", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("seq", T.LongType()),
-    T.StructField("product_id", T.StringType()), T.StructField("action", T.StringType()), T.StructField("size", T.DoubleType()),
-    T.StructField("avg_price", T.DoubleType()), T.StructField("spent", T.DoubleType()), T.StructField("pnl", T.DoubleType()),
-    T.StructField("balance", T.DoubleType()), T.StructField("realized_pnl", T.DoubleType()),
-])
-
-
-class Book:
-    """Cash and open positions of one agent."""
-
-    __slots__ = ("balance", "realized", "open")
-
-    def __init__(self, balance: float, realized: float = 0.0, positions: dict[str, tuple[float, float]] | None = None):
-        self.balance, self.realized, self.open = balance, realized, positions or {}
-
-    def apply(self, product: str, side: str, price: float, frac: float) -> tuple[str, float, float, float, float | None] | None:
-        """(action, size, average price, spent, P&L), or None when the fill changes nothing."""
-        if side == "BUY":
-            spend = self.balance * min(frac, 0.95)
-            if spend < 1.0 or price <= 0:
-                return None
-            bought = spend / price
-            size, avg = self.open.get(product, (0.0, 0.0))
-            total = size + bought
-            avg = (avg * size + price * bought) / total
-            self.open[product] = (total, avg)
-            self.balance -= spend
-            return "BUY", total, avg, spend, None
-        if side == "SELL" and product in self.open:
-            size, avg = self.open.pop(product)
-            pnl = size * price - size * avg
-            self.balance += size * price
-            self.realized += pnl
-            return "SELL", size, avg, 0.0, pnl
-        return None
-
 
 def average_cost_book(fills: DataFrame, opening: float = 1000.0) -> DataFrame:
-    """Average-cost book over fills ``agent, ts, seq, product_id, side, price, frac``.
+    """Positions at average cost over fills ``agent, ts, seq, product_id, side, price, usd``, and each agent's cash.
+
+    A buy of ``usd`` adds ``usd / price`` to the position, a sell closes all of it. The sells of a product cut its fills into episodes, inside
+    which size and cost are running sums; nothing else of a position lives on. So three prefix scans give every
+    fill's position, profit and the agent's balance, and no agent or product is one task. Buys without a positive price or amount
+    and sells of an empty position change nothing and are left out.
 
-    Cash couples all products of an agent and the $1 floor makes each fill depend on the exact
-    balance before it, so an agent's fills are one ordered chain. Spark range-sorts the chain
-    (spilling as needed) and streams it through the book in Arrow batches: memory stays at one
-    batch plus the open positions, however long the chain. Sells with nothing bought since the
-    previous sell of the product can have no effect and are dropped before the sort.
+    Returns ``agent, ts, seq, product_id, action, size, avg_price, spent, pnl, balance, realized_pnl``; a sell shows the size and average
+    price it closes.
     """
-    df = fills.withColumn("__b", F.floor(F.unix_seconds("ts") / TICK_BUCKET))
-    df = running(df, ["agent", "product_id"], ["__b"], ["ts", "seq"], {"__prev": ("last", C("side"))}, inclusive=False)
-    useful = df.where((C("side") == "BUY") | (C("__prev") == "BUY")).drop("__b", "__prev")
-    chained = useful.select("agent", "ts", "seq", "product_id", "side", "price", "frac").repartition("agent").sortWithinPartitions("agent", "ts", "seq")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        agent, book = None, Book(opening)
-        for batch in batches:
-            out = []
-            for row in zip(*[batch.column(i).to_pylist() for i in range(batch.num_columns)]):
-                a, ts, seq, product, side, price, frac = row
-                if a != agent:
-                    agent, book = a, Book(opening)
-                done = book.apply(product, side, price, frac)
-                if done:
-                    action, size, avg, spent, pnl = done
-                    out.append((a, ts, seq, product, action, size, avg, spent, pnl, book.balance, book.realized))
-            if out:
-                columns = list(zip(*out))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=t) for c, t in zip(columns, _BOOK_ARROW)], names=BOOK_SCHEMA.fieldNames())
-
-    return chained.mapInArrow(run, BOOK_SCHEMA)
-
-
-_BOOK_ARROW = [
-    pa.string(), pa.timestamp("us", tz="UTC"), pa.int64(), pa.string(), pa.string(),
-    pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(),
-]
+    order, minute = ["ts", "seq"], ["__minute"]
+    bought = (C("side") == "BUY") & (C("price") > 0) & (C("usd") > 0)
+    df = fills.where(bought | (C("side") == "SELL")).withColumn("__minute", F.floor(F.unix_seconds("ts") / TICK_BUCKET))
+    df = materialize(running(df, ["agent", "product_id"], minute, order, {"__episode": ("count", F.when(C("side") == "SELL", 1))}, inclusive=False))
+    spent = F.when(C("side") == "BUY", C("usd"))
+    df = running(df, ["agent", "product_id", "__episode"], minute, order, {"__cost": ("sum", spent), "__size": ("sum", spent / C("price"))})
+    df = df.where(C("__size") > 0).withColumn("__pnl", F.when(C("side") == "SELL", C("__size") * C("price") - C("__cost")))
+    flow = F.when(C("side") == "SELL", C("__size") * C("price")).otherwise(-C("usd"))
+    df = running(materialize(df), ["agent"], minute, order, {"__flow": ("sum", flow), "__realized": ("sum", C("__pnl"))})
+    return df.select(
+        "agent", "ts", "seq", "product_id", C("side").alias("action"), C("__size").alias("size"), (C("__cost") / C("__size")).alias("avg_price"),
+        F.coalesce(spent, F.lit(0.0)).alias("spent"), C("__pnl").alias("pnl"), (C("__flow") + opening).alias("balance"), C("__realized").alias("realized_pnl"))
 
 
 def pair_trades(events: DataFrame, keys: Sequence[str] = ("agent", "product_id")) -> DataFrame:

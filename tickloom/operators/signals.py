@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.functions import scoring as S
 from tickloom.operators import indicators as ind
-from tickloom.operators.blocks import TICK_BUCKET, blocked, core_rows, running
+from tickloom.operators.blocks import blocked, core_rows, running
 from tickloom.operators.nested import nested_indicators
+from tickloom.operators.scans import FAN, carried_states, cogrouped
 from tickloom.session import materialize
 
 C = F.col
@@ -85,43 +88,102 @@ def decide(scored: DataFrame, order: Sequence[str], buckets: Sequence[str], keys
     ).drop("__set", "__flip", "__flips", "__state", "__before")
 
 
-def suppress_repeats(signals: DataFrame, ts: str, seq: str, cooldown: int = 300, keys: Sequence[str] = ("product_id",)) -> DataFrame:
+_NEVER = -(2**62)
+
+
+def emissions(t: np.ndarray, side: np.ndarray, last: int, before: object, cooldown: int) -> np.ndarray:
+    """Which of the signals, in order, are emitted after an emission of side ``before`` at second ``last``.
+
+    All runs of equal sides advance together, one emission a round.
+    """
+    keep = np.zeros(len(t), bool)
+    at = np.flatnonzero(np.r_[True, side[1:] != side[:-1]][: len(t)])
+    ends = np.r_[at[1:], len(t)][: len(at)]
+    if len(t) and before == side[0]:  # the first run goes on from before
+        at[0] = min(int(np.searchsorted(t, last + cooldown)), int(ends[0]))
+    while True:
+        on = at < ends
+        if not on.any():
+            return keep
+        at, ends = at[on], ends[on]
+        keep[at] = True
+        at = np.minimum(np.searchsorted(t, t[at] + cooldown), ends)
+
+
+def _last_emission(t: np.ndarray, since: np.ndarray, cooldown: int) -> np.ndarray:
+    """Last emission in one run of equal sides for every time of the last emission before it."""
+    last = np.array(since)
+    while True:
+        at = np.searchsorted(t, last + cooldown)
+        on = at < len(t)
+        if not on.any():
+            return last
+        last[on] = t[at[on]]
+
+
+def _suppression_map(t: np.ndarray, side: np.ndarray, start: int, cooldown: int) -> bytes:
+    """Time of the last emission before a block to the one after it, as a table.
+
+    Entries: block start, first and last side, result when the side before differs, and results for an emission 1 to
+    ``cooldown`` seconds before the start (oldest first) and for one before that.
+    """
+    changed = np.flatnonzero(side[1:] != side[:-1]) + 1
+    if len(changed):  # the last change emits, whatever came before
+        end = _last_emission(t[changed[-1]:], np.array([_NEVER]), cooldown)[0]
+        same, other = np.full(cooldown + 1, end), end
+    else:
+        same = _last_emission(t, np.r_[np.arange(start - cooldown, start), _NEVER], cooldown)
+        other = same[-1]
+    return np.r_[start, side[0], side[-1], other, same].astype(np.int64).tobytes()
+
+
+def _after(e: np.ndarray, side: int, m: np.ndarray) -> np.ndarray:
+    """Last emissions ``e`` of one side, taken through a map."""
+    cooldown = len(m) - 5
+    return np.where(side == m[1], m[4 + np.where(e >= m[0] - cooldown, e - (m[0] - cooldown), cooldown)], m[3])
+
+
+def _suppress_compose(first: bytes, second: bytes, block: int) -> bytes:
+    a, b = np.frombuffer(first, np.int64), np.frombuffer(second, np.int64)
+    return np.r_[a[0], a[1], b[2], _after(a[3:], a[2], b)].tobytes()
+
+
+def _suppress_step(state: bytes, packed: bytes, block: int) -> bytes:
+    (last, side), m = np.frombuffer(state, np.int64), np.frombuffer(packed, np.int64)
+    return np.array([_after(np.array([last]), side, m)[0], m[2]], np.int64).tobytes()
+
+
+def suppress_repeats(
+    signals: DataFrame, ts: str, seq: str, cooldown: int = 300, keys: Sequence[str] = ("product_id",), block_seconds: int | None = None, fan: int = FAN,
+) -> DataFrame:
     """Drop a signal that repeats the side of the last emitted one within ``cooldown`` seconds.
 
-    A change of side, or a pause of ``cooldown`` after any signal, always emits, so the series
-    falls into independent runs whose first signal is emitted. After it, at most one signal per
-    second can follow, and none within the cool-down: only the remaining distinct seconds are
-    walked, sorted by run and streamed in Arrow batches with the last emission carried along.
+    Which signals are emitted depends on all earlier ones, but only through the time and side of the last emission. So a block of
+    ``block_seconds`` (six cool-downs) is a map from the last emission before it to the last one inside it, a table over the seconds of one
+    cool-down, as an older emission no longer matters. The maps are composed and scanned over the series, and every block then marks its
+    own emissions. An unbroken run of any length spreads over its blocks; no task holds more than one block of a key.
     """
     keys = list(keys)
-    second = F.unix_seconds(C(ts))
-    df = signals.withColumns({"__s": second, "__b": F.floor(second / TICK_BUCKET)})
-    order = ["__s", seq]
-    df = running(df, keys, ["__b"], order, {"__prev": ("last", F.struct(C("__s").alias("s"), C("side").alias("side")))}, inclusive=False)
-    starts = C("__prev").isNull() | (C("__prev.side") != C("side")) | (C("__s") - C("__prev.s") >= cooldown)
-    df = materialize(df.withColumn("__starts", starts).drop("__prev"))
-    run_of = F.when(C("__starts"), F.struct(C("__s").alias("s"), C(seq).alias("q")))
-    df = materialize(running(df, keys, ["__b"], order, {"__run": ("last", run_of)}))
-    open_seconds = (
-        df.where(C("__s") - C("__run.s") >= cooldown)
-        .groupBy(*keys, C("__run.s").alias("__from"), C("__run.q").alias("__q"), "__s").agg(F.min(seq).alias(seq))
-    )
-    run_key = [*keys, "__from", "__q"]
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, last = None, 0
-        for batch in batches:
-            runs = list(zip(*[batch.column(c).to_pylist() for c in run_key]))
-            keep = []
-            for i, (run, t) in enumerate(zip(runs, batch.column("__s").to_pylist())):
-                if run != current:
-                    current, last = run, run[-2]
-                if t - last >= cooldown:
-                    last = t
-                    keep.append(i)
-            yield batch.take(pa.array(keep, type=pa.int64()))
-
-    chained = open_seconds.repartition(*[C(c) for c in run_key]).sortWithinPartitions(*run_key, "__s")
-    later = chained.mapInArrow(walk, chained.schema).select(*keys, "__s", seq)
-    emitted = later.unionByName(df.where("__starts").select(*keys, "__s", seq))
-    return df.join(emitted, [*keys, "__s", seq], "left_semi").drop("__s", "__b", "__starts", "__run")
+    width = block_seconds or 6 * cooldown
+    df = signals.withColumns({"__s": F.unix_seconds(C(ts)), "__side": F.xxhash64("side")}).withColumn("__block", F.floor(C("__s") / width))
+    by, columns = [*keys, "__block"], signals.columns
+    narrow = df.select(*by, "__s", C(seq).alias("__q"), "__side")
+    fields = [df.schema[k] for k in keys] + [T.StructField("block", T.LongType()), T.StructField("map", T.BinaryType())]
+
+    def summary(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("__s", "ascending"), ("__q", "ascending")])
+        block = table.column("__block")[0].as_py()
+        packed = _suppression_map(table.column("__s").to_numpy(), table.column("__side").to_numpy(), block * width, cooldown)
+        return table.slice(0, 1).select(keys).append_column("block", pa.array([block])).append_column("map", pa.array([packed], pa.binary()))
+
+    maps = materialize(narrow.groupBy(*by).applyInArrow(summary, T.StructType(fields)))
+    start = np.array([_NEVER, 0], np.int64).tobytes()
+    carry = carried_states(maps, keys, _suppress_compose, _suppress_step, start, fan).withColumnRenamed("block", "__block")
+
+    def emitted(table: pa.Table, states: pa.Table) -> pa.Table:
+        table = table.sort_by([("__s", "ascending"), (seq, "ascending")])
+        last, before = np.frombuffer(states.column("state")[0].as_py(), np.int64)
+        keep = emissions(table.column("__s").to_numpy(), table.column("__side").to_numpy(), last, before, cooldown)
+        return table.select(columns).filter(pa.array(keep))
+
+    return cogrouped(df, carry, by, emitted, signals.schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from tickloom.operators import alignment, features, labels
 from tickloom.plans import domain, sqlparts as q
 from tickloom.plans.indicator_plans import VALUE, base, slope_sql
 from tickloom.plans.registry import query
+from tickloom.session import materialize, shared_dir
+from tickloom.sources.bars import read_bars, write_bars
+from tickloom.sources.window_store import read_windows, top_up_windows
 
 C = F.col
 REFERENCE = "click"
@@ -225,3 +230,25 @@ def window_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ds1_feature_windows")
 def feature_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset(spark, sf_dir).select("product_id", _start(), "label", "weight", "channels")
+
+
+@query("ds8_window_store", f"{_WINDOW_SQL} SELECT product_id, start, idx::BIGINT AS idx, label, {q.cols(weight='weight')}, {_LAST_SQL} FROM x3")
+def window_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of the older bars stored, topped up twice from the bar store and read back: the same as one full build."""
+    folder = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+    hourly, fives = (materialize(domain.bars(spark, sf_dir, g)) for g in ("ONE_HOUR", "FIVE_MINUTE"))
+    funding = materialize(domain.funding(spark, sf_dir))
+    cuts = hourly.select(F.percentile(F.unix_seconds("start"), F.array(F.lit(0.7), F.lit(0.9)))).first()[0]
+    steps = [None, *[F.timestamp_seconds(F.floor(F.lit(c) / 86_400) * 86_400 + 36_000) for c in cuts], None]
+    for low, high in zip(steps, steps[1:]):
+        for bars, granularity in ((hourly, "ONE_HOUR"), (fives, "FIVE_MINUTE")):
+            part = bars if low is None else bars.where(C("start") >= low)
+            write_bars(part if high is None else part.where(C("start") < high), f"{folder}/bars", granularity)
+        stored, stored_5m = (read_bars(spark, f"{folder}/bars", g, with_day=True) for g in ("ONE_HOUR", "FIVE_MINUTE"))
+        paid = funding if high is None else funding.where(F.timestamp_millis("funding_time_ms") < high)
+        top_up_windows(spark, f"{folder}/windows", stored, stored.where(C("product_id") == REFERENCE), paid, stored_5m, precision="double")
+    df = read_windows(spark, f"{folder}/windows")
+    return df.select(
+        "product_id", _start(), "idx", "label", rounded(C("weight")).alias("weight"),
+        *[single(F.element_at(C("channels")[i], -1)).alias(f"ch{i}") for i in range(features.CHANNELS)],
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import scoring as S
 from tickloom.functions.columns import rounded
-from tickloom.operators import filters, ledger, outcomes, reports
+from tickloom.operators import filters, ledger, outcomes, reports, trades
 from tickloom.operators import indicators as ind
 from tickloom.operators.alignment import asof_scan
 from tickloom.operators.blocks import blocked, core_rows
@@ -270,29 +270,24 @@ def fills_of(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     return events.select(
         C("event_type").alias("agent"), C("ts").cast("timestamp").alias("ts"), C("event_id").alias("seq"), (C("user_id") % 10).cast("string").alias("product_id"),
-        F.when(k >= 50, "BUY").otherwise("SELL").alias("side"), C("value").alias("price"), (k % 7 / 20.0).alias("frac"))
+        F.when(k >= 50, "BUY").otherwise("SELL").alias("side"), C("value").alias("price"), F.when(k >= 50, k % 7 * F.lit(20.0)).alias("usd"))
 
 
-_FILLS = "fl AS (SELECT event_type AS agent, ts, event_id AS seq, (user_id % 10)::INT AS p, CAST(json_extract_string(props, '$.k') AS INT) AS k, value AS price FROM events)"
-_BOOK = f"""WITH {_FILLS}, fs AS (SELECT agent, list({{'seq': seq, 'p': p, 'buy': k >= 50, 'price': price, 'frac': (k % 7 / 20.0)::DOUBLE}} ORDER BY ts, seq) AS es FROM fl GROUP BY 1),
- fd AS (SELECT agent, list_reduce(es, lambda acc, e:
-   CASE WHEN e.buy AND acc.b * least(e.frac, 0.95) >= 1 THEN {{'b': acc.b - acc.b * least(e.frac, 0.95), 'r': acc.r,
-      'z': list_transform(range(10), lambda i: acc.z[i + 1] + CASE WHEN i = e.p THEN acc.b * least(e.frac, 0.95) / e.price ELSE 0 END),
-      'v': list_transform(range(10), lambda i: CASE WHEN i = e.p THEN (acc.v[i + 1] * acc.z[i + 1] + e.price * (acc.b * least(e.frac, 0.95) / e.price)) / (acc.z[i + 1] + acc.b * least(e.frac, 0.95) / e.price) ELSE acc.v[i + 1] END),
-      'o': list_append(acc.o, {{'seq': e.seq, 'b': acc.b - acc.b * least(e.frac, 0.95), 'r': acc.r, 'pnl': NULL::DOUBLE}})}}
-   WHEN NOT e.buy AND acc.z[e.p + 1] > 0 THEN {{'b': acc.b + acc.z[e.p + 1] * e.price, 'r': acc.r + acc.z[e.p + 1] * e.price - acc.z[e.p + 1] * acc.v[e.p + 1],
-      'z': list_transform(range(10), lambda i: CASE WHEN i = e.p THEN 0.0 ELSE acc.z[i + 1] END), 'v': acc.v,
-      'o': list_append(acc.o, {{'seq': e.seq, 'b': acc.b + acc.z[e.p + 1] * e.price, 'r': acc.r + acc.z[e.p + 1] * e.price - acc.z[e.p + 1] * acc.v[e.p + 1], 'pnl': acc.z[e.p + 1] * e.price - acc.z[e.p + 1] * acc.v[e.p + 1]}})}}
-   ELSE acc END,
-   {{'b': 1000.0::DOUBLE, 'r': 0.0::DOUBLE, 'z': list_transform(range(10), lambda i: 0.0::DOUBLE), 'v': list_transform(range(10), lambda i: 0.0::DOUBLE), 'o': []::STRUCT(seq BIGINT, b DOUBLE, r DOUBLE, pnl DOUBLE)[]}}).o AS o FROM fs),
- un AS (SELECT agent, unnest(o) AS u FROM fd)
- SELECT agent, u.seq AS seq, CASE WHEN u.pnl IS NULL THEN 'BUY' ELSE 'SELL' END AS action, round(ln(u.b), 6) AS log_balance FROM un"""
+_BOOK = f"""WITH fl AS (SELECT event_type AS agent, ts, event_id AS seq, (user_id % 10)::INT AS p, CAST(json_extract_string(props, '$.k') AS INT) AS k, value AS price FROM events),
+ f1 AS (SELECT *, k >= 50 AS buy, CASE WHEN k >= 50 THEN k % 7 * 20.0::DOUBLE END AS usd FROM fl WHERE k < 50 OR (k % 7 > 0 AND price > 0)),
+ f2 AS (SELECT *, count(*) FILTER (WHERE NOT buy) OVER (PARTITION BY agent, p ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS episode FROM f1),
+ f3 AS (SELECT *, coalesce(sum(usd) OVER w, 0) AS cost, coalesce(sum(usd / price) OVER w, 0) AS size FROM f2 WINDOW w AS (PARTITION BY agent, p, episode ORDER BY ts, seq)),
+ f4 AS (SELECT *, CASE WHEN NOT buy THEN size * price - cost END AS pnl, CASE WHEN buy THEN -usd ELSE size * price END AS flow FROM f3 WHERE size > 0)
+ SELECT agent, seq, p::VARCHAR AS product_id, CASE WHEN buy THEN 'BUY' ELSE 'SELL' END AS action, {q.r('size')} AS size, {q.r('cost / size')} AS avg_price, {q.r('pnl')} AS pnl,
+   {q.r('1000 + sum(flow) OVER g', 4)} AS balance, {q.r('coalesce(sum(pnl) OVER g, 0)', 4)} AS realized_pnl FROM f4 WINDOW g AS (PARTITION BY agent ORDER BY ts, seq)"""
 
 
 @query("pos1_average_cost_book", _BOOK)
 def average_cost_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = ledger.average_cost_book(fills(spark, sf_dir))
-    return df.select("agent", "seq", "action", F.round(F.log("balance"), 6).alias("log_balance"))
+    return df.select(
+        "agent", "seq", "product_id", "action", *[rounded(C(c)).alias(c) for c in ("size", "avg_price", "pnl")],
+        rounded(C("balance"), 4).alias("balance"), rounded(F.coalesce("realized_pnl", F.lit(0.0)), 4).alias("realized_pnl"))
 
 
 # Open and close events from ticks: every tick opens or closes a trade of its user.
@@ -424,6 +419,50 @@ def tick_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(ledger.tick_entries(live), ["product_id", "seq"], "buy_score", "fraction")
 
 
+def _trades_sql(stop: str) -> str:
+    """The trader as a fold over each product's ticks; ``stop`` is the scan's stop distance."""
+    gain = "((e.p - acc.a) * acc.z)"
+    peak = f"greatest(acc.k, {gain})"
+    return f"""WITH {T}, gs AS (SELECT product_id, list({{'seq': seq, 'scan': seq % 3 = 0, 'p': price, 'v': volume / 100, 'st': {stop}}} ORDER BY ts, seq) AS es FROM ticks GROUP BY 1),
+ fd AS (SELECT product_id, list_reduce(es, lambda acc, e:
+   CASE WHEN e.scan THEN {{'z': acc.z, 'a': acc.a, 'k': acc.k, 'b': e.v, 's': 1 - e.v, 'n': e.st, 'd': acc.d, 'o': acc.o}}
+   WHEN acc.z = 0 AND acc.b >= 0.55 AND e.p > 0 THEN {{'z': 100.0 / e.p, 'a': e.p, 'k': 0.0::DOUBLE, 'b': 0.0::DOUBLE, 's': acc.s, 'n': acc.n, 'd': acc.n, 'o': list_append(acc.o, {{'seq': e.seq, 't': 'TICK_SIGNAL', 'x': 'BUY'}})}}
+   WHEN acc.z = 0 THEN acc
+   WHEN acc.s >= 0.55 OR (e.p - acc.a) / acc.a < -acc.d OR ({peak} >= 1 AND {peak} - {gain} >= 0.25) OR (e.p - acc.a) / acc.a > 0.06
+     THEN {{'z': 0.0::DOUBLE, 'a': acc.a, 'k': acc.k, 'b': 0.0::DOUBLE, 's': 0.0::DOUBLE, 'n': acc.n, 'd': acc.d, 'o': list_append(acc.o, {{'seq': e.seq, 't':
+       CASE WHEN acc.s >= 0.55 THEN 'TICK_SIGNAL' WHEN (e.p - acc.a) / acc.a < -acc.d THEN 'TICK_STOP'
+            WHEN {peak} >= 1 AND {peak} - {gain} >= 0.25 THEN 'TICK_TRAIL' ELSE 'TICK_PROFIT' END, 'x': 'SELL'}})}}
+   ELSE {{'z': acc.z, 'a': acc.a, 'k': {peak}, 'b': acc.b, 's': acc.s, 'n': acc.n, 'd': acc.d, 'o': acc.o}} END,
+   {{'z': 0.0::DOUBLE, 'a': 0.0::DOUBLE, 'k': 0.0::DOUBLE, 'b': 0.0::DOUBLE, 's': 0.0::DOUBLE, 'n': 0.0::DOUBLE, 'd': 0.0::DOUBLE, 'o': []::STRUCT(seq BIGINT, t VARCHAR, x VARCHAR)[]}}).o AS o FROM gs)
+ SELECT product_id, u.seq AS seq, u.x AS action, u.t AS trigger FROM (SELECT product_id, unnest(o) AS u FROM fd)"""
+
+
+def _actions(found: DataFrame) -> DataFrame:
+    """Entries and exits as rows of their own."""
+    entry = F.struct(C("entry_seq").alias("seq"), F.lit("BUY").alias("action"), F.lit("TICK_SIGNAL").alias("trigger"))
+    exit_ = F.struct(C("exit_seq").alias("seq"), F.lit("SELL").alias("action"), "trigger")
+    return found.select("product_id", F.inline(F.array(entry, exit_))).where(C("seq").isNotNull())
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third tick is a scan with scores, the others trade."""
+    scan = C("seq") % 3 == 0
+    return domain.ticks(spark, sf_dir).withColumns({"buy_score": F.when(scan, C("volume") / 100), "sell_score": F.when(scan, 1 - C("volume") / 100)})
+
+
+@query("pos5_pos6_tick_trades", _trades_sql("0.015::DOUBLE"))
+def tick_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries and exits of all products: sell score, stop, giveback and profit with one common stop."""
+    return _actions(trades.tick_trades(_scanned(spark, sf_dir)))
+
+
+@query("pos5_pos6_atr_stops", _trades_sql("CASE WHEN volume >= 60 THEN (0.02 + volume % 10 / 50)::DOUBLE ELSE 0.015::DOUBLE END"))
+def atr_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a stop of its own for every entry; scans without one leave the default."""
+    stop = F.when(C("volume") >= 60, 0.02 + C("volume") % 10 / 50)
+    return _actions(trades.tick_trades(_scanned(spark, sf_dir).withColumn("atr_stop", stop)))
+
+
 _BAL = f"{T}, bl AS (SELECT product_id AS agent, ts, s, seq, 900 + price AS balance FROM ticks)"
 
 

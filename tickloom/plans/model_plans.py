@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions import scoring as S
 from tickloom.functions.columns import rounded
-from tickloom.operators import features, labels, models, reports
+from tickloom.operators import features, labels, models, regimes, reports
 from tickloom.operators.alignment import asof_scan
 from tickloom.plans import domain, sqlparts as q
 from tickloom.plans.dataset_plans import LABELS, dataset, sample_rows
@@ -274,12 +275,68 @@ def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.readiness(entry_inputs(spark, sf_dir))
 
 
+def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.regime_observations(domain.bars(spark, sf_dir)).select("product_id", "start", "idx", "log_ret", "vol")
+
+
 @query("ml3_ml4_ml5_regimes")
-def regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fit on the reference product, decode every product."""
-    obs = materialize(labels.regime_observations(domain.bars(spark, sf_dir)).select("product_id", "start", "idx", "log_ret", "vol"))
-    model = models.fit_regimes(obs.where(C("product_id") == "click"))
-    return models.decode_regimes(model, obs).select("product_id", F.unix_seconds("start").alias("start"), "regime", rounded(C("confidence")).alias("confidence"))
+def fitted_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fit jointly on every product's series, decode every product."""
+    obs = materialize(_observed(spark, sf_dir))
+    model = regimes.fit_regimes(obs)
+    return regimes.decode_regimes(model, obs).select("product_id", F.unix_seconds("start").alias("start"), "regime", rounded(C("confidence")).alias("confidence"))
+
+
+# A fixed model, so that SQL can follow it: (mean and variance of return, of volatility), start and moves.
+_FIXED = regimes.RegimeModel(
+    np.array([[0.0, 1.0], [0.1, 1.4], [-0.1, 1.9]]), np.array([[0.8, 0.06], [1.6, 0.09], [3.0, 0.2]]),
+    np.array([0.5, 0.3, 0.2]), np.array([[0.9, 0.07, 0.03], [0.1, 0.8, 0.1], [0.05, 0.15, 0.8]]))
+
+
+def _density(i: int) -> str:
+    (m, v), (a, b) = _FIXED.means[i], _FIXED.variances[i]
+    return f"-0.5 * (pow(lr - {float(m)!r}, 2) / {float(a)!r} + pow(vol - {float(v)!r}, 2) / {float(b)!r} + {float(np.log(2 * np.pi * a) + np.log(2 * np.pi * b))!r})"
+
+
+def _walks() -> str:
+    """One step after the other through every series: best path scores, forward and backward probabilities."""
+    three = range(3)
+    start, move = _FIXED.start.tolist(), _FIXED.transition.tolist()
+    best = ", ".join(f"greatest({', '.join(f'w.s{i} + {float(np.log(move[i][j]))!r}::DOUBLE' for i in three)}) + d.d{j} AS s{j}" for j in three)
+    ahead = ", ".join(f"({' + '.join(f'w.a{i} * {move[i][j]!r}::DOUBLE' for i in three)}) / (w.a0 + w.a1 + w.a2) * exp(d.d{j} - d.top) AS a{j}" for j in three)
+    back = ", ".join(f"({' + '.join(f'{move[i][j]!r}::DOUBLE * exp(d.d{j} - d.top) * w.b{j}' for j in three)}) / (w.b0 + w.b1 + w.b2) AS b{i}" for i in three)
+    return (
+        f"{_OBS.replace('WITH ', 'WITH RECURSIVE ', 1)}, dd AS (SELECT product_id, start, idx, lr, vol, {', '.join(f'{_density(i)} AS d{i}' for i in three)} FROM ob WHERE idx >= 11), "
+        "d AS MATERIALIZED (SELECT *, greatest(d0, d1, d2) AS top, min(idx) OVER (PARTITION BY product_id) AS lo, max(idx) OVER (PARTITION BY product_id) AS hi FROM dd), "
+        f"f AS (SELECT product_id, idx, {', '.join(f'{float(np.log(start[j]))!r}::DOUBLE + d{j} AS s{j}' for j in three)}, {', '.join(f'{start[j]!r}::DOUBLE * exp(d{j} - top) AS a{j}' for j in three)} FROM d WHERE idx = lo "
+        f"UNION ALL SELECT d.product_id, d.idx, {best}, {ahead} FROM f w JOIN d ON d.product_id = w.product_id AND d.idx = w.idx + 1), "
+        "g AS (SELECT product_id, idx, 1.0::DOUBLE AS b0, 1.0::DOUBLE AS b1, 1.0::DOUBLE AS b2 FROM d WHERE idx = hi "
+        f"UNION ALL SELECT d.product_id, d.idx - 1, {back} FROM g w JOIN d ON d.product_id = w.product_id AND d.idx = w.idx WHERE d.idx > d.lo)"
+    )
+
+
+@query("ml4_ml5_regime_decode", f"{_walks()}, st AS (SELECT f.*, d.start, CASE WHEN s0 >= s1 AND s0 >= s2 THEN 0 WHEN s1 >= s2 THEN 1 ELSE 2 END AS k FROM f JOIN d USING (product_id, idx)) "
+       f"SELECT product_id, start, ['RANGING', 'TRENDING', 'CHAOTIC'][k + 1] AS regime, {q.cols(confidence='[a0, a1, a2][k + 1] / (a0 + a1 + a2)')} FROM st")
+def regime_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regime and confidence at every bar under a fixed model."""
+    df = regimes.decode_regimes(_FIXED, _observed(spark, sf_dir))
+    return df.select("product_id", F.unix_seconds("start").alias("start"), "regime", rounded(C("confidence")).alias("confidence"))
+
+
+_GAMMA = ", ".join(f"a{i} * b{i} / (a0 * b0 + a1 * b1 + a2 * b2) AS g{i}" for i in range(3))
+_MOVES = ", ".join(f"fa{i} * {float(_FIXED.transition[i, j])!r}::DOUBLE * e{j} * b{j} AS x{i}{j}" for i in range(3) for j in range(3))
+_EVERY = " + ".join(f"x{i}{j}" for i in range(3) for j in range(3))
+
+
+@query("ml3_expected_counts", f"{_walks()}, h AS (SELECT f.*, b0, b1, b2, lr, vol, top, lo, {_GAMMA} FROM f JOIN g USING (product_id, idx) JOIN d USING (product_id, idx)), "
+       f"p AS (SELECT {_MOVES} FROM (SELECT f.a0 AS fa0, f.a1 AS fa1, f.a2 AS fa2, b0, b1, b2, exp(d0 - top) AS e0, exp(d1 - top) AS e1, exp(d2 - top) AS e2 FROM f JOIN d ON d.product_id = f.product_id AND d.idx = f.idx + 1 JOIN g ON g.product_id = d.product_id AND g.idx = d.idx)), "
+       f"m AS (SELECT {', '.join(f'sum(x{i}{j} / ({_EVERY})) AS move{i}{j}' for i in range(3) for j in range(3))} FROM p), "
+       f"k AS (SELECT sum(ln(a0 + a1 + a2) + top) AS loglik, {', '.join(f'sum(g{i}) FILTER (WHERE idx = lo) AS start{i}, sum(g{i}) AS weight{i}, sum(g{i} * lr) AS ret{i}, sum(g{i} * vol) AS vol{i}, sum(g{i} * lr * lr) AS ret2_{i}, sum(g{i} * vol * vol) AS vol2_{i}' for i in range(3))} FROM h) "
+       f"SELECT name, {q.r('value', 4)} AS value FROM (UNPIVOT (SELECT * FROM k, m) ON COLUMNS(*) INTO NAME name VALUE value)")
+def regime_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One expectation step of the fit under a fixed model: log-likelihood and expected counts, one row each."""
+    counts = regimes.expected_counts(_FIXED, materialize(regimes.prepared(_observed(spark, sf_dir))))
+    return spark.createDataFrame(sorted(counts.items()), "name string, value double").select("name", rounded(C("value"), 4).alias("value"))
 
 
 def _trained(spark: SparkSession, sf_dir: str) -> tuple[object, DataFrame]:

@@ -19,7 +19,7 @@ T, B = q.ticks(), q.bars()
 
 def tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = domain.table(spark, sf_dir, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxBytesPerTrigger", "64m").parquet(sf_dir)
     return raw.select(
         C("event_type").alias("product_id"), C("ts").cast("timestamp").alias("ts"), C("event_id").alias("seq"), C("value").alias("price"),
         F.get_json_object("props", "$.k").cast("double").alias("volume"))
@@ -55,50 +55,43 @@ def streaming_ticker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.drain(messages.ticker_updates(raw)).select("product_id", rounded(C("price")).alias("price"))
 
 
-@query("sig2_streaming_suppress", ORACLE["sig2_suppress_repeats"])
+def _released(sql: str) -> str:
+    """Rows of a result that the watermark has passed; the tail of the stream still waits in state."""
+    return f"SELECT z.* FROM ({sql}) z JOIN events w ON w.event_id = z.seq WHERE epoch_us(w.ts) // 1000 <= (SELECT max(epoch_us(ts)) // 1000 - 600000 FROM events)"
+
+
+@query("sig2_streaming_suppress", _released(ORACLE["sig2_suppress_repeats"]))
 def streaming_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signals = tick_stream(spark, sf_dir).withColumn("side", F.when(C("price") >= 50, "BUY").otherwise("SELL"))
+    signals = tick_stream(spark, sf_dir).withColumn("side", F.when(C("price") >= 50, "BUY").otherwise("SELL")).withWatermark("ts", "10 minutes")
     df = windows.drain(stateful.run(signals, ["product_id"], stateful.Suppress(3600)))
     return df.select("product_id", F.unix_seconds("ts").alias("ts"), "seq", "side")
 
 
-@query("pos9_streaming_drawdown", ORACLE["pos9_drawdown"])
+@query("pos9_streaming_drawdown", _released(ORACLE["pos9_drawdown"]))
 def streaming_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    balances = tick_stream(spark, sf_dir).select(C("product_id").alias("agent"), "ts", "seq", (C("price") + 900).alias("balance"))
+    balances = tick_stream(spark, sf_dir).select(C("product_id").alias("agent"), "ts", "seq", (C("price") + 900).alias("balance")).withWatermark("ts", "10 minutes")
     df = windows.drain(stateful.run(balances, ["agent"], stateful.Drawdown()))
     return df.select("agent", "seq", "halted", *[rounded(C(c)).alias(c) for c in ("day_drawdown", "week_drawdown")])
 
 
-@query("pos1_streaming_book", ORACLE["pos1_average_cost_book"])
+@query("pos1_streaming_book", f"SELECT agent, seq, product_id, action, size, avg_price, pnl FROM ({_released(ORACLE['pos1_average_cost_book'])})")
 def streaming_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = domain.table(spark, sf_dir, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    df = windows.drain(stateful.run(fills_of(raw), ["agent"], stateful.BookKeeper()))
-    return df.select("agent", "seq", "action", F.round(F.log("balance"), 6).alias("log_balance"))
-
-
-_TRADER = f"""WITH {T}, gs AS (SELECT product_id, list({{'seq': seq, 'scan': seq % 3 = 0, 'p': price, 'v': volume / 100}} ORDER BY ts, seq) AS es FROM ticks GROUP BY 1),
- fd AS (SELECT product_id, list_reduce(es, lambda acc, e:
-   CASE WHEN e.scan THEN {{'z': acc.z, 'a': acc.a, 'k': acc.k, 'b': e.v, 's': 1 - e.v, 'o': acc.o}}
-   WHEN acc.z = 0 AND acc.b >= 0.55 THEN {{'z': 100.0 / e.p, 'a': e.p, 'k': 0.0::DOUBLE, 'b': 0.0::DOUBLE, 's': acc.s, 'o': list_append(acc.o, {{'seq': e.seq, 't': 'TICK_SIGNAL', 'x': 'BUY'}})}}
-   WHEN acc.z = 0 THEN acc
-   WHEN acc.s >= 0.55 OR (e.p - acc.a) / acc.a < -0.015 OR (greatest(acc.k, (e.p - acc.a) * acc.z) >= 1 AND greatest(acc.k, (e.p - acc.a) * acc.z) - (e.p - acc.a) * acc.z >= 0.25) OR (e.p - acc.a) / acc.a > 0.06
-     THEN {{'z': 0.0::DOUBLE, 'a': acc.a, 'k': acc.k, 'b': 0.0::DOUBLE, 's': 0.0::DOUBLE, 'o': list_append(acc.o, {{'seq': e.seq, 't':
-       CASE WHEN acc.s >= 0.55 THEN 'TICK_SIGNAL' WHEN (e.p - acc.a) / acc.a < -0.015 THEN 'TICK_STOP'
-            WHEN greatest(acc.k, (e.p - acc.a) * acc.z) >= 1 AND greatest(acc.k, (e.p - acc.a) * acc.z) - (e.p - acc.a) * acc.z >= 0.25 THEN 'TICK_TRAIL' ELSE 'TICK_PROFIT' END, 'x': 'SELL'}})}}
-   ELSE {{'z': acc.z, 'a': acc.a, 'k': greatest(acc.k, (e.p - acc.a) * acc.z), 'b': acc.b, 's': acc.s, 'o': acc.o}} END,
-   {{'z': 0.0::DOUBLE, 'a': 0.0::DOUBLE, 'k': 0.0::DOUBLE, 'b': 0.0::DOUBLE, 's': 0.0::DOUBLE, 'o': []::STRUCT(seq BIGINT, t VARCHAR, x VARCHAR)[]}}).o AS o FROM gs)
- SELECT product_id, u.seq AS seq, u.x AS action, u.t AS trigger FROM (SELECT product_id, unnest(o) AS u FROM fd)"""
-
-
-@query("pos5_pos6_streaming_trader", _TRADER)
-def streaming_trader(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third tick is a scan with scores, the others trade."""
-    scan = C("seq") % 3 == 0
-    rows = tick_stream(spark, sf_dir).withColumns({
-        "buy_score": F.when(scan, C("volume") / 100), "sell_score": F.when(scan, 1 - C("volume") / 100)})
-    df = windows.drain(stateful.run(rows, ["product_id"], stateful.TickTrader()))
-    return df.select("product_id", "seq", "action", "trigger")
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxBytesPerTrigger", "64m").parquet(sf_dir)
+    df = windows.drain(stateful.run(fills_of(raw).withWatermark("ts", "10 minutes"), ["agent", "product_id"], stateful.OpenPositions()))
+    df = df.withColumn("pnl", F.nanvl("pnl", F.lit(None).cast("double")))
+    return df.select("agent", "seq", "product_id", "action", *[rounded(C(c)).alias(c) for c in ("size", "avg_price", "pnl")])
+
+
+@query("st5_streaming_ttl", ORACLE["st5_ttl_lookup"])
+def streaming_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks of one type refresh a cached value, all others look it up; it lives for 600 seconds."""
+    refresh = C("product_id") == "error"
+    rows = tick_stream(spark, sf_dir).select(
+        F.lit("sentiment").alias("cache"), F.lit("fear_greed").alias("name"), "ts", F.when(~refresh, C("seq")).alias("seq"), F.when(refresh, C("price")).alias("value"))
+    # The store may keep values longer than event time does, so that replaying history does not depend on the wall clock.
+    cache = stateful.CachedValues(600, 50.0, state_ttl_seconds=86_400)
+    return windows.drain(stateful.run(rows, ["cache"], cache, "ProcessingTime")).select("seq", "value")
 
 
 _OUT_SQL = f"""WITH {T}, mx AS (SELECT max(epoch_us(ts)) // 1000 - 600000 AS wm FROM ticks),

@@ -80,23 +80,26 @@ def write_bars(bars: DataFrame, path: str, granularity: str, arrival: str | None
     )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
 def _stored(spark: SparkSession, path: str, granularity: str) -> DataFrame:
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], schemas.BAR_TABLE)
     return spark.read.schema(schemas.BAR_TABLE).parquet(path).where(F.col("granularity") == granularity)
 
 
-def read_bars(spark: SparkSession, path: str, granularity: str = "ONE_HOUR", products: Sequence[str] | None = None) -> DataFrame:
-    """Stored bars of one granularity; a store that does not exist yet reads as empty."""
+def read_bars(spark: SparkSession, path: str, granularity: str = "ONE_HOUR", products: Sequence[str] | None = None, with_day: bool = False) -> DataFrame:
+    """Stored bars of one granularity; a store that does not exist yet reads as empty.
+
+    ``with_day`` keeps the column the store is partitioned by, so that readers can prune days.
+    """
     bars = _stored(spark, path, granularity)
     if products is not None:
         bars = bars.where(F.col("product_id").isin(list(products)))
-    return bars.select(*schemas.BAR.fieldNames())
+    return bars.select(*schemas.BAR.fieldNames(), *(["day"] if with_day else []))
 
 
 def new_bars(existing: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -1,8 +1,7 @@
 """Streaming twins of the order-dependent operators, on ``transformWithStateInPandas``.
 
-Each processor keeps a few numbers per key in the state store. Rows of one key within a
-micro-batch are sorted by ``(ts, seq)``; batch size bounds what a call holds. The state store
-must be RocksDB (``STATE_STORE``).
+Each processor keeps a few numbers per key in the state store, and the rows the watermark has not passed yet. The stream
+needs a watermark on ``ts`` and event-time mode (``run``). The state store must be RocksDB (``STATE_STORE``).
 """
 
 from __future__ import annotations
@@ -10,12 +9,13 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tickloom.operators.ledger import Book
+from tickloom.operators.signals import emissions
 
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
@@ -24,35 +24,69 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set(*STATE_STORE)
 
 
-def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    frames = list(rows)
-    return pd.concat(frames).sort_values(["ts", "seq"]) if frames else pd.DataFrame()
-
-
 class _OneValue(StatefulProcessor):
-    """A processor whose state is one row of ``STATE``."""
+    """A processor that sees the rows of a key in time order and keeps one row of ``STATE``.
+
+    Rows wait in a list state until the watermark has passed them; then ``step`` gets all that are due, sorted by ``(ts, seq)``. So files
+    and rows may come in any order within the watermark's delay, and the output is that of the batch form up to the watermark. What a key
+    holds is the rows of one delay. ``INPUT`` are the columns that wait, with ``ts`` and ``seq`` among them.
+    """
 
+    INPUT: T.StructType
     STATE: T.StructType
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", self.STATE)
+        self.waiting = handle.getListState("waiting", self.INPUT)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = _ordered(rows)
+        first = None
+        for frame in rows:
+            if len(frame):
+                names = self.INPUT.fieldNames()
+                self.waiting.appendList([tuple(r) for r in frame[names].astype(object).where(frame[names].notna(), None).itertuples(index=False)])
+                first = min(_millis(frame["ts"].min()), first if first is not None else 2**62)
+        if first is not None:
+            self.handle.registerTimer(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        limit = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        frame = pd.DataFrame(list(self.waiting.get()), columns=self.INPUT.fieldNames()) if self.waiting.exists() else pd.DataFrame()
+        if frame.empty:
+            return
+        at = frame["ts"].map(_millis)
+        due, later = frame[at <= limit], frame[at > limit]
+        if later.empty:
+            self.waiting.clear()
+        else:
+            self.waiting.put([tuple(r) for r in later.astype(object).where(later.notna(), None).itertuples(index=False)])
+            self.handle.registerTimer(int(at[at > limit].min()))
+        if due.empty:
+            return
         state = self.state.get() if self.state.exists() else None
-        out, state = self.step(key, frame, state)
+        out, state = self.step(key, due.sort_values(["ts", "seq"], ignore_index=True), state)
         self.state.update(tuple(state))
-        if out:
-            yield pd.DataFrame(out, columns=self.OUTPUT.fieldNames())
+        if len(out):
+            yield out
 
     def close(self) -> None:
         pass
 
 
+def _millis(ts) -> int:
+    return pd.Timestamp(ts).value // 1_000_000
+
+
+def _seconds(ts: pd.Series) -> np.ndarray:
+    return ts.map(lambda t: pd.Timestamp(t).value // 1_000_000_000).to_numpy(np.int64)
+
+
 class Suppress(_OneValue):
     """Drops a signal repeating the side of the last emitted one within the cool-down."""
 
+    INPUT = T.StructType().add("ts", "timestamp").add("seq", "long").add("side", "string")
     STATE = T.StructType().add("at", "long").add("side", "string")
     OUTPUT = T.StructType().add("product_id", "string").add("ts", "timestamp").add("seq", "long").add("side", "string")
 
@@ -60,20 +94,19 @@ class Suppress(_OneValue):
         self.cooldown = cooldown
 
     def step(self, key, frame, state):
-        at, side = state if state else (-(10 ** 12), "")
-        out = []
-        for ts, seq, new in zip(frame["ts"], frame["seq"], frame["side"]):
-            second = int(ts.timestamp() // 1)
-            if new == side and second - at < self.cooldown:
-                continue
-            at, side = second, new
-            out.append((key[0], ts, seq, new))
-        return out, (at, side)
+        at, side = state if state else (-(10**12), "")
+        t, sides = _seconds(frame["ts"]), frame["side"].to_numpy()
+        keep = emissions(t, sides, at, side, self.cooldown)
+        found = frame[keep]
+        if len(found):
+            at, side = int(t[keep][-1]), sides[keep][-1]
+        return found.assign(product_id=key[0])[self.OUTPUT.fieldNames()], (at, side)
 
 
 class Drawdown(_OneValue):
     """Daily and weekly drawdown against the window's first balance, halted to the window's end."""
 
+    INPUT = T.StructType().add("ts", "timestamp").add("seq", "long").add("balance", "double")
     STATE = (
         T.StructType().add("day", "long").add("day_start", "double").add("day_halt", "boolean")
         .add("week", "long").add("week_start", "double").add("week_halt", "boolean")
@@ -84,93 +117,51 @@ class Drawdown(_OneValue):
         self.limits = (daily, weekly)
 
     def step(self, key, frame, state):
-        windows = [list(state[:3]), list(state[3:])] if state else [[-1, 0.0, False], [-1, 0.0, False]]
-        out = []
-        for ts, seq, balance in zip(frame["ts"], frame["seq"], frame["balance"]):
-            second, falls = int(ts.timestamp() // 1), []
-            for w, length, limit in zip(windows, (86_400, 604_800), self.limits):
-                if second // length != w[0]:
-                    w[:] = [second // length, balance, False]
-                falls.append((w[1] - balance) / max(w[1], 1.0))
-                w[2] = bool(w[2] or falls[-1] >= limit)
-            out.append((key[0], seq, windows[0][2] or windows[1][2], *falls))
-        return out, (*windows[0], *windows[1])
-
-
-class BookKeeper(_OneValue):
-    """Average-cost book of one agent; the state is its cash and open positions."""
-
-    STATE = (
-        T.StructType().add("balance", "double").add("realized", "double").add("products", T.ArrayType(T.StringType()))
-        .add("sizes", T.ArrayType(T.DoubleType())).add("costs", T.ArrayType(T.DoubleType()))
-    )
+        windows = [state[:3], state[3:]] if state else [(-1, 0.0, False)] * 2
+        second, balance, falls, halts, left = _seconds(frame["ts"]), frame["balance"], [], [], []
+        for (slot, start, halted), length, limit in zip(windows, (86_400, 604_800), self.limits):
+            own = pd.Series(second // length)
+            known = (own == slot).to_numpy()
+            base = np.where(known, start, balance.groupby(own).transform("first"))
+            fall = (base - balance.to_numpy()) / np.maximum(base, 1.0)
+            halt = pd.Series(fall >= limit).groupby(own).cummax().to_numpy() | (known & halted)
+            falls.append(fall)
+            halts.append(halt)
+            left += [int(own.iloc[-1]), float(base[-1]), bool(halt[-1])]
+        out = pd.DataFrame({"agent": key[0], "seq": frame["seq"], "halted": halts[0] | halts[1], "day_drawdown": falls[0], "week_drawdown": falls[1]})
+        return out, left
+
+
+class OpenPositions(_OneValue):
+    """Size and cost of one agent's position in one product; a sell closes all of it (``ledger.average_cost_book``)."""
+
+    INPUT = T.StructType().add("ts", "timestamp").add("seq", "long").add("side", "string").add("price", "double").add("usd", "double")
+    STATE = T.StructType().add("size", "double").add("cost", "double")
     OUTPUT = (
-        T.StructType().add("agent", "string").add("seq", "long").add("product_id", "string").add("action", "string")
-        .add("size", "double").add("avg_price", "double").add("pnl", "double").add("balance", "double")
+        T.StructType().add("agent", "string").add("product_id", "string").add("seq", "long").add("action", "string")
+        .add("size", "double").add("avg_price", "double").add("pnl", "double")
     )
 
-    def __init__(self, opening: float = 1000.0):
-        self.opening = opening
-
     def step(self, key, frame, state):
-        book = Book(state[0], state[1], dict(zip(state[2], zip(state[3], state[4])))) if state else Book(self.opening)
-        out = []
-        for seq, product, side, price, frac in zip(frame["seq"], frame["product_id"], frame["side"], frame["price"], frame["frac"]):
-            done = book.apply(product, side, price, frac)
-            if done:
-                action, size, avg, _, pnl = done
-                out.append((key[0], seq, product, action, size, avg, pnl, book.balance))
-        held = list(book.open.items())
-        return out, (book.balance, book.realized, [p for p, _ in held], [v[0] for _, v in held], [v[1] for _, v in held])
-
-
-class TickTrader(_OneValue):
-    """Tick entries and exits of one product: a fresh passing score opens, the exit rules close.
-
-    Rows carry ``price`` and, on scan rows, ``buy_score`` and ``sell_score`` (null on ticks). A
-    score is consumed by the trade it causes. Sizes are in currency per entry; cash is booked
-    per agent downstream, so products run in parallel.
-    """
-
-    STATE = (
-        T.StructType().add("size", "double").add("avg", "double").add("peak", "double").add("stop", "double")
-        .add("buy", "double").add("sell", "double")
-    )
-    OUTPUT = (
-        T.StructType().add("product_id", "string").add("ts", "timestamp").add("seq", "long").add("action", "string")
-        .add("trigger", "string").add("price", "double").add("pnl", "double")
-    )
-
-    def __init__(self, usd: float = 100.0, threshold: float = 0.55, arm: float = 1.0, giveback: float = 0.25, take_profit: float = 0.06, stop: float = 0.015):
-        self.usd, self.threshold, self.arm, self.giveback, self.take_profit, self.stop = usd, threshold, arm, giveback, take_profit, stop
-
-    def step(self, key, frame, state):
-        size, avg, peak, stop, buy, sell = state if state else (0.0, 0.0, 0.0, self.stop, 0.0, 0.0)
-        out = []
-        for ts, seq, price, b, s in zip(frame["ts"], frame["seq"], frame["price"], frame["buy_score"], frame["sell_score"]):
-            if pd.notna(b):
-                buy, sell = float(b), float(s)
-                continue
-            if size == 0.0:
-                if buy >= self.threshold and price > 0:
-                    size, avg, peak, stop, buy = self.usd / price, price, 0.0, self.stop, 0.0
-                    out.append((key[0], ts, seq, "BUY", "TICK_SIGNAL", price, None))
-                continue
-            pnl, pct = (price - avg) * size, (price - avg) / avg
-            peak = max(peak, pnl)
-            trigger = None
-            if sell >= self.threshold:
-                trigger = "TICK_SIGNAL"
-            elif pct < -stop:
-                trigger = "TICK_STOP"
-            elif peak >= self.arm and peak - pnl >= self.giveback:
-                trigger = "TICK_TRAIL"
-            elif pct > self.take_profit:
-                trigger = "TICK_PROFIT"
-            if trigger:
-                out.append((key[0], ts, seq, "SELL", trigger, price, pnl))
-                size, buy, sell = 0.0, 0.0, 0.0
-        return out, (size, avg, peak, stop, buy, sell)
+        """A batch is cut at its sells; inside an episode size and cost are running sums, the first one goes on from the state."""
+        price, usd = frame["price"].to_numpy(float), frame["usd"].to_numpy(float)
+        sells = (frame["side"] == "SELL").to_numpy()
+        buys = (frame["side"] == "BUY").to_numpy() & (price > 0) & (usd > 0)
+        cost = np.where(buys, usd, 0.0)
+        both = np.stack([np.divide(cost, price, out=np.zeros_like(cost), where=buys), cost])
+        episode = np.cumsum(sells) - sells
+        total = np.cumsum(both, axis=1) + np.array(state if state else (0.0, 0.0))[:, None]
+        closed = np.flatnonzero(sells)
+        base = np.concatenate([np.zeros((2, 1)), total[:, closed]], axis=1)[:, episode]
+        size, paid = total - base
+        shown = np.flatnonzero((buys | sells) & (size > 0) & np.where(sells, paid > 0, True))
+        pnl = np.where(sells, size * price - paid, np.nan)
+        seq, side = frame["seq"].to_numpy(), frame["side"].to_numpy()
+        found = (seq[shown], side[shown], size[shown], paid[shown] / size[shown], pnl[shown])
+        out = pd.DataFrame(dict(zip(self.OUTPUT.fieldNames(), (key[0], key[1], *found))))
+        ended = len(sells) and sells[-1]
+        left = (0.0, 0.0) if ended or not len(size) else (float(size[-1]), float(paid[-1]))
+        return out, left
 
 
 _LONGS, _DOUBLES = T.ArrayType(T.LongType()), T.ArrayType(T.DoubleType())
@@ -249,7 +240,46 @@ class ResolveOutcomes(StatefulProcessor):
         pass
 
 
-def run(stream: DataFrame, keys: list[str], processor, time_mode: str = "None") -> DataFrame:
+class CachedValues(StatefulProcessor):
+    """Values under names, each served until its time to live has passed, else a default.
+
+    Rows of two streams, united: refreshes (``value`` set) and look-ups (``seq`` set) of one ``name`` and key. The map state has the time to live
+    as Spark's own state TTL, so forgotten names leave the store without any timer; the age in event time is
+    checked as well, as a late look-up must not see a value that was stale by its own time.
+    """
+
+    STATE = T.StructType().add("value", "double").add("at", "long")
+    NAME = T.StructType().add("name", "string")
+    OUTPUT = T.StructType().add("seq", "long").add("name", "string").add("value", "double")
+
+    def __init__(self, ttl_seconds: float = 600, default: float = 50.0, state_ttl_seconds: float | None = None):
+        self.ttl, self.default, self.state_ttl = int(ttl_seconds * 1_000_000), default, state_ttl_seconds if state_ttl_seconds is not None else ttl_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.cache = handle.getMapState("cache", self.NAME, self.STATE, int(self.state_ttl * 1000))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            frame = frame.sort_values("ts", kind="stable")
+            for name, own in frame.groupby("name", sort=False):
+                at = own["ts"].map(lambda t: pd.Timestamp(t).value // 1000).to_numpy(np.int64)
+                value, refresh = own["value"].to_numpy(float), own["value"].notna().to_numpy()
+                held = self.cache.getValue((name,)) if self.cache.containsKey((name,)) else (np.nan, -(2**62))
+                when = np.r_[held[1], at[refresh]]
+                what = np.r_[held[0], value[refresh]]
+                place = np.cumsum(refresh)[~refresh]
+                asked = own[~refresh]
+                fresh = at[~refresh] - when[place] <= self.ttl
+                if refresh.any() and when[-1] >= held[1]:
+                    self.cache.updateValue((name,), (float(what[-1]), int(when[-1])))
+                if len(asked):
+                    yield pd.DataFrame({"seq": asked["seq"].to_numpy(np.int64), "name": name, "value": np.where(fresh, what[place], self.default)})
+
+    def close(self) -> None:
+        pass
+
+
+def run(stream: DataFrame, keys: list[str], processor, time_mode: str = "EventTime") -> DataFrame:
     """Attach a processor to a keyed stream."""
     use_rocksdb(stream.sparkSession)
     return stream.groupBy(*keys).transformWithStateInPandas(processor, processor.OUTPUT, "Append", time_mode)
