@@ -65,11 +65,11 @@ def test_collocations_against_brute_force(spark, texts, support, longest, top, s
     assert sorted(got) == sorted(_brute(texts, support, longest, top))
 
 
-def test_collocation_buffers_and_slices(spark, texts, monkeypatch):
-    """Buffers of a few words, slices of long texts and a filter that is full change nothing."""
+def test_full_filters_and_slices(spark, texts, monkeypatch):
+    """A filter that is full and slices of long texts change nothing."""
     docs = spark.createDataFrame(_rows(texts), TEXTS).repartition(3)
     monkeypatch.setattr(collocations, "FILTER_BITS", 64)
-    assert sorted(map(tuple, collocations.collocations(docs, 12).collect())) == sorted(_brute(texts, 12, 5, 2000))
+    assert sorted(map(tuple, collocations.collocations(docs, 12, shards=3).collect())) == sorted(_brute(texts, 12, 5, 2000))
     text = ("abc, DEF  g\t" * 2000).encode()
     monkeypatch.setattr(collocations, "_SLICE", 50)
     parts = list(collocations._words(text))

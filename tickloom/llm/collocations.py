@@ -16,8 +16,8 @@ from tickloom.llm.registry import query
 from tickloom.llm.shingles import mix
 
 C = F.col
-#: Shards a language is cut into, bits of a filter (a power of two) and words a task counts at a time.
-SHARDS, FILTER_BITS, BUFFER_WORDS = 16, 2**26, 1_000_000
+#: Shards a language is cut into, bits of a filter (a power of two), and words a task counts at a time, by hashes and by the words themselves.
+SHARDS, FILTER_BITS, HASHED_WORDS, EXACT_WORDS = 8, 2**26, 2_000_000, 1_000_000
 # The characters that end a piece, all replaced by the first, which then stands alone as a word.
 STOPS = [b".", b",", b";", b":", b"!", b"?", b"\n", b"\x0b", b"\x0c", b"\r"]
 _SLICE = 1 << 22
@@ -74,7 +74,8 @@ class _Filter:
         self.shared = keys.sparkSession.sparkContext.broadcast(bits)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        bits, mask = self.shared.value, np.uint64(FILTER_BITS - 1)
+        bits = self.shared.value
+        mask = np.uint64(64 * len(bits) - 1)
         a, b = keys & mask, keys >> np.uint64(32) & mask
         six, low = np.uint64(6), np.uint64(63)
         return (bits[a >> six] >> (a & low) & bits[b >> six] >> (b & low) & np.uint64(1)).astype(bool)
@@ -111,7 +112,7 @@ def _buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
             seeds.append(seed)
             parts.append(part)
             held += len(codes[-1])
-            if held >= BUFFER_WORDS:
+            if held >= HASHED_WORDS:
                 yield flush()
                 codes, seeds, parts, held = [], [], [], 0
     if codes:
@@ -182,7 +183,7 @@ def _exact(words_known: _Filter, phrases_known: _Filter, longest: int) -> Callab
                 seeds.append(seed)
                 sizes.append(len(ids[-1]))
                 held += sizes[-1]
-                if held >= BUFFER_WORDS:
+                if held >= EXACT_WORDS:
                     yield from out()
                     ids, seeds, sizes, held = [], [], [], 0
         if ids:
@@ -196,8 +197,8 @@ def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = 5, shar
 
     A language's documents fall into ``shards`` by the partitions they are read in, and a phrase with ``support`` occurrences has, in some shard, at least the
     share of ``support`` that the shard has of the language's words. So every shard is mined for the phrases that reach that lowered
-    support: by length, each phrase only where both its parts of one word less reached it. The union of what shards found
-    is counted over all texts, by the words themselves, and what reaches ``support`` stays.
+    support: by length, each phrase only where both its parts of one word less reached it. A phrase goes if even the most that the
+    other shards may have missed does not lift it to ``support``. The union of what shards found is counted over all texts, by the words themselves, and what reaches ``support`` stays.
 
     A shard is a label that is written once with the coded words, not a task: it spreads over as many tasks as its partitions fill. These
     count hashes of a bounded buffer each, and Spark sums them by (hash, shard).
@@ -210,9 +211,11 @@ def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = 5, shar
     coded = staged(coded, "phrase-codes", compression="zstd")
     sizes = staged(coded.groupBy("lang", "part").agg(F.sum("n_words").alias("w")), "shard-words")
     whole = sizes.groupBy("lang").agg(F.sum("w").alias("n"))
-    # The smallest whole number that is at least support * w / n; shards whose labels collide take the lower one.
-    need = sizes.join(whole, "lang").groupBy("part").agg(F.min(F.expr(f"(cast({support} as decimal(20,0)) * w + n - 1) div greatest(n, 1)")).alias("need"))
-    need = staged(need, "shard-support")
+    # The smallest whole number that is at least support * w / n.
+    need = sizes.join(whole, "lang").withColumn("need", F.expr(f"(cast({support} as decimal(20,0)) * w + n - 1) div greatest(n, 1)"))
+    # What all shards of a language can hold of a phrase without finding it.
+    hidden = need.groupBy("lang").agg(F.sum(C("need") - 1).alias("hidden"))
+    need = staged(need.join(hidden, "lang").select("part", "need", "hidden"), "shard-support")
 
     rows = coded.select(F.xxhash64("lang").alias("seed"), "part", "codes")
     counted = rows.mapInArrow(_counter(1, None), "h long, part long, n long").groupBy("h").agg(F.sum("n").alias("n"))
@@ -220,7 +223,10 @@ def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = 5, shar
     levels = []
     for size in range(2, longest + 1):
         counted = rows.mapInArrow(_counter(size, known), "h long, part long, n long").groupBy("h", "part").agg(F.sum("n").alias("n"))
-        level = staged(counted.join(need, "part").where(C("n") >= C("need")).select("h", "part"), "shard-phrases")
+        local = counted.join(need, "part").where(C("n") >= C("need")).select("h", "part", (C("n") - C("need") + 1).alias("over"), "hidden")
+        # Shards that did not find a phrase hold less than their support of it: what cannot reach the whole support goes.
+        bound = F.sum("over").over(Window.partitionBy("h")) + C("hidden")
+        level = staged(local.withColumn("bound", bound).where(C("bound") >= support).select("h", "part"), "shard-phrases")
         levels.append(level.select(C("h").alias("key")))
         if size < longest:
             known = _Filter(level.select(C("h").bitwiseXOR(C("part")).alias("key")))
