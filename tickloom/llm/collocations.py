@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from array import array
+from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,11 @@ SHARDS, FILTER_BITS, HASHED_WORDS, EXACT_WORDS = 8, 2**26, 2_000_000, 1_000_000
 # The characters that end a piece, all replaced by the first, which then stands alone as a word.
 STOPS = [b".", b",", b";", b":", b"!", b"?", b"\n", b"\x0b", b"\x0c", b"\r"]
 _SLICE = 1 << 22
+#: Bits of a phrase's hash, few enough to keep shuffled rows small, and the first of the bits that a filter looks at second.
+HASH_BITS, SECOND = 48, 22
+_LOW = np.uint64(2**HASH_BITS - 1)
+#: Phrases a task remembers the counts of.
+HELD = 400_000
 
 
 def _words(text: bytes) -> Iterator[list[bytes]]:
@@ -66,7 +73,7 @@ class _Filter:
     def __init__(self, keys: DataFrame):
         """``keys``: one long column ``key``; the bits are combined by Spark, at most ``FILTER_BITS / 64`` rows reach the driver."""
         mask = FILTER_BITS - 1
-        bit = F.explode(F.array(C("key").bitwiseAND(mask), F.shiftrightunsigned("key", 32).bitwiseAND(mask))).alias("bit")
+        bit = F.explode(F.array(C("key").bitwiseAND(mask), F.shiftrightunsigned("key", SECOND).bitwiseAND(mask))).alias("bit")
         one = F.expr("shiftleft(1L, cast(bit & 63 as int))")
         rows = keys.select(bit).groupBy(F.shiftright("bit", 6).cast("int").alias("slot")).agg(F.bit_or(one).alias("bits")).toPandas()
         bits = np.zeros(FILTER_BITS // 64, np.uint64)
@@ -76,7 +83,7 @@ class _Filter:
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         bits = self.shared.value
         mask = np.uint64(64 * len(bits) - 1)
-        a, b = keys & mask, keys >> np.uint64(32) & mask
+        a, b = keys & mask, keys >> np.uint64(SECOND) & mask
         six, low = np.uint64(6), np.uint64(63)
         return (bits[a >> six] >> (a & low) & bits[b >> six] >> (b & low) & np.uint64(1)).astype(bool)
 
@@ -119,18 +126,28 @@ def _buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
         yield flush()
 
 
+def _start(codes: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Hashes of single words in their languages."""
+    return mix(codes ^ seed) & _LOW
+
+
+def _longer(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Hashes of the phrases ``h`` with the next word each."""
+    return mix(h[:-1] + (codes << np.uint64(16))) & _LOW
+
+
 def _counter(size: int, known: _Filter | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Counts of the runs of ``size`` words in a part, both of whose runs of one word less are ``known``: ``h, part, n``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for codes, seed, part in _buffers(batches):
-            h, live = mix(codes ^ seed), codes != 0
+            h, live = _start(codes, seed), codes != 0
             for j in range(1, max(size - 1, 1)):
-                h, live = mix(h[:-1] + codes[j:]), live[:-1] & (codes[j:] != 0)
+                h, live = _longer(h, codes[j:]), live[:-1] & (codes[j:] != 0)
             if known is not None:
                 keys = h if size == 2 else h ^ part[: len(h)]
                 live = live & known(keys)
-                h, live = mix(h[:-1] + codes[size - 1:]), live[:-1] & live[1:]
+                h, live = _longer(h, codes[size - 1:]), live[:-1] & live[1:]
             at = np.flatnonzero(live)
             own = part[at] if size > 1 else np.zeros(len(at), np.uint64)
             _, first, n = np.unique(h[at] ^ own, return_index=True, return_counts=True)
@@ -145,10 +162,10 @@ def _exact(words_known: _Filter, phrases_known: _Filter, longest: int) -> Callab
 
     def flush(serial: _Serial, ids: np.ndarray, seed: np.ndarray) -> Iterator[tuple[np.ndarray, int, list[bytes], np.ndarray]]:
         codes = np.frombuffer(serial.codes, np.uint32).astype(np.uint64)[ids]
-        h, live = mix(codes ^ seed), codes != 0
+        h, live = _start(codes, seed), codes != 0
         for size in range(1, longest + 1):
             if size > 1:
-                h, live = mix(h[:-1] + codes[size - 1:]), live[:-1] & (codes[size - 1:] != 0)
+                h, live = _longer(h, codes[size - 1:]), live[:-1] & (codes[size - 1:] != 0)
             at = np.flatnonzero(live & (words_known if size == 1 else phrases_known)(h))
             while len(at):
                 _, first, group = np.unique(h[at], return_index=True, return_inverse=True)
@@ -163,18 +180,26 @@ def _exact(words_known: _Filter, phrases_known: _Filter, longest: int) -> Callab
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial, ids, seeds, sizes, names, held = _Serial(), [], [], [], {}, 0
+        counts: Counter[tuple[int, int, bytes]] = Counter()
 
-        def out():
+        def count():
             nonlocal serial
             seed = np.repeat(np.asarray(seeds, np.int64).view(np.uint64), sizes)
             for own, size, text, n in flush(serial, np.concatenate(ids), seed):
-                langs = [names[s] for s in own.view(np.int64).tolist()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(langs, pa.string()), pa.array(np.full(len(n), size, np.int32)), pa.array(text, pa.binary()), pa.array(n.astype(np.int64))],
-                    names=["lang", "words", "phrase", "n"])
+                for key, more in zip(zip(own.view(np.int64).tolist(), [size] * len(text), text), n.tolist()):
+                    counts[key] += more
             if len(serial) > 300_000:
                 serial = _Serial()
 
+        def out():
+            for part in batched(counts.items(), 50_000):
+                keys, n = zip(*part)
+                own, size, text = zip(*keys)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([names[s] for s in own], pa.string()), pa.array(size, pa.int32()), pa.array(text, pa.binary()), pa.array(n, pa.int64())],
+                    names=["lang", "words", "phrase", "n"])
+            counts.clear()
+
         for batch in batches:
             for lang, seed, text in zip(batch.column("lang").to_pylist(), batch.column("seed").to_pylist(), batch.column("text").to_pylist()):
                 names[seed] = lang
@@ -184,10 +209,13 @@ def _exact(words_known: _Filter, phrases_known: _Filter, longest: int) -> Callab
                 sizes.append(len(ids[-1]))
                 held += sizes[-1]
                 if held >= EXACT_WORDS:
-                    yield from out()
+                    count()
                     ids, seeds, sizes, held = [], [], [], 0
+                    if len(counts) > HELD:
+                        yield from out()
         if ids:
-            yield from out()
+            count()
+        yield from out()
 
     return run
 
