@@ -91,7 +91,7 @@ def test_cached_values_live_for_their_time(spark, tmp_path):
         df = spark.createDataFrame(rows_, schema.replace("ts timestamp", "s long")).withColumn("ts", F.timestamp_seconds("s"))
         df.select("cache", "name", "ts", "seq", "value").coalesce(1).write.parquet(str(tmp_path / f"in/part{i}"))
     source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = windows.drain(stateful.run(source, ["cache"], stateful.CachedValues(600, 50.0, 3600), "ProcessingTime"))
+    got = windows.drain(stateful.run(source, ["cache"], stateful.CachedValues(600, 50.0, 3600), "ProcessingTime"), idle_batches=False)
     assert {r.seq: r.value for r in got.collect()} == {1: 1.0, 2: 50.0, 3: 1.0, 4: 50.0, 5: 50.0, 6: 7.0, 7: 7.0, 8: 50.0, 9: 7.0}
 
 
@@ -106,7 +106,9 @@ def test_state_forgets_after_its_time_to_live(spark, tmp_path):
         source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
         out = stateful.run(source, ["cache"], stateful.CachedValues(1e6, 50.0, state_ttl_seconds=25), "ProcessingTime")
         query = out.writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(lambda b, _: seen.extend(map(tuple, b.collect())))
-        query.start().awaitTermination()
+        with windows.without_idle_batches(spark):
+            started = query.start()
+        assert started.awaitTermination(60)
 
     begin = time.time()
     run(0, ("a", "x", 100, None, 1.0))

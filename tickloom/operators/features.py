@@ -237,8 +237,9 @@ def feature_windows(bars: DataFrame, reference: DataFrame | None = None, funding
 def masked(df: DataFrame, channels: Sequence[int] = MASKED) -> DataFrame:
     """Zero the given channels."""
     listed = ", ".join(str(c) for c in channels)
+    kind = df.schema["channels"].dataType.elementType.elementType.simpleString()
     return df.withColumn("channels", F.expr(
-        f"transform(channels, (c, i) -> CASE WHEN i IN ({listed}) THEN transform(c, x -> CAST(0 AS FLOAT)) ELSE c END)"))
+        f"transform(channels, (c, i) -> CASE WHEN i IN ({listed}) THEN transform(c, x -> CAST(0 AS {kind})) ELSE c END)"))
 
 
 # -- incremental build ---------------------------------------------------------------------

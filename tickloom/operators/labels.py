@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tickloom.operators.alignment import with_scalar
 from tickloom.operators.blocks import blocked, core_rows
 from tickloom.operators.layers import Indicator, d, with_indicators
+from tickloom.session import materialize
 
 C = F.col
 KEYS = ("product_id",)
@@ -85,8 +86,9 @@ def walk_forward(samples: DataFrame, folds: int = 3, horizon: int = 4, embargo:
     key). The first half only trains; the rest is cut into ``folds`` validation blocks. A
     training sample is purged when its label window reaches the block and left out when it lies
     within ``embargo`` bars after an earlier block. Fold bounds are a few rows per key, found by
-    one aggregation and joined back; no series is sorted.
+    one aggregation and joined back; no series is sorted. The samples are computed once.
     """
+    samples = materialize(samples)
     sized = samples.groupBy(key).agg(F.count("*").alias("n"))
     bounds = (
         sized.withColumn("half", F.floor(C("n") * 0.5))

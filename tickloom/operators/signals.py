@@ -6,13 +6,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions import scoring as S
 from tickloom.operators import indicators as ind
-from tickloom.operators.blocks import blocked, core_rows, running
+from tickloom.operators.blocks import blocked, core_rows
 from tickloom.operators.nested import nested_indicators
 from tickloom.operators.scans import FAN, carried_states, cogrouped
 from tickloom.session import materialize
@@ -65,27 +65,34 @@ def tech_scored(bars: DataFrame, lookback: int = 80, min_bars: int = 35, min_pri
 def decide(scored: DataFrame, order: Sequence[str], buckets: Sequence[str], keys: Sequence[str] = ("product_id",), threshold: float = 0.55) -> DataFrame:
     """BUY when flat and the buy score passes, SELL when holding and the sell score passes.
 
-    Whether a product is held depends on all earlier rows, but each row only sets the state
-    (one side passes) or flips it (both pass). The state is then the last set value plus the
-    number of flips since -- two prefix scans instead of a sequential loop.
+    Whether a product is held depends on all earlier rows, but each row only sets the state (one side passes) or flips it
+    (both pass). What any stretch of rows does is then "the last set value, if any, and the flips since": windows find it for
+    every row of a bucket, the buckets' own ones are scanned, and the two are joined. One exchange, read back once for each use.
     """
+    keys, buckets = list(keys), list(buckets)
     b, s = C("adj_buy") >= threshold, C("adj_sell") >= threshold
-    df = scored.withColumns({
-        "__set": F.when(b & ~s, 1).when(s & ~b, 0),
-        "__flip": F.when(b & s, 1).otherwise(0),
-    })
-    df = materialize(running(materialize(df), keys, buckets, order, {"__flips": ("sum", C("__flip"))}))
-    df = running(df, keys, buckets, order, {
-        "__state": ("last", F.when(C("__set").isNotNull(), F.struct(C("__set").alias("v"), C("__flips").alias("f")))),
-        "__before": ("last", C("__flips")),
-    }, inclusive=False)
-    since = F.coalesce(C("__before"), F.lit(0)) - F.coalesce(C("__state.f"), F.lit(0))
-    held = (F.coalesce(C("__state.v"), F.lit(0)) + since) % 2 == 1
+    both, one = F.coalesce(b & s, F.lit(False)), F.when(b & ~F.coalesce(s, F.lit(False)), 1).when(s & ~F.coalesce(b, F.lit(False)), 0)
+    rows = Window.partitionBy(*keys, *buckets).orderBy(*order)
+    so_far = rows.rowsBetween(Window.unboundedPreceding, 0)
+    df = scored.repartition(*[C(c) for c in (*keys, *buckets)]).withColumn("__flips", F.sum(both.cast("int")).over(so_far))
+    df = df.withColumn("__set", F.last(F.when(one.isNotNull(), F.struct(one.alias("v"), C("__flips").alias("f"))), ignorenulls=True).over(so_far))
+    after = F.struct(C("__set.v").alias("v"), (C("__flips") - F.coalesce(C("__set.f"), F.lit(0))).alias("f"))
+    df = materialize(df.withColumn("__after", after).withColumn("__before", F.lag("__after").over(rows)).drop("__flips", "__set"))
+
+    totals = df.groupBy(*keys, *buckets).agg(F.max_by("__after", F.struct(*order)).alias("t"))
+    earlier = Window.partitionBy(*keys).orderBy(*buckets)
+    upto, until = earlier.rowsBetween(Window.unboundedPreceding, 0), earlier.rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("__flips", F.sum("t.f").over(upto))
+    known = F.when(C("t.v").isNotNull(), F.struct((C("t.v") + C("t.f")).alias("v"), C("__flips").alias("f")))
+    carry = totals.withColumn("__known", F.last(known, ignorenulls=True).over(until)).withColumn("__passed", F.sum("t.f").over(until))
+    came = F.coalesce(C("__known.v"), F.lit(0)) + F.coalesce("__passed", F.lit(0)) - F.coalesce(C("__known.f"), F.lit(0))
+    df = df.join(carry.select(*keys, *buckets, came.alias("__came")), [*keys, *buckets])
+    held = (F.coalesce(C("__before.v"), C("__came")) + F.coalesce(C("__before.f"), F.lit(0))) % 2 == 1
     side = F.when(b & ~held, "BUY").when(s & held, "SELL").otherwise("HOLD")
     return df.withColumns({"holding": held, "side": side}).withColumn(
         "confidence",
         F.when(C("side") == "BUY", C("adj_buy")).when(C("side") == "SELL", C("adj_sell")).otherwise(F.greatest("adj_buy", "adj_sell")),
-    ).drop("__set", "__flip", "__flips", "__state", "__before")
+    ).drop("__after", "__before", "__came")
 
 
 _NEVER = -(2**62)

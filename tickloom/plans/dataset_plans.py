@@ -232,6 +232,28 @@ def feature_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset(spark, sf_dir).select("product_id", _start(), "label", "weight", "channels")
 
 
+# Channels whose every position SQL can give: their sums over a window, the masked ones among them.
+_PER_BAR = {i: _LAST[i] for i in (1, 2, 3, 22, 23)} | {9: _LAST[9]}
+_SUMS = {
+    0: "CASE WHEN hi > lo THEN (s0 - 60 * lo) / (hi - lo) ELSE s0 - 60 * lo END", **{i: f"s{i}" for i in _PER_BAR},
+    17: "60 * coalesce(fast_rsi, 0.5)", 18: "60 * coalesce(velocity, 0.0)", 19: "60 * coalesce(volume_z, 0.0)", **{i: "0.0" for i in features.MASKED},
+}
+_MASKED_SQL = (
+    f"{_WINDOW_SQL}, pb AS (SELECT product_id, start, close, {', '.join(f'{e} AS c{i}' for i, e in _PER_BAR.items())} FROM k), "
+    f"ws AS (SELECT product_id, start, sum(close) OVER w AS s0, min(close) OVER w AS lo, max(close) OVER w AS hi, {', '.join(f'sum(c{i}) OVER {chr(118) if i == 9 else chr(119)} AS s{i}' for i in _PER_BAR)} FROM pb "
+    "WINDOW w AS (PARTITION BY product_id ORDER BY start ROWS 59 PRECEDING), v AS (PARTITION BY product_id ORDER BY start ROWS 58 PRECEDING))"
+)
+
+
+@query("ds7_masked_windows", f"{_MASKED_SQL} SELECT x3.product_id, x3.start, 27 AS n_channels, 60 AS n_bars, {', '.join(f'{q.r(e, 5)} AS sum{i}' for i, e in _SUMS.items())} FROM x3 JOIN ws ON ws.product_id = x3.product_id AND ws.start = x3.start")
+def masked_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked training windows: their shape, and the sum over all positions of every channel that SQL can follow."""
+    df = features.masked(dataset(spark, sf_dir, "double"))
+    total = lambda i: F.aggregate(C("channels")[i], F.lit(0.0), lambda a, x: a + x)
+    bars = F.array_min(F.transform("channels", lambda c: F.size(c)))
+    return df.select("product_id", _start(), F.size("channels").alias("n_channels"), bars.alias("n_bars"), *[rounded(total(i), 5).alias(f"sum{i}") for i in _SUMS])
+
+
 @query("ds8_window_store", f"{_WINDOW_SQL} SELECT product_id, start, idx::BIGINT AS idx, label, {q.cols(weight='weight')}, {_LAST_SQL} FROM x3")
 def window_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of the older bars stored, topped up twice from the bar store and read back: the same as one full build."""

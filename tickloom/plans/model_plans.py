@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,13 +11,13 @@ from pyspark.sql import functions as F
 from tickloom.functions import scoring as S
 from tickloom.functions.columns import rounded
 from tickloom.operators import features, labels, models, regimes, reports
-from tickloom.operators.alignment import asof_scan
+from tickloom.operators.alignment import asof_scan, band_join
 from tickloom.plans import domain, sqlparts as q
 from tickloom.plans.dataset_plans import LABELS, dataset, sample_rows
 from tickloom.plans.indicator_plans import values_cte
 from tickloom.plans.registry import query
 from tickloom.operators.signals import ta_indicators
-from tickloom.session import materialize
+from tickloom.session import materialize, shared_dir
 
 C = F.col
 T, B = q.ticks(), q.bars()
@@ -165,13 +167,6 @@ def extract_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- dataset bookkeeping -------------------------------------------------------------------
 
-@query("ds7_masked_windows")
-def masked_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = features.masked(dataset(spark, sf_dir))
-    return df.select("product_id", F.unix_seconds("start").alias("start"), F.transform("channels", lambda c: F.size(c)).alias("sizes"),
-                     F.exists(F.flatten(F.array(*[C("channels")[i] for i in features.MASKED])), lambda x: x != 0).alias("leak"))
-
-
 # Stored high-water marks: what the dataset looked like at earlier times, one product each.
 _MARKS = f"{T}, {B}, nw AS (SELECT product_id, count(*) AS n, min(start) AS f FROM bars GROUP BY 1), mk AS (SELECT product_id, f + CASE WHEN product_id = 'error' THEN 3600 ELSE 0 END AS first_start, CASE product_id WHEN 'click' THEN n WHEN 'view' THEN n - 30 WHEN 'signup' THEN n + 5 ELSE n - 1 END AS last_n FROM nw WHERE product_id <> 'purchase')"
 
@@ -262,12 +257,48 @@ def enough_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- models --------------------------------------------------------------------------------
 
+# Trades met by the scans around them; P&L is null, zero, a gain or a loss, and features have gaps.
+_JOINED = f"""WITH {q.SCANS}, tr AS (SELECT product_id, ts AS opened_at, s AS os, seq AS trade, volume, CASE WHEN seq % 11 = 0 THEN NULL WHEN seq % 13 = 0 THEN 0.0 ELSE price - 50 END AS pnl, price AS paid FROM ticks WHERE volume >= 50),
+ jn AS (SELECT t.*, b.seq AS scan, b.model_prob, b.price AS seen FROM tr t JOIN scans b ON t.product_id = b.product_id AND abs(t.os - b.s) < 120 WHERE b.model_prob < 0.5)"""
+
+
+def joined_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = domain.ticks(spark, sf_dir).where(C("volume") >= 50)
+    pnl = F.when(C("seq") % 11 == 0, F.lit(None)).when(C("seq") % 13 == 0, 0.0).otherwise(C("price") - 50)
+    trades = t.select("product_id", C("ts").alias("opened_at"), C("seq").alias("trade"), "volume", pnl.alias("pnl"), C("price").alias("paid"))
+    scans = domain.scans(spark, sf_dir).where(C("model_prob") < 0.5).select("product_id", "scanned_at", C("seq").alias("scan"), "model_prob", C("price").alias("seen"))
+    pairs = band_join(trades, scans, ["product_id"], "opened_at", "scanned_at", 120)
+    return pairs.select(
+        "trade", "scan", "opened_at", "pnl", C("model_prob").alias("cnn_prob"), F.when(C("scan") % 5 != 0, C("seen")).alias("rsi"),
+        F.when(C("scan") % 7 == 0, F.lit(float("nan"))).otherwise(C("seen") % 30).alias("adx"), (C("paid") - C("seen")).alias("macd"),
+        C("volume").alias("mfi"), (C("seen") % 100).alias("stoch_k"), F.hour("opened_at").alias("hour_of_day"), (F.dayofweek("opened_at") - 1).alias("day_of_week"),
+        C("paid").alias("usd_open"))
+
+
+@query("ds11_joined_entry_rows", f"{_JOINED} SELECT trade, scan, {q.cols(cnn_prob='model_prob', rsi='CASE WHEN scan % 5 <> 0 THEN seen ELSE 0 END', adx='CASE WHEN scan % 7 = 0 THEN 0 ELSE seen % 30 END', macd='paid - seen', strength='0.0', hour_of_day='hour(opened_at)', day_of_week='dayofweek(opened_at)', weight='greatest(abs(coalesce(pnl, 0)), 1e-3)')}, CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS label FROM jn")
+def joined_entry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entry rows of trades joined with the scans around them."""
+    names = ("cnn_prob", "rsi", "adx", "macd", "strength", "hour_of_day", "day_of_week", "weight")
+    return models.EntryRows().transform(joined_trades(spark, sf_dir)).select("trade", "scan", *[rounded(C(c)).alias(c) for c in names], "label")
+
+
 @query("ml1_ml2_entry_filter")
 def entry_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Train on the older trades, gate the newer ones."""
-    rows = materialize(labels.time_split(entry_inputs(spark, sf_dir), "ts"))
+    """Train on the older trades, store the model, and let the one read back gate the newer trades."""
+    rows = materialize(labels.time_split(joined_trades(spark, sf_dir), "opened_at"))
     model = models.train_entry_filter(rows.where(C("split") == "train"))
-    return models.gate_entries(model, rows.where(C("split") == "val")).select("seq", "label", "entry_prob", "allow")
+    if model is not None:
+        path = f"{shared_dir(spark)}/entry-filter-{uuid.uuid4().hex}"
+        models.save_entry_filter(model, path)
+        model = models.load_entry_filter(path)
+    return models.gate_entries(model, rows.where(C("split") == "val")).select("trade", "scan", "entry_prob", "allow")
+
+
+@query("ml2_entry_gate", f"WITH {T} SELECT seq, volume >= 52 AND seq % 9 > 0 AND seq % 10 > 0 AS allow FROM ticks")
+def entry_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate on given probabilities; null and NaN do not pass."""
+    prob = F.when(C("seq") % 9 == 0, F.lit(None)).when(C("seq") % 10 == 0, F.lit(float("nan"))).otherwise(C("volume") / 100)
+    return models.gate(domain.ticks(spark, sf_dir).withColumn("entry_prob", prob)).select("seq", "allow")
 
 
 @query("ml1_readiness", f"WITH {T} SELECT count(*) AS n, sum((price > 50)::INT)::BIGINT AS wins, count(*) >= 50 AND sum((price > 50)::INT) >= 20 AND sum((price > 50)::INT) < count(*) AS ready FROM ticks")
@@ -344,13 +375,33 @@ def _trained(spark: SparkSession, sf_dir: str) -> tuple[object, DataFrame]:
     return models.train_window_classifier(data.where(C("split") == "train")), data.where(C("split") == "val")
 
 
+def stored_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Earlier training sessions: one an order, its loss read off the order's total."""
+    o = domain.table(spark, sf_dir, "orders")
+    return o.select(C("o_orderkey").alias("session_id"), C("o_orderdate").alias("started_at"), (C("o_totalprice") / 400_000).alias("val_loss"))
+
+
 @query("ml7_ml8_window_classifier")
 def window_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Validation report of the window classifier, with the save-if-better decision."""
+    """Validation report of the window classifier, saved if better than the stored sessions."""
     model, val = _trained(spark, sf_dir)
     report = models.validation_report(models.score_windows(model, val))
-    history = report.select((C("val_loss") + 0.01).alias("val_loss"))
-    return models.keep_if_better(report, history)
+    return models.keep_if_better(report, stored_sessions(spark, sf_dir))
+
+
+@query("ds6_ml8_fold_report")
+def fold_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The window classifier under purged walk-forward validation, a row a fold."""
+    data = materialize(features.masked(dataset(spark, sf_dir)))
+    roles = labels.walk_forward(labels.sample_positions(data.select("product_id", "idx")))
+    return models.fold_report(data, roles, models.train_window_classifier, models.score_windows)
+
+
+@query("ml8_keep_if_better", "WITH ss AS (SELECT o_orderkey AS id, o_totalprice / 400000 AS loss FROM orders) SELECT id AS session_id, loss < (SELECT min(loss) FROM ss WHERE loss >= 0.1) AS saved FROM ss")
+def keep_if_better(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of the sessions would have been saved over the plausible losses of all of them."""
+    sessions = stored_sessions(spark, sf_dir)
+    return models.keep_if_better(sessions, sessions).select("session_id", "saved")
 
 
 @query("ml9_channel_importance")

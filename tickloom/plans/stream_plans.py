@@ -19,7 +19,7 @@ T, B = q.ticks(), q.bars()
 
 def tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = domain.table(spark, sf_dir, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxBytesPerTrigger", "64m").parquet(sf_dir)
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxBytesPerTrigger", 64 << 20).parquet(sf_dir)
     return raw.select(
         C("event_type").alias("product_id"), C("ts").cast("timestamp").alias("ts"), C("event_id").alias("seq"), C("value").alias("price"),
         F.get_json_object("props", "$.k").cast("double").alias("volume"))
@@ -77,7 +77,7 @@ def streaming_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pos1_streaming_book", f"SELECT agent, seq, product_id, action, size, avg_price, pnl FROM ({_released(ORACLE['pos1_average_cost_book'])})")
 def streaming_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = domain.table(spark, sf_dir, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxBytesPerTrigger", "64m").parquet(sf_dir)
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxBytesPerTrigger", 64 << 20).parquet(sf_dir)
     df = windows.drain(stateful.run(fills_of(raw).withWatermark("ts", "10 minutes"), ["agent", "product_id"], stateful.OpenPositions()))
     df = df.withColumn("pnl", F.nanvl("pnl", F.lit(None).cast("double")))
     return df.select("agent", "seq", "product_id", "action", *[rounded(C(c)).alias(c) for c in ("size", "avg_price", "pnl")])
@@ -91,7 +91,7 @@ def streaming_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("sentiment").alias("cache"), F.lit("fear_greed").alias("name"), "ts", F.when(~refresh, C("seq")).alias("seq"), F.when(refresh, C("price")).alias("value"))
     # The store may keep values longer than event time does, so that replaying history does not depend on the wall clock.
     cache = stateful.CachedValues(600, 50.0, state_ttl_seconds=86_400)
-    return windows.drain(stateful.run(rows, ["cache"], cache, "ProcessingTime")).select("seq", "value")
+    return windows.drain(stateful.run(rows, ["cache"], cache, "ProcessingTime"), idle_batches=False).select("seq", "value")
 
 
 _OUT_SQL = f"""WITH {T}, mx AS (SELECT max(epoch_us(ts)) // 1000 - 600000 AS wm FROM ticks),

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,11 +34,26 @@ def price_patches(ticks: DataFrame, products: DataFrame) -> DataFrame:
     return ticks.join(stored, "product_id").withColumn("change", C("price") - C("stored_price"))
 
 
-def drain(stream: DataFrame, mode: str = "append", fold: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+@contextmanager
+def without_idle_batches(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside run no batch without data: in processing-time mode Spark would go on with them for ever.
+
+    A query keeps the setting it started with, so the session has its own one back afterwards.
+    """
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def drain(stream: DataFrame, mode: str = "append", fold: Callable[[DataFrame], DataFrame] | None = None, idle_batches: bool = True) -> DataFrame:
     """Run a stream over all available input into a table of the shared folder and read it back.
 
     Every batch lands under its own id, so a batch repeated after a failure replaces itself.
-    ``fold`` turns the changes of an update-mode stream into the final state.
+    ``fold`` turns the changes of an update-mode stream into the final state. Without ``idle_batches`` the stream ends with its data.
     """
     spark: SparkSession = stream.sparkSession
     folder = shared_dir(spark)
@@ -48,10 +64,11 @@ def drain(stream: DataFrame, mode: str = "append", fold: Callable[[DataFrame], D
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
 
-    run = (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state")
-        .trigger(availableNow=True).foreachBatch(save).start()
-    )
+    with nullcontext() if idle_batches else without_idle_batches(spark):
+        run = (
+            stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state")
+            .trigger(availableNow=True).foreachBatch(save).start()
+        )
     run.awaitTermination()
     stored = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.IntegerType())])
     out = spark.read.schema(stored).option("basePath", f"{base}/out").option("recursiveFileLookup", "true").parquet(f"{base}/out")
