@@ -202,3 +202,60 @@ def test_whitening_edge_cases(spark):
     assert all(r["whitened"][1:] == [0.0, 0.0] and abs(r["explained"][0] - 1) < 1e-12 and r["identity_error"] < 1e-9 for r in flat)
     huge = whitening.whiten(spark.createDataFrame([(1, [1e300], 1, 1, "x"), (2, [-1e300], 1, 1, "x"), (3, [], 1, 1, "x")], VECTORS)).collect()
     assert len(huge) == 3 and all(r["deviation"] is None or r["vec_id"] == 3 for r in huge)
+
+
+def test_repeated_ids_keep_the_links_of_all_their_texts(spark):
+    from tickloom.llm.neardup import near_duplicates
+
+    one, two = "a b c d e f g h", "k l m n o p q r"
+    rows = [(1, one), (1, two), (2, one), (3, two), (4, two + " s"), (5, "u v w x y z a b"), (6, one + " z z z z z z")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 6)}
+
+
+def test_pipeline_stages_on_a_planted_table(spark, tmp_path):
+    """Toxic texts go, repeated lines and near copies go, the rest stays, whatever other columns are called."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(4)
+    clean = [a + b + c for a in "bcdfghkl" for b in "aeiou" for c in "mnprstvwxz"]
+    texts, toxic = [], []
+    for i in range(240):
+        bad = i % 4 == 0
+        sentences = [" ".join(rng.choice(clean) for _ in range(12)) + "." for _ in range(6)]
+        if bad:
+            sentences[rng.randrange(6)] = " ".join(["vile", "scum", "curse"] + [rng.choice(clean) for _ in range(6)]) + "."
+        texts.append(" ".join(sentences))
+        toxic.append(int(bad))
+    line = "this very line of boilerplate is repeated in many documents"
+    for i in (1, 2, 3, 5, 6, 7):
+        texts[i] += "\n" + line
+    texts.append(texts[9] + " tail")
+    texts.append(texts[10])
+    texts += [None, ""]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, shard int, position string, tox_score double, tox_spans string, __text string, n_dropped int"
+    rows = [(i, t, "en", f"s{i % 3}", len(t or ""), 7, "p", 0.9, "s", "t", 3) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, x) for i, x in enumerate(toxic)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == schema.replace(",", "").split()[::2]
+        seen[name] = docs.collect()
+        docs = spark.createDataFrame(seen[name], schema)
+    kept = {r["doc_id"] for r in seen["toxicity"]}
+    assert kept == {i for i in range(len(texts)) if i >= 240 or not toxic[i]}
+    by = {r["doc_id"]: r["text"] for r in seen["line_dedup"]}
+    assert by.keys() == kept and [i for i in (1, 2, 3, 5, 6, 7) if line in by[i]] == [7]
+    assert all((by[i] or "") == (texts[i] or "") for i in kept - {1, 2, 3, 5, 6})
+    assert {r["doc_id"] for r in seen["near_dedup"]} == kept - {240, 241}
+    size = {r["doc_id"]: len((r["text"] or "").split()) for r in seen["near_dedup"]}
+    copies = Counter(r["doc_id"] for r in seen["mixing"])
+    assert set(copies) <= set(size) and max(copies.values()) <= 3
+    sources = {s: sum(n for i, n in size.items() if i % 3 == int(s[1])) for s in ("s0", "s1", "s2")}
+    # Weights 5, 2, 1; the first source wants more than three times its size nowhere here, so targets are plain shares.
+    for s, w in (("s0", 5), ("s1", 2), ("s2", 1)):
+        taken = sum(size[i] * n for i, n in copies.items() if i % 3 == int(s[1]))
+        assert abs(taken - sum(sources.values()) * w / 8) <= max(size.values()) and taken <= 3 * sources[s]
+    packed = cp.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in packed} == set(copies) and max(r["offset"] + r["length"] for r in packed) <= 2048

@@ -11,7 +11,7 @@ C = F.col
 
 
 def _signature(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum("v")).first())
+    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(C("v").cast("decimal(38,0)"))).first())
 
 
 def components(edges: DataFrame) -> DataFrame:

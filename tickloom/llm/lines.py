@@ -137,7 +137,7 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
 def drop_lines(docs: DataFrame, bitmaps: DataFrame, dropped: str | None = None) -> DataFrame:
     """The rows of ``docs`` with the lines left that their bitmaps keep; other columns stay.
 
-    ``dropped`` names a column to add: how many lines the row lost. A null text becomes empty.
+    ``dropped`` names a column to add: how many lines the row lost; a column of that name is replaced. A null text becomes empty.
     """
     held = [c for c in docs.columns if c != "text"]
     left = docs.select(F.struct(*held).alias("__row"), text_or_empty().alias("__text"), F.col("doc_id").alias("__id"))
@@ -146,7 +146,7 @@ def drop_lines(docs: DataFrame, bitmaps: DataFrame, dropped: str | None = None)
     both = left.join(right, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__tag") == F.col("__tag2")), "left").select("__row", "__text", F.coalesce("__dropped", F.lit(0)).alias("__dropped"), "__keep")
     schema = both.drop("__keep").schema
     out = both.where(F.col("__keep").isNull()).drop("__keep").unionByName(both.where(F.col("__keep").isNotNull()).mapInPandas(_apply, schema))
-    return out.select(*[F.col("__text").alias("text") if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns], *([F.col("__dropped").alias(dropped)] if dropped else []))
+    return out.select(*[F.col("__text").alias("text") if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns if c != dropped], *([F.col("__dropped").alias(dropped)] if dropped else []))
 
 
 _LINES_SQL = """

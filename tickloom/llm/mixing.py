@@ -125,17 +125,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, sha
     return out.select("doc_id", "d.source", "key", "place", "size", "source_size", "target", copies.alias("copies"))
 
 
-def mixed_documents(docs: DataFrame, mixed: DataFrame, seed: int = 7) -> DataFrame:
-    """The copies the mix takes, with the columns of ``docs``, ``shard`` and ``position``, the shuffled order in the shard."""
+def mixed_documents(docs: DataFrame, mixed: DataFrame, seed: int = 7, shard: str = "shard", position: str = "position") -> DataFrame:
+    """The copies the mix takes, with the columns of ``docs`` and two more: their shard, and ``position``, the shuffled order in it.
+
+    ``shard`` and ``position`` name these two; a column of ``docs`` of that name is an error (``common.fresh`` finds a free one). Null and repeated ids and texts keep their rows; an empty table gives none.
+    """
+    if {shard.lower(), position.lower()} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"the table already has a column {shard} or {position}")
     key = ["__id", "__key"]
     same_row = Window.partitionBy(*key).orderBy(F.lit(0))
-    text = docs.select(F.struct(*docs.columns).alias("__row"), F.coalesce(C("doc_id").cast("long"), F.lit(-(2**63))).alias("__id"), document_key().alias("__key"))
+    text = docs.select(F.struct(*[C(f"`{c}`") for c in docs.columns]).alias("__row"), F.coalesce(C("doc_id").cast("long"), F.lit(-(2**63))).alias("__id"), document_key().alias("__key"))
     text = text.withColumn("__n", F.row_number().over(same_row))
     plan = mixed.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__id"), C("key").alias("__key"), "copies", "place")
     plan = plan.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy("place"))).where(F.size("copies") > 0)
-    out = text.join(plan, [*key, "__n"]).select("__row", "__key", "__n", F.posexplode("copies").alias("__copy", "shard"))
-    position = F.md5(F.concat_ws("|", F.lit(str(seed)), "__key", "__n", "__copy").cast("binary"))
-    return out.select(*[C(f"__row.`{c}`").alias(c) for c in docs.columns], "shard", position.alias("position"))
+    out = text.join(plan, [*key, "__n"]).select("__row", "__key", "__n", F.posexplode("copies").alias("__copy", "__shard"))
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), "__key", "__n", "__copy").cast("binary"))
+    return out.select(*[C(f"__row.`{c}`").alias(c) for c in docs.columns], C("__shard").alias(shard), order.alias(position))
 
 
 _MIX_SQL = """

@@ -273,8 +273,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     features = staged(docs.select(C("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
         _features(width), "doc_id long, n long, s1 long, s2 long, sketch binary, marks binary"), "features")
     sign = ["n", "s1", "s2"]
-    reps = features.where((C("n") > 0) & C("doc_id").isNotNull()).groupBy(*sign).agg(F.min("doc_id").alias("rep"), F.max("sketch").alias("sketch"), F.max("marks").alias("marks"))
-    reps = staged(reps, "representatives")
+    reps = features.where((C("n") > 0) & C("doc_id").isNotNull()).groupBy(*sign).agg(F.min("doc_id").alias("doc"), F.max("sketch").alias("sketch"), F.max("marks").alias("marks"))
+    reps = staged(_named(reps, sign), "representatives")
+    # Rows of one doc_id are one node, whatever their sets.
+    known = features.where((C("n") > 0) & C("doc_id").isNotNull()).select("doc_id", *sign).distinct()
+    shared = known.groupBy("doc_id").agg(F.count("*").alias("sets")).where(C("sets") > 1).select("doc_id")
+    held = known.join(shared, "doc_id").join(reps.select(*sign, "rep"), sign)
+    same = held.groupBy("doc_id").agg(F.min("rep").alias("v")).join(held, "doc_id").where(C("rep") != C("v")).select(C("rep").alias("u"), "v")
+    same = staged(same.distinct(), "same-id")
     least = percent / 100 - SLACK
     nodes = _nodes(reps, 100 / percent - 1)
     rows = staged(nodes.join(reps.select("rep", "n", "marks").dropDuplicates(["rep"]), "rep").withColumn("comp", C("rep")), "members")
@@ -285,32 +291,42 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     blocks = _blocks(led.withColumn("main", C("rep")), guest)
     tried = staged(_pairs(blocks, least, True), "forest")
 
-    wanted = nodes.select("rep").distinct()
-    full = docs.select(C("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep", "left_semi")
-    sets = full.mapInPandas(_sets(width), "rep long, n long, s1 long, s2 long, shingles binary")
-    sets = staged(sets.join(reps.select(*sign, "rep"), [*sign, "rep"], "left_semi").dropDuplicates(["rep"]).select("rep", "shingles"), "sets")
+    wanted = nodes.select("rep").distinct().join(reps.select("rep", "doc"), "rep").select("doc").distinct()
+    full = docs.select(C("doc_id").cast("long").alias("doc"), "text").join(wanted, "doc", "left_semi")
+    sets = full.mapInPandas(_sets(width), "doc long, n long, s1 long, s2 long, shingles binary")
+    sets = staged(sets.join(reps.select(*sign, "doc", "rep"), [*sign, "doc"]).dropDuplicates(["rep"]).select("rep", "shingles"), "sets")
 
     links = staged(_confirm(tried, sets, percent), "confirmed")
-    roots = staged(components(links.where("linked").select(C("a").alias("u"), C("b").alias("v"))), "roots")
+    roots = staged(components(links.where("linked").select(C("a").alias("u"), C("b").alias("v")).unionByName(same)), "roots")
     rows = rows.drop("comp").join(roots, C("rep") == C("node"), "left").select("path", "rep", "size", "n", "marks", F.coalesce("root", "rep").alias("comp"))
     shares = rows.groupBy("path", "comp").agg(F.count("*").alias("share")).groupBy("path").agg(F.count("*").alias("parts"), F.max_by("comp", "share").alias("main"))
     rows = rows.join(shares.where(C("parts") > 1), "path")
     reach = staged(_pairs(_blocks(rows, C("comp") != C("main")), least, False), "rest")
     more = staged(_join_components(reach, roots, reps, sets, percent, least), "confirmed-rest")
-    roots = components(links.where("linked").select("a", "b").unionByName(more).select(C("a").alias("u"), C("b").alias("v")))
+    roots = components(links.where("linked").select("a", "b").unionByName(more).select(C("a").alias("u"), C("b").alias("v")).unionByName(same))
 
-    classes = reps.join(roots, C("rep") == C("node"), "left").select(*[C(c).alias(f"{c}_") for c in sign], F.coalesce("root", "rep").alias("component"))
+    rooted = reps.join(roots, C("rep") == C("node"), "left").select(*sign, "doc", F.coalesce("root", "rep").alias("root"))
+    least_doc = rooted.groupBy("root").agg(F.min("doc").alias("component"))
+    classes = rooted.join(least_doc, "root").select(*[C(c).alias(f"{c}_") for c in sign], "component")
     out = features.drop("sketch", "marks").join(classes, (C("n") == C("n_")) & (C("s1") == C("s1_")) & (C("s2") == C("s2_")), "left")
     component = F.when(C("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", C("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == C("doc_id"), F.lit(False)).alias("kept"))
 
 
+def _named(reps: DataFrame, sign: list[str]) -> DataFrame:
+    """Adds ``rep``: the class's smallest doc_id; where several classes have the same one, all but one take a hash of their set, below zero."""
+    first = reps.groupBy("doc").agg(F.min(F.struct(*sign)).alias("__first"), F.count("*").alias("__n")).where(C("__n") > 1).drop("__n")
+    other = C("__first").isNotNull() & (F.struct(*sign) != C("__first"))
+    hashed = F.xxhash64(*sign).bitwiseOR(F.lit(-(2**63)))
+    return reps.join(first, "doc", "left").withColumn("rep", F.when(other, hashed).otherwise(C("doc"))).drop("__first")
+
+
 def _sets(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             x = [shingle_set(t, width) for t in frame["text"]]
             signs = [_sign(s) for s in x]
-            yield pd.DataFrame({"rep": frame["rep"], "n": [s[0] for s in signs], "s1": _signed([s[1] for s in signs]), "s2": _signed([s[2] for s in signs]), "shingles": [s.tobytes() for s in x]})
+            yield pd.DataFrame({"doc": frame["doc"], "n": [s[0] for s in signs], "s1": _signed([s[1] for s in signs]), "s2": _signed([s[2] for s in signs]), "shingles": [s.tobytes() for s in x]})
 
     return run
 

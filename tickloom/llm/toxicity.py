@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import table, text_or_empty
+from tickloom.llm.common import fresh, table, text_or_empty
 from tickloom.llm.registry import query
 from tickloom.llm.shingles import similar, sketch
 
@@ -126,19 +126,28 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def score_texts(docs: DataFrame, model: SentenceModel) -> DataFrame:
-    """``docs`` with ``tox_score`` and ``tox_spans``, the sentences that offend (``start, end, score``), of every whole text."""
+def score_texts(docs: DataFrame, model: SentenceModel, score: str = "tox_score", spans: str = "tox_spans") -> DataFrame:
+    """``docs`` with a score and the sentences that offend (``start, end, score``) of every whole text.
+
+    ``score`` and ``spans`` name these two columns; a column of ``docs`` of that name is an error (``common.fresh`` finds a free one). Null and empty texts get the score of no sentence, which the
+    model's bias gives; every row is scored on its own, so repeats and shared or null ids do not matter; an empty table gives no rows.
+    """
+    if {score.lower(), spans.lower()} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"the table already has a column {score} or {spans}")
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_WORDS words
+    text = fresh("__text", docs)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = sent.value
         for frame in batches:
-            found = [own.score(t or "") for t in frame["__text"]]
-            yield frame.assign(tox_score=[s for s, _ in found], tox_spans=[[dict(zip(("start", "end", "score"), x)) for x in o] for _, o in found])
+            found = [own.score(t or "") for t in frame[text]]
+            frame[score] = [s for s, _ in found]
+            frame[spans] = [[dict(zip(("start", "end", "score"), x)) for x in o] for _, o in found]
+            yield frame
 
-    row = docs.withColumn("__text", text_or_empty())
+    row = docs.withColumn(text, text_or_empty())
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in row.schema)
-    return row.mapInPandas(score, schema + ", tox_score double, tox_spans array<struct<start:int,end:int,score:double>>").drop("__text")
+    return row.mapInPandas(scored, f"{schema}, `{score}` double, `{spans}` array<struct<start:int,end:int,score:double>>").drop(text)
 
 
 def fit_from(docs: DataFrame, labels: DataFrame) -> SentenceModel:
