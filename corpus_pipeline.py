@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import parallelism, staged, table
+from tickloom.llm.common import fresh, parallelism, staged, table
 from tickloom.llm.lines import drop_lines, line_bitmaps
 from tickloom.llm.mixing import mix, mixed_documents
 from tickloom.llm.neardup import near_duplicates
@@ -16,8 +16,9 @@ from tickloom.session import configure
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is 0.5 or more go."""
-    scored = score_texts(docs, fit_from(docs, table(configure(spark), sf_dir, "labels")))
-    return scored.where(F.col("tox_score") < 0.5).select(*docs.columns)
+    score, spans = fresh("tox_score", docs), fresh("tox_spans", docs)
+    scored = score_texts(docs, fit_from(docs, table(configure(spark), sf_dir, "labels")), score, spans)
+    return scored.where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +37,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, dealt to shards and shuffled there."""
     configure(spark)
-    copies = mixed_documents(docs, mix(docs))
-    dealt = copies.repartition(parallelism(spark), "shard", F.substring("position", 1, 2)).sortWithinPartitions("shard", "position")
+    shard, position = fresh("shard", docs), fresh("position", docs)
+    copies = mixed_documents(docs, mix(docs), shard=shard, position=position)
+    dealt = copies.repartition(parallelism(spark), shard, F.substring(position, 1, 2)).sortWithinPartitions(shard, position)
     return dealt.select(*docs.columns)
 
 
