@@ -128,10 +128,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, sha
 def mixed_documents(docs: DataFrame, mixed: DataFrame, seed: int = 7, shard: str = "shard", position: str = "position") -> DataFrame:
     """The copies the mix takes, with the columns of ``docs`` and two more: their shard, and ``position``, the shuffled order in it.
 
-    ``shard`` and ``position`` name these two; a column of ``docs`` of that name is an error (``common.fresh`` finds a free one). Null and repeated ids and texts keep their rows; an empty table gives none.
+    ``shard`` and ``position`` name these two; a column of ``docs`` of that name stays beside them, so give free names (``common.fresh``) to tell them apart.
+    Null and repeated ids and texts keep their rows; an empty table gives none.
     """
-    if {shard.lower(), position.lower()} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"the table already has a column {shard} or {position}")
     key = ["__id", "__key"]
     same_row = Window.partitionBy(*key).orderBy(F.lit(0))
     text = docs.select(F.struct(*[C(f"`{c}`") for c in docs.columns]).alias("__row"), F.coalesce(C("doc_id").cast("long"), F.lit(-(2**63))).alias("__id"), document_key().alias("__key"))
