@@ -91,6 +91,12 @@ def test_log_files_with_continuation_lines(spark, tmp_path):
     assert sorted((r.level, r.message) for r in recs) == sorted((l, m) for l, m in map(tuple, want) if l in ("WARNING", "ERROR"))
 
 
+def test_ticker_price_of_zero_is_a_price(spark):
+    entries = ['{"product_id": "p", "price": "0.0"}', '{"product_id": "q", "close": "0"}', '{"product_id": "r", "price": ""}', '{"price": "1.0"}']
+    df = spark.createDataFrame([('{"channel": "ticker", "events": [{"tickers": [' + ", ".join(entries) + "]}]}",)], "value string")
+    assert sorted((r.product_id, r.price) for r in messages.ticker_updates(df).collect()) == [("p", 0.0), ("q", 0.0)]
+
+
 def test_bad_json_and_book_edges(spark):
     df = spark.createDataFrame([('{"a": {"size": 1.5, "avg_price": 2.0}}',), ("{oops",), (None,)], "j string")
     assert [len(r.m) for r in df.select(messages.decode_positions("j").alias("m")).collect()] == [1, 0, 0]

@@ -17,7 +17,7 @@ def _number(value: Column) -> Column:
 
 
 def ticker_updates(messages: DataFrame, payload: str = "value") -> DataFrame:
-    """Flatten raw ticker messages; entries without id or price are dropped. Batch or streaming."""
+    """Flatten raw ticker messages; entries without id or price are dropped, a price of zero is one. Batch or streaming."""
     parsed = messages.withColumn("m", F.from_json(payload, schemas.TICKER_MESSAGE)).where(C("m.channel") == "ticker")
     flat = parsed.select("m.timestamp", F.explode("m.events").alias("e")).select("timestamp", F.explode("e.tickers").alias("t"))
     price = F.coalesce(_number(C("t.price")), _number(C("t.close")))
@@ -26,7 +26,7 @@ def ticker_updates(messages: DataFrame, payload: str = "value") -> DataFrame:
         _number(C("t.best_bid")).alias("bid"), _number(C("t.best_ask")).alias("ask"),
         F.coalesce(_number(C("t.volume_24_h")), F.lit(0.0)).alias("volume_24h"),
         F.coalesce(_number(C("t.price_percent_chg_24_h")), F.lit(0.0)).alias("pct_change"),
-    ).where((C("product_id") != "") & (C("price") != 0))
+    ).where((C("product_id") != "") & C("price").isNotNull())
 
 
 # Severity of the log levels.
