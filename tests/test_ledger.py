@@ -161,3 +161,9 @@ def test_outcomes_resolve_at_the_horizon(spark, side, exit_, expected):
     assert (r.outcome, r.exit_price) == (expected, exit_)
     assert r.lesson.startswith(f"TECH {side} conf=0.61 RSI=29 MACD=bull → ") and r.lesson.endswith(f"after 4h [{expected}]")
     assert outcomes.resolve(outcomes.record(sig), bars, F.timestamp_seconds(F.lit(14_399))).count() == 0
+
+
+def test_order_at_a_price_of_zero_has_no_finite_size(spark):
+    df = spark.createDataFrame([(1, 0.0), (2, 3.0), (3, None)], "signal_id long, price double")
+    got = {r.signal_id: r.base_size for r in ledger.orders_for_signals(df, F.lit(100.0)).collect()}
+    assert got == {1: float("inf"), 2: 33.33333333, 3: None}
