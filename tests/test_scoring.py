@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.functions.columns import two_decimals
+from tickloom.functions.columns import fixed, ratio, rounded, two_decimals
 from tickloom.functions import scoring as S
+from tickloom.plans import sqlparts
 
 
 @pytest.fixture(scope="module")
@@ -115,3 +116,32 @@ def test_two_decimals_round_by_the_exact_binary_value(spark):
     values = [i / 1000 for i in range(0, 1001)] + [0.125, 0.375, 0.625, 0.875, 1.0]
     got = spark.createDataFrame([(v,) for v in values], "x double").select("x", two_decimals(F.col("x")).alias("t")).collect()
     assert [r.t for r in got] == [f"{r.x:.2f}" for r in got]
+
+
+@pytest.mark.parametrize("digits", [0, 1, 2])
+def test_fixed_text_rounds_by_the_exact_binary_value(spark, digits):
+    """0.25 is +0.2, 0.15 is +0.1 and 50.5 is 50, in moves, RSI and bands alike."""
+    values = [s * i / 40 for i in range(401) for s in (1, -1)] + [50.5, 29.5, 0.15, -0.04, 4.9999e13, 1e5 + 0.05]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", fixed(F.col("x"), digits, "+").alias("t")).collect()
+    assert [r.t for r in got] == [f"{r.x:+.{digits}f}" for r in got]
+
+
+def test_lesson_numbers_round_by_the_exact_binary_value(spark):
+    df = spark.createDataFrame([({"rsi": "50.5", "bb_pos": "0.125"},)], "indicators map<string,string>")
+    assert df.select(S.indicator_summary(F.lit("TECH")).alias("x")).first().x == "RSI=50 BB=0.12"
+
+
+def test_premium_over_a_price_of_zero_is_infinite(spark):
+    got = spark.createDataFrame([(2.0, 0.0), (-2.0, 0.0), (0.0, 0.0), (3.0, 2.0), (3.0, None)], "a double, b double").select(S.premium(F.col("a"), F.col("b")).alias("x"))
+    assert [repr(r.x) for r in got.collect()] == ["inf", "-inf", "nan", "0.5", "None"]
+
+
+def test_report_rounding_is_that_of_sql(spark):
+    """Also where a double has no room for the decimals: 2.11 over 1e-9, the move of a signal entered at a price of zero."""
+    import duckdb
+
+    values = [2.11 / 1e-9, 67.31 / 1e-9, -2.11 / 1e-9, float("inf"), float("nan"), 1e300] + [i / 1e7 for i in range(-400, 400)] + [1.0000005, -2.5e-7, 1234.5678915, 0.1 + 0.2]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", rounded(F.col("x")).alias("r")).collect()
+    sql = duckdb.connect()
+    want = [sql.execute(f"SELECT {sqlparts.r('x')} FROM (SELECT ?::DOUBLE AS x)", [r.x]).fetchone()[0] for r in got]
+    assert [repr(r.r) for r in got] == [repr(w) for w in want]

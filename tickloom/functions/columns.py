@@ -18,9 +18,20 @@ def safe_div(top: Column, bottom: Column, otherwise: float | None = None) -> Col
     return value if otherwise is None else F.coalesce(value, F.lit(otherwise))
 
 
+def ratio(top: Column, bottom: Column) -> Column:
+    """Division as floating point defines it: by zero it is infinite with the sign of ``top``, and NaN for zero by zero."""
+    return F.when(bottom == 0, top.cast("double") * F.lit(float("inf"))).otherwise(F.try_divide(top, bottom))
+
+
 def rounded(value: Column, digits: int = 6) -> Column:
-    """Report rounding that never yields a negative zero."""
-    return F.when(F.abs(value) < 0.5 * 10.0 ** -digits, 0.0).otherwise(F.round(value, digits))
+    """Report rounding that never yields a negative zero.
+
+    The scaled value is rounded half away from zero and scaled back, as SQL engines do with doubles: a number too large for so many
+    decimals may thereby move to a neighbour, which the rounding of its decimal form would not show.
+    """
+    scale = 10.0 ** digits
+    near = F.round(value * scale) / scale
+    return F.when(F.abs(value) < 0.5 / scale, 0.0).when(F.abs(near) < float("inf"), near).otherwise(value)
 
 
 def single(value: Column) -> Column:
@@ -28,13 +39,23 @@ def single(value: Column) -> Column:
     return F.when(F.abs(value) < 5e-10, 0.0).otherwise(value.cast("float").cast("double"))
 
 
-def two_decimals(x: Column) -> Column:
-    """Text of a moderate ``x`` with two decimals; a value beside a half cent is rounded by its exact binary value, as ``%.2f``
-    does in most languages, where Java's formatter rounds its shortest decimal form."""
-    half_cents = F.rint(x * 200)
+def fixed(x: Column, digits: int, sign: str = "") -> Column:
+    """Text of a moderate ``x`` with so many decimals (``sign`` "+": always signed); a value beside a half unit is rounded by its exact
+    binary value, as ``%.2f`` does in most languages, where Java's formatter rounds its shortest decimal form up."""
+    unit = 10 ** digits
+    size = F.abs(x)
+    halves = F.rint(size * (2 * unit))
     # Products with powers of two are exact, and so are the differences near zero.
-    gap = ((half_cents - x * 128) - x * 64) - x * 8
-    odd = (half_cents.cast("long") % 2) != 0
-    down = F.floor(half_cents / 2)
-    cents = F.when(gap > 0, down).when(gap < 0, down + 1).otherwise(F.when(down % 2 == 0, down).otherwise(down + 1))
-    return F.format_string("%.2f", F.when(odd & (F.abs(gap) < 1e-9), cents / 100).otherwise(x))
+    gap = halves
+    for power in reversed(range((2 * unit).bit_length())):
+        if 2 * unit >> power & 1:
+            gap = gap - size * 2 ** power
+    odd = (halves.cast("long") % 2) != 0
+    down = F.floor(halves / 2)
+    units = F.when(gap > 0, down).when(gap < 0, down + 1).otherwise(F.when(down % 2 == 0, down).otherwise(down + 1))
+    near = F.when(x < 0, -(units / unit)).otherwise(units / unit)
+    return F.format_string(f"%{sign}.{digits}f", F.when(odd, near).otherwise(x))
+
+
+def two_decimals(x: Column) -> Column:
+    return fixed(x, 2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.columns import two_decimals
+from tickloom.functions.columns import fixed, two_decimals
 from tickloom.functions.scoring import indicator_summary
 from tickloom.operators.alignment import asof_join, latest_n_per_key
 
@@ -53,7 +53,7 @@ def resolve(pending: DataFrame, bars: DataFrame, now: Column | None = None, prod
 def lesson() -> Column:
     """One line: source, side, confidence, indicators, unsigned move and verdict."""
     raw = (C("exit_price") - C("entry_price")) / F.greatest(C("entry_price"), F.lit(1e-9)) * 100
-    return F.format_string("%s %s conf=%s %s → %+.1f%% after 4h [%s]", "source", "side", two_decimals(C("confidence")), indicator_summary(C("source")), raw, "outcome")
+    return F.format_string("%s %s conf=%s %s → %s%% after 4h [%s]", "source", "side", two_decimals(C("confidence")), indicator_summary(C("source")), fixed(raw, 1, "+"), "outcome")
 
 
 def recent_lessons(resolved: DataFrame, now: Column, limit: int = 5, max_age_days: int = 30) -> DataFrame:
