@@ -3,6 +3,8 @@
 import random
 import time
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +97,60 @@ def test_cached_values_live_for_their_time(spark, tmp_path):
     assert {r.seq: r.value for r in got.collect()} == {1: 1.0, 2: 50.0, 3: 1.0, 4: 50.0, 5: 50.0, 6: 7.0, 7: 7.0, 8: 50.0, 9: 7.0}
 
 
+def test_cached_values_of_a_batch_in_any_order(spark, tmp_path):
+    """A batch reaches the processor in many frames of no order; its rows are served in time order all the same."""
+    rng, rows_ = random.Random(4), []
+    for i in range(3000):
+        refresh = i % 5 == 0
+        rows_.append(("a", "x", 1000 + 7 * i, None if refresh else i, float(i) if refresh else None))
+    rng.shuffle(rows_)
+    df = spark.createDataFrame(rows_, "cache string, name string, s long, seq long, value double").withColumn("ts", F.timestamp_seconds("s"))
+    df.select("cache", "name", "ts", "seq", "value").repartition(4).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("cache string, name string, ts timestamp, seq long, value double").parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = windows.drain(stateful.run(source, ["cache"], stateful.CachedValues(20, 50.0, 3600), "ProcessingTime"), idle_batches=False)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {r.seq: r.value for r in got.collect()} == {i: float(i - i % 5) if i % 5 <= 2 else 50.0 for i in range(3000) if i % 5}
+
+
+class _Map(dict):
+    """Map state in memory that counts its writes."""
+
+    writes = 0
+    iterator = dict.items
+
+    def updateValue(self, key, value):
+        self.writes += 1
+        self[key] = value
+
+    getValue = dict.__getitem__
+    removeKey = dict.pop
+
+
+def test_waiting_rows_are_stored_by_hour(spark):
+    """200 000 rows of ten hours are a few writes, and come out sorted up to the limit, the rest later."""
+    class Handle:
+        made = []
+
+        def getMapState(self, *_):
+            self.made.append(_Map())
+            return self.made[-1]
+
+    n = 200_000
+    at = np.random.default_rng(5).permutation(n) * 180
+    frame = pd.DataFrame({"ts": pd.to_datetime(at, unit="ms"), "seq": np.arange(n), "side": "BUY"})
+    waiting = stateful._Waiting(Handle(), stateful.Suppress.INPUT)
+    assert waiting.add(iter([frame[i: i + 2000] for i in range(0, n, 2000)])) == 0
+    assert sum(m.writes for m in Handle.made) <= 40
+    early = pd.concat(list(waiting.take(5_000_000)))
+    assert early["ts"].is_monotonic_increasing and len(early) == 5_000_000 // 180 + 1 and waiting.first() == len(early) * 180
+    rest = pd.concat(list(waiting.take()))
+    assert rest["ts"].is_monotonic_increasing and len(rest) + len(early) == n and waiting.first() is None
+
+
 def test_state_forgets_after_its_time_to_live(spark, tmp_path):
     """A value survives a restart from the checkpoint, but not its time to live in the store."""
     schema = "cache string, name string, ts timestamp, seq long, value double"
