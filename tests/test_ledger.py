@@ -167,3 +167,26 @@ def test_order_at_a_price_of_zero_has_no_finite_size(spark):
     df = spark.createDataFrame([(1, 0.0), (2, 3.0), (3, None)], "signal_id long, price double")
     got = {r.signal_id: r.base_size for r in ledger.orders_for_signals(df, F.lit(100.0)).collect()}
     assert got == {1: float("inf"), 2: 33.33333333, 3: None}
+
+
+def test_balance_parts_deal_the_trades_once(spark):
+    """Reports from bucket rows equal those from every trade's balance, and the trades are computed once."""
+    from tickloom.operators import reports
+    from tickloom.plans import domain
+
+    rng = random.Random(8)
+    rows = [(rng.choice("AN"), 86_400 * rng.randint(0, 70), i, 1, 1, 1, float(rng.randint(-9, 9)), 1.0) for i in range(400)]
+    seen = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame(rows, "agent string, s long, l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, pnl double, pct_pnl double")
+    df = df.withColumn("closed_at", F.timestamp_seconds("s")).drop("s")
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    cut = df.mapInArrow(count, df.schema).withColumn("__range", F.shiftright("l_orderkey", 6))
+    parts = reports.balance_parts(cut, domain.TRADE_ORDER, ["closed_at", "__range"])
+    got = sorted(map(tuple, reports.monthly_of_parts(parts, by_agent=True).collect()))
+    assert seen.value == len(rows)
+    assert got == sorted(map(tuple, reports.monthly_performance(domain.with_balance(df), domain.TRADE_ORDER, by_agent=True).collect()))

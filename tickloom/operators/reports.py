@@ -46,6 +46,53 @@ def monthly_performance(closed: DataFrame, order: Sequence[str], by_agent: bool
     )
 
 
+def balance_parts(closed: DataFrame, order: Sequence[str], buckets: Sequence[str], opening: float = 1000.0, zero_is_loss: bool = True) -> DataFrame:
+    """Closed trades reduced to one row per agent and bucket: counts, sums and the balance's range, first and last value.
+
+    The trades are dealt once; what the reports below join and scan is these rows. ``buckets`` start with ``closed_at``.
+    """
+    from tickloom.operators.blocks import summarized
+
+    won, lost = C("pnl") > 0, (C("pnl") <= 0 if zero_is_loss else C("pnl") < 0)
+    at = _order(order)
+    rows = summarized(closed, ["agent"], buckets, order, "__run", C("pnl"), {
+        "trades": F.count("*"), "wins": F.sum(won.cast("int")), "losses": F.sum(lost.cast("int")), "pnl": F.sum("pnl"),
+        "pct": F.sum("pct_pnl"), "n_pct": F.count("pct_pnl"), "won": F.sum(F.when(won, C("pnl"))), "lost": F.sum(F.when(lost, C("pnl"))),
+        "low": F.min("__run"), "high": F.max("__run"), "first": F.min_by("__run", at), "last": F.max_by("__run", at), "first_at": F.min(at), "last_at": F.max(at)})
+    return rows.withColumns({c: C("__run") + C(c) + opening for c in ("low", "high", "first", "last")}).drop("__run")
+
+
+def monthly_of_parts(parts: DataFrame, by_agent: bool = False) -> DataFrame:
+    """``monthly_performance`` from ``balance_parts``."""
+    keys = (["agent"] if by_agent else []) + ["month"]
+    return parts.withColumn("month", F.date_format("closed_at", "yyyy-MM")).groupBy(*keys).agg(
+        F.sum("trades").alias("trades"), F.sum("wins").alias("wins"), F.sum("losses").alias("losses"), F.sum("pnl").alias("total_pnl"),
+        F.try_divide(F.sum("pct"), F.sum("n_pct")).alias("avg_pct_pnl"),
+        F.try_divide(F.sum("won"), F.sum("wins")).alias("avg_win"), F.try_divide(F.sum("lost"), F.sum("losses")).alias("avg_loss"),
+        F.min("low").alias("low_balance"), F.max("high").alias("high_balance"),
+        F.min_by("first", "first_at").alias("open_balance"), F.max_by("last", "last_at").alias("close_balance"))
+
+
+def trailing_of_parts(parts: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
+    """``trailing_performance`` from ``balance_parts``."""
+    recent = parts.where((C("closed_at") >= as_of - F.make_dt_interval(days=F.lit(days))) & (C("closed_at") <= as_of))
+    return recent.agg(
+        F.coalesce(F.sum("trades"), F.lit(0)).alias("trades"), F.coalesce(F.sum("wins"), F.lit(0)).alias("wins"), F.coalesce(F.sum("pnl"), F.lit(0.0)).alias("total_pnl"),
+        F.min_by("first", "first_at").alias("first_balance"), F.max_by("last", "last_at").alias("last_balance"),
+    ).withColumns({
+        "return_pct": F.when(C("first_balance") > 0, C("total_pnl") / C("first_balance") * 100).otherwise(0.0),
+        "win_rate": F.coalesce(F.try_divide(C("wins") * 100.0, C("trades")), F.lit(0.0)),
+    })
+
+
+def overall_of_parts(parts: DataFrame) -> DataFrame:
+    """``overall_performance`` from ``balance_parts``."""
+    return parts.agg(
+        F.coalesce(F.sum("trades"), F.lit(0)).alias("trades"), F.sum("wins").alias("wins"), F.sum("pnl").alias("total_pnl"),
+        F.min("low").alias("low_balance"), F.max("high").alias("peak_balance"),
+        F.min_by("first", "first_at").alias("first_balance"), F.max_by("last", "last_at").alias("current_balance"))
+
+
 def monthly_ratios(monthly: DataFrame) -> DataFrame:
     """Win rate in percent, expectancy in currency and return on the opening balance."""
     rate = F.coalesce(F.try_divide(C("wins"), C("wins") + C("losses")), F.lit(0.0))
@@ -151,10 +198,11 @@ def recent_streak(closed: DataFrame, order: Sequence[str], n: int = 10, since: C
 
 def win_streaks(closed: DataFrame, keys: Sequence[str], buckets: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Longest run of wins per key and its start: islands of an unbroken loss count."""
-    from tickloom.operators.blocks import running
+    from tickloom.operators.blocks import summarized
 
-    df = running(closed, keys, buckets, order, {"__losses": ("sum", F.when(C("pnl") > 0, 0).otherwise(1))})
-    islands = df.where(C("pnl") > 0).groupBy(*keys, "__losses").agg(F.count("*").alias("streak"), F.min("closed_at").alias("since"))
+    keys, won = list(keys), C("pnl") > 0
+    df = summarized(closed, keys, buckets, order, "__losses", F.when(won, 0).otherwise(1), {"streak": F.sum(won.cast("int"))}, inside=["__losses"])
+    islands = df.where(C("streak") > 0).groupBy(*keys, (C("__losses") + C("__in___losses")).alias("__run")).agg(F.sum("streak").alias("streak"))
     return islands.groupBy(*keys).agg(F.max("streak").alias("longest"), F.count("*").alias("runs"))
 
 

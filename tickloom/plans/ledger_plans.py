@@ -52,7 +52,7 @@ _MONEY = ("total_pnl", "avg_pct_pnl", "avg_win", "avg_loss", "low_balance", "hig
 
 def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The month order must not depend on the agent, so ties are broken by the full trade key.
-    return reports.monthly_performance(domain.ledger(spark, sf_dir), ORDER)
+    return reports.monthly_of_parts(domain.ledger_parts(spark, sf_dir))
 
 
 @query("agg1_monthly_performance", f"{_MONTH} SELECT month, trades, wins, losses, {_r(*_MONEY)} FROM mo")
@@ -62,7 +62,7 @@ def monthly_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ind30_agg1_monthly_by_agent", f"WITH {q.LEDGER} SELECT agent, strftime(closed_at, '%Y-%m') AS month, count(*) AS trades, {_r(open_balance=f'arg_min(balance_after, {_ORD})', close_balance=f'arg_max(balance_after, {_ORD})')} FROM ledger GROUP BY 1, 2")
 def monthly_by_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = reports.monthly_performance(domain.ledger(spark, sf_dir), ORDER, by_agent=True)
+    df = reports.monthly_of_parts(domain.ledger_parts(spark, sf_dir), by_agent=True)
     return _round(df, ["agent", "month", "trades"], "open_balance", "close_balance")
 
 
@@ -81,7 +81,7 @@ _TRAIL = f"""WITH {q.LEDGER}, t30 AS (SELECT count(*) AS trades, sum((pnl > 0)::
 
 @query("agg3_trailing_30_days", f"{_TRAIL} SELECT trades, wins, {_r('total_pnl', 'first_balance', 'last_balance', return_pct='CASE WHEN first_balance > 0 THEN total_pnl / first_balance * 100 ELSE 0 END', win_rate='wins * 100.0 / trades')} FROM t30")
 def trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = reports.trailing_performance(domain.ledger(spark, sf_dir), _ts(_AS_OF), ORDER)
+    df = reports.trailing_of_parts(domain.ledger_parts(spark, sf_dir), _ts(_AS_OF))
     return _round(df, ["trades", "wins"], "total_pnl", "first_balance", "last_balance", "return_pct", "win_rate")
 
 
@@ -94,7 +94,7 @@ def trailing_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("agg4_overall", f"WITH {q.LEDGER} SELECT count(*) AS trades, sum((pnl > 0)::INT)::BIGINT AS wins, {_r(total_pnl='sum(pnl)', low_balance='min(balance_after)', peak_balance='max(balance_after)', first_balance=f'arg_min(balance_after, {_ORD})', current_balance=f'arg_max(balance_after, {_ORD})')} FROM ledger")
 def overall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = reports.overall_performance(domain.ledger(spark, sf_dir), ORDER)
+    df = reports.overall_of_parts(domain.ledger_parts(spark, sf_dir))
     return _round(df, ["trades", "wins"], "total_pnl", "low_balance", "peak_balance", "first_balance", "current_balance")
 
 
