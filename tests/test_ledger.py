@@ -190,3 +190,37 @@ def test_balance_parts_deal_the_trades_once(spark):
     got = sorted(map(tuple, reports.monthly_of_parts(parts, by_agent=True).collect()))
     assert seen.value == len(rows)
     assert got == sorted(map(tuple, reports.monthly_performance(domain.with_balance(df), domain.TRADE_ORDER, by_agent=True).collect()))
+
+
+def test_rows_that_meet_a_key_once_per_row_met(spark):
+    """Keys that repeat, are null, negative or missing give the rows of a plain join, also when the masks are not sent to every task."""
+    from tickloom.operators import alignment
+
+    rng = random.Random(3)
+    ref = spark.createDataFrame([(rng.choice([None, *range(-130, 200)]),) for _ in range(300)], "r long")
+    df = spark.createDataFrame([(i, rng.choice([None, *range(-140, 210)])) for i in range(900)], "i long, k long")
+    want = sorted(map(tuple, df.join(ref, F.col("k") == F.col("r")).select("i", "k").collect()))
+    assert len(want) > len(set(want)) > 300
+    assert sorted(map(tuple, alignment.with_known(df, ref, "k", "r").collect())) == want
+    few, alignment.FEW = alignment.FEW, 0
+    try:
+        assert sorted(map(tuple, alignment.with_known(df, ref, "k", "r").collect())) == want
+    finally:
+        alignment.FEW = few
+
+
+def test_reports_deal_their_lines_once(spark, tmp_path, monkeypatch):
+    """Lines of an order and bucket stay where the ranges of order keys put them: one exchange of lines and one of orders."""
+    from tickloom.plans import domain
+    from tickloom.session import joins_as_dealt
+
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    seen = []
+    monkeypatch.setattr("tickloom.operators.blocks.materialize", lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    domain.ledger_parts(spark, "/root/testdata/sf0.001")
+    exchanges = [line for line in seen[0].splitlines() if "Exchange hashpartitioning" in line]
+    assert len(exchanges) == 2 and all("shiftright" in line for line in exchanges), seen[0]
+    with pytest.raises(ZeroDivisionError), joins_as_dealt(spark):
+        assert spark.conf.get(key) == "false" and 1 / 0
+    assert spark.conf.get(key) == before

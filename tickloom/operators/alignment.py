@@ -14,6 +14,8 @@ from tickloom.session import materialize
 C = F.col
 #: Into how many tasks the left rows of one time bucket are spread when the join has no other key.
 SPREAD = 32
+#: How many rows of some 40 bytes are sent to every task.
+FEW = 250_000
 
 
 def asof_join(
@@ -121,6 +123,27 @@ def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.withColumn("__one", F.lit(1)).join(F.broadcast(one_row.withColumn("__one", F.lit(1))), "__one").drop("__one")
 
 
+def with_known(df: DataFrame, ref: DataFrame, key: str, ref_key: str) -> DataFrame:
+    """The rows of ``df`` that meet a row of ``ref`` on an integer key, once per row met; no column of ``ref`` is added.
+
+    64 neighbouring keys of ``ref`` are one row with a mask, and keys that repeat are listed beside it. Such rows are sent to every task while
+    they are few, so that ``df`` stays where it is; otherwise both sides are dealt by them.
+    """
+    counts = ref.where(C(ref_key).isNotNull()).groupBy(C(ref_key).cast("long").alias("__key")).agg(F.count("*").alias("__n"))
+    slots = materialize(counts.groupBy(F.shiftright("__key", 6).alias("__slot")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(__key & 63 AS int))")).alias("__mask"),
+        F.collect_list(F.when(C("__n") > 1, F.struct("__key", "__n"))).alias("__repeated")))
+    rows, repeated = slots.agg(F.count("*"), F.max(F.size("__repeated"))).first()
+    if rows <= FEW:
+        slots = F.broadcast(slots)
+    joined = df.withColumn("__key", C(key).cast("long")).withColumn("__slot", F.shiftright("__key", 6)).join(slots, "__slot")
+    met = joined.where(F.expr("__mask & shiftleft(1L, cast(__key & 63 AS int)) <> 0"))
+    if not repeated:
+        return met.select(*df.columns)
+    times = F.expr("coalesce(get(filter(__repeated, x -> x.__key = __key), 0).__n, 1L)")
+    return met.select(*df.columns, F.explode(F.array_repeat(F.lit(True), times.cast("int"))).alias("__met")).drop("__met")
+
+
 def band_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, right_ts: str, seconds: int,
 ) -> DataFrame:

@@ -46,10 +46,11 @@ def monthly_performance(closed: DataFrame, order: Sequence[str], by_agent: bool
     )
 
 
-def balance_parts(closed: DataFrame, order: Sequence[str], buckets: Sequence[str], opening: float = 1000.0, zero_is_loss: bool = True) -> DataFrame:
+def balance_parts(closed: DataFrame, order: Sequence[str], buckets: Sequence[str], opening: float = 1000.0, zero_is_loss: bool = True, dealt: bool = False) -> DataFrame:
     """Closed trades reduced to one row per agent and bucket: counts, sums and the balance's range, first and last value.
 
-    The trades are dealt once; what the reports below join and scan is these rows. ``buckets`` start with ``closed_at``.
+    The trades are dealt once (not at all if they are ``dealt`` by a bucket column); what the reports below join and scan is these rows.
+    ``buckets`` start with ``closed_at``.
     """
     from tickloom.operators.blocks import summarized
 
@@ -58,7 +59,7 @@ def balance_parts(closed: DataFrame, order: Sequence[str], buckets: Sequence[str
     rows = summarized(closed, ["agent"], buckets, order, "__run", C("pnl"), {
         "trades": F.count("*"), "wins": F.sum(won.cast("int")), "losses": F.sum(lost.cast("int")), "pnl": F.sum("pnl"),
         "pct": F.sum("pct_pnl"), "n_pct": F.count("pct_pnl"), "won": F.sum(F.when(won, C("pnl"))), "lost": F.sum(F.when(lost, C("pnl"))),
-        "low": F.min("__run"), "high": F.max("__run"), "first": F.min_by("__run", at), "last": F.max_by("__run", at), "first_at": F.min(at), "last_at": F.max(at)})
+        "low": F.min("__run"), "high": F.max("__run"), "first": F.min_by("__run", at), "last": F.max_by("__run", at), "first_at": F.min(at), "last_at": F.max(at)}, dealt=dealt)
     return rows.withColumns({c: C("__run") + C(c) + opening for c in ("low", "high", "first", "last")}).drop("__run")
 
 
@@ -196,12 +197,12 @@ def recent_streak(closed: DataFrame, order: Sequence[str], n: int = 10, since: C
     return last.agg(F.count("*").alias("trades"), _wins().alias("wins"), F.sum((C("pnl") < 0).cast("int")).alias("losses"), F.sum("pnl").alias("total_pnl"))
 
 
-def win_streaks(closed: DataFrame, keys: Sequence[str], buckets: Sequence[str], order: Sequence[str]) -> DataFrame:
+def win_streaks(closed: DataFrame, keys: Sequence[str], buckets: Sequence[str], order: Sequence[str], dealt: bool = False) -> DataFrame:
     """Longest run of wins per key and its start: islands of an unbroken loss count."""
     from tickloom.operators.blocks import summarized
 
     keys, won = list(keys), C("pnl") > 0
-    df = summarized(closed, keys, buckets, order, "__losses", F.when(won, 0).otherwise(1), {"streak": F.sum(won.cast("int"))}, inside=["__losses"])
+    df = summarized(closed, keys, buckets, order, "__losses", F.when(won, 0).otherwise(1), {"streak": F.sum(won.cast("int"))}, inside=["__losses"], dealt=dealt)
     islands = df.where(C("streak") > 0).groupBy(*keys, (C("__losses") + C("__in___losses")).alias("__run")).agg(F.sum("streak").alias("streak"))
     return islands.groupBy(*keys).agg(F.max("streak").alias("longest"), F.count("*").alias("runs"))
 

@@ -15,6 +15,7 @@ from tickloom.plans import domain, sqlparts as q
 from tickloom.plans.indicator_plans import VALUE, base
 from tickloom.plans.registry import query
 from tickloom.plans.signal_plans import TA_SIGNALS_SQL
+from tickloom.session import joins_as_dealt
 from tickloom.operators import signals as sig
 
 C = F.col
@@ -196,8 +197,8 @@ def recent_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("agg11_win_streaks", f"WITH {q.TRADES}, x AS (SELECT agent, pnl, sum((pnl <= 0)::INT) OVER (PARTITION BY agent ORDER BY closed_at, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS g FROM trades), "
        "i AS (SELECT agent, g, count(*) AS n FROM x WHERE pnl > 0 GROUP BY 1, 2) SELECT agent, max(n) AS longest, count(*) AS runs FROM i GROUP BY 1")
 def win_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = domain.trades(spark, sf_dir).select("agent", "pnl", *ORDER, F.shiftright("l_orderkey", 16).alias("__range"))
-    return reports.win_streaks(cut, ["agent"], ["closed_at", "__range"], ORDER)
+    with joins_as_dealt(spark):
+        return reports.win_streaks(domain.dealt_trades(spark, sf_dir), ["agent"], ["closed_at", "__range"], ORDER, dealt=True)
 
 
 @query("agg13_volume_share", f"SELECT {_r(share_pct='sum(CASE WHEN starts_with(l_returnflag || l_linestatus, chr(82)) THEN l_extendedprice ELSE 0 END) / sum(l_extendedprice) * 100')} FROM lineitem")
