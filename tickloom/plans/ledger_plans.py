@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions import scoring as S
-from tickloom.functions.columns import rounded
-from tickloom.operators import filters, ledger, outcomes, reports, trades
+from tickloom.functions.columns import rounded, single
+from tickloom.operators import filters, ledger, outcomes, reports, shares, trades
 from tickloom.operators import indicators as ind
 from tickloom.operators.alignment import asof_scan
 from tickloom.operators.blocks import blocked, core_rows
@@ -271,10 +271,10 @@ def fills_of(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     return events.select(
         C("event_type").alias("agent"), C("ts").cast("timestamp").alias("ts"), C("event_id").alias("seq"), (C("user_id") % 10).cast("string").alias("product_id"),
-        F.when(k >= 50, "BUY").otherwise("SELL").alias("side"), C("value").alias("price"), F.when(k >= 50, k % 7 * F.lit(20.0)).alias("usd"))
+        F.when(k >= 50, "BUY").otherwise("SELL").alias("side"), C("value").alias("price"), F.when(k >= 50, k % 7 * F.lit(20.0)).alias("usd"), F.when(k >= 50, k % 7 / F.lit(20.0)).alias("frac"))
 
 
-_BOOK = f"""WITH fl AS (SELECT event_type AS agent, ts, event_id AS seq, (user_id % 10)::INT AS p, CAST(json_extract_string(props, '$.k') AS INT) AS k, value AS price FROM events),
+_AMOUNTS = f"""WITH fl AS (SELECT event_type AS agent, ts, event_id AS seq, (user_id % 10)::INT AS p, CAST(json_extract_string(props, '$.k') AS INT) AS k, value AS price FROM events),
  f1 AS (SELECT *, k >= 50 AS buy, CASE WHEN k >= 50 THEN k % 7 * 20.0::DOUBLE END AS usd FROM fl WHERE k < 50 OR (k % 7 > 0 AND price > 0)),
  f2 AS (SELECT *, count(*) FILTER (WHERE NOT buy) OVER (PARTITION BY agent, p ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS episode FROM f1),
  f3 AS (SELECT *, coalesce(sum(usd) OVER w, 0) AS cost, coalesce(sum(usd / price) OVER w, 0) AS size FROM f2 WINDOW w AS (PARTITION BY agent, p, episode ORDER BY ts, seq)),
@@ -283,7 +283,53 @@ _BOOK = f"""WITH fl AS (SELECT event_type AS agent, ts, event_id AS seq, (user_i
    {q.r('1000 + sum(flow) OVER g', 4)} AS balance, {q.r('coalesce(sum(pnl) OVER g, 0)', 4)} AS realized_pnl FROM f4 WINDOW g AS (PARTITION BY agent ORDER BY ts, seq)"""
 
 
+#: Amounts of an agent's state are scaled by 2**-300 whenever its balance passes 1e100; ``e`` counts that.
+_W = "CASE WHEN acc.b > 1e100::DOUBLE THEN pow(2::DOUBLE, -300) ELSE 1::DOUBLE END"
+_LN_E = "(acc.e + CASE WHEN acc.b > 1e100::DOUBLE THEN 300 ELSE 0 END) * ln(2::DOUBLE)"
+_OPEN = "(acc.b * least(e.frac, 0.95::DOUBLE) > 0 AND ln(acc.b * least(e.frac, 0.95::DOUBLE)) + acc.e * ln(2::DOUBLE) >= 0)"
+_SPENT, _SIZE, _COST, _CASH, _WON = f"(acc.b * ({_W}) * least(e.frac, 0.95::DOUBLE))", f"(acc.z[e.p + 1] * ({_W}))", f"(acc.c[e.p + 1] * ({_W}))", f"(acc.b * ({_W}))", f"(acc.r * ({_W}))"
+
+
+def _held(field: str, changed: str) -> str:
+    return f"list_transform(range(10), lambda i: CASE WHEN i = e.p THEN {changed} ELSE acc.{field}[i + 1] * ({_W}) END)"
+
+
+def _shown(action: str, size: str, cost: str, spent: str, gain: str, cash: str, won: str) -> str:
+    """A row of the result: the position, what was spent or gained, and the agent's cash behind it."""
+    return (f"{{'seq': e.seq, 'p': e.p, 'x': '{action}', 'z': ln({size}) + {_LN_E}, 'v': {cost} / {size}, 'u': {spent}, 'g': {gain}, 'b': ln({cash}) + {_LN_E}, 'r': {won} / {cash}}}")
+
+
+_BOOK = f"""WITH fl AS (SELECT event_type AS agent, ts, event_id AS seq, (user_id % 10)::INT AS p, CAST(json_extract_string(props, '$.k') AS INT) AS k, value AS price FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL),
+ fs AS (SELECT agent, list({{'seq': seq, 'p': p, 'buy': k >= 50, 'price': price, 'frac': (k % 7 / 20.0)::DOUBLE}} ORDER BY ts, seq) AS es FROM fl GROUP BY 1),
+ fd AS (SELECT agent, list_reduce(es, lambda acc, e:
+   CASE WHEN e.buy AND e.price > 0 AND {_OPEN} THEN {{'b': {_CASH} - {_SPENT}, 'r': {_WON}, 'e': acc.e + CASE WHEN acc.b > 1e100::DOUBLE THEN 300 ELSE 0 END,
+      'z': {_held('z', f'{_SIZE} + {_SPENT} / e.price')}, 'c': {_held('c', f'{_COST} + {_SPENT}')},
+      'o': list_append(acc.o, {_shown('BUY', f'({_SIZE} + {_SPENT} / e.price)', f'({_COST} + {_SPENT})', f'ln({_SPENT}) + {_LN_E}', 'NULL::DOUBLE', f'({_CASH} - {_SPENT})', _WON)})}}
+   WHEN NOT e.buy AND acc.z[e.p + 1] > 0 THEN {{'b': {_CASH} + {_SIZE} * e.price, 'r': {_WON} + ({_SIZE} * e.price - {_COST}), 'e': acc.e + CASE WHEN acc.b > 1e100::DOUBLE THEN 300 ELSE 0 END,
+      'z': {_held('z', '0.0::DOUBLE')}, 'c': {_held('c', '0.0::DOUBLE')},
+      'o': list_append(acc.o, {_shown('SELL', _SIZE, _COST, 'NULL::DOUBLE', f'{_SIZE} * e.price / {_COST} - 1', f'({_CASH} + {_SIZE} * e.price)', f'({_WON} + ({_SIZE} * e.price - {_COST}))')})}}
+   ELSE acc END,
+   {{'b': 1000.0::DOUBLE, 'r': 0.0::DOUBLE, 'e': 0::INT, 'z': list_transform(range(10), lambda i: 0.0::DOUBLE), 'c': list_transform(range(10), lambda i: 0.0::DOUBLE),
+     'o': []::STRUCT(seq BIGINT, p INT, x VARCHAR, z DOUBLE, v DOUBLE, u DOUBLE, g DOUBLE, b DOUBLE, r DOUBLE)[]}}).o AS o FROM fs),
+ un AS (SELECT agent, unnest(o) AS u FROM fd)
+ SELECT agent, u.seq AS seq, u.p::VARCHAR AS product_id, u.x AS action, {q.r('u.z')} AS log_size, {q.r('u.v')} AS avg_price, {q.r('u.u')} AS log_spent, {q.single('u.g')} AS gain,
+   {q.r('u.b')} AS log_balance, {q.r('u.r')} AS realized_share FROM un"""
+
+
+def book_columns(df: DataFrame) -> DataFrame:
+    """Rounded for comparison; ratios of two prices often lie between two roundings of six decimals."""
+    known = {c: F.nanvl(c, F.lit(None).cast("double")) for c in ("log_size", "avg_price", "log_spent", "gain", "log_balance", "realized_share")}
+    return df.select("agent", "seq", "product_id", "action", *[(single(v) if c == "gain" else rounded(v)).alias(c) for c, v in known.items()])
+
+
 @query("pos1_average_cost_book", _BOOK)
+def share_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buys spend a share of the agent's cash of the moment, so all fills of an agent depend on each other."""
+    df = shares.share_book(fills(spark, sf_dir))
+    return book_columns(df)
+
+
+@query("pos1_fixed_amounts", _AMOUNTS)
 def average_cost_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = ledger.average_cost_book(fills(spark, sf_dir))
     return df.select(
