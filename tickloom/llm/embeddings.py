@@ -13,7 +13,7 @@ from tickloom.llm.registry import query
 
 C = F.col
 #: Vectors the cells are fitted on, the size a cell aims at, the most cells, and the rows of a block.
-FIT_ROWS, CELL_ROWS, MAX_CELLS, BLOCK = 20_000, 512, 1024, 512
+FIT_ROWS, CELL_ROWS, MAX_CELLS, BLOCK = 20_000, 2048, 1024, 2048
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -35,8 +35,11 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> n
 
 def _unit(frame: pd.DataFrame, dims: int) -> np.ndarray:
     x = np.zeros((len(frame), dims))
-    for i, v in enumerate(frame["vector"]):
-        x[i, : len(v)] = v
+    if all(len(v) == dims for v in frame["vector"]):
+        x[:] = np.stack(frame["vector"].to_numpy()) if len(frame) else x
+    else:
+        for i, v in enumerate(frame["vector"]):
+            x[i, : len(v)] = v
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -62,11 +65,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     ``threshold`` or more. Null or zero vectors and those with a null or non-finite component link with nothing, and neither
     do rows without an id, whose component is null and which are not kept. Rows that share an id are one node, whose links are those of its rows.
 
-    Equal vectors are first folded to one row with a count. Cells are fitted on ``FIT_ROWS`` vectors and take all. A vector is also a
-    guest of every other cell it can have a link into: one whose bisector with its own cell lies within the threshold's
-    angle, and whose radius reaches it. So each vector meets all its links in its own cell and none is lost. Cells are cut
-    into blocks of ``BLOCK`` rows by a hash, and every pair of blocks is one bounded group, which gives counts and a spanning
-    star for each of its local groups, never its pairs.
+    Equal vectors are first folded to one row with a count. Every label of twice ``CELL_ROWS`` vectors or more has cells of its own, fitted on its part of ``FIT_ROWS``
+    vectors; they take all of them, and a smaller label is one cell. A vector is also a guest of every cell before its own it can have a link
+    into: one whose bisector with its own cell lies within the threshold's angle, and whose radius reaches it. So a pair meets in its
+    common cell or in the first one's and none is lost. Cells are cut into blocks of ``BLOCK`` rows by a hash, and every pair of blocks is
+    one bounded group, which gives counts and a spanning star for each of its local groups, never its pairs.
     """
     usable = (C("label").isNotNull() & C("vec_id").isNotNull() & (F.size("vector") > 0)
               & ~F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("vector", lambda v: v != 0))
@@ -79,35 +82,54 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), C("vec_id").alias("component_id"), C("vec_id").isNotNull().alias("kept"))
     n, dims = int(size[0]), int(size[1])
 
-    sample = folded.select("vector").orderBy(F.xxhash64("rep", "label")).limit(FIT_ROWS).toPandas()
-    centers = spherical_kmeans(_unit(sample, dims), max(1, min(MAX_CELLS, len(sample), n // CELL_ROWS)))
+    # Labels of many vectors only: at most one for twice CELL_ROWS rows, and MAX_CELLS / 2 of them.
+    large = folded.groupBy("label").agg(F.count("*").alias("n")).where(C("n") >= 2 * CELL_ROWS)
+    large = {r["label"]: r["n"] for r in large.orderBy(F.desc("n"), "label").limit(MAX_CELLS // 2).collect()}
+    wanted = sum(m // CELL_ROWS for m in large.values())
+    centers = {}
+    if large:
+        sample = folded.where(C("label").isin(list(large))).select("label", "vector").orderBy(F.xxhash64("rep", "label")).limit(FIT_ROWS).toPandas()
+        for label, part in sample.groupby("label"):
+            k = large[label] // CELL_ROWS if wanted <= MAX_CELLS else max(1, large[label] // CELL_ROWS * MAX_CELLS // wanted)
+            centers[label] = spherical_kmeans(_unit(part, dims), min(k, len(part)))
     angle = float(np.arccos(threshold)) + 1e-7
-    gaps = np.linalg.norm(centers[:, None] - centers[None], axis=2)
+
+    def of_labels(frame: pd.DataFrame):
+        """Positions of each label that has cells, their products with its centroids, and these."""
+        for label, at in frame.groupby("label").indices.items():
+            if label in centers:
+                yield label, at, np.clip(_unit(frame.iloc[at], dims) @ centers[label].T, -1, 1), centers[label]
 
     def nearest(batches):
         for frame in batches:
-            products = np.clip(_unit(frame, dims) @ centers.T, -1, 1)
-            own = products.argmax(1)
-            yield frame.assign(home=own, off=np.arccos(products[np.arange(len(frame)), own]))
+            home, off = np.zeros(len(frame), np.int32), np.zeros(len(frame))
+            for _, at, products, _ in of_labels(frame):
+                home[at] = products.argmax(1)
+                off[at] = np.arccos(products[np.arange(len(at)), home[at]])
+            yield frame.assign(home=home, off=off)
 
     schema = ", ".join(f.simpleString().replace(":", " ", 1) for f in folded.schema)
     homed = staged(folded.mapInPandas(nearest, schema + ", home int, off double"), "vector-homes")
     # At most MAX_CELLS rows.
-    reach = np.full(len(centers), -1.0)
-    for r in homed.groupBy("home").agg(F.max("off").alias("r")).collect():
-        reach[r["home"]] = r["r"]
+    reach = {label: np.full(len(c), -1.0) for label, c in centers.items()}
+    if centers:
+        for r in homed.where(C("label").isin(list(centers))).groupBy("label", "home").agg(F.max("off").alias("r")).collect():
+            reach[r["label"]][r["home"]] = r["r"]
 
     def cells(batches):
         for frame in batches:
-            products = np.clip(_unit(frame, dims) @ centers.T, -1, 1)
-            own = frame["home"].to_numpy()
-            margin = products[np.arange(len(frame)), own][:, None] - products
-            near = margin <= np.sin(angle) * gaps[own] + 1e-9
-            near &= np.arccos(products) <= reach[None] + angle
-            near[np.arange(len(frame)), own] = True
-            row, cell = np.nonzero(near)
-            out = frame.iloc[row].drop(columns=["home", "off"]).assign(cell=cell)
-            yield out.assign(own=cell == own[row])
+            row, cell = [np.arange(len(frame))], [frame["home"].to_numpy()]
+            for label, at, products, c in of_labels(frame):
+                own = frame["home"].to_numpy()[at]
+                gaps = np.linalg.norm(c[:, None] - c[None], axis=2)
+                margin = products[np.arange(len(at)), own][:, None] - products
+                near = (margin <= np.sin(angle) * gaps[own] + 1e-9) & (np.arccos(products) <= reach[label][None] + angle)
+                near &= np.arange(len(c))[None] < own[:, None]
+                i, j = np.nonzero(near)
+                row.append(at[i])
+                cell.append(j)
+            row, cell = np.concatenate(row), np.concatenate(cell)
+            yield frame.iloc[row].drop(columns=["home", "off"]).assign(cell=cell, own=np.arange(len(row)) < len(frame))
 
     placed = staged(homed.mapInPandas(cells, schema + ", cell int, own boolean"), "vector-cells")
     key = ["cell", "label", "dims"]
@@ -115,7 +137,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     placed = placed.join(blocks, key).withColumn("block", F.pmod(F.xxhash64("rep"), C("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), C("blocks") - 1))
     sides = placed.where("own").select(*key, "rep", "vector", "copies", C("block").alias("a"), every.alias("b"), F.lit(True).alias("left")).unionByName(
-        placed.select(*key, "rep", "vector", "copies", every.alias("a"), C("block").alias("b"), F.lit(False).alias("left")))
+        placed.select(*key, "rep", "vector", "copies", every.alias("a"), C("block").alias("b"), F.lit(False).alias("left"), "own"), allowMissingColumns=True)
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         left, right = frame[frame["left"]], frame[~frame["left"]]
@@ -126,6 +148,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
         cosine = (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None])
         links = (cosine >= threshold) & (a[:, None] != b[None])
         counts = links @ right["copies"].to_numpy()
+        # Two vectors of the cell are left once each; a guest is only here.
+        guest = ~right["own"].to_numpy(bool)
+        guests = pd.DataFrame({"rep": b[guest], "links": links[:, guest].T @ left["copies"].to_numpy(), "root": b[guest]})
         # Both sides as one graph, rows by id, so that a group's first row is its smallest.
         ids, at = np.unique(np.r_[a, b], return_inverse=True)
         graph = np.zeros((len(ids), len(ids)), bool)
@@ -135,7 +160,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
         root = ids[linked][_stars(graph[np.ix_(linked, linked)])] if len(linked) else ids[:0]
         stars = pd.DataFrame({"rep": ids[linked], "links": 0, "root": root})
         stars = stars[stars["rep"] != stars["root"]]
-        return pd.concat([pd.DataFrame({"rep": a, "links": counts, "root": a}), stars]).astype("int64")
+        return pd.concat([pd.DataFrame({"rep": a, "links": counts, "root": a}), guests, stars]).astype("int64")
 
     found = staged(sides.groupBy(*key, "a", "b").applyInPandas(compare, "rep long, links long, root long"), "vector-links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
