@@ -219,3 +219,20 @@ def test_book_over_micro_batches(spark, shuffled, batch):
         r = found[seq]
         assert r.action == action and (r.size, r.avg_price) == pytest.approx((size, avg))
         assert pnl is None or r.pnl == pytest.approx(pnl)
+
+
+def test_share_book_over_micro_batches(spark, shuffled, batch):
+    """An agent's cash couples its products, also across batches."""
+    from tickloom.operators import shares
+
+    def fills(df):
+        return df.select(
+            (F.col("seq") % 2).cast("string").alias("agent"), "ts", "seq", "product_id", F.when(F.col("volume") < 50, "BUY").otherwise("SELL").alias("side"),
+            "price", (F.col("volume") / 100).cast("double").alias("frac"))
+
+    got = {r.seq: r for r in windows.drain(stateful.run(fills(late(spark, shuffled)), ["agent"], stateful.ShareBook())).collect()}
+    want = {r.seq: r for r in shares.share_book(fills(released(batch)), rows=16).collect()}
+    assert got.keys() == want.keys() and len(want) > 20
+    for seq, r in want.items():
+        assert got[seq].action == r.action
+        assert (got[seq].log_size, got[seq].log_balance, got[seq].realized_share) == pytest.approx((r.log_size, r.log_balance, r.realized_share))
