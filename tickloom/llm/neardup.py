@@ -23,6 +23,8 @@ DEEP_TREES = 18
 SLACK = 0.12
 #: Documents of a large node that meet all others of it.
 PIVOTS = 3
+#: Rows a document, on average, that a large node may take for its documents outside the largest component to be settled; to branch deeper takes more.
+SETTLED = 4
 
 
 def _sign(x: np.ndarray) -> tuple[int, int, int]:
@@ -88,32 +90,53 @@ def _paths(levels: int, more: float, trees: tuple[int, int] | None = None):
     return run
 
 
-def _nodes(reps: DataFrame, more: float) -> DataFrame:
-    """``path, rep, size``: the nodes of two documents or more. Nodes over ``NODE`` go on to branch until ``MAX_DEPTH``.
+def _walked(rows: DataFrame, levels: int, more: float, trees: tuple[int, int] | None = None) -> DataFrame:
+    """``path, rep, size``: the nodes of two documents or more that lie ``levels`` below the rows."""
+    rows = staged(rows.mapInPandas(_paths(levels, more, trees), "path long, rep long").distinct(), "paths")
+    sizes = rows.groupBy("path").agg(F.count("*").alias("size")).where(C("size") > 1)
+    return staged(rows.join(sizes, "path"), "nodes")
 
-    What a tree loses on the way down, further trees make up for: documents of a large node walk ``DEEP_TREES`` of them.
-    """
 
-    def walked(rows: DataFrame, levels: int, trees: tuple[int, int] | None = None) -> DataFrame:
-        rows = staged(rows.mapInPandas(_paths(levels, more, trees), "path long, rep long").distinct(), "paths")
-        sizes = rows.groupBy("path").agg(F.count("*").alias("size")).where(C("size") > 1)
-        return staged(rows.join(sizes, "path"), "nodes")
+def _deeper(sized: DataFrame, sketches: DataFrame, more: float) -> DataFrame:
+    """``path, rep, size``: large nodes go on to branch until ``MAX_DEPTH``, or until they are not large.
 
-    sketches = reps.select("rep", "sketch")
-    sized, done, depth = walked(sketches, DEPTH, (0, TREES)), None, DEPTH
-    if not sized.where(C("size") > NODE).isEmpty():
-        crowd = sketches.join(sized.where(C("size") > NODE).select("rep").distinct(), "rep", "left_semi")
-        sized = sized.unionByName(walked(crowd, DEPTH, (TREES, DEEP_TREES)))
+    What a tree loses on the way down, further trees make up for: documents of these nodes walk ``DEEP_TREES`` of them.
+    """
+    crowd = sketches.join(sized.select("rep").distinct(), "rep", "left_semi")
+    sized, done, depth = sized.unionByName(_walked(crowd, DEPTH, more, (TREES, DEEP_TREES))), None, DEPTH
     while True:
         last = depth >= MAX_DEPTH or sized.where(C("size") > NODE).isEmpty()
         small = sized if last else sized.where(C("size") <= NODE)
         done = small if done is None else done.unionByName(small)
         if last:
             return done
-        sized = walked(sized.where(C("size") > NODE).select("path", "rep").join(sketches, "rep"), 2)
+        sized = _walked(sized.where(C("size") > NODE).select("path", "rep").join(sketches, "rep"), 2, more)
         depth += 2
 
 
+def _forest(rows: DataFrame, sets: DataFrame, percent: int, least: float) -> DataFrame:
+    """``a, b, linked``: a spanning forest of most similar pairs of each block of the nodes, confirmed on full sets; ``PIVOTS``
+    documents of a large node come to all its blocks."""
+    pivots = rows.where(C("size") > NODE).groupBy("path").agg(F.expr(f"slice(array_sort(collect_set(xxhash64(rep, path) % 4096)), 1, {PIVOTS})").alias("chosen"))
+    led = rows.join(pivots, "path", "left")
+    guest = F.coalesce(F.array_contains("chosen", F.xxhash64("rep", "path") % 4096), F.lit(False))
+    tried = staged(_pairs(_blocks(led.withColumn("main", C("rep")), guest), least, True), "forest")
+    return staged(_confirm(tried, sets, percent), "confirmed")
+
+
+def _linked(links: DataFrame) -> DataFrame:
+    return links.where("linked").select(C("a").alias("u"), C("b").alias("v"))
+
+
+def _open(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """``path`` of the large nodes that are not settled. A node is settled if so few documents lie outside its largest component
+    that all of them can meet all of its blocks for at most ``SETTLED`` rows a document."""
+    comp = large.join(roots, C("rep") == C("node"), "left").select("path", "size", F.coalesce("root", "rep").alias("comp"))
+    shares = comp.groupBy("path", "comp").agg(F.count("*").alias("share"), F.max("size").alias("size"))
+    most = shares.groupBy("path").agg(F.max("share").alias("share"), F.max("size").alias("size"))
+    return most.where((C("size") - C("share")) * F.ceil(C("size") / NODE) > SETTLED * C("size")).select("path")
+
+
 def _root(of: dict, x):
     while of.get(x, x) != x:
         of[x] = of.get(of[x], of[x])
@@ -282,28 +305,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     same = held.groupBy("doc_id").agg(F.min("rep").alias("v")).join(held, "doc_id").where(C("rep") != C("v")).select(C("rep").alias("u"), "v")
     same = staged(same.distinct(), "same-id")
     least = percent / 100 - SLACK
-    nodes = _nodes(reps, 100 / percent - 1)
-    rows = staged(nodes.join(reps.select("rep", "n", "marks").dropDuplicates(["rep"]), "rep").withColumn("comp", C("rep")), "members")
-
-    pivots = rows.where(C("size") > NODE).groupBy("path").agg(F.expr(f"slice(array_sort(collect_set(xxhash64(rep, path) % 4096)), 1, {PIVOTS})").alias("chosen"))
-    led = rows.join(pivots, "path", "left")
-    guest = F.coalesce(F.array_contains("chosen", F.xxhash64("rep", "path") % 4096), F.lit(False))
-    blocks = _blocks(led.withColumn("main", C("rep")), guest)
-    tried = staged(_pairs(blocks, least, True), "forest")
+    marks = reps.select("rep", "n", "marks").dropDuplicates(["rep"])
+    sketches, more = reps.select("rep", "sketch"), 100 / percent - 1
+    nodes = _walked(sketches, DEPTH, more, (0, TREES))
 
     wanted = nodes.select("rep").distinct().join(reps.select("rep", "doc"), "rep").select("doc").distinct()
     full = docs.select(C("doc_id").cast("long").alias("doc"), "text").join(wanted, "doc", "left_semi")
     sets = full.mapInPandas(_sets(width), "doc long, n long, s1 long, s2 long, shingles binary")
     sets = staged(sets.join(reps.select(*sign, "doc", "rep"), [*sign, "doc"]).dropDuplicates(["rep"]).select("rep", "shingles"), "sets")
 
-    links = staged(_confirm(tried, sets, percent), "confirmed")
-    roots = staged(components(links.where("linked").select(C("a").alias("u"), C("b").alias("v")).unionByName(same)), "roots")
+    large, first, comp = nodes.where(C("size") > NODE), None, C("rep")
+    rows = nodes
+    if not large.isEmpty():
+        first = _forest(staged(large.join(marks, "rep").withColumn("comp", C("rep")), "large"), sets, percent, least)
+        roots = staged(components(_linked(first)), "large-roots")
+        unsettled = staged(_open(large, roots), "large-open")
+        if not unsettled.isEmpty():
+            deeper = _deeper(nodes.join(unsettled, "path", "left_semi"), sketches, more)
+            nodes = nodes.join(unsettled, "path", "left_anti").unionByName(deeper)
+        rows, comp = nodes.join(roots, C("rep") == C("node"), "left"), F.coalesce("root", "rep")
+    rows = staged(rows.withColumn("comp", comp).select("path", "rep", "size", "comp").join(marks, "rep"), "members")
+    links = _forest(rows, sets, percent, least)
+    if first is not None:
+        links = links.unionByName(first)
+    roots = staged(components(_linked(links).unionByName(same)), "roots")
     rows = rows.drop("comp").join(roots, C("rep") == C("node"), "left").select("path", "rep", "size", "n", "marks", F.coalesce("root", "rep").alias("comp"))
     shares = rows.groupBy("path", "comp").agg(F.count("*").alias("share")).groupBy("path").agg(F.count("*").alias("parts"), F.max_by("comp", "share").alias("main"))
     rows = rows.join(shares.where(C("parts") > 1), "path")
     reach = staged(_pairs(_blocks(rows, C("comp") != C("main")), least, False), "rest")
-    more = staged(_join_components(reach, roots, reps, sets, percent, least), "confirmed-rest")
-    roots = components(links.where("linked").select("a", "b").unionByName(more).select(C("a").alias("u"), C("b").alias("v")).unionByName(same))
+    rest = staged(_join_components(reach, roots, reps, sets, percent, least), "confirmed-rest")
+    roots = components(links.where("linked").select("a", "b").unionByName(rest).select(C("a").alias("u"), C("b").alias("v")).unionByName(same))
 
     rooted = reps.join(roots, C("rep") == C("node"), "left").select(*sign, "doc", F.coalesce("root", "rep").alias("root"))
     least_doc = rooted.groupBy("root").agg(F.min("doc").alias("component"))
