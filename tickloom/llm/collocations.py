@@ -157,6 +157,21 @@ def _counter(size: int, known: _Filter | None) -> Callable[[Iterator[pa.RecordBa
     return run
 
 
+def _paired(known: _Filter) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Hashes of the words of pairs that are ``known``, once a buffer: ``key``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for codes, seed, _ in _buffers(batches):
+            h, live = _start(codes, seed), codes != 0
+            met = live[:-1] & live[1:] & known(_longer(h, codes[1:]))
+            own = np.zeros(len(h), bool)
+            own[:-1] |= met
+            own[1:] |= met
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(h[own]).view(np.int64))], names=["key"])
+
+    return run
+
+
 def _exact(words_known: _Filter, phrases_known: _Filter, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Occurrences of known words and phrases, told apart by their words: ``lang, words, phrase, n``."""
 
@@ -221,12 +236,12 @@ def _exact(words_known: _Filter, phrases_known: _Filter, longest: int) -> Callab
 
 
 def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = 5, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
-    """Exact counts ``lang, phrase, words, a`` of all runs of 1 to ``longest`` words that a language holds ``support`` times, and ``lang, n`` of all words.
+    """Exact counts ``lang, phrase, words, a`` of all runs of 2 to ``longest`` words that a language holds ``support`` times and of the words in them, and ``lang, n`` of all words.
 
     A language's documents fall into ``shards`` by the partitions they are read in, and a phrase with ``support`` occurrences has, in some shard, at least the
     share of ``support`` that the shard has of the language's words. So every shard is mined for the phrases that reach that lowered
     support: by length, each phrase only where both its parts of one word less reached it. A phrase goes if even the most that the
-    other shards may have missed does not lift it to ``support``. The union of what shards found is counted over all texts, by the words themselves, and what reaches ``support`` stays.
+    other shards may have missed does not lift it to ``support``, and a pair if the counts of all shards do not. The union of what shards found is counted over all texts, by the words themselves, and what reaches ``support`` stays.
 
     A shard is a label that is written once with the coded words, not a task: it spreads over as many tasks as its partitions fill. These
     count hashes of a bounded buffer each, and Spark sums them by (hash, shard).
@@ -250,14 +265,23 @@ def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = 5, shar
     words_known = known = _Filter(counted.where(C("n") >= support).select(C("h").alias("key")))
     levels = []
     for size in range(2, longest + 1):
-        counted = rows.mapInArrow(_counter(size, known), "h long, part long, n long").groupBy("h", "part").agg(F.sum("n").alias("n"))
+        dealt = rows.mapInArrow(_counter(size, known), "h long, part long, n long")
+        if size == 2:
+            # Every shard counts all pairs of frequent words: their sum is known, and what does not reach the whole support goes.
+            dealt = dealt.repartition("h")
+            enough = dealt.groupBy("h").agg(F.sum("n").alias("n")).where(C("n") >= support).select("h")
+        counted = dealt.groupBy("h", "part").agg(F.sum("n").alias("n"))
         local = counted.join(need, "part").where(C("n") >= C("need")).select("h", "part", (C("n") - C("need") + 1).alias("over"), "hidden")
-        # Shards that did not find a phrase hold less than their support of it: what cannot reach the whole support goes.
+        if size == 2:
+            local = local.join(enough, "h", "left_semi")
+        # Shards that did not find a longer phrase hold less than their support of it: what cannot reach the whole support goes.
         bound = F.sum("over").over(Window.partitionBy("h")) + C("hidden")
         level = staged(local.withColumn("bound", bound).where(C("bound") >= support).select("h", "part"), "shard-phrases")
         levels.append(level.select(C("h").alias("key")))
         if size < longest:
             known = _Filter(level.select(C("h").bitwiseXOR(C("part")).alias("key")))
+    if levels:  # a word is a part of a phrase only if it is in a frequent pair
+        words_known = _Filter(rows.mapInArrow(_paired(_Filter(levels[0])), "key long").distinct())
     union = levels[0] if levels else coded.select(C("n_words").alias("key")).limit(0)
     for level in levels[1:]:
         union = union.unionByName(level)
