@@ -169,6 +169,14 @@ def test_order_at_a_price_of_zero_has_no_finite_size(spark):
     assert got == {1: float("inf"), 2: 33.33333333, 3: None}
 
 
+def test_order_sizes_are_rounded_once(spark):
+    """Rounded first in decimal form and then by scaling, these sizes move to a neighbour; a negative zero gives the other infinity."""
+    prices = {0.0020702759162386924: 48302.74033313, 0.0002243873270581003: 445657.96701214, 7.496949817305769e-05: 1333875.80865437, 2.6757784405145424e-06: 37372302.01345459}
+    df = spark.createDataFrame([(i, p) for i, p in enumerate([*prices, -0.0])], "signal_id long, price double")
+    got = [r.base_size for r in ledger.orders_for_signals(df, F.lit(100.0)).orderBy("signal_id").collect()]
+    assert got == [*prices.values(), float("-inf")]
+
+
 def test_balance_parts_deal_the_trades_once(spark):
     """Reports from bucket rows equal those from every trade's balance, and the trades are computed once."""
     from tickloom.operators import reports

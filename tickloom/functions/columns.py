@@ -19,8 +19,8 @@ def safe_div(top: Column, bottom: Column, otherwise: float | None = None) -> Col
 
 
 def ratio(top: Column, bottom: Column) -> Column:
-    """Division as floating point defines it: by zero it is infinite with the sign of ``top``, and NaN for zero by zero."""
-    return F.when(bottom == 0, top.cast("double") * F.lit(float("inf"))).otherwise(F.try_divide(top, bottom))
+    """Division as floating point defines it: by zero it is infinite with the signs of ``top`` and of the zero, and NaN for zero by zero."""
+    return F.when(bottom == 0, top.cast("double") * F.pow(bottom, F.lit(-1.0))).otherwise(F.try_divide(top, bottom))
 
 
 def rounded(value: Column, digits: int = 6) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.columns import ratio
+from tickloom.functions.columns import ratio, rounded
 from tickloom.operators.alignment import with_scalar
 from tickloom.operators.blocks import TICK_BUCKET, running
 from tickloom.session import materialize
@@ -131,7 +131,7 @@ def latest_order_state(changes: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 def orders_for_signals(signals: DataFrame, quote_size: Column) -> DataFrame:
-    return signals.withColumns({"quote_size": quote_size, "base_size": F.round(ratio(quote_size, C("price")), 8)})
+    return signals.withColumns({"quote_size": quote_size, "base_size": rounded(ratio(quote_size, C("price")), 8)})
 
 
 def acted(signals: DataFrame, orders: DataFrame, key: str = "signal_id") -> DataFrame:

@@ -408,7 +408,7 @@ def orders_for_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = domain.ticks(spark, sf_dir).withColumnRenamed("seq", "signal_id")
     placed = t.where("signal_id % 5 = 0").select("signal_id")
     df = ledger.acted(ledger.orders_for_signals(t, F.lit(100.0)), placed)
-    return df.select("signal_id", rounded(C("base_size"), 8).alias("base_size"), "acted")
+    return df.select("signal_id", "base_size", "acted")
 
 
 @query("sig21_preflight", "WITH x AS (SELECT sum(l_extendedprice / 1e6) AS e FROM lineitem) SELECT o_orderkey AS id, CASE WHEN 400000 < o_totalprice THEN 'insufficient balance' WHEN e + o_totalprice > 5000 THEN 'exposure cap' END AS reject_reason FROM orders, x")
