@@ -205,6 +205,19 @@ def test_outcome_timers(spark, source, batch):
     assert rows(got.select("seq", "exit_price", "outcome")) == sorted(want)
 
 
+def test_outcomes_take_the_last_of_equal_times(spark, tmp_path):
+    """Of the closes in one millisecond the last by time and number counts, not the highest, whatever the order of the files."""
+    rows_ = [(0, 1, 100.0, None), (14_000_000_100, 2, None, 130.0), (14_400_000_300, 3, None, 90.0), (14_400_000_300, 4, None, 80.0),
+             (14_400_000_900, 5, None, 70.0), (14_400_001_000, 6, None, 140.0), (15_600_000_000, 7, None, 150.0)]
+    for k, part in enumerate((rows_[::-1][1:], rows_[-1:])):
+        df = spark.createDataFrame([("p", *r) for r in part], "product_id string, us long, seq long, entry_price double, close double")
+        df = df.select("product_id", F.timestamp_micros(F.col("us") + 10**15).alias("ts"), "seq", F.when(F.col("entry_price").isNotNull(), "BUY").alias("side"), "entry_price", "close")
+        df.coalesce(1).write.parquet(str(tmp_path / f"part{k}"))
+    source = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    got = windows.drain(stateful.run(source.withWatermark("ts", "1 minute"), ["product_id"], stateful.ResolveOutcomes(), "EventTime"))
+    assert rows(got.select("seq", "exit_price", "outcome")) == [(1, 70.0, "LOSS")]
+
+
 def test_book_over_micro_batches(spark, shuffled, batch):
     def fills(df):
         return df.select(
