@@ -1,5 +1,6 @@
 """Streams over several micro-batches give the batch answer."""
 
+import pickle
 import random
 import time
 
@@ -218,6 +219,57 @@ def test_outcomes_take_the_last_of_equal_times(spark, tmp_path):
     assert rows(got.select("seq", "exit_price", "outcome")) == [(1, 70.0, "LOSS")]
 
 
+def test_outcomes_keep_rows_by_hour(spark):
+    """100 000 rows of 30 hours in one batch wait by the hour; the value of a key holds the signals of one horizon, no closes."""
+    class Value:
+        value, largest = None, 0
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value, self.largest = value, max(self.largest, len(pickle.dumps(value)))
+
+    class Handle:
+        def __init__(self):
+            self.state, self.maps = Value(), []
+
+        def getValueState(self, *_):
+            return self.state
+
+        def getMapState(self, *_):
+            self.maps.append(_Map())
+            return self.maps[-1]
+
+        def registerTimer(self, at):
+            pass
+
+    class Now:
+        def __init__(self, at):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: at
+
+    n, step = 100_000, 1080
+    price = np.round(np.random.default_rng(6).uniform(90, 110, n), 2)
+    signal = np.arange(n) % 100 == 0
+    frame = pd.DataFrame({
+        "ts": pd.to_datetime(np.arange(1, n + 1) * step, unit="ms"), "seq": np.arange(n), "side": np.where(signal, "BUY", None),
+        "entry_price": np.where(signal, price, np.nan), "close": np.where(signal, np.nan, price)})
+    mixed = frame.sample(frac=1, random_state=1)
+    handle, resolver = Handle(), stateful.ResolveOutcomes()
+    resolver.init(handle)
+    found = [*resolver.handleInputRows(("p",), iter([mixed[i: i + 2000] for i in range(0, n, 2000)]), Now(0))]
+    ends = [5_000_000, 50_000_000, n * step - 600_000]
+    for end in ends:
+        found += resolver.handleExpiredTimer(("p",), Now(end), Now(end))
+    got = pd.concat(found).set_index("seq")["exit_price"].to_dict()
+    ahead = 14_400_000 // step  # the price of the tick at the horizon or just before it, which no signal is
+    want = {i: price[k - 1 if k % 100 == 0 else k] for i in range(0, n, 100) if (i + 1) * step + 14_400_000 <= ends[-1] for k in [i + ahead]}
+    assert got == want and handle.state.largest < 50_000
+
+
 def test_book_over_micro_batches(spark, shuffled, batch):
     def fills(df):
         return df.select(
